@@ -11,7 +11,7 @@ from tessera.runtime import settle
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node sends its larger neighbours to the smallest node it knows."""
     both = edges.union(edges.select(F.col("v"), F.col("u")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
