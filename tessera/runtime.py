@@ -47,11 +47,11 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).parent
-    with tempfile.TemporaryDirectory() as d:
-        with zipfile.ZipFile(f"{d}/tessera-{uuid.uuid4().hex}.zip", "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(z.filename)  # Spark keeps a copy of its own
+    # the driver's file server hands this small archive out for as long as the session lives
+    with zipfile.ZipFile(f"{tempfile.mkdtemp(prefix='tessera-')}/tessera-{uuid.uuid4().hex}.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(z.filename)
     _SHIPPED.add(sc.applicationId)
 
 
