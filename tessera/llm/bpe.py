@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.runtime import table
+from tessera.runtime import ship, table
 
 #: Distinct pieces and token pairs that a worker remembers before it starts afresh.
 PIECE_CACHE, PAIR_CACHE = 300_000, 500_000
@@ -264,6 +264,7 @@ def encode_decode(docs: DataFrame, vocab_path: str | None = None, pattern: str |
                     decoded.append(c.decode(ids))
                 yield pa.RecordBatch.from_arrays([*(r.slice(lo, rows) for r in rest), pa.array(counts, pa.int64()), pa.array(ids_text, pa.string()), pa.array(decoded, pa.binary())], names=[*names, "n_tokens", "ids", "decoded"])
 
+    ship(spark)
     return sent.mapInArrow(run, schema)
 
 

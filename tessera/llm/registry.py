@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, lines
+from tessera.llm import bpe, chat, decontam, langid, lines, simhash, toxicity
 
 QUERIES = {
+    "op3_language_id": langid.op3,
     "op4_byte_bpe": bpe.op4,
     "op5_line_dedup": lines.op5,
+    "op6_simhash": simhash.op6,
+    "op7_decontaminate": decontam.op7,
     "op9_chat_format": chat.op9,
+    "op10_toxicity": toxicity.op10,
 }
 ORACLE = {
     "op5_line_dedup": lines.SQL,
