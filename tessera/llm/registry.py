@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontam, langid, lines, simhash, toxicity
+from tessera.llm import bpe, chat, decontam, knn, langid, lines, pii, simhash, substrings, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": substrings.op1,
+    "op2_knn": knn.op2,
     "op3_language_id": langid.op3,
     "op4_byte_bpe": bpe.op4,
     "op5_line_dedup": lines.op5,
     "op6_simhash": simhash.op6,
     "op7_decontaminate": decontam.op7,
+    "op8_pii": pii.op8,
     "op9_chat_format": chat.op9,
     "op10_toxicity": toxicity.op10,
 }
