@@ -191,3 +191,11 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, text: str = "t
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, text: str = "text") -> DataFrame:
+    """docs with the document of the smallest doc_id of each group; one row of it, if that id repeats."""
+    groups = settle(near_groups(docs, words, radius, text).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    same = docs["doc_id"].eqNullSafe(groups["doc_id"])
+    kept = docs.join(groups, same, "left_semi")
+    return kept.dropDuplicates(["doc_id"]) if groups.where("n > 1").take(1) else kept
