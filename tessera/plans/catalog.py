@@ -1,6 +1,390 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the test tables, and the SQL that DuckDB checks them with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.misc import json_object, point_id, route
+from tessera.functions.names import canonical_entity, canonical_relation
+from tessera.functions.text import bm25_tokens, local_tokens, normalize, overlap_score, shorten
+from tessera.operators import chunk, community, dense, evaluation, fusion, graph, inspection, lexical, local, models, summary
+from tessera.plans import sql
+from tessera.runtime import settle, table
+from tessera.sources.issues import table_documents, table_entities, table_relationships
+
+# --- inputs ---------------------------------------------------------------------------------------
+
+
+def units(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.text_units(table_documents(spark, d))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.lit("text_unit").alias("kind"), F.col("vec_id").alias("source_id"), F.col("embedding").alias("vector"), "label")
+
+
+def vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rel = table_relationships(spark, d)
+    return graph.graph_nodes(table_entities(spark, d), rel), graph.graph_edges(rel)
+
+
+def local_questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sql.LOCAL_QUESTIONS, "query_id string, question string")
+
+
+def reports_of(spark: SparkSession, d: str) -> DataFrame:
+    """A report a region: its nations as entities."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    x = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name")
+    return x.agg(F.array_sort(F.collect_list("n_name")).alias("entity_names")).select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("title"), F.concat(F.lit("Suppliers of region "), F.col("r_name")).alias("summary"), "entity_names", F.array().cast("array<string>").alias("source_ids"), (F.col("r_regionkey") % 3).cast("double").alias("rating"), F.col("r_regionkey").cast("bigint").alias("seq"))
+
+
+def dirty(spark: SparkSession, d: str) -> DataFrame:
+    """Parts under names in need of cleaning, as entities."""
+    names = F.array(*(F.lit(n) for n, _, _ in sql.DIRTY))
+    kinds = F.array(*(F.lit(k) for _, k, _ in sql.DIRTY))
+    i = (F.col("p_partkey") % len(sql.DIRTY)).cast("int") + 1
+    p = table(spark, d, "part")
+    return p.select(F.element_at(names, i).alias("name"), F.element_at(kinds, i).alias("type"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")).alias("description"), F.array(F.col("p_brand")).alias("source_ids"), F.col("p_partkey").alias("seq"))
+
+
+# --- queries --------------------------------------------------------------------------------------
+
+
+def chunk_documents(s, d):
+    return units(s, d).select("id", "document_id", F.col("order").cast("bigint").alias("ord"), F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def stable_ids(s, d):
+    o = table(s, d, "orders")
+    return o.select("o_orderkey", F.md5(F.concat_ws("::", F.lit("order"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))).alias("stable_id"))
+
+
+def shorten_text(s, d):
+    return table(s, d, "documents").select("doc_id", F.md5(shorten(F.col("text"))).alias("short_md5"), F.char_length(shorten(F.col("text"), 220)).cast("bigint").alias("n"))
+
+
+def bm25_terms(s, d):
+    t = units(s, d).select(F.explode(bm25_tokens(F.col("text"))).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def bm25_idf(s, d):
+    return lexical.build_index(units(s, d)).idf.select("term", F.round("idf", 6).alias("idf"))
+
+
+def bm25_search(s, d):
+    hits = lexical.search(lexical.build_index(units(s, d)), questions(s, d))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+def local_token_sets(s, d):
+    return table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(local_tokens(F.col("text"))), " ").alias("tokens"))
+
+
+def text_score(s, d):
+    q = local_tokens(F.lit("that reed hein the graph of the"))
+    t = table(s, d, "documents").select("doc_id", F.round(overlap_score(q, local_tokens(F.col("text"))), 6).alias("score"))
+    return t.where("score > 0")
+
+
+def cosine_topk(s, d):
+    hits = dense.nearest(vectors(s, d), vector_queries(s, d))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "source_id", F.round("score", 6).alias("score"))
+
+
+def kind_filter_count(s, d):
+    return vectors(s, d).withColumn("kind", F.concat(F.lit("kind-"), F.col("label"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def rrf_fusion(s, d):
+    v = vectors(s, d)
+    a = dense.nearest(v, vector_queries(s, d), 20).select("query_id", F.col("source_id").alias("id"), "rank")
+    b = dense.nearest(v.where("label % 2 = 0"), vector_queries(s, d), 20).select("query_id", F.col("source_id").alias("id"), "rank")
+    f = fusion.fuse({"all": a, "even": b})
+    return f.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 9).alias("score"))
+
+
+def hybrid_search(s, d):
+    """BM25 over documents' chunks fused with cosine over vectors; the vec_id of a question is its item_id."""
+    u = settle(units(s, d), "units")
+    index, e = lexical.build_index(u), table(s, d, "embeddings")
+    dense_ids = e.select(F.lit("text_unit").alias("kind"), F.concat(F.lit("doc-"), F.col("vec_id")).alias("source_id"), F.col("embedding").alias("vector"))
+    by_doc = lambda q, n: lexical.search(index, q, n).join(u.select("id", "document_id"), "id").groupBy("query_id", F.col("document_id").alias("id")).agg(F.min("rank").alias("rank"))
+    near = lambda q, n: dense.nearest(dense_ids, q.join(e, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("vector")), n).select("query_id", F.col("source_id").alias("id"), "rank")
+    f = fusion.hybrid(by_doc, near, questions(s, d))
+    return f.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 9).alias("score"))
+
+
+def canonical_names(s, d):
+    return s.createDataFrame([(n, k) for n, k, _ in sql.DIRTY], "name string, type string").select("name", "type", canonical_entity(F.col("name"), F.col("type")).alias("canonical"))
+
+
+def canonical_relations(s, d):
+    return s.createDataFrame([(n,) for n, _ in sql.LABELS], "label string").select("label", canonical_relation(F.col("label")).alias("canonical"))
+
+
+def entity_merge(s, d):
+    m = graph.merge_entities(dirty(s, d))
+    return m.select("name", "type", "description", F.array_join("source_ids", "|").alias("source_ids"), "seq")
+
+
+def relation_dedupe(s, d):
+    r = table_relationships(s, d).withColumn("relation", F.when(F.col("seq") % 2 == 0, "Use").otherwise(F.col("relation")))
+    names = graph.name_map(table_entities(s, d))
+    return graph.normalize_relations(r, names).select("source", "target", "relation", "weight", "seq")
+
+
+def graph_nodes(s, d):
+    n, _ = graph_tables(s, d)
+    return n.select("name", "type", "description", F.array_join("source_ids", "|").alias("source_ids"))
+
+
+def graph_edges(s, d):
+    _, e = graph_tables(s, d)
+    return e.select("u", "v", F.array_join("relations", "|").alias("relations"), F.round("weight", 6).alias("weight"), F.size("source_ids").cast("bigint").alias("n_sources"), F.md5(F.array_join("source_ids", "|")).alias("sources_md5"), F.size("descriptions").cast("bigint").alias("n_descriptions"))
+
+
+def graph_renormalize(s, d):
+    """The supplier graph with its region names spelled in aliases of one name, and merged."""
+    n, e = graph_tables(s, d)
+    swap = lambda c: F.when(F.col(c) == "ASIA", "TG").when(F.col(c) == "EUROPE", "Trust Graph").otherwise(F.col(c)).alias(c)
+    n = n.select(swap("name"), "type", "description", "source_ids", "seq")
+    e = e.select(swap("u"), swap("v"), "relations", "descriptions", "weight", "source_ids", "seq")
+    _, e2 = graph.renormalize(n, e)
+    return e2.select("u", "v", F.array_join("relations", "|").alias("relations"), F.round("weight", 6).alias("weight"), F.size("source_ids").cast("bigint").alias("n_sources"))
+
+
+def degree_topn(s, d):
+    return inspection.top_by_degree(*graph_tables(s, d), 25)
+
+
+def type_counts(s, d):
+    return inspection.type_counts(graph_tables(s, d)[0])
+
+
+def relation_counts(s, d):
+    return inspection.relation_counts(graph_tables(s, d)[1])
+
+
+def connected_components(s, d):
+    n, e = graph_tables(s, d)
+    e = e.where("array_contains(relations, 'located_in')")
+    return graph.components(n.where("type <> 'CONCEPT'"), e)
+
+
+def graph_stats(s, d):
+    n, e = graph_tables(s, d)
+    return graph.stats(n, e.where("array_contains(relations, 'located_in')"))
+
+
+def community_members(s, d):
+    n, e = graph_tables(s, d)
+    return community.detect(n, e.where("array_contains(relations, 'located_in')"))
+
+
+def report_sources(s, d):
+    n, e = graph_tables(s, d)
+    region = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = region.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("community_id")).union(region.select("r_name", "r_regionkey").distinct())
+    out = community.report_sources(community.attach(n, c), e)
+    return out.select(F.col("community_id").cast("bigint").alias("community_id"), F.array_join("source_ids", "|").alias("source_ids"))
+
+
+def community_reports(s, d):
+    """Reports of the mock client on the regions' nations."""
+    n, e = graph_tables(s, d)
+    c = table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("community_id"))
+    r = models.reports(community.attach(n, c), e, models.MockClient)
+    return r.select("id", "title", "summary", F.array_join("entity_names", "|").alias("entity_names"), F.array_join("source_ids", "|").alias("source_ids"), "rating", "seq")
+
+
+def global_topk(s, d):
+    return summary.top_reports(reports_of(s, d), 3).select("id", "title", "rating")
+
+
+def global_context(s, d):
+    return summary.context(reports_of(s, d), 3).select("id", "score", "text")
+
+
+def _local(s, d):
+    n, e = graph_tables(s, d)
+    u = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit("Note on "), F.col("n_name")).alias("text"), F.col("n_name").alias("document_title"), F.col("n_nationkey").cast("bigint").alias("seq"))
+    g = local.build(n, e.withColumn("source_ids", F.slice("source_ids", 1, 3)), reports_of(s, d), u)
+    return g, settle(local.asked(local_questions(s)), "asked")
+
+
+def rank_nodes(s, d):
+    g, q = _local(s, d)
+    r = local.rank_nodes(g, q).where("rank <= 24")
+    return r.select("query_id", "name", F.col("degree").cast("bigint").alias("degree"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def rank_edges(s, d):
+    g, q = _local(s, d)
+    seeds = local.rank_nodes(g, q).where("rank <= 8")
+    r = local.rank_edges(g, q, seeds).where("rank <= 32")
+    return r.select("query_id", "u", "v", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def rank_reports(s, d):
+    g, q = _local(s, d)
+    chosen = local.rank_nodes(g, q).where("rank <= 24").select("query_id", "name")
+    r = local.rank_reports(g, q, chosen)
+    return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def rank_sources(s, d):
+    g, q = _local(s, d)
+    nodes = local.rank_nodes(g, q).where("rank <= 24").select("query_id", "name").join(g.nodes.select("name", "source_ids"), "name")
+    given = nodes.select("query_id", F.explode("source_ids").alias("source_id")).groupBy("query_id", "source_id").agg((F.count("*") * 0.5).alias("score"))
+    given = given.withColumn("source_id", F.regexp_replace("source_id", "^nation-", ""))
+    r = local.rank_sources(g, q, given)
+    return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def local_context(s, d):
+    g, _ = _local(s, d)
+    q = local_questions(s)
+    return local.context(g, q, local.search(g, q))
+
+
+def route_queries(s, d):
+    q = s.createDataFrame([(x,) for x, _ in sql.ROUTES], "question string")
+    return q.select("question", route(F.col("question")).alias("mode"))
+
+
+def json_extract(s, d):
+    """Answers in three forms (bare, fenced, surrounded) made from documents, and one entity read back."""
+    doc = table(s, d, "documents")
+    body = F.concat(F.lit('{"entities": [{"name": "n'), F.col("doc_id"), F.lit('", "type": "T"}], "relationships": []}'))
+    k = F.col("doc_id") % 3
+    raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone"))).otherwise(F.concat(F.lit("The answer is "), body, F.lit(" as asked")))
+    return doc.select("doc_id", F.get_json_object(json_object(raw), "$.entities[0].name").alias("name"))
+
+
+def extraction(s, d):
+    """Entities and relations read from answers made from the nations."""
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    answer = F.concat(F.lit('```json\n{"entities": [{"name": '), q(F.concat(F.lit("  "), F.col("n_name"))), F.lit(', "type": "NATION"}, {"name": " "}], "relationships": [{"source": '), q(F.col("n_name")), F.lit(', "target": '), q(F.col("r_name")), F.lit(', "relation": "Located In"}, {"source": "A", "target": "A", "relation": "x"}]}\n```'))
+    a = n.select(F.concat(F.lit("u"), F.col("n_nationkey")).alias("unit_id"), F.col("n_nationkey").cast("bigint").alias("seq"), answer.alias("answer"))
+    e, r = models.parse_extractions(a)
+    return e.select("name", "type", F.lit("").alias("target"), F.array_join("source_ids", "|").alias("source_ids"), F.lit(0.0).alias("weight")).unionByName(r.select(F.col("source").alias("name"), F.col("relation").alias("type"), "target", F.array_join("source_ids", "|").alias("source_ids"), "weight"))
+
+
+def _traces(s, d):
+    """Lexical document rankings of the benchmark's questions that some document holds."""
+    docs = table(s, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"), F.col("doc_id"), normalize(F.col("text")).alias("norm"))
+    q = questions(s, d).withColumn("term", normalize(F.col("question")))
+    # a document can only hold a passage whose first word it holds; the words' join finds the candidates
+    word = q.select("query_id", "term", F.split("term", " ").alias("w")).where("term <> ''").withColumn("key", F.array_join(F.slice("w", 1, 5), " "))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.split("norm", " ")) - 5, F.lit(0))), lambda i: i)
+    at = docs.withColumn("w", F.split("norm", " ")).select("id", "norm", "w", F.explode(grams).alias("i"))
+    at = at.select("id", "norm", F.concat_ws(" ", *(F.get("w", F.col("i") + k) for k in range(5))).alias("key"))
+    hits = at.join(F.broadcast(word.select("query_id", "term", "key")) if word.count() <= 10_000 else word, "key").where(F.contains("norm", F.col("term"))).select("query_id", "id").distinct()
+    want = hits.groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("expected"))
+    u = settle(units(s, d), "units")
+    found = lexical.search(lexical.build_index(u), questions(s, d))
+    t = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("unit_ids")).withColumn("mode", F.lit("naive"))
+    return evaluation.documents_of_units(t, u).join(want, "query_id")
+
+
+def recall_mrr(s, d):
+    t = _traces(s, d)
+    return t.select("query_id", F.round(evaluation.recall_at(F.col("expected"), F.col("source_documents"), 8), 6).alias("recall"), F.round(evaluation.reciprocal_rank(F.col("expected"), F.col("source_documents")), 6).alias("mrr"))
+
+
+def missing_sources(s, d):
+    t = _traces(s, d)
+    m = t.select("query_id", F.explode(evaluation.missing(F.col("expected"), F.col("source_documents"))).alias("document_id"))
+    return m
+
+
+def noise_entities(s, d):
+    n = table(s, d, "part").select(F.col("p_name").alias("name")).union(table(s, d, "nation").select("n_name")).distinct()
+    t = table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("query_id"), F.lit("naive").alias("mode"), F.concat(F.lit("From Germany_and france to "), F.col("r_name"), F.lit(", via JAPAN.")).alias("context"), F.array(F.lit("France")).alias("expected_entities"))
+    return evaluation.noise_entities(t, n).select("query_id", F.col("noise_entities").cast("bigint").alias("noise_entities"))
+
+
+def eval_summary(s, d):
+    """A summary of rows made from orders: status as mode, nulls for small orders."""
+    o = table(s, d, "orders")
+    m = lambda k: F.when(F.col("o_orderkey") % k != 0, (F.col("o_orderkey") % 11) / 10.0)
+    r = o.select(F.col("o_orderstatus").alias("mode"), m(2).alias("entity_recall"), m(3).alias("source_recall_at_k"), m(5).alias("source_mrr"), F.lit(None).cast("double").alias("community_recall"), F.lit(None).cast("double").alias("community_mrr"), F.col("o_totalprice").alias("latency_ms"), (F.col("o_custkey") % 7).alias("noise_entities"))
+    out = evaluation.summarize(r)
+    return out.select("mode", "queries", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("mode", "queries")))
+
+
+def eval_modes(s, d):
+    c = s.createDataFrame([(x,) for x, _ in sql.CATEGORIES], "category string")
+    return c.select("category", F.array_join(evaluation.modes_for(F.col("category"), ["global", "local", "naive"]), ",").alias("modes"))
+
+
+def _points(s, d):
+    e = table(s, d, "embeddings")
+    return e.select(F.lit("text_unit").alias("kind"), F.col("vec_id").cast("string").alias("source_id"), F.lit("old").alias("text"), F.col("embedding").alias("vector"), F.lit("{}").alias("metadata"), F.lit(0).alias("seq"))
+
+
+def _store(s):
+    from uuid import uuid4
+
+    from tessera.runtime import shared_dir
+
+    return dense.VectorStore(s, f"{shared_dir(s)}/store-{uuid4().hex}", 64)
+
+
+def vector_upsert(s, d):
+    v, p = _store(s), _points(s, d)
+    v.upsert(p)
+    v.upsert(p.where("cast(source_id AS int) % 3 = 0").withColumn("text", F.lit("new")).unionByName(p.limit(0)))
+    return v.frame().groupBy("kind", "text").agg(F.count("*").alias("n"))
+
+
+def vector_delete(s, d):
+    v, p = _store(s), _points(s, d)
+    v.upsert(p)
+    v.delete(p.where("cast(source_id AS int) % 4 = 0"))
+    return v.frame().select("kind", F.col("source_id"))
+
+
+def vector_ids(s, d):
+    return table(s, d, "embeddings").select("vec_id", point_id(F.lit("text_unit"), F.col("vec_id").cast("string")).alias("point_id"))
+
+
+def vector_documents(s, d):
+    u = units(s, d)
+    e = table_entities(s, d)
+    out = chunk.vector_documents(u, e, reports_of(s, d))
+    return out.select("kind", "source_id", F.md5("text").alias("text_md5"))
+
+
+def windowed_events(s, d):
+    from tessera.streaming.ingest import windowed_counts
+
+    w = windowed_counts(table(s, d, "events"))
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bm25_search, chunk_documents, stable_ids, shorten_text, bm25_terms, bm25_idf, local_token_sets, text_score, cosine_topk,
+        kind_filter_count, rrf_fusion, hybrid_search, canonical_names, canonical_relations, entity_merge, relation_dedupe,
+        graph_nodes, graph_edges, graph_renormalize, degree_topn, type_counts, relation_counts, connected_components, graph_stats,
+        community_members, report_sources, community_reports, global_topk, global_context, rank_nodes, rank_edges, rank_reports,
+        rank_sources, local_context, route_queries, json_extract, extraction, recall_mrr, missing_sources, noise_entities,
+        eval_summary, eval_modes, vector_upsert, vector_delete, vector_ids, vector_documents, windowed_events,
+    )
+}
+ORACLE = {k: v for k, v in sql.ORACLE.items() if k in QUERIES}
