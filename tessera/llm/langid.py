@@ -47,13 +47,27 @@ def codebook(k: int, seed: int = 0) -> np.ndarray:
     return np.array(max(tries, key=apart), np.float32)
 
 
+class _Buckets(dict):
+    """n-gram -> bucket, remembered; starts afresh when it has grown large."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > WORD_CACHE:
+            self.clear()
+        b = self[gram] = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+        return b
+
+
+_BUCKET_OF = _Buckets()
+
+
 def word_grams(word: str) -> list[int]:
     """Buckets of the 1- to 4-grams of a word with its ends, letters only; none without a letter."""
-    letters = "".join(filter(str.isalpha, word))
-    if not letters:
-        return []
-    w = f" {letters} "
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
+    if not word.isalpha():
+        word = "".join(filter(str.isalpha, word))
+        if not word:
+            return []
+    w, bucket = f" {word} ", _BUCKET_OF
+    return [bucket[w[i : i + n]] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
 
 
 class Identifier:
@@ -68,16 +82,24 @@ class Identifier:
         self.__init__(*state)
 
     def _fresh(self) -> None:
+        """Forget all words: known has a word's row in shares (sums over its n-grams, and their number)."""
         self.known: dict[str, int] = {}
-        self.shares: list[np.ndarray] = []
+        self.shares = np.zeros((1024, self.weights.shape[1] + 1))
 
-    def _row(self, word: str) -> int:
-        i = self.known.get(word)
-        if i is None:
-            i = self.known[word] = len(self.shares)
-            g = word_grams(word)
-            self.shares.append(np.append(self.weights[g].sum(0), np.float32(len(g))) if g else np.zeros(self.weights.shape[1] + 1, np.float32))
-        return i
+    def _learn(self, words: set[str]) -> None:
+        grams = [word_grams(w) for w in words]
+        size = np.array([len(g) for g in grams])
+        rows = np.zeros((len(grams), self.shares.shape[1]))
+        some = np.flatnonzero(size)
+        if len(some):
+            flat = self.weights[[b for g in grams for b in g]].astype(np.float64)
+            rows[some, :-1] = np.add.reduceat(flat, np.r_[0, np.cumsum(size[some])[:-1]], axis=0)
+        rows[:, -1] = size
+        at = len(self.known)
+        while at + len(rows) > len(self.shares):
+            self.shares = np.concatenate([self.shares, np.zeros_like(self.shares)])
+        self.shares[at : at + len(rows)] = rows
+        self.known.update(zip(words, range(at, at + len(rows)), strict=True))
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, score, ambiguous) of each row of margins."""
@@ -91,13 +113,14 @@ class Identifier:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         names, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         sums = np.zeros((len(texts), self.weights.shape[1] + 1))
+        if len(self.known) > WORD_CACHE:
+            self._fresh()
         for i, t in enumerate(texts):
-            ids = np.fromiter(map(self._row, WORDS((t or "").lower())), np.int64)
-            if len(ids):
-                at, n = np.unique(ids, return_counts=True)
-                sums[i] = n @ np.array([self.shares[j] for j in at.tolist()])
-            if len(self.shares) > WORD_CACHE:
-                self._fresh()
+            words = WORDS((t or "").lower())
+            if words:
+                if new := {w for w in words if w not in self.known}:
+                    self._learn(new)
+                sums[i] = self.shares[list(map(self.known.__getitem__, words))].sum(0)
         some = np.flatnonzero(sums[:, -1] > 0)
         if len(some):
             margins = sums[some, :-1] / sums[some, -1:] + self.bias
