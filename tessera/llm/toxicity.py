@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tessera.runtime import ship, table
 
-WINDOW, STRIDE, HIDDEN, FEATURES = 48, 24, 8, 4
+WINDOW, STRIDE, HIDDEN, FEATURES, BATCH = 48, 24, 8, 4, 256
 WORDS = re.compile(r"[^\W_]+").findall
 #: Distinct words that a worker remembers before it starts afresh.
 WORD_CACHE = 200_000
@@ -206,15 +206,20 @@ class Scorer:
         return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds: int = 10, seed: int = 0) -> Scorer | None:
-    """Train on labelled texts; share: the true share of toxic ones, if the sample's differs."""
+def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds: int = 10, steps: int = 180, seed: int = 0) -> Scorer | None:
+    """Train on labelled texts; share: the true share of toxic ones, if the sample's differs.
+
+    At least `rounds` rounds and about `steps` batches, so that a small sample is learned too.
+    """
     toxic = np.asarray(toxic, np.int64)
     docs = [WORDS((t or "").lower()) for t in texts]
     keep = [i for i, d in enumerate(docs) if d]
     docs, toxic = [docs[i] for i in keep], toxic[keep]
     if not 0 < toxic.sum() < len(toxic):
         return None
-    half = np.arange(len(docs)) % 2
+    half = np.zeros(len(docs), np.int64)
+    for y in (0, 1):  # both halves get as many of each class
+        half[toxic == y] = np.arange((toxic == y).sum()) % 2
     halves = [LogOdds([d for d, h in zip(docs, half, strict=True) if h != k], toxic[half != k]) for k in (0, 1)]
     cached: list[dict[str, int]] = [{}, {}]
     feats: list[list[tuple[float, ...]]] = [[(0.0,) * FEATURES]]
@@ -236,7 +241,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
     net, rng = Network(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
+    step, rounds = 0, max(rounds, steps * BATCH // (2 * len(docs)))
     # before the first round the strongest single word stands for a window
     now = np.concatenate([f[ids].max(axis=(1, 2)) for ids, _ in (cut(words, spans[lo : lo + 8192]) for lo in range(0, len(spans), 8192))])
     for turn in range(rounds):
@@ -244,8 +249,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
         top = order[np.r_[True, who[order][1:] != who[order][:-1]]]
         others = rng.permutation(np.flatnonzero(toxic[who] == 0))[: len(top)]
         pick = rng.permutation(np.concatenate([top, others]))
-        for lo in range(0, len(pick), 256):
-            at = pick[lo : lo + 256]
+        for lo in range(0, len(pick), BATCH):
+            at = pick[lo : lo + BATCH]
             ids, mask = cut(words, spans[at])
             g = net.gradients(f[ids], mask, toxic[who[at]], np.ones(len(at), np.float32))
             step += 1
