@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import settle, ship, table
@@ -55,6 +55,10 @@ class Tree:
                 self.leaves += 1
                 continue
             centres, label = self._kmeans(rows, most)
+            if len(centres) < 2:
+                self.leaf_of[at] = self.leaves
+                self.leaves += 1
+                continue
             kids = list(range(len(self.nodes), len(self.nodes) + len(centres)))
             self.nodes[at] = (centres, kids)
             self.nodes += [None] * len(kids)
@@ -63,7 +67,8 @@ class Tree:
         del self.rng
 
     def _kmeans(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        c = x[self.rng.choice(len(x), k, replace=False)]
+        u = np.unique(x, axis=0)
+        c = u[self.rng.choice(len(u), k, replace=False)]
         for _ in range(8):
             label = self._nearest(x, c)
             used = np.unique(label)
@@ -145,10 +150,10 @@ def _top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int)
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """Each query's k best of its partial results (at most k from each block it visits)."""
-    row = F.struct((-F.col("score")).alias("s"), "vec_id")
-    top = pairs.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(row)), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("i", "r")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "r.vec_id", (-F.col("r.s")).alias("score"))
+    """Each query's k best of its partial results; the limit also applies before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select("query_id", "rank", "vec_id", "score", *(c for c in pairs.columns if c not in ("query_id", "vec_id", "score")))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, target: float = TARGET, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -227,14 +232,14 @@ def _calibrate(spark: SparkSession, placed: DataFrame, tree: Tree, q: np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(s), pa.array(near), pa.array([at[i] for i in near.tolist()], pa.int32())], names=["query_id", "score", "vec_id", "leaf"])
 
     met = placed.mapInArrow(brute, "query_id bigint, score double, vec_id bigint, leaf int")
-    row = F.struct((-F.col("score")).alias("s"), "vec_id", "leaf")
-    true = met.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(row)), 1, k).alias("top")).collect()  # CALIBRATION rows of k
+    true: dict[int, list[int]] = {}
+    for r in _best(met, k).collect():  # CALIBRATION queries with k rows each
+        true.setdefault(r["query_id"], []).append(r["leaf"])
     need: list[int] = []
     by_id = {int(i): j for j, i in enumerate(qid)}
-    for r in true:
-        wanted = [t["leaf"] for t in r["top"]]
+    for query, wanted in true.items():
         met_rows, at = 0, {}
-        for leaf in tree.visit(_unit(q[by_id[r["query_id"]]][None])[0]):
+        for leaf in tree.visit(_unit(q[by_id[query]][None])[0]):
             met_rows += counts.get(leaf, 0)
             at.setdefault(leaf, met_rows)
             if all(w in at for w in wanted):
