@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.components import connected_components
-from tessera.runtime import partitions, settle, ship, table
+from tessera.runtime import partitions, settle, ship, small, table
 
 BITS, SMALL, GIANT = 64, 48, 32_768
 
@@ -194,8 +194,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, text: str = "text") -> DataFrame:
-    """docs with the document of the smallest doc_id of each group; one row of it, if that id repeats."""
-    groups = settle(near_groups(docs, words, radius, text).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    same = docs["doc_id"].eqNullSafe(groups["doc_id"])
-    kept = docs.join(groups, same, "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if groups.where("n > 1").take(1) else kept
+    """docs with the document of the smallest doc_id of each group; one row of it, if that id repeats.
+
+    The ids that go are fewer than those that stay: while they are counted to be few, the texts are not shuffled.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    fate = settle(near_groups(docs, words, radius, text).groupBy("doc_id").agg(F.sum(kept.cast("int")).alias("n")).where("n <> 1"), "fate")
+    gone = small(fate.where("n = 0").select(F.col("doc_id").alias("__gone")))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return out.dropDuplicates(["doc_id"]) if fate.where("n > 1").take(1) else out
