@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import partitions, settle, table
+from tessera.runtime import partitions, settle, small, table
 
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,6 +54,8 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, text:
     """(doc, tid, drops): 64-line word number -> bits of the lines to drop, where any are."""
     seen = settle(occurrences(docs, min_chars, text), "line-occurrences")
     first = seen.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    # written, so that beyond the broadcast's bound both sides are plain exchanges, whose hot keys AQE can split
+    first = small(settle(first, "line-keepers"))
     lost = seen.join(first, ["h1", "h2"]).where("doc <> keeper")
     words = lost.groupBy("doc", "tid", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc", "tid").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"))
