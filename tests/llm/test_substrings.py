@@ -66,7 +66,6 @@ def _all_grams(rows):
 
 def test_long_documents_and_chunks(docs, monkeypatch):
     r = random.Random(1)
-    monkeypatch.setattr(substrings, "PIECE", 1500)
     monkeypatch.setattr(substrings, "CHUNK", 3)
     monkeypatch.setattr(substrings, "BLOCK", 2000)
     monkeypatch.setattr(substrings, "BUCKET", 2000)
@@ -75,6 +74,19 @@ def test_long_documents_and_chunks(docs, monkeypatch):
     assert run(docs(rows)) == plain(rows)
 
 
+@pytest.mark.parametrize("size", [1499, 1500, 1501, 1860, 9000])
+def test_parts_of_a_long_document_give_the_same_anchors(monkeypatch, size):
+    import numpy as np
+    import pyarrow as pa
+
+    b = "".join(random.Random(size).choice("abc") for _ in range(size)).encode()
+    at, h, c, _ = substrings.anchors(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))
+    monkeypatch.setattr(substrings, "PIECE", 1500)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([7]), pa.array([b], pa.binary())], names=["doc", "tid", "text"])
+    got = [x for piece in substrings._pieces(iter([batch])) for x in zip(*(y.tolist() for y in substrings._found(piece)), strict=True)]
+    assert sorted((p, a, k) for a, k, _, _, p in got) == sorted(zip(at.tolist(), h.tolist(), c.tolist(), strict=True))
+
+
 def test_repeated_rows(docs):
     t = "".join(random.Random(2).choice("abcdef") for _ in range(400))
     rows = [(1, t), (1, t), (2, t), (None, t)]
