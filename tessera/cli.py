@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.misc import route
-from tessera.operators import chunk, community, evaluation, graph, inspection, lexical, local, models, summary
+from tessera.operators import chunk, community, dense, evaluation, fusion, graph, inspection, lexical, local, models, summary
+from tessera.runtime import settle
 from tessera.sources import artifacts, issues
 
 
@@ -48,6 +49,44 @@ def ask(index: dict, question: str, mode: str = "auto", top_k: int = 8) -> tuple
     return mode, local.context(g, q, local.search(g, q, top_k)).collect()
 
 
+def build_vectors(index: dict, settings: artifacts.Settings, path: str) -> dict[str, int]:
+    """Embed the index's units, entities and reports into a vector store; points of each kind."""
+    spark, provider, model = index["text_units"].sparkSession, settings.embedding_provider, settings.embedding_model
+    make = lambda: dense.make_embedder(provider, model)
+    docs = chunk.vector_documents(index["text_units"], index["entities"], index["community_reports"])
+    store = dense.VectorStore(spark, path, make().dim)
+    store.upsert(settle(dense.embed(docs, make).where("vector IS NOT NULL"), "embedded"))
+    return {r["kind"]: r["n"] for r in store.frame().groupBy("kind").agg(F.count("*").alias("n")).collect()}
+
+
+def retrievers(index: dict, settings: artifacts.Settings, vectors: str | None = None, top_k: int = 8) -> dict:
+    """Batch retrievers by mode; the dense ones need a vector store with text units at `vectors`."""
+    u, reports = index["text_units"], index["community_reports"]
+    bm25, graph_ = lexical.build_index(u), local.build(index["nodes"], index["edges"], reports, u)
+    glob = summary.context(reports, top_k).collect()
+
+    def global_(q):
+        found = glob[0] if glob else {"id": None, "text": None}
+        out = q.select("query_id", F.lit(1).alias("rank"), F.lit(found["id"]).cast("string").alias("id"), F.lit(found["text"]).cast("string").alias("text"))
+        return out if glob else out.limit(0)
+
+    modes = {
+        "naive": lambda q: lexical.results(lexical.search(bm25, q, top_k), u),
+        "local": lambda q: local.context(graph_, q, local.search(graph_, q, top_k)).withColumn("rank", F.lit(1)),
+        "global": global_,
+    }
+    if vectors is not None:
+        provider, model = settings.embedding_provider, settings.embedding_model
+        make = lambda: dense.make_embedder(provider, model)
+        frame = dense.VectorStore(u.sparkSession, vectors, make().dim).frame()
+        if not frame.where("kind = 'text_unit'").take(1):
+            raise ValueError("the vector store holds no text units")
+        near = lambda q, n: dense.vector_search(frame, q, make, n)
+        modes["vector"] = lambda q: dense.results(near(q, top_k), frame)
+        modes["hybrid"] = lambda q: lexical.results(fusion.hybrid(lambda x, n: lexical.search(bm25, x, n), near, q, top_k), u)
+    return modes
+
+
 def prompt_context(rows: list) -> str:
     return "\n\n".join(f"### {r['id']} | score={r['score']:.3f}\n\n{r['text']}" for r in rows)
 
@@ -72,6 +111,8 @@ def main(argv: list[str] | None = None) -> None:
     c = sub.add_parser("evaluate")
     c.add_argument("cases")
     c.add_argument("--out", default="eval")
+    c.add_argument("--vectors", action="store_true")
+    sub.add_parser("build-vectors")
     a = p.parse_args(argv)
     spark, s = SparkSession.builder.appName("tessera").getOrCreate(), artifacts.load_settings()
     home = f"{s.processed_data_dir}/index"
@@ -103,17 +144,16 @@ def main(argv: list[str] | None = None) -> None:
                     f.show(truncate=False)
         elif a.command == "relations":
             inspection.relations_labelled(index["edges"], a.label).show(50, truncate=False)
+        elif a.command == "build-vectors":
+            print(json.dumps(build_vectors(index, s, s.vector_dir)))
         elif a.command == "regenerate-reports":
             models.reports(index["nodes"], index["edges"], client_factory(s), regenerate=True).write.mode("overwrite").parquet(f"{home}/community_reports_new")
         else:
-            cases, u = evaluation.load_cases(spark, a.cases), index["text_units"]
+            cases = evaluation.load_cases(spark, a.cases)
             began = evaluation.time.perf_counter()
-            bm25 = lexical.build_index(u)
-            setup = {"bm25_index": (evaluation.time.perf_counter() - began) * 1000}
-            g = local.build(index["nodes"], index["edges"], index["community_reports"], u)
-            glob = summary.context(index["community_reports"])
-            run = {"naive": lambda q: lexical.results(lexical.search(bm25, q), u), "local": lambda q: local.context(g, q, local.search(g, q)).withColumn("rank", F.lit(1)), "global": lambda q: q.select("query_id").join(F.broadcast(glob.withColumn("rank", F.lit(1)))) if glob.take(1) else q.select("query_id", F.lit("").alias("id"), F.lit("").alias("text"), F.lit(1).alias("rank")).limit(0)}
-            rows = evaluation.sweep(cases, run, u, index["community_reports"], index["nodes"])
+            run = retrievers(index, s, s.vector_dir if a.vectors else None)
+            setup = {"retrievers": (evaluation.time.perf_counter() - began) * 1000}
+            rows = evaluation.sweep(cases, run, index["text_units"], index["community_reports"], index["nodes"])
             artifacts.write_metrics_csv(rows, f"{a.out}/results_csv")
             Path(a.out).mkdir(parents=True, exist_ok=True)
             Path(f"{a.out}/results.md").write_text(artifacts.metrics_markdown(rows, evaluation.summarize(rows), setup, {"cases": a.cases, "top_k": 8}), encoding="utf-8")

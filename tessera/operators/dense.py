@@ -168,3 +168,19 @@ def vector_search(vectors: DataFrame, queries: DataFrame, make, top_k: int = 8)
     """(query_id, rank, id, score) of text units for (query_id, question); blank questions find nothing."""
     asked = embed(queries.where(F.btrim(F.coalesce("question", F.lit(""))) != ""), make, "question").select("query_id", "vector")
     return nearest(vectors, asked, top_k, "text_unit").withColumnRenamed("source_id", "id")
+
+
+def results(hits: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Hits with text and metadata for a prompt."""
+    v = vectors.where("kind = 'text_unit'").select(F.col("source_id").alias("id"), F.substring("text", 1, 1600).alias("t"), "metadata")
+    text = F.concat(F.lit("["), F.col("id"), F.lit("] "), F.col("t"))
+    meta = F.struct(F.get_json_object("metadata", "$.document_id").alias("document_id"), F.lit("vector").alias("retriever"))
+    return hits.join(v, "id").select("query_id", "rank", "id", "score", text.alias("text"), meta.alias("metadata"))
+
+
+def make_embedder(provider: str, model: str = "all-MiniLM-L6-v2") -> Embedder:
+    if provider == "mock":
+        return HashingEmbedder()
+    if provider == "sentence-transformers":
+        return SentenceEmbedder(model)
+    raise ValueError(f"no such embedding provider: {provider}")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import cli
-from tessera.operators import community, graph, inspection, local, models, summary
+from tessera.operators import community, evaluation, graph, inspection, local, models, summary
 from tessera.operators.components import connected_components
 from tessera.sources import artifacts, issues, schemas
 
@@ -161,6 +161,27 @@ def test_index_round_trip(spark, tmp_path):
     assert cli.prompt_context([{"id": "a", "score": 1.0, "text": "t"}]) == "### a | score=1.000\n\nt"
 
 
+def test_sweep_over_all_modes(spark, tmp_path):
+    n, e = small_graph(spark)
+    n = community.attach(n, community.detect(n, e))
+    units = spark.createDataFrame([("1", "d1", "kafka link text", 0, "Kafka", "doc", None, None, 0), ("9", "d9", "none of it", 0, "None", "doc", None, None, 1)], schemas.TEXT_UNITS)
+    reports = spark.createDataFrame([("0", "Kafka", "kafka sums", ["a", "b"], ["1"], 2.0, 0)], schemas.REPORTS)
+    entities = spark.createDataFrame([("a", "T", "about a", ["1"], 0)], schemas.ENTITIES)
+    index = {"text_units": units, "entities": entities, "nodes": n, "edges": e, "community_reports": reports}
+    s = artifacts.Settings()
+    assert cli.build_vectors(index, s, str(tmp_path / "v")) == {"text_unit": 2, "entity": 1, "community_report": 1}
+    (tmp_path / "cases.json").write_text(json.dumps([{"id": "q", "category": "global_theme", "question": "kafka link", "expected_entities": ["Kafka"], "expected_source_documents": ["d1"], "expected_community_entities": ["a"]}]))
+    rows = evaluation.sweep(evaluation.load_cases(spark, str(tmp_path / "cases.json")), cli.retrievers(index, s, str(tmp_path / "v")), units, reports, n)
+    got = {r["mode"]: r for r in rows.collect()}
+    assert set(got) == {"naive", "local", "global", "vector", "hybrid"}
+    assert all(r["entity_recall"] == 1.0 and r["source_recall_at_k"] == 1.0 for r in got.values())
+    assert got["global"]["source_mrr"] is None and got["naive"]["source_mrr"] == 1.0 and got["naive"]["community_recall"] is None
+    text = artifacts.metrics_markdown(rows.drop("missing_entities"), evaluation.summarize(rows), {"x": 1.0}, {"top_k": 8})
+    assert "n/a" in text and "| hybrid |" in text
+    artifacts.write_metrics_csv(rows, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 5
+
+
 def test_graph_files(spark, tmp_path):
     n, e = small_graph(spark)
     n = n.withColumn("community_id", F.lit(0))
