@@ -92,3 +92,34 @@ def test_edges(docs):
     assert got == sorted([(3, 1), (1, 1), (1, 1), (2, 2), (4, 2), (None, None)], key=str)
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one(d).collect()) == ["1", "2", "None"]
     assert simhash.near_groups(docs([])).count() == 0
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_reaches_a_similarity_of_four_fifths(docs, rng):
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 300))]
+        texts.append(base)
+        for changes in (1, 2, 3, 4, 5, 6, 8, 10, 12):
+            copy = list(base)
+            for i in rng.sample(range(len(copy)), changes):
+                copy[i] = f"x{rng.randrange(5000)}"
+            texts.append(copy)
+    texts = [" ".join(x) for x in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if a // 10 == b // 10 and jaccard(texts[a], texts[b]) >= 0.8:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted({find(x) for x in range(len(texts))})
+    got = sorted(r["doc_id"] for r in simhash.keep_one(docs(list(enumerate(texts)))).collect())
+    assert got == want and 12 < len(want) < len(texts) - 12
+    roots = simhash.similar_roots([simhash.shingle_set(t) for t in texts], 0.8)
+    assert roots.tolist() == [find(x) for x in range(len(texts))]
