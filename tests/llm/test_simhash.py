@@ -123,3 +123,12 @@ def test_keep_one_reaches_a_similarity_of_four_fifths(docs, rng):
     assert got == want and 12 < len(want) < len(texts) - 12
     roots = simhash.similar_roots([simhash.shingle_set(t) for t in texts], 0.8)
     assert roots.tolist() == [find(x) for x in range(len(texts))]
+
+
+def test_keep_one_tells_rows_of_one_id_apart(docs):
+    a, b, c = ("first of the clean texts that nobody copied", "second text, of other words than those before it", "third one, about nothing that the others say")
+    kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(rows)).collect()), key=str)
+    assert kept([(None, a), (None, b), (None, c)]) == sorted([(None, a), (None, b), (None, c)], key=str)
+    assert kept([(7, a), (7, b)]) == sorted([(7, a), (7, b)], key=str)
+    assert kept([(7, a), (7, c), (3, c)]) == [(3, c), (7, a)]
+    assert kept([(7, a), (7, a), (8, b)]) == [(7, a), (8, b)]
