@@ -7,7 +7,8 @@ Native: DataFrame functions alone. A turn is rendered as
 and a conversation as its turns in order. The rendered text is parsed again by the
 same grammar: cut at "<|im_end|>" and newline, strip "<|im_start|>", cut the role at
 the first newline, undo the escape. If the recovered turns differ from the source
-(a text holds a control string, or something that looks escaped), the content is
+(a text looks escaped), or a text or role holds a control string, which would read as
+a turn of its own wherever the strings are tokens, the content of the conversation is
 escaped and rendered anew: one backslash goes into each "<", backslashes, "|", so no
 control string is left, and undoing it takes one backslash out. The escaped form is
 parsed and compared too; a conversation that still differed would fail the query
@@ -61,7 +62,8 @@ def parse(formatted: str) -> str:
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, turns as read back, formatted, escaped) of each conversation."""
     plain = gather(turns).withColumn("formatted", F.expr(_render(False))).withColumn("back", F.expr(parse("formatted")))
-    tried = plain.withColumn("escaped", ~F.col("back").eqNullSafe(F.col("turns")))
+    forged = F.exists("turns", lambda x: F.greatest(*(F.contains(x[c], F.lit(s)) for c in ("role", "text") for s in (START, END))))
+    tried = plain.withColumn("escaped", forged | ~F.col("back").eqNullSafe(F.col("turns")))
     again = tried.withColumn("formatted", F.when(F.col("escaped"), F.expr(_render(True))).otherwise(F.col("formatted")))
     read = again.withColumn("back", F.when(F.col("escaped"), F.expr(parse("formatted"))).otherwise(F.col("back")))
     same = F.when(F.col("back").eqNullSafe(F.col("turns")), F.col("back")).otherwise(F.raise_error(F.lit("a conversation did not survive the round trip")))
