@@ -44,16 +44,17 @@ NAMES = {
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 FORM = "|".join(MALE_FORMS + FEMALE_FORMS)
+IP = rf"(?<![\p{{L}}\p{{N}}.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[\p{{L}}\p{{N}}])"
 WORD = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}" + RIGHT,
     "name": rf"{LEFT}(?:{FORM})\.? {WORD}(?: {WORD}){{0,2}}{RIGHT}",
-    "ip": rf"(?<![\p{{L}}\p{{N}}.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[\p{{L}}\p{{N}}])",
+    "ip": IP,
     "secret": rf"{LEFT}(?:[A-Fa-f0-9]{{32,128}}|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|AIza)[A-Za-z0-9_-]{{16,100}}){RIGHT}",
     "iban": rf"{LEFT}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{RIGHT}",
     "card": rf"{LEFT}(?:\d{{13,19}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}){RIGHT}",
     "ssn": rf"{LEFT}\d{{3}}-\d{{2}}-\d{{4}}{RIGHT}",
-    "phone": rf"(?:(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?\d{{2,4}}){{2,4}}|(?<![\p{{L}}\p{{N}}+])\(?\d{{3}}\)?[ .-]\d{{3}}[ .-]\d{{4}}){RIGHT}",
+    "phone": rf"(?:(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?(?!{IP})\d{{2,4}}){{2,4}}|(?<![\p{{L}}\p{{N}}+])\(?\d{{3}}\)?[ .-]\d{{3}}[ .-]\d{{4}}){RIGHT}",
 }
 ANY = "|".join(PATTERNS.values())
 

@@ -73,3 +73,11 @@ def test_query_leaves_no_entity(spark):
         assert not any(x in r["text"] for x in found)
         if not found:
             assert r["text"] == source[r["doc_id"]]
+
+
+def test_ip_after_a_phone_number(docs):
+    d = docs([(1, "+1 (826) 555-4081 190.137.2.3"), (2, "190.137.2.3, +1 (826) 555-4081"), (3, "826 555 4081 190.137.2.3 +33 1 42 68 53 00")])
+    r = run(d)
+    phone, ip = re.fullmatch(r"(\+1 \(\d{3}\) \d{3}-\d{4}) (\S+)", r[1]["text"]).groups()
+    assert r[2]["text"] == f"{ip}, {phone}" and ip != "190.137.2.3" and r[1]["entity_kinds"] == "ip=1,phone=1"
+    assert r[3]["entity_kinds"] == "ip=1,phone=2" and r[3]["text"].split()[3] == ip
