@@ -110,7 +110,9 @@ def test_local_search(spark):
     g = local.build(n, e, reports, units)
     res = local.search(g, q)
     assert [(r["u"], r["v"]) for r in res.edges.collect()] == [("a", "b")]
-    assert [r["id"] for r in res.sources.collect()] == ["1"] and [r["id"] for r in res.reports.collect()] == []
+    assert [r["id"] for r in res.sources.collect()] == ["1"]
+    found = {r["id"]: r["score"] for r in res.reports.collect()}
+    assert found == {"0": pytest.approx(6 / 7**0.5 + 0.8)}  # six of the seven expanded tokens, two selected nodes
     text = {r["query_id"]: r["text"] for r in local.context(g, q, res).collect()}
     assert "- a -- ['x'] -- b; score=" in text["q"] and "[1] Kafka | score=" in text["q"]
     assert text["none"].count("(none)") == 4
@@ -164,12 +166,12 @@ def test_index_round_trip(spark, tmp_path):
 def test_sweep_over_all_modes(spark, tmp_path):
     n, e = small_graph(spark)
     n = community.attach(n, community.detect(n, e))
-    units = spark.createDataFrame([("1", "d1", "kafka link text", 0, "Kafka", "doc", None, None, 0), ("9", "d9", "none of it", 0, "None", "doc", None, None, 1)], schemas.TEXT_UNITS)
+    units = spark.createDataFrame([("1", "d1", "kafka link text", 0, "Kafka", "doc", None, None, 0), *((str(i), f"d{i}", "none of it", 0, "None", "doc", None, None, i) for i in (7, 8, 9))], schemas.TEXT_UNITS)
     reports = spark.createDataFrame([("0", "Kafka", "kafka sums", ["a", "b"], ["1"], 2.0, 0)], schemas.REPORTS)
     entities = spark.createDataFrame([("a", "T", "about a", ["1"], 0)], schemas.ENTITIES)
     index = {"text_units": units, "entities": entities, "nodes": n, "edges": e, "community_reports": reports}
     s = artifacts.Settings()
-    assert cli.build_vectors(index, s, str(tmp_path / "v")) == {"text_unit": 2, "entity": 1, "community_report": 1}
+    assert cli.build_vectors(index, s, str(tmp_path / "v")) == {"text_unit": 4, "entity": 1, "community_report": 1}
     (tmp_path / "cases.json").write_text(json.dumps([{"id": "q", "category": "global_theme", "question": "kafka link", "expected_entities": ["Kafka"], "expected_source_documents": ["d1"], "expected_community_entities": ["a"]}]))
     rows = evaluation.sweep(evaluation.load_cases(spark, str(tmp_path / "cases.json")), cli.retrievers(index, s, str(tmp_path / "v")), units, reports, n)
     got = {r["mode"]: r for r in rows.collect()}
