@@ -2,23 +2,31 @@
 
 Native: DataFrame functions alone. A line's key is the line without ASCII white
 space at its ends, A-Z lower-cased; two independent 64-bit hashes stand for it.
-Occurrences (hash, document, position) are range-partitioned and sorted by hash,
-document (largest first) and position, and written so once. A hash that fills a
-third of all rows is spread over several ranges, as the document is part of the
-range key, and each range streams its occurrences into one partial row a hash.
-What comes back to the documents is a sparse bitmap of the lines to drop, 64 lines
-a word, never text.
+
+1. Documents are read once: occurrences (hash, document, 64-line word, bits) are
+   written, so that the bounds of the ranges are sampled from numbers, not from text.
+2. They are range-partitioned by hash and document and sorted by hash, document
+   (largest first) and position. A hash that fills a third of all rows is spread over
+   several ranges, as the document is part of the range key. Each sorted range streams
+   its rows once: the first occurrence of a line in a document is flagged, on the
+   partitioning and order that are there, with no further shuffle.
+3. First occurrences alone are counted; their partial counts combine within a range,
+   so a very frequent line leaves one row a range. Lines in enough documents keep
+   their first document in that order, the largest.
+4. What comes back to the documents is a sparse bitmap of the lines to drop, 64 lines
+   a word, never text.
 
 Defined results: null or empty text is one empty line. Rows that share a doc_id
 count as one document for the frequency and keep or lose lines alike; rows that
-share it with other text are told apart by a hash of the text. Null doc_ids count as one
-document each text, below every number. Extra columns pass through; columns named
-like the outputs are replaced. An empty table gives an empty result.
+share it with other text are told apart by a hash of the text. A null doc_id is a
+document of its own for each different text, below every number; rows of null doc_id
+and equal text count once. Extra columns pass through; columns named like the outputs
+are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import partitions, settle, small, table
@@ -37,28 +45,38 @@ def line_key(line: Column) -> Column:
 
 
 def _identified(docs: DataFrame, text: str) -> DataFrame:
-    lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
-    return docs.withColumn("__lines", lines).withColumn("__doc", F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).withColumn("__tid", F.xxhash64(F.col(f"`{text}`")))
+    """docs plus __lines, __tid (hash of the text) and what tells documents apart, largest first: __none, then __back."""
+    t = F.col(f"`{text}`")
+    lines = F.split(F.coalesce(t, F.lit("")), "\n", -1)
+    back = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(t)))  # falls as doc_id rises, without overflow
+    return docs.withColumn("__lines", lines).withColumn("__tid", F.xxhash64(t)).withColumn("__none", F.col("doc_id").isNull().cast("int")).withColumn("__back", back)
 
 
 def occurrences(docs: DataFrame, min_chars: int = 40, text: str = "text") -> DataFrame:
-    """(h1, h2, doc, tid, pos) of each line with a key of min_chars code points or more."""
-    at = _identified(docs, text).select("__doc", "__tid", F.posexplode("__lines").alias("pos", "line"))
+    """(h1, h2, none, back, tid, pos) of each line with a key of min_chars code points or more."""
+    at = _identified(docs, text).select("__none", "__back", "__tid", F.posexplode("__lines").alias("pos", "line"))
     at = at.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    hashed = at.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"), F.col("__doc").alias("doc"), F.col("__tid").alias("tid"), "pos")
-    order = ["h1", "h2", F.desc("doc"), "tid", "pos"]
-    return hashed.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return at.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"), F.col("__none").alias("none"), F.col("__back").alias("back"), F.col("__tid").alias("tid"), "pos")
+
+
+def streamed(seen: DataFrame) -> DataFrame:
+    """seen in sorted ranges of hash and document, plus first: whether the line is met in this document for the first time."""
+    ranges = seen.repartitionByRange(partitions(seen.sparkSession), "h1", "h2", "none", "back")
+    in_document = Window.partitionBy("h1", "h2", "none", "back").orderBy("tid", "pos")
+    return ranges.withColumn("first", F.row_number().over(in_document) == 1)
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, text: str = "text") -> DataFrame:
-    """(doc, tid, drops): 64-line word number -> bits of the lines to drop, where any are."""
-    seen = settle(occurrences(docs, min_chars, text), "line-occurrences")
-    first = seen.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    """(none, back, tid, drops): 64-line word number -> bits of the lines to drop, where any are."""
+    seen = settle(streamed(settle(occurrences(docs, min_chars, text), "line-hashes")), "line-occurrences")
+    least = lambda none: F.min(F.when(F.col("none") == none, F.col("back")))
+    first = seen.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), least(0).alias("numbered"), least(1).alias("nameless"))
+    first = first.where(F.col("n") >= min_docs).select("h1", "h2", F.col("numbered").isNull().cast("int").alias("kn"), F.coalesce("numbered", "nameless").alias("kb"))
     # written, so that beyond the broadcast's bound both sides are plain exchanges, whose hot keys AQE can split
     first = small(settle(first, "line-keepers"))
-    lost = seen.join(first, ["h1", "h2"]).where("doc <> keeper")
-    words = lost.groupBy("doc", "tid", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return words.groupBy("doc", "tid").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"))
+    lost = seen.join(first, ["h1", "h2"]).where("none <> kn OR back <> kb")
+    words = lost.groupBy("none", "back", "tid", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    return words.groupBy("none", "back", "tid").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, text: str = "text") -> DataFrame:
@@ -71,7 +89,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, text: s
     new = ("n_lines", "n_dropped", "keep_bitmap")
     kept = [c for c in docs.columns if c not in new]
     d = _identified(docs.select(*(F.col(f"`{c}`") for c in kept)), text)
-    d = d.join(drops, (d["__doc"] == drops["doc"]) & d["__tid"].eqNullSafe(drops["tid"]), "left").drop("doc", "tid")
+    d = d.join(drops, (d["__none"] == drops["none"]) & (d["__back"] == drops["back"]) & (d["__tid"] == drops["tid"]), "left")
     n = F.size("__lines").cast("long")
     dense = F.expr("transform(sequence(0, (size(__lines) - 1) div 64), w -> coalesce(try_element_at(drops, int(w)), 0L))")
     d = d.withColumn("__words", F.when(F.col("drops").isNotNull(), dense))
