@@ -21,8 +21,9 @@ rows of their own with that id; null doc_ids are never a component_id unless a
 component has no other. An empty table gives no rows.
 
 keep_one, the pipeline's stage, is a rule of its own: sets of five-word shingles of a
-Jaccard similarity of 0.8 or more link, found by bands of minimum hashes (two bits of
-a fingerprint only reach texts that are nearly the same) and then compared exactly.
+Jaccard similarity of 0.8 or more link. Such pairs differ in about 10 of 64 bits, for
+which a covering code would need 2^11 tables, so the candidates come from bands of
+minimum hashes instead, and are then compared exactly.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ from tessera.runtime import partitions, settle, ship, small, table
 BITS, SMALL, GIANT = 64, 48, 32_768
 #: Minimum hashes of similar_groups: at similarity 0.8, all bands miss a pair 7 times in 100,000 (0.672 ^ 24).
 BANDS, ROWS = 24, 5
+#: Shingles of a block of sets that a task holds two of.
+BLOCK_GRAMS = 2_000_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -253,30 +256,66 @@ def marks(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
 
 
 def met(marked: DataFrame) -> DataFrame:
-    """(u, v): each set that shares a key with others, linked to the smallest of them."""
+    """(key, fp, pivot): the sets that share a key with others, each with the smallest of its key or of its range's part of it.
+
+    Keys are spread over sorted ranges together with the sets, so one that very many sets share is dealt over
+    several tasks, which stream it. The first and last key of a range may go on in the next one: their smallest
+    sets are told with fp = pivot, and then linked to the smallest of all.
+    """
     rows = marked.select(F.explode("keys").alias("key"), "fp")
-    rows = rows.repartition(partitions(marked.sparkSession), "key").sortWithinPartitions("key", "fp")
+    rows = rows.repartitionByRange(partitions(marked.sparkSession), "key", "fp").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, head = None, 0  # the key that may go on in the next batch, and its smallest set
+        at, head, last, begun = 0, 0, 0, False  # the key that may go on in the next batch, its smallest and its latest set
+
+        def out(key, fp, pivot) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (key, fp, pivot)], names=["key", "fp", "pivot"])
+
         for b in batches:
             if not b.num_rows:
                 continue
             key, fp = (b.column(i).to_numpy() for i in range(2))
-            new = np.concatenate([[key[0] != at], key[1:] != key[:-1]])
+            new = np.concatenate([[not begun or key[0] != at], key[1:] != key[:-1]])
+            again = np.concatenate([[not new[0] and fp[0] == last], ~new[1:] & (fp[1:] == fp[:-1])])
+            if not begun:
+                yield out(key[:1], fp[:1], fp[:1])
             first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            v = np.where(first < 0, head, fp[first])
-            at, head = key[-1], v[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[fp != v]), pa.array(v[fp != v])], names=["u", "v"])
+            pivot = np.where(first < 0, head, fp[first])
+            own = ~new & ~again
+            yield out(key[own], fp[own], pivot[own])
+            at, head, last, begun = key[-1], pivot[-1], fp[-1], True
+        if begun:
+            yield out([at], [head], [head])
+
+    ship(marked.sparkSession)
+    held = settle(rows.mapInArrow(run, "key bigint, fp bigint, pivot bigint"), "bands")
+    heads = held.where("fp = pivot").groupBy("key").agg(F.min("pivot").alias("head"))  # two rows a range at most
+    over = held.where("fp = pivot").join(heads, "key").where("fp <> head").select("key", "fp", F.col("head").alias("pivot"))
+    return held.where("fp <> pivot").unionByName(over)
+
+
+def shingle_table(docs: DataFrame, asked: DataFrame, words: int, text: str) -> DataFrame:
+    """(fp, grams): the shingle set of each asked row (fp, __d, __t), read from its text."""
+    t = F.col(f"`{text}`")
+    d = docs.select("doc_id", F.xxhash64(t).alias("tid"), t.alias("text"))
+    texts = d.join(small(asked), d["doc_id"].eqNullSafe(asked["__d"]) & (d["tid"] == asked["__t"])).select("fp", "text").dropDuplicates(["fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                grams = [shingle_set(x.as_py(), words).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["fp", "grams"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint").distinct()
+    return settle(texts.mapInArrow(run, "fp bigint, grams array<bigint>"), "shingle-sets")
 
 
-def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def similar_roots(sets: list[np.ndarray], similarity: float, label: np.ndarray | None = None, block: np.ndarray | None = None) -> np.ndarray:
     """The smallest index linked to each set, where sets of that Jaccard similarity or more link.
 
-    Common shingles are counted along an inverted index. The set with the most of them goes first; what
-    joins its component by then need not be asked, as each link that is left has an end outside of it.
+    label: sets known to be linked share one. block: if given, sets of one block are not compared with each other.
+    Common shingles are counted along an inverted index. What is in the component of the most frequent label
+    need not be asked, as each link that is left has an end outside of it.
     """
     n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
@@ -284,7 +323,7 @@ def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     count = np.bincount(code)
     start = np.concatenate([[0], np.cumsum(count)])
     at = np.concatenate([[0], np.cumsum(sizes)])
-    up = np.arange(n)
+    up = np.arange(n) if label is None else np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
 
     def find(x: int) -> int:
         while up[x] != x:
@@ -292,41 +331,76 @@ def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
             x = up[x]
         return x
 
+    hub = int(np.bincount(up, minlength=n).argmax())
     order = np.argsort([-int(count[code[at[x] : at[x + 1]]].sum()) for x in range(n)], kind="stable").tolist()
+    if up[hub] == hub and (up == hub).sum() == 1:
+        hub = order[0]
     for x in order:
-        if x != order[0] and find(x) == find(order[0]):
+        if x != hub and find(x) == find(hub):
             continue
-        common = np.zeros(n, np.int64)
-        for c in code[at[x] : at[x + 1]].tolist():
-            common[owner[start[c] : start[c + 1]]] += 1
-        for y in np.flatnonzero(common * (1 + similarity) >= similarity * (sizes[x] + sizes) - 1e-9).tolist():
+        own = code[at[x] : at[x + 1]]
+        met_ = np.repeat(start[own] - np.concatenate([[0], np.cumsum(count[own])[:-1]]), count[own]) + np.arange(count[own].sum())
+        common = np.bincount(owner[met_], minlength=n)
+        if block is not None:
+            common[block == block[x]] = 0
+        for y in np.flatnonzero((common > 0) & (common * (1 + similarity) >= similarity * (sizes[x] + sizes) - 1e-9)).tolist():
             a, b = find(x), find(y)
             up[max(a, b)] = min(a, b)
     return np.array([find(x) for x in range(n)])
 
 
+def unsettled(held: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between sets of one key whose labels differ still.
+
+    Only keys that hold several labels are looked at. Their connected parts are cut into blocks of about
+    BLOCK_GRAMS shingles, and each pair of blocks is a task of its own, which compares its sets exactly.
+    """
+    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("component").alias(name))
+    told = held.join(of("fp", "a"), "fp", "left").join(of("pivot", "b"), "pivot", "left").select("key", "fp", "pivot", F.coalesce("a", "fp").alias("a"), F.coalesce("b", "pivot").alias("b"))
+    told = settle(told, "labelled-bands")
+    part = told.join(told.where("a <> b").select("key").distinct(), "key", "left_semi")
+    whose = part.select("fp", F.col("a").alias("label")).union(part.select("pivot", "b")).distinct()
+    groups = connected_components(part.select("fp", "pivot"), "fp", "pivot")
+    rows = whose.join(groups, whose["fp"] == groups["node"]).select("component", "fp", "label").join(sets, "fp")
+    rows = settle(rows, "unsettled")
+    blocks = rows.groupBy("component").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_GRAMS).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("fp"), F.greatest("blocks", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "label", "block", "grams")
+
+    def solve(rows_: pa.Table) -> pa.Table:
+        fps, label, block, i, j = (rows_[c].to_numpy() for c in ("fp", "label", "block", "i", "j"))
+        order = np.argsort(fps)
+        grams = [np.asarray(rows_["grams"][int(x)].values) for x in order]
+        fps = fps[order]
+        roots = similar_roots(grams, similarity, label[order], block[order] if i[0] != j[0] else None)
+        return pa.table({"u": pa.array(fps), "v": pa.array(fps[roots])})
+
+    return settle(dealt.groupBy("component", "i", "j").applyInArrow(solve, "u bigint, v bigint").where("u <> v"), "similar")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(doc_id, tid, keep_id, keep_tid): a row for each document, with the row that stands for its group.
 
-    Equal sets collapse first. Sets that share a band of minimum hashes are candidates; each connected
-    part of them is one group task, which compares its sets exactly.
+    Equal sets collapse first. Sets that share a band of minimum hashes are candidates. Each is compared with the
+    smallest set of its bands, which settles most; bands that hold several components after that are compared in
+    blocks. So a group of any size is spread over tasks, and no link between candidates is lost.
     """
     marked = settle(marks(docs, words, text), "shingles")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid"))
     distinct = settle(marked.groupBy("fp").agg(least.alias("least")), "shingles-distinct")
-    parts = settle(connected_components(met(marked)), "candidates")
-    asked = small(settle(distinct.join(parts, distinct["fp"] == parts["node"]).select(F.col("least.doc_id").alias("__d"), F.col("least.tid").alias("__t"), "fp", "component"), "candidate-rows"))
-    d = docs.select("doc_id", F.xxhash64(F.col(f"`{text}`")).alias("tid"), F.col(f"`{text}`").alias("text"))
-    texts = d.join(asked, d["doc_id"].eqNullSafe(asked["__d"]) & (d["tid"] == asked["__t"])).select("component", "fp", "text")
-
-    def solve(rows: pa.Table) -> pa.Table:
-        fps, first = np.unique(rows["fp"].to_numpy(), return_index=True)
-        roots = similar_roots([shingle_set(rows["text"][int(i)].as_py(), words) for i in first], similarity)
-        return pa.table({"node": pa.array(fps), "root": pa.array(fps[roots])})
-
-    ship(docs.sparkSession)
-    linked = settle(texts.groupBy("component").applyInArrow(solve, "node bigint, root bigint").where("node <> root"), "similar")
-    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    held = settle(met(marked), "candidates")
+    pairs = held.select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
+    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    asked = settle(distinct.join(asked, "fp").select("fp", F.col("least.doc_id").alias("__d"), F.col("least.tid").alias("__t")), "candidate-rows")
+    sets = shingle_table(docs, asked, words, text)
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
+    alike = F.size(F.array_intersect("a", "b")) * (1 + similarity) >= F.lit(similarity) * (F.size("a") + F.size("b")) - 1e-9
+    linked = settle(both.where(alike).select("u", "v"), "alike")
+    labels = connected_components(linked)
+    more = unsettled(held, sets, labels, similarity)
+    parts = connected_components(linked.union(more)) if more.take(1) else labels
+    rooted = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     keep = rooted.groupBy("root").agg(F.min("least").alias("keep"))
     named = rooted.select("fp", "root").join(keep, "root").select("fp", F.col("keep.doc_id").alias("keep_id"), F.col("keep.tid").alias("keep_tid"))
     return marked.join(named, "fp").select("doc_id", "tid", "keep_id", "keep_tid")
@@ -335,13 +409,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """docs with one row of each group of similar texts: the smallest by (doc_id, hash of text), null ids last.
 
-    Rows are told apart by both, so rows that only share an id, or have none, do not stand for each other.
-    The rows that go are fewer than those that stay: while they are counted to be few, the texts are not shuffled.
+    Rows are told apart by both, so rows that only share an id, or have none, do not stand for each other; of
+    repeated rows that share both, one stays. What goes or repeats is less than what stays: while it is counted
+    to be little, the texts are not shuffled.
     """
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("tid") == F.col("keep_tid"))
     fate = similar_groups(docs, words, similarity, text).groupBy("doc_id", "tid").agg(F.sum(kept.cast("int")).alias("n"))
-    fate = settle(fate.where("n <> 1"), "fate")
-    gone = small(fate.where("n = 0").select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t")))
+    fate = settle(fate.where("n <> 1").select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t"), "n"), "fate")
+    odd, twice = small(fate), small(fate.where("n > 1"))
     d = docs.withColumn("__tid", F.xxhash64(F.col(f"`{text}`")))
-    out = d.join(gone, d["doc_id"].eqNullSafe(gone["__d"]) & (d["__tid"] == gone["__t"]), "left_anti")
-    return (out.dropDuplicates(["doc_id", "__tid"]) if fate.where("n > 1").take(1) else out).drop("__tid")
+    same = lambda other: d["doc_id"].eqNullSafe(other["__d"]) & (d["__tid"] == other["__t"])
+    once = d.join(odd, same(odd), "left_anti")
+    return once.unionByName(d.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__tid"])).drop("__tid")

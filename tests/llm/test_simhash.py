@@ -99,7 +99,9 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_keep_one_reaches_a_similarity_of_four_fifths(docs, rng):
+@pytest.mark.parametrize("grams", [2_000_000, 900])
+def test_keep_one_reaches_a_similarity_of_four_fifths(docs, rng, monkeypatch, grams):
+    monkeypatch.setattr(simhash, "BLOCK_GRAMS", grams)
     texts = []
     for _ in range(12):
         base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 300))]
@@ -125,6 +127,75 @@ def test_keep_one_reaches_a_similarity_of_four_fifths(docs, rng):
     assert roots.tolist() == [find(x) for x in range(len(texts))]
 
 
+def test_roots_with_labels_and_blocks(rng):
+    import numpy as np
+
+    sets = [np.unique(np.array([rng.randrange(40) + 100 * (i % 3) for _ in range(30)], np.int64)) for i in range(60)]
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.4
+    up = list(range(60))
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for a, b in itertools.combinations(range(60), 2):
+        if like(sets[a], sets[b]):
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    want = [find(x) for x in range(60)]
+    assert 1 < len(set(want)) < 60 and simhash.similar_roots(sets, 0.4).tolist() == want
+    half = np.array([w if i % 2 else 1000 + i for i, w in enumerate(want)])  # some links are known
+    assert simhash.similar_roots(sets, 0.4, half).tolist() == want
+    block, links = np.array([rng.randrange(3) for _ in range(60)]), set()
+    for i, j in itertools.combinations_with_replacement(range(3), 2):
+        at = np.flatnonzero((block == i) | (block == j))
+        roots = simhash.similar_roots([sets[x] for x in at], 0.4, None, block[at] if i != j else None)
+        links |= {(int(at[k]), int(at[r])) for k, r in enumerate(roots) if r != k}
+    up = list(range(60))
+    for a, b in links:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    assert [find(x) for x in range(60)] == want
+
+
+def test_bands_that_span_ranges(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "partitions", lambda s: 7)
+    rows = [(f, [1, 100 + f // 2]) for f in range(40)] + [(3, [1]), (77, [5])]
+    held = simhash.met(spark.createDataFrame(rows, "fp bigint, keys array<bigint>")).collect()
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in held:
+        assert r["fp"] != r["pivot"]
+        a, b = find((r["key"], r["fp"])), find((r["key"], r["pivot"]))
+        up[max(a, b)] = min(a, b)
+    assert {find((1, f)) for f in range(40)} == {(1, 0)}
+    assert all(find((100 + f // 2, f)) == (100 + f // 2, f // 2 * 2) for f in range(40)) and not any(r["key"] == 5 for r in held)
+
+
+def test_a_large_group_and_its_chain(docs, rng):
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(60):  # copies with two words changed each: 0.69 to 0.85 alike among themselves
+        copy = list(base)
+        for i in rng.sample(range(120), 2):
+            copy[i] = f"x{k}{i}"
+        texts.append(" ".join(copy))
+    for k in range(0, 40, 4):  # a chain: each end is like its neighbours only
+        texts.append(" ".join([f"c{i}" for i in range(k, k + 100)]))
+    up = list(range(len(texts)))
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if jaccard(texts[a], texts[b]) >= 0.8:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted({find(x) for x in range(len(texts))})
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(list(enumerate(texts)))).collect()) == want
+
+
 def test_keep_one_tells_rows_of_one_id_apart(docs):
     a, b, c = ("first of the clean texts that nobody copied", "second text, of other words than those before it", "third one, about nothing that the others say")
     kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(rows)).collect()), key=str)
@@ -132,3 +203,6 @@ def test_keep_one_tells_rows_of_one_id_apart(docs):
     assert kept([(7, a), (7, b)]) == sorted([(7, a), (7, b)], key=str)
     assert kept([(7, a), (7, c), (3, c)]) == [(3, c), (7, a)]
     assert kept([(7, a), (7, a), (8, b)]) == [(7, a), (8, b)]
+    assert kept([(None, a), (None, b), (None, c), (7, a + " and more words"), (7, b + " of it")]) == sorted([(None, a), (None, b), (None, c), (7, a + " and more words"), (7, b + " of it")], key=str)
+    assert kept([(9, c), (9, a), (3, c), (None, c), (None, "")]) == sorted([(3, c), (9, a), (None, "")], key=str)
+    assert simhash.keep_one(docs([])).count() == 0
