@@ -1,12 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
-Inputs are words and characters: each word brings the log-odds of the word itself
-and of its character n-grams (3 to 6, with word ends), both learned from document
-frequencies. A GRU reads every overlapping window of a text in both directions,
-attention pools its states, and the document's score is that of its highest window.
-Everything is trained in numpy, by multiple-instance learning: in each round the
-windows that score highest now stand for their documents. The log-odds that the
-network sees while it trains come from the other half of the sample.
+Inputs are characters and words. A word's letters are read as a sequence by a
+bidirectional GRU over learned letter vectors, whose states attention pools into the
+word's character input; a word longer than PIECE letters is read in overlapping pieces,
+whose inputs are averaged. Beside it stand the log-odds of the word itself and of its
+character n-grams (3 to 6, with word ends), learned from document frequencies. A second
+bidirectional GRU reads every overlapping window of a text, attention pools its states,
+and the document's score is that of its highest window. Both levels are trained as one
+in numpy, by multiple-instance learning: in each round the windows that score highest
+now stand for their documents. The log-odds that the network sees while it trains come
+from the other half of the sample.
 
 The training sample is bounded: at most per_class rows of each label, those with
 the smallest hash of doc_id; the intercept is corrected for the classes' true
@@ -14,7 +17,8 @@ shares, which are counted over all labelled rows. Scoring covers whole texts.
 
 Defined results: null text and texts without a letter or digit score 0. Labels with
 a null, or for documents that are absent, are left out; repeated labels of a
-document count as often as they stand. Without both classes every score is 0.
+document count as often as they stand. Without both classes every score is 0. Rows of
+null doc_id are scored like any other and are not held out.
 Extra columns pass through; columns named like the outputs are replaced.
 """
 
@@ -33,7 +37,9 @@ from pyspark.sql import types as T
 
 from tessera.runtime import ship, table
 
-WINDOW, STRIDE, HIDDEN, FEATURES, BATCH = 48, 24, 8, 4, 256
+WINDOW, STRIDE, HIDDEN, ODDS, BATCH = 48, 24, 8, 4, 256
+LETTERS, EMBED, LETTER_HIDDEN, LETTER_OUT, PIECE = 128, 6, 6, 4, 32
+FEATURES = ODDS + LETTER_OUT
 WORDS = re.compile(r"[^\W_]+").findall
 #: Distinct words that a worker remembers before it starts afresh.
 WORD_CACHE = 200_000
@@ -88,68 +94,163 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
 
+def _read(gx: np.ndarray, U: np.ndarray, backward: bool, active: np.ndarray | None = None, mask: np.ndarray | None = None):
+    """States (time, row, hidden) of a GRU over input terms gx (time, row, 3 * hidden), and what its gradients need.
+
+    active: the number of leading rows that have a step at each time; mask: 0 where a row has none.
+    """
+    t_all, n_all, wide = gx.shape
+    hidden = wide // 3
+    h, states, steps = np.zeros((n_all, hidden), np.float32), np.zeros((t_all, n_all, hidden), np.float32), []
+    for t in range(t_all - 1, -1, -1) if backward else range(t_all):
+        n = n_all if active is None else int(active[t])
+        g, was = gx[t, :n], h[:n]
+        gh = was @ U
+        zr = _sigmoid(g[:, : 2 * hidden] + gh[:, : 2 * hidden])
+        z, r = zr[:, :hidden], zr[:, hidden:]
+        cand = np.tanh(g[:, 2 * hidden :] + r * gh[:, 2 * hidden :])
+        new = cand + z * (was - cand)
+        if mask is not None:
+            new *= mask[t][:, None]
+        steps.append((t, n, was, z, r, cand, gh[:, 2 * hidden :]))
+        h = new if n == n_all else np.concatenate([new, h[n:]])
+        states[t, :n] = new
+    return states, steps
+
+
+def _unread(steps: list, ds: np.ndarray, U: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of a GRU's input terms and of U, from those of its states."""
+    t_all, n_all, hidden = ds.shape
+    dgx, dU, back = np.zeros((t_all, n_all, 3 * hidden), np.float32), np.zeros_like(U), np.zeros((n_all, hidden), np.float32)
+    for t, n, was, z, r, cand, hn in reversed(steps):
+        dh = back[:n] + ds[t, :n]
+        if mask is not None:
+            dh *= mask[t][:, None]
+        dc = dh * (1 - z) * (1 - cand * cand)
+        dzr = np.concatenate([dh * (was - cand) * z * (1 - z), dc * hn * r * (1 - r)], 1)
+        dgx[t, :n, : 2 * hidden], dgx[t, :n, 2 * hidden :] = dzr, dc
+        dgh = np.concatenate([dzr, dc * r], 1)
+        dU += was.T @ dgh
+        back[:n] = dh * z + dgh @ U.T
+    return dgx, dU
+
+
+def _gather(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their place, of n."""
+    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], 1).astype(np.float32)
+
+
 class Network:
-    """Two GRUs, linear attention over their states, one logit a window."""
+    """Two levels of bidirectional GRUs with attention: letters to a word's input, words to one logit a window."""
 
     def __init__(self, seed: int = 0):
         r = np.random.default_rng(seed)
         init = lambda *s: (r.standard_normal(s) * 0.3).astype(np.float32)
         self.p = {f"{d}{k}": v for d in "fb" for k, v in (("W", init(FEATURES, 3 * HIDDEN)), ("U", init(HIDDEN, 3 * HIDDEN)), ("c", np.zeros(3 * HIDDEN, np.float32)), ("a", init(HIDDEN)), ("o", init(HIDDEN)))}
-        self.p["bias"] = np.zeros(1, np.float32)
+        self.p |= {f"{d}{k}": v for d in "lr" for k, v in (("W", init(EMBED, 3 * LETTER_HIDDEN)), ("U", init(LETTER_HIDDEN, 3 * LETTER_HIDDEN)), ("c", np.zeros(3 * LETTER_HIDDEN, np.float32)))}
+        self.p |= {"embed": init(LETTERS, EMBED), "pool": init(2 * LETTER_HIDDEN), "out": init(2 * LETTER_HIDDEN, LETTER_OUT), "bias": np.zeros(1, np.float32)}
         self.shift = 0.0
 
-    def _gru(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool):
-        """States (time, window, HIDDEN), or only their two projections; x: (time, window, FEATURES)."""
-        W, U, c = self.p[d + "W"], self.p[d + "U"], self.p[d + "c"]
-        t_all, n, _ = x.shape
-        h, out = np.zeros((n, HIDDEN), np.float32), []
-        both = np.stack([self.p[d + "a"], self.p[d + "o"]], 1)
-        proj = np.empty((t_all, n, 2), np.float32)
-        for t in range(t_all) if d == "f" else range(t_all - 1, -1, -1):
-            gx, gh = x[t] @ W + c, h @ U
-            zr = _sigmoid(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            cand = np.tanh(gx[:, 2 * HIDDEN :] + r * gh[:, 2 * HIDDEN :])
-            new = (cand + z * (h - cand)) * mask[t][:, None]
-            if keep:
-                out.append((t, h, z, r, cand, gh[:, 2 * HIDDEN :], new))
-            h = new
-            proj[t] = h @ both
-        return proj, out
-
-    def logits(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """x: (window, WINDOW, FEATURES), mask: (window, WINDOW)."""
-        xt, mt = np.ascontiguousarray(x.transpose(1, 0, 2)), np.ascontiguousarray(mask.T).astype(np.float32)
-        (pf, sf), (pb, sb) = self._gru("f", xt, mt, keep), self._gru("b", xt, mt, keep)
-        e = np.where(mt > 0, pf[:, :, 0] + pb[:, :, 0], np.float32(-1e9))
+    def letters(self, words: list[str]):
+        """(word, LETTER_OUT) character inputs, and what their gradients need. Pieces of about one length are read together."""
+        pieces = [(i, w[lo : lo + PIECE]) for i, w in enumerate(words) for lo in range(0, max(len(w) - PIECE // 2, 1), PIECE // 2) if w]
+        found, kept = np.zeros((len(words), LETTER_OUT), np.float32), []
+        if not pieces:
+            return found, kept
+        size = np.array([len(x) for _, x in pieces])
+        owner = np.array([i for i, _ in pieces])
+        share = (1 / np.bincount(owner, minlength=len(words)).clip(1))[owner].astype(np.float32)[:, None]
+        flat = (np.frombuffer("".join(x for _, x in pieces).encode("utf-32-le", "surrogatepass"), np.uint32) % (LETTERS - 1) + 1).astype(np.int64)
+        begin = np.cumsum(size) - size
+        p = self.p
+        for least, most in ((0, 4), (4, 7), (7, 11), (11, PIECE)):
+            at = np.flatnonzero((size > least) & (size <= most))
+            if not len(at):
+                continue
+            at = at[np.argsort(-size[at], kind="stable")]  # longest first, so each step works on those that still have a letter
+            n = size[at]
+            has = np.arange(n[0])[:, None] < n[None, :]
+            ids = np.where(has, flat[np.minimum(begin[at][None, :] + np.arange(n[0])[:, None], len(flat) - 1)], 0)
+            active, x = has.sum(1), p["embed"][ids]
+            table = {d: p["embed"] @ p[d + "W"] + p[d + "c"] for d in "lr"}
+            (sl, kl), (sr, kr) = (_read(table[d][ids], p[d + "U"], d == "r", active) for d in "lr")
+            states = np.concatenate([sl, sr], 2)
+            e = np.where(has, states @ p["pool"], np.float32(-1e9))
+            w = np.exp(e - e.max(0)) * has
+            w /= w.sum(0)
+            pooled = (w[:, :, None] * states).sum(0)
+            found += _gather(owner[at], (pooled @ p["out"]) * share[at], len(words))
+            kept.append((ids, x, states, w, pooled, owner[at], share[at], kl, kr))
+        return found, kept
+
+    def _letters_back(self, kept: list, d: np.ndarray, g: dict[str, np.ndarray]) -> None:
+        for ids, x, states, w, pooled, owner, share, kl, kr in kept:
+            p, own = self.p, d[owner] * share
+            g["out"] += pooled.T @ own
+            dp = own @ p["out"].T
+            s = np.einsum("tnk,nk->tn", states, dp)
+            de = w * (s - (w * s).sum(0))
+            g["pool"] += np.einsum("tn,tnk->k", de, states)
+            ds = w[:, :, None] * dp[None] + de[:, :, None] * p["pool"]
+            dx = np.zeros_like(x)
+            for k, steps, part in (("l", kl, ds[:, :, :LETTER_HIDDEN]), ("r", kr, ds[:, :, LETTER_HIDDEN:])):
+                dgx, dU = _unread(steps, part, p[k + "U"])
+                g[k + "U"] += dU
+                g[k + "W"] += x.reshape(-1, EMBED).T @ dgx.reshape(-1, dgx.shape[2])
+                g[k + "c"] += dgx.sum((0, 1))
+                dx += dgx @ p[k + "W"].T
+            g["embed"] += _gather(ids.ravel(), dx.reshape(-1, EMBED), LETTERS)
+
+    def terms(self, odds: np.ndarray, words: list[str]) -> np.ndarray:
+        """(row, 2, 3 * HIDDEN): the input terms of both word GRUs, worked out once a word."""
+        out = np.empty((len(words), 2, 3 * HIDDEN), np.float32)
+        for lo in range(0, len(words), 8192):
+            x = np.concatenate([odds[lo : lo + 8192], self.letters(words[lo : lo + 8192])[0]], 1).astype(np.float32)
+            for i, d in enumerate("fb"):
+                out[lo : lo + 8192, i] = x @ self.p[d + "W"] + self.p[d + "c"]
+        return out
+
+    def logits(self, terms: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """A logit for each window; ids, mask: (window, WINDOW), ids of rows of terms."""
+        it, mt = np.ascontiguousarray(ids.T), np.ascontiguousarray(mask.T).astype(np.float32)
+        proj = np.zeros((WINDOW, len(ids), 2), np.float32)
+        for i, d in enumerate("fb"):
+            U, both, table, h = self.p[d + "U"], np.stack([self.p[d + "a"], self.p[d + "o"]], 1), terms[:, i], np.zeros((len(ids), HIDDEN), np.float32)
+            for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+                g, gh = table[it[t]], h @ U
+                zr = _sigmoid(g[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
+                cand = np.tanh(g[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * gh[:, 2 * HIDDEN :])
+                h = (cand + zr[:, :HIDDEN] * (h - cand)) * mt[t][:, None]
+                proj[t] += h @ both
+        e = np.where(mt > 0, proj[:, :, 0], np.float32(-1e9))
+        w = np.exp(e - e.max(0)) * mt
+        w /= np.maximum(w.sum(0), 1e-9)
+        return (w * proj[:, :, 1]).sum(0) + self.p["bias"][0] + self.shift
+
+    def gradients(self, odds: np.ndarray, words: list[str], ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss over windows; ids: rows of odds and words."""
+        found, kept = self.letters(words)
+        p, x = self.p, np.concatenate([odds, found], 1).astype(np.float32)[np.ascontiguousarray(ids.T)]
+        mt = np.ascontiguousarray(mask.T).astype(np.float32)
+        read = {d: _read(x @ p[d + "W"] + p[d + "c"], p[d + "U"], d == "b", None, mt) for d in "fb"}
+        e = np.where(mt > 0, sum(read[d][0] @ p[d + "a"] for d in "fb"), np.float32(-1e9))
         w = np.exp(e - e.max(0)) * mt
         w /= np.maximum(w.sum(0), 1e-9)
-        o = pf[:, :, 1] + pb[:, :, 1]
-        z = (w * o).sum(0) + self.p["bias"][0]
-        return (z, xt, mt, w, o, {"f": sf, "b": sb}) if keep else z + self.shift
-
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        z, xt, mt, w, o, steps = self.logits(x, mask, True)
-        dz = ((_sigmoid(z) - y) * weight / len(y)).astype(np.float32)
-        do = w * dz
-        de = w * (o - (w * o).sum(0)) * dz
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        o = sum(read[d][0] @ p[d + "o"] for d in "fb")
+        pooled = (w * o).sum(0)
+        dz = ((_sigmoid(pooled + p["bias"][0]) - y) / len(y)).astype(np.float32)
+        do, de = w * dz, w * (o - pooled) * dz
+        g = {k: np.zeros_like(v) for k, v in p.items()}
         g["bias"][0] = dz.sum()
+        dx = np.zeros_like(x)
         for d in "fb":
-            a, out, U = self.p[d + "a"], self.p[d + "o"], self.p[d + "U"]
-            back = np.zeros((len(y), HIDDEN), np.float32)
-            for t, h, zg, r, cand, hn, new in reversed(steps[d]):
-                g[d + "a"] += de[t] @ new
-                g[d + "o"] += do[t] @ new
-                dh = (back + de[t][:, None] * a + do[t][:, None] * out) * mt[t][:, None]
-                dc = dh * (1 - zg) * (1 - cand * cand)
-                dzg, dr = dh * (h - cand) * zg * (1 - zg), dc * hn * r * (1 - r)
-                dgx = np.concatenate([dzg, dr, dc], 1)
-                dgh = np.concatenate([dzg, dr, dc * r], 1)
-                g[d + "W"] += xt[t].T @ dgx
-                g[d + "c"] += dgx.sum(0)
-                g[d + "U"] += h.T @ dgh
-                back = dh * zg + dgh @ U.T
+            states, steps = read[d]
+            g[d + "a"], g[d + "o"] = (de[:, :, None] * states).sum((0, 1)), (do[:, :, None] * states).sum((0, 1))
+            dgx, g[d + "U"] = _unread(steps, de[:, :, None] * p[d + "a"] + do[:, :, None] * p[d + "o"], p[d + "U"], mt)
+            g[d + "W"] = x.reshape(-1, FEATURES).T @ dgx.reshape(-1, 3 * HIDDEN)
+            g[d + "c"] = dgx.sum((0, 1))
+            dx += dgx @ p[d + "W"].T
+        self._letters_back(kept, _gather(ids.T.ravel(), dx[:, :, ODDS:].reshape(-1, LETTER_OUT), len(words)), g)
         return g
 
 
@@ -167,16 +268,26 @@ class Scorer:
         self.__init__(*state)
 
     def _fresh(self) -> None:
-        self.known: dict[str, int] = {}
-        self.rows = [(0.0,) * FEATURES]
+        """Forget all words: known has a word's row in terms, new those without terms so far."""
+        self.known: dict[str, int] = {"": 0}
+        self.new, self.terms, self.size = [""], np.zeros((1024, 2, 3 * HIDDEN), np.float32), 0
 
     def _row(self, word: str) -> int:
         i = self.known.get(word)
         if i is None:
-            i = self.known[word] = len(self.rows)
-            self.rows.append(self.odds.features(word))
+            i = self.known[word] = len(self.known)
+            self.new.append(word)
         return i
 
+    def _learn(self) -> None:
+        if self.new:
+            odds = np.array([self.odds.features(w) if w else (0.0,) * ODDS for w in self.new], np.float32)
+            while self.size + len(self.new) > len(self.terms):
+                self.terms = np.concatenate([self.terms, np.zeros_like(self.terms)])
+            self.terms[self.size : self.size + len(self.new)] = self.net.terms(odds, self.new)
+            self.size += len(self.new)
+            self.new = []
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         out, held, spans, size = np.zeros(len(texts)), [], [], 0
 
@@ -184,15 +295,16 @@ class Scorer:
             nonlocal held, spans, size
             if not size:
                 return
+            self._learn()
             words, starts = np.concatenate(held), np.array([s[1:] for s in spans])
-            who, feats, best = np.array([s[0] for s in spans]), np.array(self.rows, np.float32), np.full(len(texts), -np.inf)
+            who, best = np.array([s[0] for s in spans]), np.full(len(texts), -np.inf)
             for lo in range(0, len(starts), 4096):
                 ids, mask = cut(words, starts[lo : lo + 4096])
-                np.maximum.at(best, who[lo : lo + 4096], self.net.logits(feats[ids], mask))
+                np.maximum.at(best, who[lo : lo + 4096], self.net.logits(self.terms, ids, mask))
             done = np.isfinite(best)
             out[done] = np.maximum(out[done], 1 / (1 + np.exp(-best[done])))
             held, spans, size = [], [], 0
-            if len(self.rows) > WORD_CACHE:
+            if self.size > WORD_CACHE:
                 self._fresh()
 
         for i, text in enumerate(texts):
@@ -222,28 +334,28 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
         half[toxic == y] = np.arange((toxic == y).sum()) % 2
     halves = [LogOdds([d for d, h in zip(docs, half, strict=True) if h != k], toxic[half != k]) for k in (0, 1)]
     cached: list[dict[str, int]] = [{}, {}]
-    feats: list[list[tuple[float, ...]]] = [[(0.0,) * FEATURES]]
-    flat = feats[0]
+    names, odds = [""], [(0.0,) * ODDS]  # row 0 stands for no word
     spans, who, words = [], [], []
     size = 0
     for i, d in enumerate(docs):
         k = int(half[i])
         for u in d:
             if (j := cached[k].get(u)) is None:
-                j = cached[k][u] = len(flat)
-                flat.append(halves[k].features(u))
+                j = cached[k][u] = len(odds)
+                names.append(u)
+                odds.append(halves[k].features(u))
             words.append(j)
         for a, b in windows(len(d)):
             spans.append((size + a, size + b))
             who.append(i)
         size += len(d)
-    words, spans, who, f = np.array(words), np.array(spans), np.array(who), np.array(flat, np.float32)
+    words, spans, who, odds = np.array(words), np.array(spans), np.array(who), np.array(odds, np.float32)
     net, rng = Network(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
     step, rounds = 0, max(rounds, steps * BATCH // (2 * len(docs)))
     # before the first round the strongest single word stands for a window
-    now = np.concatenate([f[ids].max(axis=(1, 2)) for ids, _ in (cut(words, spans[lo : lo + 8192]) for lo in range(0, len(spans), 8192))])
+    now = np.concatenate([odds[ids].max(axis=(1, 2)) for ids, _ in (cut(words, spans[lo : lo + 8192]) for lo in range(0, len(spans), 8192))])
     for turn in range(rounds):
         order = np.lexsort((-now, who))
         top = order[np.r_[True, who[order][1:] != who[order][:-1]]]
@@ -252,7 +364,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
         for lo in range(0, len(pick), BATCH):
             at = pick[lo : lo + BATCH]
             ids, mask = cut(words, spans[at])
-            g = net.gradients(f[ids], mask, toxic[who[at]], np.ones(len(at), np.float32))
+            rows, ids = np.unique(ids, return_inverse=True)
+            g = net.gradients(odds[rows], [names[i] for i in rows], ids.reshape(mask.shape), mask, toxic[who[at]])
             step += 1
             norm = max(1.0, float(np.sqrt(sum((v * v).sum() for v in g.values()))))
             for k, v in g.items():
@@ -261,7 +374,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
                 s[k] += 0.01 * (v * v - s[k])
                 net.p[k] -= np.float32(0.02) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)
         if turn < rounds - 1:
-            now = np.concatenate([net.logits(f[ids], mask) for ids, mask in (cut(words, spans[lo : lo + 4096]) for lo in range(0, len(spans), 4096))])
+            terms = net.terms(odds, names)
+            now = np.concatenate([net.logits(terms, ids, mask) for ids, mask in (cut(words, spans[lo : lo + 4096]) for lo in range(0, len(spans), 4096))])
     if share and 0 < share < 1:
         p = toxic.mean()
         net.shift = float(np.log(share / (1 - share)) - np.log(p / (1 - p)))
@@ -269,7 +383,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether crc32 of the id as text leaves 1 when divided by 3; false without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, usable: Column | None = None) -> Scorer | None:

@@ -20,10 +20,14 @@ def corpus(n=240):
 
 def test_gradients():
     net, r = toxicity.Network(1), np.random.default_rng(0)
-    x, mask = r.standard_normal((3, toxicity.WINDOW, toxicity.FEATURES)).astype(np.float32), np.arange(toxicity.WINDOW)[None] < np.array([[7], [toxicity.WINDOW], [1]])
-    y, w = np.array([1, 0, 1]), np.ones(3, np.float32)
-    loss = lambda: float(np.mean(np.logaddexp(0, z := net.logits(x, mask, True)[0].astype(float)) - y * z))
-    g = net.gradients(x, mask, y, w)
+    words = ["", "a", "word", "longer", "x" * 20 + "yz" * 30, "é日本"]
+    odds = r.standard_normal((len(words), toxicity.ODDS)).astype(np.float32)
+    mask = np.arange(toxicity.WINDOW)[None] < np.array([[7], [toxicity.WINDOW], [1]])
+    ids = np.where(mask, r.integers(1, len(words), mask.shape), 0)
+    y = np.array([1, 0, 1])
+    loss = lambda: float(np.mean(np.logaddexp(0, z := net.logits(net.terms(odds, words), ids, mask).astype(float)) - y * z))
+    g = net.gradients(odds, words, ids, mask, y)
+    assert set(g) == set(net.p)
     for k in net.p:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         keep = net.p[k][at]
@@ -32,7 +36,56 @@ def test_gradients():
         net.p[k][at] = keep - 1e-2
         down = loss()
         net.p[k][at] = keep
-        assert np.isclose((up - down) / 2e-2, g[k][at], rtol=0.05, atol=2e-4), k
+        assert g[k][at] and np.isclose((up - down) / 2e-2, g[k][at], rtol=0.05, atol=2e-4), k
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def slow_states(p, d, xs):
+    """One GRU step after the other, in double precision."""
+    h, out = np.zeros(p[d + "U"].shape[0]), []
+    n = len(h)
+    for x in xs:
+        a, b = x @ p[d + "W"] + p[d + "c"], h @ p[d + "U"]
+        z, r = sigmoid(a[:n] + b[:n]), sigmoid(a[n : 2 * n] + b[n : 2 * n])
+        c = np.tanh(a[2 * n :] + r * b[2 * n :])
+        h = c + z * (h - c)
+        out.append(h)
+    return np.array(out)
+
+
+def slow_score(m, text):
+    """A text's score in plain loops: every window, letter by letter and word by word."""
+    p = {k: v.astype(float) for k, v in m.net.p.items()}
+
+    def word(w):
+        parts = []
+        for lo in range(0, max(len(w) - toxicity.PIECE // 2, 1), toxicity.PIECE // 2):
+            x = np.array([p["embed"][ord(c) % (toxicity.LETTERS - 1) + 1] for c in w[lo : lo + toxicity.PIECE]])
+            s = np.concatenate([slow_states(p, "l", x), slow_states(p, "r", x[::-1])[::-1]], 1)
+            e = np.exp(s @ p["pool"])
+            parts.append((e / e.sum()) @ s @ p["out"])
+        return np.concatenate([m.odds.features(w), np.mean(parts, 0)])
+
+    words = toxicity.WORDS((text or "").lower())
+    best = -np.inf
+    for a, b in toxicity.windows(len(words)):
+        x = np.array([word(w) for w in words[a:b]])
+        sf, sb = slow_states(p, "f", x), slow_states(p, "b", x[::-1])[::-1]
+        e = np.exp(sf @ p["fa"] + sb @ p["ba"])
+        best = max(best, float((e / e.sum()) @ (sf @ p["fo"] + sb @ p["bo"]) + p["bias"][0] + m.net.shift))
+    return sigmoid(best) if words else 0.0
+
+
+def test_scores_like_plain_loops():
+    rows = corpus(60)
+    m = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]), 0.1, rounds=2, steps=10)
+    texts = [rows[0][1], rows[1][1], "lorem " * 150 + "nastyword", "x" * 100 + " ipsum", None, "...", "Ünï 日本 1"]
+    got = m.score(texts)
+    assert np.allclose(got, [slow_score(m, t) for t in texts], atol=1e-5)
+    assert np.allclose(m.score(texts[::-1]), got[::-1], atol=1e-6)
 
 
 def test_learns_and_generalises_to_characters():
@@ -70,3 +123,12 @@ def test_held_out_accuracy(spark):
     held = [(r["toxic"], rows[r["doc_id"]]["predicted"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if rows[r["doc_id"]]["held_out"]]
     y, p = np.array(held).T
     assert p[y == 1].mean() > 0.8 and p[y == 0].mean() < 0.04
+
+
+def test_null_ids_and_very_long_texts(spark, docs):
+    rows = corpus()
+    m = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    long = "lorem ipsum dolor " * 60_000
+    d = docs([(None, "lorem"), (None, long + "nastyword nastyones nastyword"), (5, long), (5, "n" * 200_000)])
+    out = [(r["doc_id"], r["toxicity"], r["h"]) for r in toxicity.score(d, m).select("doc_id", "toxicity", toxicity.held_out(d["doc_id"]).alias("h")).collect()]
+    assert len(out) == 4 and [h for i, _, h in out if i is None] == [False, False] and max(t for i, t, _ in out if i is None) > 0.5
