@@ -12,7 +12,8 @@ training is bounded: about per_lang rows of each language, by a hash of doc_id.
 
 Defined results: null text, or text without a letter, is "und" with score 0 and not
 ambiguous. Without any labelled language all rows are "und"; with one, all texts
-with letters are that one with score 1. Extra columns pass through; columns named
+with letters are that one with score 1. Rows of null doc_id are told like any other;
+they are not held out. Extra columns pass through; columns named
 like the outputs are replaced.
 """
 
@@ -173,7 +174,8 @@ def fit(texts: list[str], langs: list[str], steps: int = 200) -> Identifier | No
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether crc32 of the id as text is divisible by 5; false without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, per_lang: int = 500, usable: Column | None = None) -> Identifier | None:

@@ -9,8 +9,8 @@ name's words are entities of their own, given names by gender and script, so tha
 family name alone still refers to the same person.
 
 Collision checks: a surrogate that is also a real entity of its kind, or already the
-surrogate of another one, is drawn anew with the next attempt number, until none is
-left. So distinct entities stay distinct, and every mention of one stays the same.
+surrogate of another one, is drawn anew with the next attempt number, names in the end
+with more letters, until none is left. So distinct entities stay distinct, and every mention of one stays the same.
 
 Defined results: null text stays null. Rows that share a doc_id are told apart by a
 hash of the text. Extra columns pass through; columns named like the outputs are
@@ -23,8 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import settle, table
+from tessera.runtime import settle, small, table
 
+ATTEMPTS = 64
 LEFT, RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Forms of address, and names to draw from.
@@ -113,18 +114,25 @@ def surrogate() -> Column:
     iban = f"concat(substr(norm, 1, 2), array_join(transform(sequence(3, length(norm)), p -> if(regexp_like(substr(norm, p, 1), '[0-9]'), {digit}, substr('{LETTERS['latin']}', {_v('p')} % 26 + 1, 1))), ''))"
     ip = f"concat_ws('.', 1 + {_v('1')} % 223, {_v('2')}, {_v('3')}, 1 + {_v('4')} % 254)"
     pick = {k: f"element_at(array({', '.join(_q(n.lower()) for n in v.split())}), {_v('1')} % {len(v.split())} + 1)" for k, v in NAMES.items()}
-    grow = " ".join(f"WHEN '{s}' THEN concat_ws('', substr('{a}', {_v('2')} % {len(a)} + 1, 1), substr('{a}', {_v('3')} % {len(a)} + 1, 1), substr('{a}', {_v('4')} % {len(a)} + 1, 1))" for s, a in LETTERS.items())
-    name = "concat(CASE concat(kind, ':', script) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in pick.items()) + f" END, if(attempt < 4, '', CASE script {grow} END))"
+    more = lambda a, n: f"if({n} < 1, '', array_join(transform(sequence(1, greatest({n}, 1)), p -> substr('{a}', {_v('(p + 1)')} % {len(a)} + 1, 1)), ''))"
+    grow = " ".join(f"WHEN '{s}' THEN {more(a, 'attempt div 2')}" for s, a in LETTERS.items())
+    name = "concat(CASE concat(kind, ':', script) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in pick.items()) + f" END, CASE script {grow} END)"
+    email = f"concat({more(LETTERS['latin'], 'attempt div 2 - 3')}, {email})"
     return F.expr(f"CASE kind WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} WHEN 'iban' THEN {iban} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card} WHEN 'ssn' THEN {digits('0')} WHEN 'phone' THEN {digits('greatest(length(norm) - 10, 0)')} ELSE {name} END")
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(atom, value): a surrogate for each distinct entity, none shared and none real."""
+    """(atom, value): a surrogate for each distinct entity, none shared and none real.
+
+    With every second attempt a name gets one more letter, and from the eighth on an address too, so the
+    rounds grow with the logarithm of the number of entities. The other kinds keep their length: more of
+    them than their format has values is an error after ATTEMPTS rounds.
+    """
     parts = F.split("atom", ":", 3)
     real = entities.select("atom", parts[0].alias("kind"), parts[1].alias("script"), parts[2].alias("norm"), F.lit(0).alias("attempt"))
     names, done = settle(real, "entities"), None
     todo, own = names, names.select("kind", F.col("norm").alias("value"))
-    while True:
+    for _ in range(ATTEMPTS):
         seed = F.concat_ws("/", F.lit(key), "atom", "attempt")
         h = F.concat(*(F.sha2(F.concat_ws("/", seed, F.lit(i)).cast("binary"), 256) for i in range(4)))
         drawn = settle(todo.withColumn("h", h).select("atom", "kind", "script", "norm", "attempt", surrogate().alias("value")), "drawn")
@@ -136,6 +144,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         todo = settle(drawn.join(done.select("atom"), "atom", "left_anti").select("atom", "kind", "script", "norm", (F.col("attempt") + 1).alias("attempt")), "redrawn")
         if todo.isEmpty():
             return done.select("atom", "value")
+    raise ValueError(f"no free surrogate after {ATTEMPTS} rounds; more entities than their format has values")
 
 
 def _render(x: str) -> str:
@@ -156,7 +165,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = settle(find(docs, text), "found")
     atoms = settle(found.select("doc_id", "tid", F.explode(F.expr(f"array_distinct(flatten(transform(found, x -> {_atoms('x')})))")).alias("atom")), "atoms")
     values = assign(atoms.select("atom").distinct(), key)
-    named = atoms.join(values, "atom").groupBy("doc_id", "tid").agg(F.map_from_entries(F.collect_list(F.struct("atom", "value"))).alias("names"))
+    named = atoms.join(small(values), "atom").groupBy("doc_id", "tid").agg(F.map_from_entries(F.collect_list(F.struct("atom", "value"))).alias("names"))
     same = found["doc_id"].eqNullSafe(named["doc_id"]) & (found["tid"] == named["tid"])
     plan = found.join(named, same).select(found["doc_id"].alias("__d"), found["tid"].alias("__t"), "names", "found")
     d = docs.withColumn("__tid", F.xxhash64(F.col(f"`{text}`")))

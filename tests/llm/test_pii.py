@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from tessera.llm import pii
 
 TEXT = "Mail bob.s42@mail.example.com or +1 (017) 555-7713; card 4111 1111 1111 1111 and 4111111111111111, at 10.2.3.4."
@@ -47,6 +49,20 @@ def test_distinct_entities_stay_distinct(docs):
     assert len(set(ips)) == len(ips) == len(names) + 200
 
 
+def test_more_entities_than_names_or_short_addresses(docs, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{a.upper()}{b}{c}" for a in letters for b in letters for c in "aeiou"]
+    greek = [f"Α{a}{b}ς" for a in pii.LETTERS["greek"] for b in pii.LETTERS["greek"]]
+    mails = [f"{a}@{b}{c}.org" for a in letters for b in "xyz" for c in letters] + [f"{a}@{b}.io" for a in letters for b in letters]
+    rows = [(i, f"Mr. {n}") for i, n in enumerate(names)] + [(10_000 + i, f"Κυρία {n}") for i, n in enumerate(greek)] + [(20_000 + i, m) for i, m in enumerate(mails)]
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs(rows), "k").collect()}
+    assert len(set(out.values())) == len(rows) and not set(out.values()) & {t for _, t in rows}
+    assert all(re.fullmatch(r"[a-z]+@[a-z]+\.(org|io)", out[20_000 + i]) for i in range(len(mails)))
+    monkeypatch.setattr(pii, "ATTEMPTS", 1)
+    with pytest.raises(ValueError, match="free surrogate"):
+        pii.pseudonymize(docs(rows), "k")
+
+
 def test_key_and_repeats(docs):
     a, b = run(docs([(1, TEXT), (2, TEXT)])), run(docs([(2, "x " + TEXT)]))
     assert a[1]["text"] == a[2]["text"] and "x " + a[1]["text"] == b[2]["text"]

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import toxicity
 
@@ -130,5 +131,5 @@ def test_null_ids_and_very_long_texts(spark, docs):
     m = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
     long = "lorem ipsum dolor " * 60_000
     d = docs([(None, "lorem"), (None, long + "nastyword nastyones nastyword"), (5, long), (5, "n" * 200_000)])
-    out = [(r["doc_id"], r["toxicity"], r["h"]) for r in toxicity.score(d, m).select("doc_id", "toxicity", toxicity.held_out(d["doc_id"]).alias("h")).collect()]
+    out = [(r["doc_id"], r["toxicity"], r["h"]) for r in toxicity.score(d, m).select("doc_id", "toxicity", toxicity.held_out(F.col("doc_id")).alias("h")).collect()]
     assert len(out) == 4 and [h for i, _, h in out if i is None] == [False, False] and max(t for i, t, _ in out if i is None) > 0.5
