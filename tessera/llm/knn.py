@@ -1,24 +1,31 @@
 """Approximate nearest neighbours: hierarchical k-means tree, best-bin-first.
 
-A k-means tree is fitted on a bounded sample (SAMPLE rows, those of the smallest
-hashed vec_id) and holds every row of the table: rows go down to the leaf whose
-centre is nearest at each level. A query visits leaves through a priority queue of
-branches, nearest first. How many rows it should see is calibrated: queries from
-the sample are compared with every row by brute force, and visits widen until the
-share of true neighbours in the visited leaves reaches the target recall.
-
-Vectors have unit length inside the tree, so the nearest by distance are those of
-the largest cosine. Leaves are dealt into blocks of bounded size by a hash, so one
-leaf with a third of all rows (copies share a leaf) is spread over many tasks, and
-each query meets each visited block once. Scores are cosines of the original
-vectors in double precision. What is broadcast or collected is bounded: the tree
-(LEAVES centres), the number of rows of each leaf, CALIBRATION queries with k
-neighbours each.
+Equal vectors collapse first: each distinct one keeps its smallest ids, as many as a
+result can hold, so a vector that a third of all rows share is one row from there on.
+
+A k-means tree is fitted on a bounded sample (SAMPLE distinct vectors, those of the
+smallest hash, half of the table at most) and holds every row of the table. The number
+of cells follows the table, about CELL_ROWS rows each: beyond what the sample can fit,
+each leaf of the tree is the root of a second tree, fitted on what the leaves' centres
+leave over and shared by all leaves, so SAMPLE / LEAST leaves of either tree make their
+product of cells while both stay small enough to send to every task. A query visits
+cells through a priority queue of branches, nearest first. How many it visits is
+calibrated: queries from outside of the sample are compared with every row by brute
+force, and visits widen until the share of true neighbours in the visited cells
+reaches the target recall.
+
+Cells are dealt into groups of about GROUP_ROWS rows by a hash, larger groups into
+parts. A task holds one part at a time and streams the queries that visit it, each once
+with its cells, so neither many queries nor many rows have to fit into memory. Scores
+are cosines of the original vectors in double precision. What is broadcast or collected
+is bounded: the two trees, and CALIBRATION queries with their neighbours.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite
 component take no part; of several lengths the most frequent takes part (the smaller
-in a tie). Rows that share a vec_id are rows of their own, but none is a neighbour of
-a query with its vec_id. A query without candidates has no rows.
+in a tie). Rows that share a vec_id with different vectors are rows of their own, repeated
+rows count once, and none is a neighbour of a query with its vec_id; each query id has
+one list, of its nearest by any of its vectors. A query without candidates has no rows.
+Null vec_ids take no part. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -31,44 +38,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.runtime import settle, ship, table
+from tessera.runtime import partitions, settle, ship, small, table
 
-SAMPLE, BRANCH, LEAF_ROWS, LEAVES = 20_000, 12, 24, 4_096
-BLOCK_ROWS, CALIBRATION, TARGET = 2_048, 128, 0.985
+SAMPLE, BRANCH, LEAST, CELL_ROWS = 20_000, 12, 10, 128
+GROUP_ROWS, CALIBRATION, TARGET = 16_384, 128, 0.985
 
 
 class Tree:
-    """Centres of a k-means tree; leaves are numbered from 0."""
+    """Centres of a k-means tree; leaves are numbered from 0 and hold at most `most` rows of x, but for copies."""
 
-    def __init__(self, x: np.ndarray, seed: int = 0):
-        self.rng, self.nodes, self.leaves = np.random.default_rng(seed), [], 0
-        self.leaf_of: list[int] = []  # of each node, -1 for inner ones
-        self.nodes.append(None)
-        self.leaf_of.append(-1)
+    def __init__(self, x: np.ndarray, most: int, seed: int = 0):
+        rng, centre = np.random.default_rng(seed), []
+        self.nodes: list = [None]  # (centres, kids) of inner nodes
+        self.leaf_of: list[int] = [-1]  # of each node, -1 for inner ones
         todo = [(0, x)]
         while todo:
             at, rows = todo.pop(0)
-            most = min(BRANCH, len(np.unique(rows, axis=0))) if len(rows) > LEAF_ROWS else 1
-            if most < 2 or self.leaves + len(todo) + most > LEAVES:
-                self.leaf_of[at] = self.leaves
-                self.leaves += 1
-                continue
-            centres, label = self._kmeans(rows, most)
+            k = min(BRANCH, -(-len(rows) // max(most, 1)), len(np.unique(rows, axis=0))) if len(rows) > most else 1
+            centres, label = self._kmeans(rows, k, rng) if k > 1 else (rows[:1], None)
             if len(centres) < 2:
-                self.leaf_of[at] = self.leaves
-                self.leaves += 1
+                self.leaf_of[at] = len(centre)
+                centre.append(rows.mean(0))
                 continue
             kids = list(range(len(self.nodes), len(self.nodes) + len(centres)))
             self.nodes[at] = (centres, kids)
             self.nodes += [None] * len(kids)
             self.leaf_of += [-1] * len(kids)
             todo += [(k, rows[label == i]) for i, k in enumerate(kids)]
-        del self.rng
+        self.centre = np.stack(centre)
+
+    @property
+    def leaves(self) -> int:
+        return len(self.centre)
 
-    def _kmeans(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _kmeans(self, x: np.ndarray, k: int, rng) -> tuple[np.ndarray, np.ndarray]:
         u = np.unique(x, axis=0)
-        c = u[self.rng.choice(len(u), k, replace=False)]
+        c = u[rng.choice(len(u), k, replace=False)]
         for _ in range(8):
             label = self._nearest(x, c)
             used = np.unique(label)
@@ -83,7 +90,7 @@ class Tree:
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
-        out = np.zeros(len(x), np.int32)
+        out = np.zeros(len(x), np.int64)
         todo = [(0, np.arange(len(x)))]
         while todo:
             at, rows = todo.pop()
@@ -97,19 +104,42 @@ class Tree:
             todo += [(k, rows[label == i]) for i, k in enumerate(kids)]
         return out
 
+
+class Cells:
+    """The tree, and under each of its leaves the shared second one, if there is one."""
+
+    def __init__(self, x: np.ndarray, rows: int):
+        wanted = max(1, -(-rows // CELL_ROWS))
+        self.coarse = Tree(x, max(LEAST, len(x) // wanted))
+        self.fine = None
+        if self.coarse.leaves < wanted and len(x) // wanted < LEAST:
+            left = x - self.coarse.centre[self.coarse.assign(x)]
+            self.fine = Tree(left, max(LEAST, len(x) * self.coarse.leaves // wanted), 1)
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        leaf = self.coarse.assign(x)
+        return leaf if self.fine is None else leaf * self.fine.leaves + self.fine.assign(x - self.coarse.centre[leaf])
+
     def visit(self, q: np.ndarray) -> Iterator[int]:
-        """Leaves in best-bin-first order: always the branch whose centre is nearest."""
-        heap = [(0.0, 0)]
+        """Cells in best-bin-first order: always the branch whose centre is nearest."""
+        heap, n = [(0.0, 0, 0, -1)], 0
         while heap:
-            _, at = heapq.heappop(heap)
-            while self.nodes[at] is not None:
-                centres, kids = self.nodes[at]
-                d = ((centres - q) ** 2).sum(1)
-                order = d.argsort(kind="stable")
-                for i in order[1:]:
-                    heapq.heappush(heap, (float(d[i]), kids[i]))
-                at = kids[order[0]]
-            yield self.leaf_of[at]
+            _, _, at, leaf = heapq.heappop(heap)
+            while True:
+                tree, x = (self.coarse, q) if leaf < 0 else (self.fine, q - self.coarse.centre[leaf])
+                if tree.nodes[at] is not None:
+                    centres, kids = tree.nodes[at]
+                    d = ((centres - x) ** 2).sum(1)
+                    order = d.argsort(kind="stable").tolist()
+                    for i in order[1:]:
+                        n += 1
+                        heapq.heappush(heap, (float(d[i]), n, kids[i], leaf))
+                    at = kids[order[0]]
+                elif leaf < 0 and self.fine is not None:
+                    leaf, at = tree.leaf_of[at], 0
+                else:
+                    yield tree.leaf_of[at] if leaf < 0 else leaf * self.fine.leaves + tree.leaf_of[at]
+                    break
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -122,128 +152,188 @@ def _matrix(a: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, vector as doubles) of the rows that take part."""
-    v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    """(vec_id, v, h1, h2) of the rows that take part: floats stay floats, other numbers become doubles; h1 and h2 hash v."""
+    floats = isinstance(vectors.schema[vector].dataType, T.ArrayType) and isinstance(vectors.schema[vector].dataType.elementType, T.FloatType)
+    v = F.col(f"`{vector}`")
+    v = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), (v if floats else v.cast("array<double>")).alias("v"))
     v = v.where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
+    v = v.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(7), F.col("v")))
     length = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return v if length is None else v.where(F.size("v") == length["n"])
 
 
-def _top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k nearest rows; ties to the smaller id, never its own."""
-    s = np.array(_unit(q) @ _unit(x).T)
-    s[qid[:, None] == xid[None, :]] = -np.inf
-    out_q, out_x, out_s = [], [], []
-    for lo in range(len(q)):
-        row, n = s[lo], min(k, len(x))
-        near = np.flatnonzero(row >= np.partition(row, len(x) - n)[len(x) - n] - 1e-12)
-        # the exact measure, the same whatever block a row is met in
-        exact = np.array([np.dot(q[lo], x[i]) / (np.sqrt(np.dot(q[lo], q[lo])) * np.sqrt(np.dot(x[i], x[i]))) if row[i] > -np.inf else -np.inf for i in near[np.lexsort((xid[near], -row[near].round(12)))][: 4 * k]])
-        near = near[np.lexsort((xid[near], -row[near].round(12)))][: 4 * k]
-        best = np.lexsort((xid[near], -exact))[:k]
-        best = best[exact[best] > -np.inf]
-        out_q.append(np.full(len(best), qid[lo]))
-        out_x.append(xid[near[best]])
-        out_s.append(exact[best])
-    cat = lambda p, t: np.concatenate(p).astype(t) if p else np.zeros(0, t)
-    return cat(out_q, np.int64), cat(out_x, np.int64), cat(out_s, np.float64)
-
-
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """Each query's k best of its partial results; the limit also applies before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", "vec_id", "score", *(c for c in pairs.columns if c not in ("query_id", "vec_id", "score")))
+def _top(q: np.ndarray, x: np.ndarray, least: np.ndarray, m: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's m nearest rows, best first; ties by least. skip: (query, row) flags to leave out."""
+    s = _unit(q) @ _unit(x).T
+    if skip is not None:
+        s[skip] = -np.inf
+    n = min(m, len(x))
+    edge = np.partition(s, len(x) - n, axis=1)[:, len(x) - n]
+    who, row = np.nonzero((s >= edge[:, None] - 1e-9) & np.isfinite(s))
+    # the exact measure, pair by pair, the same in whatever company a row is met
+    exact = np.einsum("ij,ij->i", q[who], x[row]) / (np.sqrt(np.einsum("ij,ij->i", q, q))[who] * np.sqrt(np.einsum("ij,ij->i", x, x))[row])
+    return _ranked(who, row, exact, least[row], m)
+
+
+def _ranked(who: np.ndarray, row: np.ndarray, score: np.ndarray, least: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((least, -score, who))
+    who, row, score = who[order], row[order], score[order]
+    if not len(who):
+        return who, row, score
+    begin = np.r_[True, who[1:] != who[:-1]]
+    at = np.arange(len(who)) - np.maximum.accumulate(np.where(begin, np.arange(len(who)), 0))
+    return who[at < m], row[at < m], score[at < m]
+
+
+def _best(pairs: DataFrame, key: list[str], *order: str | Column, k: int) -> DataFrame:
+    """The k first of each key by order; the limit also applies before the shuffle."""
+    first = Window.partitionBy(*key).orderBy(*order)
+    return pairs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, target: float = TARGET, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where is_query (of column vec_id) holds."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = settle(usable(vectors, vec_id, vector), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # SAMPLE rows at most
-    if sample.empty:
+    rows = usable(vectors, vec_id, vector)
+    queries = settle(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct(), "queries")
+    # as many results more as one query id has vectors, which are all its own
+    own = queries.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
+    m = k + own
+    near = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    firsts = rows.withColumn("rank", F.dense_rank().over(near)).where(F.col("rank") <= m)
+    distinct = settle(firsts.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_set("vec_id")).alias("ids")), "vectors")
+    total = distinct.count()
+    picked = distinct.orderBy(F.xxhash64("h1"), "h1", "h2").limit(min(SAMPLE + CALIBRATION, -(-total // 2) + CALIBRATION)).select("h1", "h2", "v").toPandas()  # SAMPLE + CALIBRATION rows at most
+    if picked.empty:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    x = np.stack(sample["v"].to_numpy()).astype(np.float64)
-    tree = Tree(_unit(x))
-    sent = spark.sparkContext.broadcast(pickle.dumps(tree))
+    aside = min(CALIBRATION, total // 2)
+    x = np.stack(picked["v"].to_numpy()).astype(np.float64)
+    cells = Cells(_unit(x[aside:]), total)
+    sent = spark.sparkContext.broadcast(pickle.dumps(cells))
+    kind = rows.schema["v"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pickle.loads(sent.value)
+        c = pickle.loads(sent.value)
         for b in batches:
-            leaf = t.assign(_unit(_matrix(b.column(1))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf)], names=["vec_id", "v", "leaf"])
+            cell = c.assign(_unit(_matrix(b.column(2)))) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*b.schema.names, "cell"])
 
-    placed = settle(rows.mapInArrow(place, "vec_id bigint, v array<double>, leaf int"), "leaves")
-    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # LEAVES rows at most
-    blocks = {leaf: -(-n // BLOCK_ROWS) for leaf, n in counts.items()}
-    seen = _calibrate(spark, placed, tree, x[:CALIBRATION], sample["vec_id"].to_numpy()[:CALIBRATION], counts, k, target)
-    plan = spark.sparkContext.broadcast(pickle.dumps((tree, counts, blocks, seen)))
+    placed = settle(distinct.select("h1", "h2", "v", "ids").mapInArrow(place, f"h1 bigint, h2 bigint, v {kind}, ids array<bigint>, cell bigint"), "cells")
+    visits = _calibrate(spark, placed, cells, x[:aside], k, target)
+    groups = max(1, -(-total // GROUP_ROWS))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, n, parts, most = pickle.loads(plan.value)
+        c = pickle.loads(sent.value)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                q = _unit(_matrix(part.column(1)))
-                row, leaf, block = [], [], []
-                for i in range(len(q)):
-                    met = 0
-                    for f in t.visit(q[i]):
-                        for p in range(parts.get(f, 0)):
-                            row.append(i)
-                            leaf.append(f)
-                            block.append(p)
-                        met += n.get(f, 0)
-                        if met >= most:
-                            break
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), part.column(1).take(pa.array(row, pa.int32())), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["vec_id", "v", "leaf", "block"])
-
-    asked = placed.where(is_query).select("vec_id", "v").mapInArrow(route, "vec_id bigint, v array<double>, leaf int, block int")
-    each = F.create_map(*(y for leaf, n in sorted(blocks.items()) if n > 1 for y in (F.lit(leaf), F.lit(n)))) if max(blocks.values()) > 1 else None
-    n_blocks = F.lit(1) if each is None else F.coalesce(F.try_element_at(each, F.col("leaf")), F.lit(1))
-    held = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks.cast("long")).cast("int"))
-
-    def meet(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        xs, xi = _matrix(left.column("v").combine_chunks()), left.column("vec_id").to_numpy()
-        out: list[tuple] = []
-        for lo in range(0, right.num_rows, 512):
-            part = right.slice(lo, 512)
-            out.append(_top(_matrix(part.column("v").combine_chunks()), part.column("vec_id").to_numpy(), xs, xi, k))
-        q, v, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"query_id": q, "vec_id": v, "score": s})
-
-    met = held.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    return _best(met, k)
-
-
-def _calibrate(spark: SparkSession, placed: DataFrame, tree: Tree, q: np.ndarray, qid: np.ndarray, counts: dict[int, int], k: int, target: float) -> int:
-    """The number of rows a query must meet, from brute force of a few queries over all rows."""
-    asked = spark.sparkContext.broadcast(pickle.dumps((q, qid)))
+                q = _unit(_matrix(part.column(2)))
+                seen = [[cell for _, cell in zip(range(visits), c.visit(v), strict=False)] for v in q]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seen, pa.list_(pa.int64()))], names=["h1", "h2", "v", "cells"])
+
+    of = lambda cell: F.pmod(F.xxhash64(cell), F.lit(groups))
+    held = placed.withColumn("grp", of(F.col("cell")))
+    parts = settle(held.groupBy("grp").count().where(F.col("count") > 2 * GROUP_ROWS).select("grp", F.ceil(F.col("count") / GROUP_ROWS).alias("parts")), "parts")
+    parts = small(parts)
+    asked = queries.select("h1", "h2").distinct().join(distinct.select("h1", "h2", "v"), ["h1", "h2"])
+    routed = asked.select("h1", "h2", "v").mapInArrow(route, f"h1 bigint, h2 bigint, v {kind}, cells array<bigint>")
+    # each query goes once to each group, with the cells that it visits there
+    by_group = F.transform(F.array_distinct(F.transform("cells", of)), lambda g: F.struct(g.alias("grp"), F.filter("cells", lambda c: of(c) == g).alias("cells")))
+    to = routed.select("h1", "h2", "v", F.explode(by_group).alias("to")).select("h1", "h2", "v", "to.grp", "to.cells")
+    n = F.coalesce("parts", F.lit(1))
+    left = held.join(parts, "grp", "left").select("grp", F.pmod("h1", n).alias("part"), F.lit(0).alias("side"), "h1", "h2", "v", "ids", F.array("cell").alias("cells"))
+    right = to.join(parts, "grp", "left").select("grp", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("part"), F.lit(1).alias("side"), "h1", "h2", "v", F.array().cast("array<bigint>").alias("ids"), "cells")
+    stream = left.unionByName(right).repartition(partitions(spark), "grp", "part").sortWithinPartitions("grp", "part", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held_, block = None, [], None
+        for b in batches:
+            key = np.stack([b.column(i).to_numpy() for i in range(3)], 1) if b.num_rows else np.zeros((0, 3), np.int64)
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)] if len(key) else [0]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                now, side = tuple(key[lo, :2].tolist()), key[lo, 2]
+                if now != at:
+                    at, held_, block = now, [], None
+                if side == 0:
+                    held_.append(b.slice(lo, hi - lo))
+                    continue
+                if not held_:
+                    continue
+                block = block or _Block(pa.Table.from_batches(held_))
+                for i in range(lo, hi, 2048):
+                    yield from block.answer(b.slice(i, min(2048, hi - i)), m)
+
+    met = stream.mapInArrow(meet, "h1 bigint, h2 bigint, score double, least bigint, ids array<bigint>")
+    best = _best(met, ["h1", "h2"], F.desc("score"), "least", k=m).select("h1", "h2", "score", F.explode("ids").alias("vec_id"))
+    named = queries.join(best, ["h1", "h2"]).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if own > 1 else queries.join(best, ["h1", "h2"]).where("vec_id <> query_id")
+    return _best(named, ["query_id"], F.desc("score"), "vec_id", k=k).select("query_id", "rank", "vec_id", "score")
+
+
+class _Block:
+    """A part's rows in order of their cells."""
+
+    def __init__(self, t: pa.Table):
+        t = t.combine_chunks()
+        cell = t["cells"].combine_chunks().flatten().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        cell, self.ids = cell[order], t["ids"].combine_chunks().take(pa.array(order))
+        self.x = _matrix(t["v"].combine_chunks())[order]
+        self.least = np.array([i[0].as_py() for i in self.ids], np.int64)
+        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        self.of = {int(c): (int(lo), int(hi)) for c, lo, hi in zip(cell[begin], begin, [*begin[1:], len(cell)], strict=True)}
+
+    def answer(self, b: pa.RecordBatch, m: int) -> Iterator[pa.RecordBatch]:
+        """The m nearest rows in its cells of each query of the batch."""
+        q, lists = _matrix(b.column(5)), b.column(7)
+        asked = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        cell = lists.flatten().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        cell, asked = cell[order], asked[order]
+        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        found = []
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(cell)], strict=True):
+            if span := self.of.get(int(cell[lo])):
+                for i in range(span[0], span[1], 4096):
+                    x = slice(i, min(i + 4096, span[1]))
+                    who, row, score = _top(q[asked[lo:hi]], self.x[x], self.least[x], m)
+                    found.append((asked[lo:hi][who], row + i, score))
+        if found:
+            who, row, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            who, row, score = _ranked(who, row, score, self.least[row], m)
+            yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(who)), b.column(4).take(pa.array(who)), pa.array(score), pa.array(self.least[row]), self.ids.take(pa.array(row))], names=["h1", "h2", "score", "least", "ids"])
+
+
+def _calibrate(spark: SparkSession, placed: DataFrame, cells: Cells, q: np.ndarray, k: int, target: float) -> int:
+    """The number of cells to visit, from brute force of a few queries, which the trees do not know, over all rows."""
+    if not len(q):
+        return 1
+    asked = spark.sparkContext.broadcast(pickle.dumps(q))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, ids = pickle.loads(asked.value)
+        a = pickle.loads(asked.value)
         for b in batches:
-            x, xid, leaf = _matrix(b.column(1)), b.column(0).to_numpy(), b.column(2).to_numpy()
-            who, near, s = _top(a, ids, x, xid, k)
-            at = dict(zip(xid.tolist(), leaf.tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(s), pa.array(near), pa.array([at[i] for i in near.tolist()], pa.int32())], names=["query_id", "score", "vec_id", "leaf"])
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                x, cell = _matrix(part.column(2)), part.column(4).to_numpy()
+                who, row, s = _top(a, x, np.arange(len(x)), k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(s), part.column(0).take(pa.array(row)), pa.array(cell[row])], names=["query", "score", "h1", "cell"])
 
-    met = placed.mapInArrow(brute, "query_id bigint, score double, vec_id bigint, leaf int")
+    met = placed.mapInArrow(brute, "query bigint, score double, h1 bigint, cell bigint")
     true: dict[int, list[int]] = {}
-    for r in _best(met, k).collect():  # CALIBRATION queries with k rows each
-        true.setdefault(r["query_id"], []).append(r["leaf"])
+    for r in _best(met, ["query"], F.desc("score"), "h1", k=k + 1).collect():  # CALIBRATION queries with k + 1 rows each
+        if r["rank"] > 1:  # the first is the query itself
+            true.setdefault(r["query"], []).append(r["cell"])
     need: list[int] = []
-    by_id = {int(i): j for j, i in enumerate(qid)}
     for query, wanted in true.items():
-        met_rows, at = 0, {}
-        for leaf in tree.visit(_unit(q[by_id[query]][None])[0]):
-            met_rows += counts.get(leaf, 0)
-            at.setdefault(leaf, met_rows)
-            if all(w in at for w in wanted):
-                break
+        at: dict[int, int] = {}
+        left = set(wanted)
+        for i, cell in enumerate(cells.visit(_unit(q[query][None])[0])):
+            if cell in left:
+                at[cell] = i + 1
+                left.discard(cell)
+                if not left:
+                    break
         need += [at[w] for w in wanted]
     return int(np.quantile(need, target, method="higher")) if need else 1
 
