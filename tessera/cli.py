@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 from pathlib import Path
+from typing import Protocol
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.misc import route
@@ -15,6 +17,12 @@ from tessera.runtime import settle
 from tessera.sources import artifacts, issues
 
 
+class Retriever(Protocol):
+    """Ranks a batch of questions (query_id, question): rows (query_id, rank, id, text)."""
+
+    def __call__(self, queries: DataFrame) -> DataFrame: ...
+
+
 def client_factory(s: artifacts.Settings):
     options = {} if s.llm_provider == "mock" else {"base_url": s.llm_base_url, "model": s.llm_model, "api_key": s.llm_api_key}
     models.make_client(s.llm_provider, **options)  # fails here, not on an executor
@@ -49,20 +57,43 @@ def ask(index: dict, question: str, mode: str = "auto", top_k: int = 8) -> tuple
     return mode, local.context(g, q, local.search(g, q, top_k)).collect()
 
 
-def build_vectors(index: dict, settings: artifacts.Settings, path: str) -> dict[str, int]:
-    """Embed the index's units, entities and reports into a vector store; points of each kind."""
+def build_vectors(index: dict, settings: artifacts.Settings, path: str, batch_size: int = 32, timings: dict | None = None) -> dict[str, int]:
+    """Embed the index's units, entities and reports into a vector store, in batches; points of each kind.
+
+    timings, if given, gets the milliseconds of loading the model, of embedding each kind and of the upsert.
+    """
     spark, provider, model = index["text_units"].sparkSession, settings.embedding_provider, settings.embedding_model
-    make = lambda: dense.make_embedder(provider, model)
-    docs = chunk.vector_documents(index["text_units"], index["entities"], index["community_reports"])
-    store = dense.VectorStore(spark, path, make().dim)
-    store.upsert(settle(dense.embed(docs, make).where("vector IS NOT NULL"), "embedded"))
-    return {r["kind"]: r["n"] for r in store.frame().groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    make, took = (lambda: dense.make_embedder(provider, model, batch_size)), {} if timings is None else timings
+
+    def clock(what: str, run):
+        began = time.perf_counter()
+        out = run()
+        took[what] = (time.perf_counter() - began) * 1000
+        return out
+
+    dim = clock("model_load", lambda: make().dim)
+    parts = {"text_unit": (index["text_units"], None, None), "entity": (None, index["entities"], None), "community_report": (None, None, index["community_reports"])}
+    done = [clock(f"embed_{kind}", lambda f=frames: settle(dense.embed(chunk.vector_documents(*f), make).where("vector IS NOT NULL"), "embedded")) for kind, frames in parts.items()]
+    with dense.VectorStore(spark, path, dim) as store:
+        clock("upsert", lambda: store.upsert(done[0].unionByName(done[1]).unionByName(done[2])))
+        return {r["kind"]: r["n"] for r in store.frame().groupBy("kind").agg(F.count("*").alias("n")).collect()}
+
 
+def retrievers(index: dict, settings: artifacts.Settings, vectors: str | None = None, top_k: int = 8, depth: int = fusion.FUSION_DEPTH, rrf_k: int = fusion.RRF_K, timings: dict | None = None) -> dict[str, Retriever]:
+    """Batch retrievers by mode; the dense ones need a vector store with text units at `vectors`.
 
-def retrievers(index: dict, settings: artifacts.Settings, vectors: str | None = None, top_k: int = 8) -> dict:
-    """Batch retrievers by mode; the dense ones need a vector store with text units at `vectors`."""
-    u, reports = index["text_units"], index["community_reports"]
-    bm25, graph_ = lexical.build_index(u), local.build(index["nodes"], index["edges"], reports, u)
+    timings, if given, gets the milliseconds of each step of the set-up.
+    """
+    u, reports, took = index["text_units"], index["community_reports"], {} if timings is None else timings
+
+    def clock(what: str, run):
+        began = time.perf_counter()
+        out = run()
+        took[what] = (time.perf_counter() - began) * 1000
+        return out
+
+    bm25 = clock("bm25_index", lambda: lexical.build_index(u))
+    graph_ = clock("graph_index", lambda: local.build(index["nodes"], index["edges"], reports, u))
     glob = summary.context(reports, top_k).collect()
 
     def global_(q):
@@ -78,15 +109,23 @@ def retrievers(index: dict, settings: artifacts.Settings, vectors: str | None =
     if vectors is not None:
         provider, model = settings.embedding_provider, settings.embedding_model
         make = lambda: dense.make_embedder(provider, model)
-        frame = dense.VectorStore(u.sparkSession, vectors, make().dim).frame()
+        dim = clock("embedding_model_load", lambda: make().dim)
+        frame = clock("vector_store_open", lambda: dense.VectorStore(u.sparkSession, vectors, dim).frame())
         if not frame.where("kind = 'text_unit'").take(1):
             raise ValueError("the vector store holds no text units")
         near = lambda q, n: dense.vector_search(frame, q, make, n)
         modes["vector"] = lambda q: dense.results(near(q, top_k), frame)
-        modes["hybrid"] = lambda q: lexical.results(fusion.hybrid(lambda x, n: lexical.search(bm25, x, n), near, q, top_k), u)
+        modes["hybrid"] = lambda q: lexical.results(fusion.hybrid(lambda x, n: lexical.search(bm25, x, n), near, q, top_k, depth, rrf_k), u)
     return modes
 
 
+def regenerate_reports(index: dict, client, home: str) -> DataFrame:
+    """Write the communities' reports anew, best rated first, in the place of the old ones."""
+    new = settle(models.reports(index["nodes"], index["edges"], client, regenerate=True), "reports")
+    new.write.mode("overwrite").parquet(f"{home}/community_reports")
+    return new
+
+
 def prompt_context(rows: list) -> str:
     return "\n\n".join(f"### {r['id']} | score={r['score']:.3f}\n\n{r['text']}" for r in rows)
 
@@ -110,10 +149,21 @@ def main(argv: list[str] | None = None) -> None:
     sub.add_parser("regenerate-reports")
     c = sub.add_parser("evaluate")
     c.add_argument("cases")
-    c.add_argument("--out", default="eval")
-    c.add_argument("--vectors", action="store_true")
-    sub.add_parser("build-vectors")
+    c.add_argument("--out", default="eval", help="folder of results.md and of the table results_csv")
+    c.add_argument("--modes", nargs="+", choices=evaluation.MODES, default=["naive", "local", "global"])
+    c.add_argument("--all-modes", action="store_true", help="every mode on every case, whatever its category")
+    c.add_argument("--top-k", type=int, default=8)
+    c.add_argument("--repeats", type=int, default=3, help="runs whose median time counts")
+    c.add_argument("--one-by-one", action="store_true", help="time each question alone instead of the batch")
+    c.add_argument("--fusion-depth", type=int, default=fusion.FUSION_DEPTH)
+    c.add_argument("--rrf-k", type=int, default=fusion.RRF_K)
+    sub.add_parser("build-vectors").add_argument("--batch-size", type=int, default=32)
+    c = sub.add_parser("demo")
+    c.add_argument("--port", type=int, default=8501)
     a = p.parse_args(argv)
+    for name in ("top_k", "repeats", "fusion_depth", "rrf_k", "batch_size"):
+        if getattr(a, name, 1) < 1:
+            p.error(f"--{name.replace('_', '-')} must be at least 1")
     spark, s = SparkSession.builder.appName("tessera").getOrCreate(), artifacts.load_settings()
     home = f"{s.processed_data_dir}/index"
     if a.command == "fetch":
@@ -145,18 +195,23 @@ def main(argv: list[str] | None = None) -> None:
         elif a.command == "relations":
             inspection.relations_labelled(index["edges"], a.label).show(50, truncate=False)
         elif a.command == "build-vectors":
-            print(json.dumps(build_vectors(index, s, s.vector_dir)))
+            took: dict = {}
+            print(json.dumps({"points": build_vectors(index, s, s.vector_dir, a.batch_size, took), "ms": took}))
+        elif a.command == "demo":
+            from tessera import app
+
+            app.serve(index, client_factory(s), a.port)
         elif a.command == "regenerate-reports":
-            models.reports(index["nodes"], index["edges"], client_factory(s), regenerate=True).write.mode("overwrite").parquet(f"{home}/community_reports_new")
+            regenerate_reports(index, client_factory(s), home)
         else:
             cases = evaluation.load_cases(spark, a.cases)
-            began = evaluation.time.perf_counter()
-            run = retrievers(index, s, s.vector_dir if a.vectors else None)
-            setup = {"retrievers": (evaluation.time.perf_counter() - began) * 1000}
-            rows = evaluation.sweep(cases, run, index["text_units"], index["community_reports"], index["nodes"])
+            setup: dict = {}
+            dense_ = {"vector", "hybrid"} & set(a.modes)
+            run = retrievers(index, s, s.vector_dir if dense_ else None, a.top_k, a.fusion_depth, a.rrf_k, setup)
+            rows = settle(evaluation.sweep(cases, run, index["text_units"], index["community_reports"], index["nodes"], a.modes, a.all_modes, a.top_k, a.repeats, a.one_by_one), "metrics")
             artifacts.write_metrics_csv(rows, f"{a.out}/results_csv")
             Path(a.out).mkdir(parents=True, exist_ok=True)
-            Path(f"{a.out}/results.md").write_text(artifacts.metrics_markdown(rows, evaluation.summarize(rows), setup, {"cases": a.cases, "top_k": 8}), encoding="utf-8")
+            Path(f"{a.out}/results.md").write_text(artifacts.metrics_markdown(rows, evaluation.summarize(rows), setup, {"cases": a.cases, "modes": ", ".join(a.modes), "top_k": a.top_k, "repeats": a.repeats, "fusion_depth": a.fusion_depth, "rrf_k": a.rrf_k}), encoding="utf-8")
             print(json.dumps(setup))
 
 

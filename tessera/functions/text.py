@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # The stop words of the two tokenizers, and the query expansions.
 STOP_COMMON = (
-    "a an the is are was were be been being to of for in on with and or by from "
-    "how what why which who where when can could should would about"
-).split()
-STOP_LOCAL = STOP_COMMON + "main repo repository issue issues technical contribution opportunities".split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "to", "of", "for", "in", "on", "with", "and", "or", "by", "from",
+    "how", "what", "why", "which", "who", "where", "when", "can", "could", "should", "would", "about",
+)
+STOP_LOCAL = (*STOP_COMMON, "main", "repo", "repository", "issue", "issues", "technical", "contribution", "opportunities")
 EXPANSIONS = {
     "graph": ["graph", "graph-rag", "graph_rag", "graphrag"],
     "rag": ["rag", "graph-rag", "document-rag", "graph_rag", "document_rag"],
@@ -23,6 +23,9 @@ EXPANSIONS = {
 }
 #: All characters that count as white space in Unicode, as a character class.
 SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+#: The same characters one by one.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# What a token is, and what separates its parts.
 TOKEN, SEPARATORS = r"[a-z0-9][a-z0-9_\-.]*", r"[_\-.]+"
 
 
@@ -35,7 +38,8 @@ def words_array(words) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(_text(c), f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at the ends; looks at the ends alone."""
+    return F.btrim(_text(c), F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -56,21 +60,25 @@ def raw_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(_text(c)), F.lit(TOKEN), F.lit(0))
 
 
+def _whole(token: Column) -> Column:
+    """Whether a token has no separator, so that no pattern has to split it."""
+    return F.translate(token, "_-.", "") == token
+
+
 def bm25_tokens(c: Column) -> Column:
     """Tokens and their parts, with repeats: a token without separators stands twice."""
-    both = F.flatten(F.transform(raw_tokens(c), lambda t: F.concat(F.array(t), F.split(t, SEPARATORS))))
-    return F.filter(both, lambda w: (w != "") & ~F.array_contains(words_array(STOP_COMMON), w))
+    both = F.flatten(F.transform(raw_tokens(c), lambda t: F.when(_whole(t), F.array(t, t)).otherwise(F.concat(F.array(t), F.split(t, SEPARATORS)))))
+    return F.filter(both, lambda w: (w != "") & ~w.isin(*STOP_COMMON))
 
 
 def local_tokens(c: Column) -> Column:
     """Distinct tokens, their parts and one level of expansions; a stop word's parts are left out with it."""
-    stop = words_array(STOP_LOCAL)
-    kept = F.filter(raw_tokens(c), lambda t: ~F.array_contains(stop, t))
-    both = F.flatten(F.transform(kept, lambda t: F.concat(F.array(t), F.split(t, SEPARATORS))))
-    plain = F.array_distinct(F.filter(both, lambda w: (w != "") & ~F.array_contains(stop, w)))
+    kept = F.filter(raw_tokens(c), lambda t: ~t.isin(*STOP_LOCAL))
+    both = F.flatten(F.transform(kept, lambda t: F.when(_whole(t), F.array(t)).otherwise(F.concat(F.array(t), F.split(t, SEPARATORS)))))
+    words = F.array_distinct(F.filter(both, lambda w: (w != "") & ~w.isin(*STOP_LOCAL)))
     more = F.create_map(*(x for k, v in EXPANSIONS.items() for x in (F.lit(k), words_array(v))))
-    grown = F.flatten(F.transform(plain, lambda w: F.coalesce(F.try_element_at(more, w), F.array().cast("array<string>"))))
-    return F.array_union(plain, grown)
+    grow = lambda p: F.array_union(p, F.flatten(F.transform(F.filter(p, lambda w: w.isin(*EXPANSIONS)), lambda w: F.try_element_at(more, w))))
+    return F.element_at(F.transform(F.array(words), grow), 1)  # bound, so that the words are worked out once
 
 
 def overlap_score(query: Column, tokens: Column) -> Column:

@@ -12,14 +12,21 @@ def chunk_array(text, max_chars: int = 2500, overlap: int = 250):
     """Array of stripped, non-empty windows of max_chars that start every max_chars - overlap."""
     if max_chars <= overlap:
         raise ValueError("max_chars must be larger than overlap")
-    step, t = max_chars - overlap, strip(text)
-    last = F.greatest(F.lit(1), F.ceil((F.char_length(t) - overlap) / step).cast("int")) - 1
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: strip(t.substr(i * step + 1, F.lit(max_chars))))
-    return F.filter(parts, lambda p: p != "")
+    step = max_chars - overlap
+
+    def cut(t):
+        last = F.greatest(F.lit(1), F.ceil((F.char_length(t) - overlap) / step).cast("int")) - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: strip(t.substr(i * step + 1, F.lit(max_chars))))
+
+    # an array of one element binds the stripped text, so that it is worked out once a document, not once a chunk
+    return F.filter(F.flatten(F.transform(F.array(strip(text)), cut)), lambda p: p != "")
 
 
 def text_units(documents: DataFrame, max_chars: int = 2500, overlap: int = 250) -> DataFrame:
-    """One row a chunk: order counts the kept chunks of a document; seq follows the documents' seq."""
+    """One row a chunk: order counts the kept chunks of a document; seq follows the documents' seq.
+
+    A text of 2 GB, the largest that a string holds, has fewer than the million chunks that seq leaves room for.
+    """
     own = documents.columns
     d = documents.withColumn("__parts", chunk_array(F.col("text"), max_chars, overlap))
     rest = [c for c in ("source_type", "url", "metadata") if c in own]

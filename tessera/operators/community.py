@@ -6,11 +6,11 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import components
-from tessera.runtime import settle, ship
+from tessera.runtime import numbered, settle, ship
 
 
 def greedy_modularity(nodes: list[int], edges: list[tuple[int, int, float]], total: float) -> list[list[int]]:
@@ -51,22 +51,17 @@ def greedy_modularity(nodes: list[int], edges: list[tuple[int, int, float]], tot
     return list(members.values())
 
 
-def detect(nodes: DataFrame, edges: DataFrame, largest: int = 200_000) -> DataFrame:
-    """(name, community_id, approximate): communities numbered by size, then by their first node.
+def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, community_id): communities numbered by size, then by their first node.
 
-    Merging never gains across connected components, so each component is one group
-    task, with the whole graph's weight. Components of more than `largest` edges would
-    not fit one task: they are split by rounds of weighted label propagation instead,
-    and flagged approximate.
+    Merging never gains across connected components, so each component is one group task,
+    with the whole graph's weight; the merging itself is one sequence of steps by nature,
+    so a component's edges have to fit into its task (about 300 bytes each).
     """
     ship(nodes.sparkSession)
     part = settle(components(nodes, edges).join(nodes.select("name", "seq"), "name"), "component-nodes")
     total = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
     tagged = edges.select("u", "v", F.col("weight").cast("double").alias("w")).join(part.select(F.col("name").alias("u"), "component", F.col("seq").alias("us")), "u").join(part.select(F.col("name").alias("v"), F.col("seq").alias("vs")), "v")
-    tagged = settle(tagged.select("component", "u", "v", "us", "vs", "w"), "component-edges")
-    size = tagged.groupBy("component").agg(F.count("*").alias("n"))
-    big = size.where(F.col("n") > largest).select("component")
-    fine = tagged.join(big, "component", "left_anti")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         seqs = dict(zip(rows["u"], rows["us"], strict=True)) | dict(zip(rows["v"], rows["vs"], strict=True))
@@ -76,26 +71,11 @@ def detect(nodes: DataFrame, edges: DataFrame, largest: int = 200_000) -> DataFr
         out = [(order[m], order[min(group)]) for group in greedy_modularity(list(range(len(order))), pairs, total) for m in group]
         return pd.DataFrame(out, columns=["name", "head"])
 
-    solved = fine.groupBy("component").applyInPandas(solve, "name string, head string").withColumn("approximate", F.lit(False))
-    spread = tagged.join(big, "component", "left_semi")
-    if not spread.isEmpty():
-        solved = solved.unionByName(_propagate(spread))
-    all_ = part.join(solved, "name", "left").select("name", "seq", F.coalesce("head", "name").alias("head"), F.coalesce("approximate", F.lit(False)).alias("approximate"))
+    solved = tagged.groupBy("component").applyInPandas(solve, "name string, head string")
+    all_ = settle(part.join(solved, "name", "left").select("name", "seq", F.coalesce("head", "name").alias("head")), "communities")
     groups = all_.groupBy("head").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    numbered = groups.select("head", (F.row_number().over(Window.orderBy(F.desc("n"), "first", "head")) - 1).cast("int").alias("community_id"))
-    return all_.join(numbered, "head").select("name", "community_id", "approximate")
-
-
-def _propagate(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """Each node takes the label with the most weight around it, half of the nodes in each round."""
-    both = settle(edges.select("u", "v", "w").union(edges.select("v", "u", "w")), "propagation")
-    label = settle(both.select(F.col("u").alias("name"), F.col("u").alias("head")).distinct(), "labels")
-    for i in range(rounds):
-        votes = both.join(label.select(F.col("name").alias("v"), "head"), "v").groupBy("u", "head").agg(F.sum("w").alias("w"))
-        won = votes.groupBy("u").agg(F.max_by("head", F.struct("w", "head")).alias("won"))
-        turn = F.pmod(F.xxhash64("name"), F.lit(2)) == i % 2
-        label = settle(label.join(won, label["name"] == won["u"], "left").select("name", F.when(turn, F.coalesce("won", "head")).otherwise(F.col("head")).alias("head")), "labels")
-    return label.withColumn("approximate", F.lit(True))
+    ranked = numbered(groups, "community_id", F.desc("n"), "first", "head").select("head", F.col("community_id").cast("int").alias("community_id"))
+    return all_.join(ranked, "head").select("name", "community_id")
 
 
 def attach(nodes: DataFrame, communities: DataFrame) -> DataFrame:

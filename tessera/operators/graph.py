@@ -12,7 +12,8 @@ from tessera.runtime import small
 
 
 def union_sorted(c: str) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
+    """The sorted union of arrays; equal ones combine before the shuffle."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>"))))))
 
 
 def first_where(value: str, cond: Column, default: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import shorten
@@ -35,7 +35,10 @@ def largest_components(nodes: DataFrame, edges: DataFrame, top: int = 10) -> Dat
 def communities(nodes: DataFrame) -> DataFrame:
     """(community, size, sample): nodes without a community stand under NA."""
     c = F.coalesce(F.col("community_id").cast("string"), F.lit("NA"))
-    return nodes.groupBy(c.alias("community")).agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list("name")), 1, 8).alias("sample")).orderBy(F.desc("size"), "community")
+    n = nodes.select(c.alias("community"), "name")
+    few = n.withColumn("rank", F.row_number().over(Window.partitionBy("community").orderBy("name"))).where("rank <= 8")
+    sample = few.groupBy("community").agg(F.array_sort(F.collect_list("name")).alias("sample"))
+    return n.groupBy("community").agg(F.count("*").alias("size")).join(sample, "community").orderBy(F.desc("size"), "community")
 
 
 def find_entity(nodes: DataFrame, name: str, top: int = 20) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SEPARATORS, STOP_COMMON, bm25_tokens, raw_tokens
+from tessera.functions.text import bm25_tokens
 from tessera.runtime import settle, small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -24,16 +24,13 @@ class Bm25Index:
 def build_index(units: DataFrame) -> Bm25Index:
     """Index "{title}, newline, {text}" of each unit; units without a token are left out.
 
-    Raw tokens are counted before they are split into parts, so each distinct token is
-    split once a unit. The postings are written once; three numbers reach the driver.
+    A unit's length is known from its own tokens, so one aggregation makes the postings. They
+    are written once; three numbers reach the driver.
     """
     text = F.concat_ws("\n", F.coalesce("document_title", F.lit("")), F.coalesce("text", F.lit("")))
-    raw = units.select("id", "seq", F.explode(raw_tokens(text)).alias("raw")).groupBy("id", "seq", "raw").agg(F.count("*").alias("n"))
-    terms = raw.select("id", "seq", "n", F.explode(F.concat(F.array("raw"), F.split("raw", SEPARATORS))).alias("term"))
-    terms = terms.where((F.col("term") != "") & ~F.col("term").isin(*STOP_COMMON))
-    tf = terms.groupBy("id", "seq", "term").agg(F.sum("n").alias("tf"))
-    length = tf.groupBy("id", "seq").agg(F.sum("tf").alias("dl"))
-    postings = settle(tf.join(length, ["id", "seq"]), "postings")
+    terms = units.select("id", "seq", F.explode(F.array(bm25_tokens(text))).alias("t"))  # bound, so that it is worked out once
+    terms = terms.select("id", "seq", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term"))
+    postings = settle(terms.groupBy("id", "seq", "dl", "term").agg(F.count("*").alias("tf")), "postings")
     stats = postings.select("id", "seq", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     n = stats["n"]
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

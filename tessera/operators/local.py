@@ -98,6 +98,13 @@ def rank_sources(index: GraphIndex, queries: DataFrame, source_scores: DataFrame
     return _rank(both.groupBy("query_id", "id", "seq").agg(F.round(F.sum("s"), 12).alias("score")).where("score > 0"), "seq")
 
 
+def source_scores(index: GraphIndex, edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(query_id, source_id, score): an edge gives its score to each of its sources, a chosen node 0.5."""
+    by_edge = index.edges.select("u", "v", "source_ids").join(small(edges.select("query_id", "u", "v", "score")), ["u", "v"]).select("query_id", F.explode("source_ids").alias("source_id"), "score")
+    by_node = index.nodes.select("name", "source_ids").join(small(chosen), "name").select("query_id", F.explode("source_ids").alias("source_id"), F.lit(0.5).alias("score"))
+    return by_edge.union(by_node).groupBy("query_id", "source_id").agg(F.sum("score").alias("score"))
+
+
 @dataclass(frozen=True)
 class LocalResult:
     nodes: DataFrame
@@ -108,15 +115,14 @@ class LocalResult:
 
 def search(index: GraphIndex, queries: DataFrame, top_k: int = 8) -> LocalResult:
     """What a local context shows of each question, as ranked frames."""
+    if top_k < 1:
+        raise ValueError("top_k must be at least 1")
     q = settle(asked(queries), "local-queries")
     nodes = settle(rank_nodes(index, q), "ranked-nodes")
     seeds = nodes.where(F.col("rank") <= max(top_k, 8))
     edges = settle(rank_edges(index, q, seeds).where(F.col("rank") <= max(4 * top_k, 24)), "ranked-edges")
     chosen = settle(seeds.select("query_id", "name").union(edges.select("query_id", "u")).union(edges.select("query_id", "v")).distinct(), "selected")
-    by_edge = index.edges.select("u", "v", "seq", "source_ids").join(small(edges.select("query_id", "u", "v", "score")), ["u", "v"]).select("query_id", F.explode("source_ids").alias("source_id"), "score")
-    by_node = index.nodes.select("name", "source_ids").join(small(chosen), "name").select("query_id", F.explode("source_ids").alias("source_id"), F.lit(0.5).alias("score"))
-    scores = by_edge.union(by_node).groupBy("query_id", "source_id").agg(F.sum("score").alias("score"))
-    reports, sources = rank_reports(index, q, chosen), rank_sources(index, q, scores)
+    reports, sources = rank_reports(index, q, chosen), rank_sources(index, q, source_scores(index, edges, chosen))
     top = F.max("score").over(Window.partitionBy("query_id"))
     reports = reports.withColumn("least", F.greatest(F.lit(1.5), top * 0.55)).where((F.col("rank") <= min(top_k, 5)) & (F.col("score") >= F.col("least"))).drop("least")
     sources = sources.withColumn("least", F.greatest(F.lit(2.0), top * 0.20)).where((F.col("rank") <= min(top_k, 6)) & (F.col("score") >= F.col("least"))).drop("least")

@@ -15,43 +15,79 @@ from tessera.functions.misc import json_object
 from tessera.functions.names import extracted_relation
 from tessera.functions.text import collapse
 from tessera.operators.community import complete, payloads
+from tessera.runtime import numbered
 from tessera.sources.schemas import EXTRACTION
 
-EXTRACT_PROMPT = """Read the passage and list the technical entities it names and how they relate.
-Answer in strict JSON with two lists:
-"entities": objects with "name", "type" and "description";
-"relationships": objects with "source", "target", "relation", "description" and "weight".
-Use only what the passage says.
+EXTRACT_PROMPT = """Build a small knowledge graph from a passage of a software project: an issue, a change or a document.
+
+What counts as an entity:
+* algorithms, modules, files, APIs, tools, services, features, defects, and issue or change numbers;
+* not everyday words, unless the project gives them a meaning of their own;
+* one name for one thing: where the passage uses an abbreviation and the full form, take the better known one.
+
+What counts as a relationship:
+* a short verb as its label, in snake case: uses, depends_on, affects, improves, fixes, proposes, combines, conflicts_with, mentions;
+* only what the passage states; let the description say where it does.
+
+Answer in strict JSON and nothing else:
+{"entities": [{"name": "Kafka", "type": "TOOL", "description": "message broker behind the consumer"}],
+ "relationships": [{"source": "Consumer", "target": "Kafka", "relation": "depends_on", "description": "reads its topics", "weight": 1.0}]}
 
 Passage:
 {text}
 """
-REPORT_PROMPT = """Write a community report on the group below for someone new to the project.
-Answer in strict JSON with "title", "summary" and "rating" (1 to 10, how much it matters).
-The data hold the group's entities and relationships.
+REPORT_PROMPT = """Write a community report on one group of a project's knowledge graph.
+Readers use it to search the whole project, to sort its issues, and to find work that they could take on.
+Take facts from the community data alone; add no issue number, file or feature.
+
+Cover, in Markdown bullets:
+* theme: what holds the group together;
+* key entities: the files, modules, APIs, tools and issues that matter most;
+* opportunities: what could be built, fixed or looked into, as concretely as the data allow;
+* evidence: what the data support, and what stays open.
+
+How to rate, from 1 to 5:
+* 5: work that someone could start at once;
+* 4: a useful theme that several entities share;
+* 3: relevant, with thin evidence;
+* 2: narrow, or loosely connected;
+* 1: a single entity, or of little use.
+
+Answer in strict JSON and nothing else:
+{"title": "a short and specific title", "summary": "the bullets", "rating": 3.0}
 
 Community data:
 {community_data}
 """
 MAP_PROMPT = """From the reports below, list the points that help to answer the question.
-Answer in JSON: "points", each with "description" and "score" from 0 to 100.
+Answer in strict JSON and nothing else:
+{"points": [{"description": "what a report says", "score": 75}]}
+Score a point from 0 to 100 by how much it helps; 0 means not at all.
 
-Question: {question}
+Question:
+{question}
 
 Reports:
 {reports}
 """
-REDUCE_PROMPT = """Answer the question from the points below, and say where they leave it open.
+REDUCE_PROMPT = """Answer the question from the ranked points below.
+Join points that say the same, claim nothing beyond them, say where they are weak or silent, and keep to short bullets.
 
-Question: {question}
+Question:
+{question}
 
 Points:
 {points}
 """
-ANSWER_PROMPT = """Answer the question from the context alone, and name the sources in brackets that you use.
-Say so if the context does not hold the answer.
+ANSWER_PROMPT = """Answer a question about a software project from the context alone.
 
-Question: {question}
+* Where the parts of the context disagree, trust the sources first: the direction of a relationship may be wrong, its description less so.
+* Reports give the background, entities the concepts, relationships the links, sources the wording.
+* Name the issues that you rely on; a bare community number is no source.
+* If something is missing, say what. Be brief and technical.
+
+Question:
+{question}
 
 Context:
 {context}
@@ -131,7 +167,8 @@ def parse_extractions(answers: DataFrame, permissive: bool = False) -> tuple[Dat
         e = e.withColumn("e", F.col("e").withField("name", need(F.col("e.name"), "a name")))
         for k in ("source", "target", "relation"):
             r = r.withColumn("r", F.col("r").withField(k, need(F.col(f"r.{k}"), k)))
-    at = (F.col("seq") * 10_000 + F.col("i")).alias("seq")
+    few = F.when(F.col("i") < 10_000, F.col("i")).otherwise(F.raise_error(F.lit("an answer names 10,000 things or more")))
+    at = (F.col("seq") * 10_000 + few).alias("seq")
     entities = e.select(collapse(F.col("e.name")).alias("name"), F.coalesce("e.type", F.lit("CONCEPT")).alias("type"), F.coalesce("e.description", F.lit("")).alias("description"), ids, at).where("name <> ''")
     relations = r.select(collapse(F.col("r.source")).alias("source"), collapse(F.col("r.target")).alias("target"), extracted_relation(F.col("r.relation")).alias("relation"), F.coalesce("r.description", F.lit("")).alias("description"), F.coalesce("r.weight", F.lit(1.0)).alias("weight"), ids, at)
     return entities, relations.where("source <> '' AND target <> '' AND source <> target")
@@ -146,16 +183,16 @@ def extract(units: DataFrame, client) -> tuple[DataFrame, DataFrame]:
 def reports(nodes: DataFrame, edges: DataFrame, client, regenerate: bool = False) -> DataFrame:
     """A report on each community. An answer that is not JSON is the summary itself, rated 1.
 
-    seq: by community id, or, when regenerated, by rating and number of entities, largest first.
+    seq: by community id, or, when regenerated, by rating and number of entities, largest first; then
+    nodes without a community make one of their own, -1.
     """
-    from pyspark.sql import Window
-
-    p = payloads(nodes, edges)
+    p = payloads(nodes.withColumn("community_id", F.coalesce("community_id", F.lit(-1))) if regenerate else nodes, edges)
     asked = p.withColumn("prompt", F.replace(F.lit(REPORT_PROMPT), F.lit("{community_data}"), F.col("payload")))
     a = complete(asked, "prompt", client).withColumn("j", json_object(F.col("answer"))).withColumn("x", F.from_json("j", "title string, summary string, rating double"))
     title = F.coalesce(F.nullif("x.title", F.lit("")), F.concat(F.lit("Community "), F.col("community_id").cast("string")))
     summary = F.when(F.col("j").isNull(), F.btrim("answer")).otherwise(F.coalesce("x.summary", F.lit("")))
     out = a.select(F.col("community_id").cast("string").alias("id"), title.alias("title"), summary.alias("summary"), "entity_names", "source_ids", F.coalesce("x.rating", F.lit(1.0)).alias("rating"), F.col("community_id").cast("bigint").alias("seq"))
     if regenerate:
-        out = out.withColumn("seq", F.row_number().over(Window.orderBy(F.desc("rating"), F.desc(F.size("entity_names")), "seq")).cast("bigint") - 1)
+        out = out.withColumn("__size", F.size("entity_names")).withColumnRenamed("seq", "__seq")
+        out = numbered(out, "seq", F.desc("rating"), F.desc("__size"), "__seq").drop("__size", "__seq")
     return out

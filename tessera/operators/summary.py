@@ -12,6 +12,8 @@ from tessera.operators.models import MAP_PROMPT, REDUCE_PROMPT
 
 def top_reports(reports: DataFrame, top_k: int = 8) -> DataFrame:
     """The best rated reports, whatever the question; ties by seq."""
+    if top_k < 1:
+        raise ValueError("top_k must be at least 1")
     return reports.orderBy(F.desc("rating"), "seq").limit(top_k)
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.misc import json_object, point_id, route
 from tessera.functions.names import canonical_entity, canonical_relation
-from tessera.functions.text import bm25_tokens, local_tokens, normalize, overlap_score, shorten
+from tessera.functions.text import bm25_tokens, contains_term, local_tokens, normalize, overlap_score, shorten, stable_id, unique
 from tessera.operators import chunk, community, dense, evaluation, fusion, graph, inspection, lexical, local, models, summary
 from tessera.plans import sql
-from tessera.runtime import settle, table
+from tessera.runtime import settle, small, table
 from tessera.sources.issues import table_documents, table_entities, table_relationships
 
 # --- inputs ---------------------------------------------------------------------------------------
@@ -67,7 +67,7 @@ def chunk_documents(s, d):
 
 def stable_ids(s, d):
     o = table(s, d, "orders")
-    return o.select("o_orderkey", F.md5(F.concat_ws("::", F.lit("order"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))).alias("stable_id"))
+    return o.select("o_orderkey", stable_id(F.lit("order"), F.col("o_orderkey"), F.col("o_custkey")).alias("stable_id"))
 
 
 def shorten_text(s, d):
@@ -107,6 +107,13 @@ def kind_filter_count(s, d):
     return vectors(s, d).withColumn("kind", F.concat(F.lit("kind-"), F.col("label"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def kind_filter_topk(s, d):
+    """Nearest vectors of one kind."""
+    v = vectors(s, d).withColumn("kind", F.concat(F.lit("kind-"), F.col("label")))
+    hits = dense.nearest(v, vector_queries(s, d), 3, "kind-1")
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "source_id", F.round("score", 6).alias("score"))
+
+
 def rrf_fusion(s, d):
     v = vectors(s, d)
     a = dense.nearest(v, vector_queries(s, d), 20).select("query_id", F.col("source_id").alias("id"), "rank")
@@ -155,16 +162,24 @@ def graph_edges(s, d):
     return e.select("u", "v", F.array_join("relations", "|").alias("relations"), F.round("weight", 6).alias("weight"), F.size("source_ids").cast("bigint").alias("n_sources"), F.md5(F.array_join("source_ids", "|")).alias("sources_md5"), F.size("descriptions").cast("bigint").alias("n_descriptions"))
 
 
-def graph_renormalize(s, d):
+def _renormalized(s, d):
     """The supplier graph with its region names spelled in aliases of one name, and merged."""
     n, e = graph_tables(s, d)
     swap = lambda c: F.when(F.col(c) == "ASIA", "TG").when(F.col(c) == "EUROPE", "Trust Graph").otherwise(F.col(c)).alias(c)
     n = n.select(swap("name"), "type", "description", "source_ids", "seq")
-    e = e.select(swap("u"), swap("v"), "relations", "descriptions", "weight", "source_ids", "seq")
-    _, e2 = graph.renormalize(n, e)
+    return graph.renormalize(n, e.select(swap("u"), swap("v"), "relations", "descriptions", "weight", "source_ids", "seq"))
+
+
+def graph_renormalize(s, d):
+    e2 = _renormalized(s, d)[1]
     return e2.select("u", "v", F.array_join("relations", "|").alias("relations"), F.round("weight", 6).alias("weight"), F.size("source_ids").cast("bigint").alias("n_sources"))
 
 
+def graph_renormalize_nodes(s, d):
+    n2 = _renormalized(s, d)[0]
+    return n2.select("name", "type", "description", F.array_join("source_ids", "|").alias("source_ids"))
+
+
 def degree_topn(s, d):
     return inspection.top_by_degree(*graph_tables(s, d), 25)
 
@@ -178,19 +193,42 @@ def relation_counts(s, d):
 
 
 def connected_components(s, d):
-    n, e = graph_tables(s, d)
-    e = e.where("array_contains(relations, 'located_in')")
-    return graph.components(n.where("type <> 'CONCEPT'"), e)
+    return graph.components(*graph_tables(s, d))
 
 
 def graph_stats(s, d):
-    n, e = graph_tables(s, d)
-    return graph.stats(n, e.where("array_contains(relations, 'located_in')"))
+    return graph.stats(*graph_tables(s, d))
 
 
 def community_members(s, d):
+    return community.detect(*graph_tables(s, d))
+
+
+def community_invariants(s, d):
+    """One row on the communities of the whole graph: nodes with one, nodes with several, numbers without a gap, and
+    whether their modularity is at least that of single nodes."""
     n, e = graph_tables(s, d)
-    return community.detect(n, e.where("array_contains(relations, 'located_in')"))
+    e = settle(e.select("u", "v", "weight"), "edges")
+    c = settle(community.detect(n, e), "members")
+    total = e.agg(F.sum("weight").alias("w")).withColumn("k", F.lit(1))
+    ends = e.select(F.col("u").alias("name"), "weight").union(e.select("v", "weight"))
+    degree = ends.groupBy("name").agg(F.sum("weight").alias("d")).join(c, "name")
+    inner = e.join(c.select(F.col("name").alias("u"), F.col("community_id").alias("a")), "u").join(c.select(F.col("name").alias("v"), F.col("community_id").alias("b")), "v").where("a = b")
+    one = lambda df, x, name: df.agg(F.coalesce(F.sum(x), F.lit(0.0)).alias(name)).withColumn("k", F.lit(1))
+    sums = one(inner, F.col("weight"), "inside").join(one(degree.groupBy("community_id").agg(F.sum("d").alias("d")), F.col("d") * F.col("d"), "own"), "k").join(one(degree, F.col("d") * F.col("d"), "single"), "k").join(total, "k")
+    gain = F.col("inside") / F.col("w") - (F.col("own") - F.col("single")) / (4 * F.col("w") * F.col("w"))
+    held = c.groupBy("name").agg(F.count("*").alias("n")).agg(F.count("*").alias("members"), F.sum((F.col("n") > 1).cast("bigint")).alias("repeated")).withColumn("k", F.lit(1))
+    ids = c.agg((F.max("community_id") + 1 == F.count_distinct("community_id")).alias("numbered")).withColumn("k", F.lit(1))
+    return held.join(ids, "k").join(sums, "k").select("members", "repeated", "numbered", (gain >= 0).alias("not_below_single_nodes"))
+
+
+def community_listing(s, d):
+    """The regions' suppliers and nations as communities, largest first."""
+    n, _ = graph_tables(s, d)
+    nation = table(s, d, "nation")
+    sup = table(s, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), F.col("n_regionkey").alias("community_id"))
+    c = sup.union(nation.select("n_name", "n_regionkey"))
+    return inspection.communities(community.attach(n, c)).select("community", F.col("size").cast("bigint").alias("size"), F.array_join("sample", "|").alias("sample"))
 
 
 def report_sources(s, d):
@@ -219,8 +257,9 @@ def global_context(s, d):
 
 def _local(s, d):
     n, e = graph_tables(s, d)
-    u = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit("Note on "), F.col("n_name")).alias("text"), F.col("n_name").alias("document_title"), F.col("n_nationkey").cast("bigint").alias("seq"))
-    g = local.build(n, e.withColumn("source_ids", F.slice("source_ids", 1, 3)), reports_of(s, d), u)
+    # documents as the sources: those whose number is an order's or a supplier's are sources of the graph's edges
+    u = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.concat(F.lit("Document "), F.col("doc_id")).alias("document_title"), F.col("doc_id").alias("seq"))
+    g = local.build(n, e, reports_of(s, d), u)
     return g, settle(local.asked(local_questions(s)), "asked")
 
 
@@ -246,10 +285,10 @@ def rank_reports(s, d):
 
 def rank_sources(s, d):
     g, q = _local(s, d)
-    nodes = local.rank_nodes(g, q).where("rank <= 24").select("query_id", "name").join(g.nodes.select("name", "source_ids"), "name")
-    given = nodes.select("query_id", F.explode("source_ids").alias("source_id")).groupBy("query_id", "source_id").agg((F.count("*") * 0.5).alias("score"))
-    given = given.withColumn("source_id", F.regexp_replace("source_id", "^nation-", ""))
-    r = local.rank_sources(g, q, given)
+    seeds = local.rank_nodes(g, q).where("rank <= 8")
+    edges = settle(local.rank_edges(g, q, seeds).where("rank <= 32"), "ranked-edges")
+    chosen = seeds.select("query_id", "name").union(edges.select("query_id", "u")).union(edges.select("query_id", "v")).distinct()
+    r = local.rank_sources(g, q, local.source_scores(g, edges, chosen))
     return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -289,10 +328,10 @@ def _traces(s, d):
     q = questions(s, d).withColumn("term", normalize(F.col("question")))
     # a document can only hold a passage whose first word it holds; the words' join finds the candidates
     word = q.select("query_id", "term", F.split("term", " ").alias("w")).where("term <> ''").withColumn("key", F.array_join(F.slice("w", 1, 5), " "))
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.split("norm", " ")) - 5, F.lit(0))), lambda i: i)
-    at = docs.withColumn("w", F.split("norm", " ")).select("id", "norm", "w", F.explode(grams).alias("i"))
+    w = docs.withColumn("w", F.split("norm", " "))
+    at = w.select("id", "norm", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0)))).alias("i"))
     at = at.select("id", "norm", F.concat_ws(" ", *(F.get("w", F.col("i") + k) for k in range(5))).alias("key"))
-    hits = at.join(F.broadcast(word.select("query_id", "term", "key")) if word.count() <= 10_000 else word, "key").where(F.contains("norm", F.col("term"))).select("query_id", "id").distinct()
+    hits = at.join(small(settle(word.select("query_id", "term", "key"), "passages"), 10_000), "key").where(F.contains("norm", F.col("term"))).select("query_id", "id").distinct()
     want = hits.groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("expected"))
     u = settle(units(s, d), "units")
     found = lexical.search(lexical.build_index(u), questions(s, d))
@@ -306,9 +345,45 @@ def recall_mrr(s, d):
 
 
 def missing_sources(s, d):
-    t = _traces(s, d)
-    m = t.select("query_id", F.explode(evaluation.missing(F.col("expected"), F.col("source_documents"))).alias("document_id"))
-    return m
+    """Expected documents that were not found: those that hold the passage, and the one of the question's own number."""
+    t = _traces(s, d).withColumn("expected", F.concat("expected", F.array(F.concat(F.lit("doc-"), F.col("query_id")))))
+    return t.select("query_id", F.explode(evaluation.missing(F.col("expected"), F.col("source_documents"))).alias("document_id"))
+
+
+def trace_ids(s, d):
+    """Ids read back from a context of four sections, by mode, and their distinct documents in order."""
+    q = table(s, d, "benchmark")
+    tag = lambda p, k: F.concat(F.lit(f"[{p}"), F.col("item_id") + k, F.lit("] text"))
+    text = F.concat_ws("\n", F.lit("-----Reports-----"), tag("r", 0), tag("r", 2), F.lit("-----Entities-----"), F.lit("- [e1] x"), F.lit("-----Sources-----"), tag("u", 0), tag("u", 1), F.lit(" [u9] inside a line"), tag("u", 0))
+    modes = q.select("item_id", text.alias("context"), F.explode(F.array(*map(F.lit, evaluation.MODES))).alias("mode"))
+    mode, ids = F.col("mode"), F.array(F.lit("a"), F.lit(None), F.lit("b"), F.lit("a"), F.lit(""))
+    joined = lambda c: F.array_join(c, ",")
+    return modes.select("item_id", "mode", joined(evaluation.unit_ids(mode, unique(ids), F.col("context"))).alias("unit_ids"), joined(evaluation.community_ids(mode, F.col("context"))).alias("community_ids"))
+
+
+def entity_hits(s, d):
+    """Parts of each nation's context that are named in it, and those that are not."""
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    want = F.array(F.lower("n_name"), F.initcap("r_name"), F.lit("no such"), F.lit("--"))
+    text = F.concat(F.lit("The nation "), F.col("n_name"), F.lit(", in "), F.col("r_name"), F.lit("."))
+    found = evaluation.found_terms(text, want)
+    return n.select("n_name", (F.size(found) / F.size(want)).alias("entity_recall"), F.array_join(evaluation.missing(want, found), "|").alias("missing"), contains_term(text, F.lit("the NATION")).alias("holds"))
+
+
+def community_metrics(s, d):
+    """Reports of two regions retrieved, the second of them the one that names the expected nations."""
+    r = reports_of(s, d)
+    first = F.array(F.element_at("entity_names", 1), F.lit("Nowhere"))
+    t = r.select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("global"), F.lit("local"), F.lit("naive"))).alias("mode"), first.alias("expected_community_entities"), F.array(((F.col("seq") + 1) % 5).cast("string"), F.lit("gone"), F.col("id")).alias("community_ids"))
+    return evaluation.community_metrics(t, r)
+
+
+def report_documents(s, d):
+    """Documents of the reports' sources, in order of first appearance."""
+    u = table(s, d, "nation").select(F.concat(F.lit("nation-"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("d"), F.col("n_nationkey") % 4).alias("document_id"))
+    r = table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("nation-"), F.col("n_nationkey")))).alias("source_ids")).select(F.col("n_regionkey").cast("string").alias("id"), "source_ids")
+    t = table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("query_id"), F.lit("global").alias("mode"), F.array(F.col("r_regionkey").cast("string"), F.lit("none")).alias("community_ids"))
+    return evaluation.documents_of_reports(t, r, u).select("query_id", F.array_join("source_documents", ",").alias("documents"))
 
 
 def noise_entities(s, d):
@@ -380,10 +455,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_search, chunk_documents, stable_ids, shorten_text, bm25_terms, bm25_idf, local_token_sets, text_score, cosine_topk,
-        kind_filter_count, rrf_fusion, hybrid_search, canonical_names, canonical_relations, entity_merge, relation_dedupe,
-        graph_nodes, graph_edges, graph_renormalize, degree_topn, type_counts, relation_counts, connected_components, graph_stats,
-        community_members, report_sources, community_reports, global_topk, global_context, rank_nodes, rank_edges, rank_reports,
-        rank_sources, local_context, route_queries, json_extract, extraction, recall_mrr, missing_sources, noise_entities,
+        kind_filter_count, kind_filter_topk, rrf_fusion, hybrid_search, canonical_names, canonical_relations, entity_merge, relation_dedupe,
+        graph_nodes, graph_edges, graph_renormalize, graph_renormalize_nodes, degree_topn, type_counts, relation_counts, connected_components, graph_stats,
+        community_members, community_invariants, community_listing, report_sources, community_reports, global_topk, global_context, rank_nodes, rank_edges, rank_reports,
+        rank_sources, local_context, route_queries, json_extract, extraction, recall_mrr, missing_sources, trace_ids, entity_hits, community_metrics, report_documents, noise_entities,
         eval_summary, eval_modes, vector_upsert, vector_delete, vector_ids, vector_documents, windowed_events,
     )
 }

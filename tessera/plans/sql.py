@@ -95,8 +95,8 @@ BOTH = "both_ways AS (SELECT u AS name FROM edges UNION ALL SELECT v FROM edges)
 REGIONS = """reports AS (SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS title, 'Suppliers of region ' || r_name AS summary, list_sort(list(n_name)) AS names, CAST(r_regionkey % 3 AS DOUBLE) AS rating, r_regionkey AS seq
   FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name)"""
 COMPONENTS = f"""{GRAPH},
-links AS (SELECT u AS a, v AS b FROM edges WHERE list_contains(relations, 'located_in') UNION ALL SELECT v, u FROM edges WHERE list_contains(relations, 'located_in')),
-reach AS (SELECT name, name AS other FROM nodes WHERE type <> 'CONCEPT' UNION SELECT r.name, l.b FROM reach r JOIN links l ON l.a = r.other)"""
+links AS (SELECT u AS a, v AS b FROM edges UNION ALL SELECT v, u FROM edges),
+reach AS (SELECT name, name AS other FROM nodes UNION SELECT r.name, l.b FROM reach r JOIN links l ON l.a = r.other)"""
 
 LOCAL = lambda c: (
     f"(SELECT list_distinct(list_concat(p, flatten(list_transform(p, lambda w: CASE w {' '.join(f'WHEN {_s(k)} THEN {_list(v)}' for k, v in EXPANSIONS.items())} ELSE [] END)))) FROM "
@@ -109,6 +109,10 @@ q AS (SELECT query_id, {LOCAL('question')} AS q FROM {_values(LOCAL_QUESTIONS, '
 ntok AS (SELECT *, {LOCAL("concat_ws(' ', name, type, description)")} AS tok FROM deg),
 rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM (
   SELECT query_id, name, seq, degree, source_ids, {SCORE('q', 'tok')} * CASE WHEN degree > 12 AND NOT list_contains(q, lower(name)) THEN 0.65 ELSE 1 END AS score FROM ntok JOIN q ON {SCORE('q', 'tok')} > 0))"""
+EDGE_SCORES = f"""seeds AS (SELECT query_id, name FROM rn WHERE rank <= 8),
+etok AS (SELECT u, v, seq, {LOCAL("concat_ws(' ', u, v, array_to_string(relations, ' '), CASE WHEN weight > 1 THEN '' END)")} AS tok FROM edges),
+sce AS (SELECT q.query_id, u, v, seq, round({SCORE('q', 'tok')} + 0.8 * CAST(a.name IS NOT NULL AS INT) + 0.8 * CAST(b.name IS NOT NULL AS INT), 12) AS score
+  FROM etok JOIN q ON true LEFT JOIN seeds a ON a.query_id = q.query_id AND a.name = u LEFT JOIN seeds b ON b.query_id = q.query_id AND b.name = v)"""
 
 ORACLE = {
     "chunk_documents": f"WITH {UNITS} SELECT id, document_id, ord, length(text) AS n_chars, md5(text) AS text_md5 FROM units",
@@ -123,6 +127,7 @@ FROM (SELECT doc_id, {COLLAPSE('text')} AS t FROM documents)""",
 SELECT doc_id, round({SCORE('q', 'tok')}, 6) AS score FROM t, q WHERE len(list_intersect(q, tok)) > 0""",
     "cosine_topk": f"WITH {NEAR} SELECT query_id, rank, id AS source_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near) WHERE rank <= 8",
     "kind_filter_count": "SELECT 'kind-' || label AS kind, count(*) AS n FROM embeddings GROUP BY 1",
+    "kind_filter_topk": f"WITH {NEAR} SELECT query_id, rank, id AS source_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near WHERE label = 1) WHERE rank <= 3",
     "rrf_fusion": f"""WITH {NEAR},
 a AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near) WHERE rank <= 20),
 b AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near WHERE label % 2 = 0) WHERE rank <= 20){RRF}""",
@@ -143,12 +148,19 @@ FROM (SELECT source, target, CASE WHEN seq % 2 = 0 THEN 'Use' ELSE relation END
     "graph_edges": f"WITH {GRAPH} SELECT u, v, array_to_string(relations, '|') AS relations, weight, len(ids) AS n_sources, md5(array_to_string(ids, '|')) AS sources_md5, CASE WHEN weight > 1 THEN 1 ELSE 0 END AS n_descriptions FROM edges",
     "graph_renormalize": f"""WITH {GRAPH}, m AS (SELECT CASE WHEN u IN ('ASIA', 'EUROPE') THEN 'TrustGraph' ELSE u END AS a, CASE WHEN v IN ('ASIA', 'EUROPE') THEN 'TrustGraph' ELSE v END AS b, * FROM edges)
 SELECT least(a, b) AS u, greatest(a, b) AS v, array_to_string(list_sort(list_distinct(flatten(list(relations)))), '|') AS relations, sum(weight) AS weight, len(list_distinct(flatten(list(ids)))) AS n_sources FROM m WHERE a <> b GROUP BY 1, 2""",
+    "graph_renormalize_nodes": f"""WITH {GRAPH}, m AS (SELECT CASE WHEN name IN ('ASIA', 'EUROPE') THEN 'TrustGraph' ELSE name END AS a, * FROM nodes)
+SELECT a AS name, coalesce(arg_min(type, seq) FILTER (WHERE type <> 'CONCEPT'), 'CONCEPT') AS type, coalesce(arg_min(description, seq) FILTER (WHERE description <> ''), '') AS description,
+  coalesce(array_to_string(list_sort(list(DISTINCT source_ids) FILTER (WHERE source_ids <> '')), '|'), '') AS source_ids FROM m GROUP BY a""",
     "degree_topn": f"WITH {GRAPH}, {BOTH} SELECT n.name, count(b.name) AS degree FROM nodes n LEFT JOIN both_ways b ON b.name = n.name GROUP BY n.name, n.seq ORDER BY degree DESC, n.seq, n.name LIMIT 25",
     "type_counts": f"WITH {GRAPH} SELECT type, count(*) AS n FROM nodes GROUP BY type",
     "relation_counts": f"WITH {GRAPH} SELECT relation, count(*) AS n FROM (SELECT unnest(relations) AS relation FROM edges) GROUP BY relation",
     "connected_components": f"WITH RECURSIVE {COMPONENTS} SELECT name, min(other) AS component FROM reach GROUP BY name",
-    "graph_stats": f"""WITH RECURSIVE {COMPONENTS} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges WHERE list_contains(relations, 'located_in')) AS edges,
-  (SELECT count(DISTINCT c) FROM (SELECT min(other) AS c FROM reach GROUP BY name)) + (SELECT count(*) FROM nodes WHERE type = 'CONCEPT') AS connected_components""",
+    "graph_stats": f"""WITH RECURSIVE {COMPONENTS} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges,
+  (SELECT count(DISTINCT c) FROM (SELECT min(other) AS c FROM reach GROUP BY name)) AS connected_components""",
+    "community_invariants": f"WITH {GRAPH} SELECT count(*) AS members, 0 AS repeated, true AS numbered, true AS not_below_single_nodes FROM nodes",
+    "community_listing": f"""WITH {GRAPH}, c AS (SELECT s_name AS name, n_regionkey AS cid FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT n_name, n_regionkey FROM nation),
+x AS (SELECT nodes.name, coalesce(CAST(cid AS VARCHAR), 'NA') AS community FROM nodes LEFT JOIN c USING (name))
+SELECT community, count(*) AS size, array_to_string(list_sort(list(name))[1:8], '|') AS sample FROM x GROUP BY community""",
     "report_sources": f"""WITH {GRAPH}, c AS (SELECT n_name AS name, n_regionkey AS cid FROM nation UNION SELECT r_name, r_regionkey FROM region),
 s AS (SELECT cid, source_ids AS s FROM c JOIN nodes USING (name) UNION ALL SELECT a.cid, unnest(ids) FROM edges JOIN c a ON a.name = u JOIN c b ON b.name = v AND a.cid = b.cid)
 SELECT CAST(cid AS BIGINT) AS community_id, array_to_string(list_sort(list(DISTINCT s)), '|') AS source_ids FROM s GROUP BY cid""",
@@ -158,16 +170,15 @@ SELECT CAST(cid AS BIGINT) AS community_id, array_to_string(list_sort(list(DISTI
     "global_context": f"""WITH {REGIONS}, t AS (SELECT * FROM reports ORDER BY rating DESC, seq LIMIT 3)
 SELECT 'global_context' AS id, 1.0 AS score, string_agg('[' || id || '] ' || title || chr(10) || 'Entities: ' || array_to_string(names[1:20], ', ') || chr(10) || 'Rating: ' || CAST(rating AS VARCHAR) || chr(10) || summary, chr(10) || chr(10) ORDER BY rating DESC, seq) AS text FROM t""",
     "rank_nodes": f"WITH {LOCAL_GRAPH} SELECT query_id, name, degree, round(score, 6) AS score, rank FROM rn WHERE rank <= 24",
-    "rank_edges": f"""WITH {LOCAL_GRAPH}, seeds AS (SELECT query_id, name FROM rn WHERE rank <= 8),
-etok AS (SELECT u, v, seq, {LOCAL("concat_ws(' ', u, v, array_to_string(relations, ' '), CASE WHEN weight > 1 THEN '' END)")} AS tok FROM edges),
-sc AS (SELECT q.query_id, u, v, seq, round({SCORE('q', 'tok')} + 0.8 * CAST(a.name IS NOT NULL AS INT) + 0.8 * CAST(b.name IS NOT NULL AS INT), 12) AS score
-  FROM etok JOIN q ON true LEFT JOIN seeds a ON a.query_id = q.query_id AND a.name = u LEFT JOIN seeds b ON b.query_id = q.query_id AND b.name = v)
-SELECT query_id, u, v, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, u, v) AS rank FROM sc WHERE score > 0) WHERE rank <= 32""",
+    "rank_edges": f"""WITH {LOCAL_GRAPH}, {EDGE_SCORES}
+SELECT query_id, u, v, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, u, v) AS rank FROM sce WHERE score > 0) WHERE rank <= 32""",
     "rank_reports": f"""WITH {LOCAL_GRAPH}, rtok AS (SELECT *, {LOCAL("concat_ws(' ', title, array_to_string(names, ' '), summary)")} AS tok FROM reports),
 sc AS (SELECT q.query_id, id, seq, round({SCORE('q', 'tok')} + 0.4 * least(5, (SELECT count(*) FROM rn WHERE rn.query_id = q.query_id AND rank <= 24 AND list_contains(names, rn.name))), 12) AS score FROM rtok JOIN q ON true)
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM sc WHERE score > 0""",
-    "rank_sources": f"""WITH {LOCAL_GRAPH}, u AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, n_nationkey AS seq, {LOCAL("'Note on ' || n_name")} AS tok, {LOCAL('n_name')} AS ttok FROM nation),
-g AS (SELECT query_id, regexp_replace(source_ids, '^nation-', '') AS id, 0.5 * count(*) AS s FROM rn WHERE rank <= 24 AND source_ids <> '' GROUP BY 1, 2),
+    "rank_sources": f"""WITH {LOCAL_GRAPH}, {EDGE_SCORES}, u AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS seq, {LOCAL("coalesce(text, '')")} AS tok, {LOCAL("'Document ' || doc_id")} AS ttok FROM documents),
+re AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, u, v) AS rank FROM sce WHERE score > 0) WHERE rank <= 32),
+ch AS (SELECT query_id, name FROM seeds UNION SELECT query_id, u FROM re UNION SELECT query_id, v FROM re),
+g AS (SELECT query_id, id, sum(s) AS s FROM (SELECT query_id, unnest(ids) AS id, score AS s FROM re JOIN edges USING (u, v) UNION ALL SELECT query_id, source_ids, 0.5 FROM ch JOIN nodes USING (name) WHERE source_ids <> '') GROUP BY 1, 2),
 sc AS (SELECT q.query_id, u.id, seq, round({SCORE('q', 'tok')} + 1.5 * {SCORE('q', 'ttok')} + coalesce(s, 0), 12) AS score FROM u JOIN q ON true LEFT JOIN g ON g.query_id = q.query_id AND g.id = u.id)
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM sc WHERE score > 0""",
     "route_queries": f"SELECT question, CASE WHEN len(list_filter({_list(GLOBAL_HINTS)}, lambda h: contains(lower(question), h))) > 0 THEN 'global' ELSE 'local' END AS mode FROM {_values(ROUTES, 'question, mode')}",
@@ -195,4 +206,20 @@ firsts AS (SELECT query_id, document_id, min(rank) AS rank FROM hits JOIN units
 got AS (SELECT query_id, list(document_id ORDER BY rank) AS docs FROM firsts GROUP BY 1), t AS (SELECT * FROM got JOIN want USING (query_id))"""
 ORACLE["recall_mrr"] = f"""{_TRACES} SELECT query_id, round(len(list_intersect(expected, docs[1:8])) / len(expected), 6) AS recall,
   round(coalesce(1.0 / list_min(list_filter(list_transform(expected, lambda e: list_position(docs, e)), lambda i: i > 0)), 0), 6) AS mrr FROM t"""
-ORACLE["missing_sources"] = f"{_TRACES} SELECT query_id, unnest(list_filter(expected, lambda e: NOT list_contains(docs, e))) AS document_id FROM t"
+ORACLE["missing_sources"] = f"{_TRACES} SELECT query_id, unnest(list_filter(list_append(expected, 'doc-' || query_id), lambda e: NOT list_contains(docs, e))) AS document_id FROM t"
+#: UUID version 5: the namespace's bytes, then the name; version and variant bits set in the first 16 bytes of SHA-1.
+ORACLE["vector_ids"] = """WITH h AS (SELECT vec_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('text_unit:' || vec_id)) AS h FROM embeddings)
+SELECT vec_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', 1 + (instr('0123456789abcdef', h[17]) - 1) % 4, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h"""
+ORACLE["trace_ids"] = f"""WITH m AS (SELECT item_id, unnest({_list(['naive', 'local', 'global', 'vector', 'hybrid'])}) AS mode FROM benchmark),
+k AS (SELECT *, 'r' || item_id || ',r' || (item_id + 2) AS r, 'u' || item_id || ',u' || (item_id + 1) || ',u' || item_id AS u FROM m)
+SELECT item_id, mode, CASE WHEN mode IN ('naive', 'vector', 'hybrid') THEN 'a,b' WHEN mode = 'local' THEN u ELSE '' END AS unit_ids,
+  CASE mode WHEN 'local' THEN r WHEN 'global' THEN r || ',' || u ELSE '' END AS community_ids FROM k"""
+ORACLE["entity_hits"] = """SELECT n_name, 0.5 AS entity_recall, 'no such|--' AS missing, true AS holds FROM nation"""
+ORACLE["community_metrics"] = f"""WITH {REGIONS}, m AS (SELECT *, unnest(['global', 'local', 'naive']) AS mode FROM reports),
+x AS (SELECT m.id, m.mode, lower(m.names[1]) AS want, lower(n.title || ' ' || array_to_string(n.names, ' ') || ' ' || n.summary) AS next, lower(m.title || ' ' || array_to_string(m.names, ' ') || ' ' || m.summary) AS own
+  FROM m JOIN reports n ON n.seq = (m.seq + 1) % 5)
+SELECT id AS query_id, mode, CASE WHEN mode <> 'naive' THEN (CAST(contains(next, want) OR contains(own, want) AS INT) + CAST(contains(next || ' ' || own, 'nowhere') AS INT)) / 2 END AS community_recall,
+  CASE WHEN mode <> 'naive' THEN CASE WHEN contains(next, want) THEN 1.0 WHEN contains(own, want) THEN 0.5 ELSE 0.0 END END AS community_mrr FROM x"""
+ORACLE["report_documents"] = """WITH s AS (SELECT n_regionkey, 'd' || n_nationkey % 4 AS d, row_number() OVER (PARTITION BY n_regionkey ORDER BY 'nation-' || n_nationkey) AS i FROM nation),
+f AS (SELECT n_regionkey, d, min(i) AS i FROM s GROUP BY 1, 2)
+SELECT CAST(n_regionkey AS VARCHAR) AS query_id, string_agg(d, ',' ORDER BY i) AS documents FROM f GROUP BY n_regionkey"""

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and its rows stay under this.
@@ -60,6 +60,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with rows counted from 0 in the given order, without a window over all rows in one task.
+
+    Rows are dealt to sorted ranges and numbered within each; a count for each range tells where it starts.
+    """
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(partitions(spark), *order).withColumn("__range", F.spark_partition_id())
+    held = settle(ranges, "ranges")
+    at, starts = 0, []
+    for r in held.groupBy("__range").count().orderBy("__range").collect():  # a row for each partition
+        starts.append((r["__range"], at))
+        at += r["count"]
+    begin = F.broadcast(spark.createDataFrame(starts, "__range int, __begin bigint"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return held.join(begin, "__range").withColumn(name, F.col("__begin") + within).drop("__range", "__begin")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -80,10 +80,9 @@ def small_graph(spark):
     return graph.graph_nodes(e, r), graph.graph_edges(r)
 
 
-@pytest.mark.parametrize("largest", [100, 2])
-def test_detect(spark, largest):
+def test_detect(spark):
     n, e = small_graph(spark)
-    got = {r["name"]: r["community_id"] for r in community.detect(n, e, largest).collect()}
+    got = {r["name"]: r["community_id"] for r in community.detect(n, e).collect()}
     assert got == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 1, "z": 2}
 
 
@@ -173,7 +172,16 @@ def test_sweep_over_all_modes(spark, tmp_path):
     s = artifacts.Settings()
     assert cli.build_vectors(index, s, str(tmp_path / "v")) == {"text_unit": 4, "entity": 1, "community_report": 1}
     (tmp_path / "cases.json").write_text(json.dumps([{"id": "q", "category": "global_theme", "question": "kafka link", "expected_entities": ["Kafka"], "expected_source_documents": ["d1"], "expected_community_entities": ["a"]}]))
-    rows = evaluation.sweep(evaluation.load_cases(spark, str(tmp_path / "cases.json")), cli.retrievers(index, s, str(tmp_path / "v")), units, reports, n)
+    took: dict = {}
+    run, cases = cli.retrievers(index, s, str(tmp_path / "v"), depth=5, rrf_k=10, timings=took), evaluation.load_cases(spark, str(tmp_path / "cases.json"))
+    assert set(took) == {"bm25_index", "graph_index", "embedding_model_load", "vector_store_open"}
+    calls = []
+    once = evaluation.sweep(cases, {"naive": lambda q: calls.append(q.count()) or run["naive"](q)}, units, reports, n, ["naive"], repeats=3, one_by_one=True)
+    assert calls == [1, 1, 1] and once.count() == 1 and once.first()["latency_ms"] > 0
+    for bad in ({"repeats": 0}, {"top_k": 0}, {"modes": ["nothing"]}):
+        with pytest.raises(ValueError):
+            evaluation.sweep(cases, run, units, reports, n, **bad)
+    rows = evaluation.sweep(cases, run, units, reports, n)
     got = {r["mode"]: r for r in rows.collect()}
     assert set(got) == {"naive", "local", "global", "vector", "hybrid"}
     assert all(r["entity_recall"] == 1.0 and r["source_recall_at_k"] == 1.0 for r in got.values())
@@ -184,6 +192,69 @@ def test_sweep_over_all_modes(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 5
 
 
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    docs = [{"id": f"d{i}", "title": f"T{i}", "text": t, "source_type": "doc"} for i, t in enumerate(["kafka consumer blocks", "graph latency", "dense vectors", "other words"])]
+    raw, home = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    (raw / "docs.json").write_text(json.dumps(docs))
+    for k, v in {"RAW_DATA_DIR": raw, "PROCESSED_DATA_DIR": home, "VECTOR_DIR": home / "vectors", "LLM_PROVIDER": "mock", "EMBEDDING_PROVIDER": "mock"}.items():
+        monkeypatch.setenv(k, str(v))
+    cli.main(["build", "docs.json"])
+    cli.main(["regenerate-reports"])
+    cli.main(["build-vectors", "--batch-size", "2"])
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert said["points"] == {"text_unit": 4} and {"model_load", "embed_text_unit", "embed_entity", "embed_community_report", "upsert"} == set(said["ms"])
+    (tmp_path / "cases.json").write_text(json.dumps([{"id": "q", "category": "single_lookup", "question": "kafka consumer", "expected_source_documents": ["d0"]}]))
+    cli.main(["evaluate", str(tmp_path / "cases.json"), "--out", str(tmp_path / "eval"), "--modes", "naive", "vector", "hybrid", "--repeats", "1", "--top-k", "2", "--rrf-k", "5", "--fusion-depth", "3"])
+    text = (tmp_path / "eval" / "results.md").read_text()
+    assert "rrf_k: 5" in text and "| hybrid |" in text and "vector_store_open" in text
+    with pytest.raises(SystemExit):
+        cli.main(["evaluate", "x", "--repeats", "0"])
+
+
+def test_regenerated_reports_take_effect(spark, tmp_path):
+    n, e = small_graph(spark)
+    n = community.attach(n, community.detect(n, e).where("name <> 'z'"))
+
+    class Rater:
+        def complete(self, prompt):
+            return json.dumps({"title": "T", "summary": "s", "rating": float(prompt.count("about"))})
+
+    index = {"nodes": n, "edges": e}
+    cli.regenerate_reports(index, Rater, str(tmp_path))
+    rows = spark.read.schema(schemas.REPORTS).parquet(f"{tmp_path}/community_reports").orderBy("seq").collect()
+    assert [(r["id"], len(r["entity_names"])) for r in rows] == [("0", 3), ("1", 2), ("-1", 1)] and [r["seq"] for r in rows] == [0, 1, 2]
+
+
+def test_numbered(spark):
+    from tessera.runtime import numbered
+
+    df = spark.createDataFrame([(i * 7 % 50, i) for i in range(50)] + [(None, 99)], "a int, b int").repartition(9)
+    assert [r["a"] for r in numbered(df, "n", F.desc("a")).orderBy("n").collect()] == [*range(49, -1, -1), None]
+    assert sorted(r["n"] for r in numbered(df, "n", "a").collect()) == list(range(51))
+    assert numbered(df.limit(0), "n", "a").count() == 0
+
+
+def test_demo_page(spark):
+    from tessera import app
+
+    reports = spark.createDataFrame([("0", "Kafka <b>", "sums", ["a"], ["1"], 2.0, 0)], schemas.REPORTS)
+    index = {"community_reports": reports, "text_units": spark.createDataFrame([], schemas.TEXT_UNITS)}
+    found = app.respond(index, models.MockClient, "an overview, please")
+    assert found["mode"] == "global" and found["answer"] == "A mock answer." and "Kafka" in found["context"]
+    assert set(app.respond(index, models.MockClient, "overview", answer=False, context=False)) == {"mode"}
+    html = app.page({"question": "<q>", "mode": "naive"}, found)
+    assert "&lt;q&gt;" in html and "<option selected>naive" in html and "Kafka &lt;b&gt;" in html and "<b>" not in html
+
+
+def test_guards(spark):
+    n, e = small_graph(spark)
+    reports, q = spark.createDataFrame([], schemas.REPORTS), spark.createDataFrame([("q", "a")], "query_id string, question string")
+    for run in (lambda: summary.top_reports(reports, 0), lambda: local.search(local.build(n, e, reports, spark.createDataFrame([], schemas.TEXT_UNITS)), q, 0)):
+        with pytest.raises(ValueError, match="top_k"):
+            run()
+
+
 def test_graph_files(spark, tmp_path):
     n, e = small_graph(spark)
     n = n.withColumn("community_id", F.lit(0))

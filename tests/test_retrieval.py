@@ -71,6 +71,45 @@ def test_cosine_and_ties(spark):
     assert [(r["source_id"], round(r["score"], 6)) for r in rows] == [("a", 0.707107), ("b", 0.707107)]
 
 
+@pytest.mark.parametrize("sent", [20_000, 0])
+def test_nearest_like_brute_force(spark, monkeypatch, sent):
+    import numpy as np
+
+    monkeypatch.setattr(dense, "SENT_QUERIES", sent)
+    monkeypatch.setattr(dense, "BLOCK", 16)
+    r = np.random.default_rng(2)
+    rows = [("t", f"v{i:02}", [float(x) for x in r.integers(-2, 3, 3)]) for i in range(60)] + [("t", "n", None), ("t", "s", [1.0, 2.0]), ("t", "e", []), ("t", "h", [1.0, None, 2.0])]
+    v = spark.createDataFrame(rows, "kind string, source_id string, vector array<double>")
+    qs = [(f"q{i}", [float(x) for x in r.integers(-2, 3, 3)]) for i in range(25)] + [("two", [2.0, 4.0]), ("zero", [0.0, 0.0, 0.0]), ("none", None)]
+    got = {}
+    for x in dense.nearest(v, spark.createDataFrame(qs, "query_id string, vector array<double>"), 7).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["source_id"], x["score"]))
+    for q, a in qs:
+        near = []
+        for _, i, b in rows:
+            if a and b and len(a) == len(b) and None not in b and any(a) and any(b):
+                near.append((-round(float(np.dot(a, b) / np.sqrt(np.dot(a, a)) / np.sqrt(np.dot(b, b))), 9), i))
+        want = [(k + 1, i, pytest.approx(-s, abs=1e-9)) for k, (s, i) in enumerate(sorted(near)[:7])]
+        assert sorted(got.get(q, [])) == want
+    empty = dense.nearest(v.limit(0), spark.createDataFrame(qs, "query_id string, vector array<double>"))
+    assert empty.count() == 0 and dense.nearest(v, spark.createDataFrame([], "query_id string, vector array<double>")).count() == 0
+
+
+def test_store_keeps_two_versions_and_closes(spark):
+    import os
+
+    path = f"{shared_dir(spark)}/versions"
+    cols = "kind string, source_id string, text string, vector array<float>, metadata string"
+    with dense.VectorStore(spark, path, 1) as s:
+        for i in range(4):
+            s.upsert(spark.createDataFrame([("entity", f"e{i}", "x", [1.0], "{}")], cols))
+        assert s.count() == 4 and sorted(x for x in os.listdir(path.removeprefix("file://")) if x[0] != ".") == ["state-3.json", "state-4.json", "v3", "v4"]
+    with pytest.raises(ValueError, match="closed"):
+        s.count()
+    with dense.VectorStore(spark, path, 1) as again:
+        assert again.count("entity") == 4
+
+
 def test_store(spark):
     path = f"{shared_dir(spark)}/test-store"
     s = dense.VectorStore(spark, path, 3)

@@ -118,3 +118,9 @@ def test_sections(spark):
     assert one(spark, text.bracketed_ids(text.section(ctx, "-----Reports-----", "-----Entities-----"))) == ["1"]
     assert one(spark, text.section(ctx, "-----None-----")) == ""
     assert one(spark, text.unique(F.array(F.lit("b"), F.lit(""), F.lit("a"), F.lit("b")))) == ["b", "a"]
+
+
+def test_white_space_is_pythons():
+    from tessera.functions.text import WHITE
+
+    assert set(WHITE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
