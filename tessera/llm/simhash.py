@@ -44,7 +44,7 @@ BITS, SMALL, GIANT = 64, 48, 32_768
 #: Minimum hashes of similar_groups: at similarity 0.8, all bands miss a pair 7 times in 100,000 (0.672 ^ 24).
 BANDS, ROWS = 24, 5
 #: Shingles of a block of sets that a task holds two of.
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 500_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -367,6 +367,7 @@ def unsettled(held: DataFrame, sets: DataFrame, labels: DataFrame, similarity: f
     dealt = rows.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("fp"), F.greatest("blocks", F.lit(1))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "label", "block", "grams")
+    dealt = dealt.repartition(partitions(held.sparkSession), "component", "i", "j")  # else all pairs of a component would follow each other in one task
 
     def solve(rows_: pa.Table) -> pa.Table:
         fps, label, block, i, j = (rows_[c].to_numpy() for c in ("fp", "label", "block", "i", "j"))
