@@ -85,14 +85,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, text: s
     keep_bitmap: hexadecimal 64-bit words joined by dots, one for each 64 lines, bit i
     of word w for line 64 w + i; empty where every line stays.
     """
-    drops = drop_bitmaps(docs, min_docs, min_chars, text)
+    drops = drop_bitmaps(docs, min_docs, min_chars, text).toDF("__n", "__b", "__t", "__drops")
     new = ("n_lines", "n_dropped", "keep_bitmap")
     kept = [c for c in docs.columns if c not in new]
     d = _identified(docs.select(*(F.col(f"`{c}`") for c in kept)), text)
-    d = d.join(drops, (d["__none"] == drops["none"]) & (d["__back"] == drops["back"]) & (d["__tid"] == drops["tid"]), "left")
+    d = d.join(drops, (d["__none"] == drops["__n"]) & (d["__back"] == drops["__b"]) & (d["__tid"] == drops["__t"]), "left")
     n = F.size("__lines").cast("long")
-    dense = F.expr("transform(sequence(0, (size(__lines) - 1) div 64), w -> coalesce(try_element_at(drops, int(w)), 0L))")
-    d = d.withColumn("__words", F.when(F.col("drops").isNotNull(), dense))
+    dense = F.expr("transform(sequence(0, (size(__lines) - 1) div 64), w -> coalesce(try_element_at(__drops, int(w)), 0L))")
+    d = d.withColumn("__words", F.when(F.col("__drops").isNotNull(), dense))
     out = F.when(F.col("__words").isNull(), F.coalesce(F.col(f"`{text}`"), F.lit(""))).otherwise(F.expr("array_join(filter(__lines, (x, i) -> getbit(element_at(__words, int(i div 64 + 1)), i % 64) = 0), '\n')"))
     lost = F.coalesce(F.expr("aggregate(__words, 0L, (a, w) -> a + bit_count(w))"), F.lit(0).cast("long"))
     words = F.coalesce(F.expr("array_join(transform(__words, (w, i) -> lower(hex(~w & if(i < (size(__lines) - 1) div 64 or size(__lines) % 64 = 0, -1L, shiftleft(1L, size(__lines) % 64) - 1L)))), '.')"), F.lit(""))

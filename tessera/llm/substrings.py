@@ -41,7 +41,7 @@ LENGTH, K = 100, 20
 BEFORE = LENGTH - K  # context bytes before an anchor; a window starts at most so far left of it
 CONTEXT = BEFORE + LENGTH
 STRIDE, MOD, COVER = 182, 13, (0, 1, 3, 9)  # STRIDE: a multiple of MOD that holds a context
-PIECE, BLOCK, BUCKET, CHUNK, HOT, SAMPLE_BYTES = 1 << 21, 16 << 20, 32 << 20, 40_000, 200_000, 64 << 20
+PIECE, BLOCK, BUCKET, CHUNK, HOT, SAMPLE_BYTES = 1 << 21, 16 << 20, 32 << 20, 40_000, 60_000, 64 << 20
 ROWS = "key int, kind string, n int, blob binary"
 U8, I8, I4, U1 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4"), np.dtype("u1")
 FORMS = {"a": (U8, U8, I8, I8, I4), "g": (U8, U8, I8, I8, I4), "r": (U8, I8, I8, I4), "q": (U8, I8, I8, I4), "f": (I8, I8, I4), "d": (I8, I8, I4), "w": (U8, U8, I8, I8, I4)}

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessera.llm import lines
 
 WS = " \t\n\x0b\f\r"
@@ -44,6 +46,12 @@ def test_bitmap_and_columns(docs):
     assert lines.dedup_lines(docs([])).count() == 0
 
 
+def test_clashing_columns_pass_through(docs):
+    own = {c: F.lit(c) for c in ("tid", "drops", "none", "back", "h1", "pos", "line", "key")}
+    out = lines.dedup_lines(docs([(i, LONG) for i in range(6)]).withColumns(own))
+    assert {tuple(r[c] for c in own) for r in out.collect()} == {tuple(own)} and out.where("n_dropped = 1").count() == 5
+
+
 def test_null_ids_are_documents_of_their_own(docs):
     rows = [(None, f"{LONG}\nown {i}") for i in range(6)] + [(None, f"{LONG}\nown 0")]
     got = sorted((r["n_dropped"], r["text"]) for r in lines.dedup_lines(docs(rows)).collect())

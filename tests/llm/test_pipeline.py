@@ -93,7 +93,7 @@ def plain_run(docs, labels, bench, codec):
                 return True
         return False
 
-    return sorted((i, ",".join(map(str, codec.encode(t.encode())))) for i, t in docs if not any(leaks(t, p) for _, p in bench))
+    return sorted((i, ",".join(map(str, codec.encode(t)))) for i, t in docs if not any(leaks(t, p) for _, p in bench))
 
 
 def test_like_plain_python(spark, tmp_path, rng):
