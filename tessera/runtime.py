@@ -31,13 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Paths of the tables that settle has written and clear has not deleted, in order.
+SETTLED: list[str] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, since: int = 0, last: bool = True) -> None:
+    """Delete the settled tables from number `since` on, once no frame reads them any more; the latest stays if not last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    gone = SETTLED[since:] if last else SETTLED[since:-1]
+    for p in gone:
+        path(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(p), True)
+        SETTLED.remove(p)
+
+
 _SHIPPED: set[str] = set()
 
 

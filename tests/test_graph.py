@@ -226,6 +226,19 @@ def test_regenerated_reports_take_effect(spark, tmp_path):
     assert [(r["id"], len(r["entity_names"])) for r in rows] == [("0", 3), ("1", 2), ("-1", 1)] and [r["seq"] for r in rows] == [0, 1, 2]
 
 
+def test_settled_tables_are_cleared(spark):
+    from tessera import runtime
+
+    since = len(runtime.SETTLED)
+    a, b = runtime.settle(spark.range(3), "a"), runtime.settle(spark.range(4), "b")
+    runtime.clear(spark, since, last=False)
+    assert len(runtime.SETTLED) == since + 1 and b.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE"):
+        spark.read.parquet(a.inputFiles()[0]).count()
+    runtime.clear(spark, since)
+    assert len(runtime.SETTLED) == since
+
+
 def test_numbered(spark):
     from tessera.runtime import numbered
 
