@@ -28,6 +28,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -73,9 +74,43 @@ class LogOdds:
                     out[x] = s
         return dict(sorted(out.items(), key=lambda kv: (-abs(kv[1]), kv[0]))[:keep])
 
-    def features(self, word: str) -> tuple[float, ...]:
-        s = [self.grams.get(x, 0.0) for x in grams(word)] or [0.0]
-        return self.words.get(word, 0.0), max(s), sum(s) / len(s), min(s)
+    def __getstate__(self):
+        return self.words, self.grams
+
+    def __setstate__(self, state):
+        self.words, self.grams = state
+
+    @cached_property
+    def automaton(self):
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for x, v in self.grams.items():
+            a.add_word(x, v)
+        a.make_automaton()
+        return a
+
+    def features(self, words: list[str]) -> np.ndarray:
+        """(word, ODDS): a word's own log-odds, and the largest, mean and least of its n-grams', unknown ones counting 0.
+
+        One automaton finds the known n-grams of all words, laid end to end: none of them spans two words.
+        """
+        out = np.zeros((len(words), ODDS))
+        out[:, 0] = [self.words.get(w, 0.0) for w in words]
+        hits = list(self.automaton.iter("".join(f"^{w}$" for w in words))) if self.grams and words else []
+        if hits:
+            size = np.array([len(w) for w in words]) + 2
+            total = sum(np.maximum(size - n + 1, 0) for n in (3, 4, 5, 6))
+            end, v = (np.array(x) for x in zip(*hits, strict=True))
+            owner = np.searchsorted(np.cumsum(size), end, "right")
+            some = np.bincount(owner, minlength=len(words))
+            most, least = np.full(len(words), -np.inf), np.full(len(words), np.inf)
+            np.maximum.at(most, owner, v)
+            np.minimum.at(least, owner, v)
+            part = (some < total) | (total == 0)  # some n-gram is unknown, or there is none
+            out[:, 1], out[:, 3] = np.where(part, np.maximum(most, 0), most), np.where(part, np.minimum(least, 0), least)
+            out[:, 2] = np.bincount(owner, v, len(words)) / np.maximum(total, 1)
+        return out
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -202,12 +237,12 @@ class Network:
             g["embed"] += _gather(ids.ravel(), dx.reshape(-1, EMBED), LETTERS)
 
     def terms(self, odds: np.ndarray, words: list[str]) -> np.ndarray:
-        """(row, 2, 3 * HIDDEN): the input terms of both word GRUs, worked out once a word."""
-        out = np.empty((len(words), 2, 3 * HIDDEN), np.float32)
+        """(2, row, 3 * HIDDEN): the input terms of both word GRUs, worked out once a word."""
+        out = np.empty((2, len(words), 3 * HIDDEN), np.float32)
         for lo in range(0, len(words), 8192):
             x = np.concatenate([odds[lo : lo + 8192], self.letters(words[lo : lo + 8192])[0]], 1).astype(np.float32)
             for i, d in enumerate("fb"):
-                out[lo : lo + 8192, i] = x @ self.p[d + "W"] + self.p[d + "c"]
+                out[i, lo : lo + 8192] = x @ self.p[d + "W"] + self.p[d + "c"]
         return out
 
     def logits(self, terms: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -215,7 +250,7 @@ class Network:
         it, mt = np.ascontiguousarray(ids.T), np.ascontiguousarray(mask.T).astype(np.float32)
         proj = np.zeros((WINDOW, len(ids), 2), np.float32)
         for i, d in enumerate("fb"):
-            U, both, table, h = self.p[d + "U"], np.stack([self.p[d + "a"], self.p[d + "o"]], 1), terms[:, i], np.zeros((len(ids), HIDDEN), np.float32)
+            U, both, table, h = self.p[d + "U"], np.stack([self.p[d + "a"], self.p[d + "o"]], 1), terms[i], np.zeros((len(ids), HIDDEN), np.float32)
             for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
                 g, gh = table[it[t]], h @ U
                 zr = _sigmoid(g[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
@@ -270,7 +305,7 @@ class Scorer:
     def _fresh(self) -> None:
         """Forget all words: known has a word's row in terms, new those without terms so far."""
         self.known: dict[str, int] = {"": 0}
-        self.new, self.terms, self.size = [""], np.zeros((1024, 2, 3 * HIDDEN), np.float32), 0
+        self.new, self.terms, self.size = [""], np.zeros((2, 1024, 3 * HIDDEN), np.float32), 0
 
     def _row(self, word: str) -> int:
         i = self.known.get(word)
@@ -281,10 +316,10 @@ class Scorer:
 
     def _learn(self) -> None:
         if self.new:
-            odds = np.array([self.odds.features(w) if w else (0.0,) * ODDS for w in self.new], np.float32)
-            while self.size + len(self.new) > len(self.terms):
-                self.terms = np.concatenate([self.terms, np.zeros_like(self.terms)])
-            self.terms[self.size : self.size + len(self.new)] = self.net.terms(odds, self.new)
+            odds = self.odds.features(self.new).astype(np.float32)
+            while self.size + len(self.new) > self.terms.shape[1]:
+                self.terms = np.concatenate([self.terms, np.zeros_like(self.terms)], 1)
+            self.terms[:, self.size : self.size + len(self.new)] = self.net.terms(odds, self.new)
             self.size += len(self.new)
             self.new = []
 
@@ -298,9 +333,9 @@ class Scorer:
             self._learn()
             words, starts = np.concatenate(held), np.array([s[1:] for s in spans])
             who, best = np.array([s[0] for s in spans]), np.full(len(texts), -np.inf)
-            for lo in range(0, len(starts), 4096):
-                ids, mask = cut(words, starts[lo : lo + 4096])
-                np.maximum.at(best, who[lo : lo + 4096], self.net.logits(self.terms, ids, mask))
+            for lo in range(0, len(starts), 2048):
+                ids, mask = cut(words, starts[lo : lo + 2048])
+                np.maximum.at(best, who[lo : lo + 2048], self.net.logits(self.terms, ids, mask))
             done = np.isfinite(best)
             out[done] = np.maximum(out[done], 1 / (1 + np.exp(-best[done])))
             held, spans, size = [], [], 0
@@ -334,22 +369,25 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
         half[toxic == y] = np.arange((toxic == y).sum()) % 2
     halves = [LogOdds([d for d, h in zip(docs, half, strict=True) if h != k], toxic[half != k]) for k in (0, 1)]
     cached: list[dict[str, int]] = [{}, {}]
-    names, odds = [""], [(0.0,) * ODDS]  # row 0 stands for no word
+    names, of = [""], [0]  # row 0 stands for no word; of: the half that a row's word is in
     spans, who, words = [], [], []
     size = 0
     for i, d in enumerate(docs):
         k = int(half[i])
         for u in d:
             if (j := cached[k].get(u)) is None:
-                j = cached[k][u] = len(odds)
+                j = cached[k][u] = len(names)
                 names.append(u)
-                odds.append(halves[k].features(u))
+                of.append(k)
             words.append(j)
         for a, b in windows(len(d)):
             spans.append((size + a, size + b))
             who.append(i)
         size += len(d)
-    words, spans, who, odds = np.array(words), np.array(spans), np.array(who), np.array(odds, np.float32)
+    words, spans, who, of = np.array(words), np.array(spans), np.array(who), np.array(of)
+    odds = np.zeros((len(names), ODDS), np.float32)
+    for k in (0, 1):
+        odds[of == k] = halves[k].features([w for w, h in zip(names, of.tolist(), strict=True) if h == k])
     net, rng = Network(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}

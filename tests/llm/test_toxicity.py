@@ -68,7 +68,8 @@ def slow_score(m, text):
             s = np.concatenate([slow_states(p, "l", x), slow_states(p, "r", x[::-1])[::-1]], 1)
             e = np.exp(s @ p["pool"])
             parts.append((e / e.sum()) @ s @ p["out"])
-        return np.concatenate([m.odds.features(w), np.mean(parts, 0)])
+        grams = [m.odds.grams.get(x, 0.0) for x in toxicity.grams(w)]
+        return np.concatenate([[m.odds.words.get(w, 0.0), max(grams), np.mean(grams), min(grams)], np.mean(parts, 0)])
 
     words = toxicity.WORDS((text or "").lower())
     best = -np.inf
