@@ -17,8 +17,8 @@ smaller document, or further left in the same one. Strings are judged on the inp
 Memory is bounded by a block of text, a bucket of anchors and a chunk of CHUNK
 contexts. Copies collapse within each batch before they are shuffled. A K-gram that
 a sample of documents shows in more than HOT contexts overall is dealt by context
-instead, and its windows meet one by one by a 128-bit hash; this choice only spreads
-the work and never changes the result.
+instead, and its suffix buckets by the 80 bytes that the windows of SEGMENT alignments
+have in common; this choice only spreads the work and never changes the result.
 
 Defined results: null text is empty. Rows that share doc_id and text are one document
 (each keeps what the first keeps); other rows that share a doc_id are ordered by a
@@ -41,10 +41,11 @@ LENGTH, K = 100, 20
 BEFORE = LENGTH - K  # context bytes before an anchor; a window starts at most so far left of it
 CONTEXT = BEFORE + LENGTH
 STRIDE, MOD, COVER = 182, 13, (0, 1, 3, 9)  # STRIDE: a multiple of MOD that holds a context
+SEGMENT = 21  # alignments whose windows of a hot K-gram are dealt together
 PIECE, BLOCK, BUCKET, CHUNK, HOT, SAMPLE_BYTES = 1 << 21, 16 << 20, 32 << 20, 40_000, 60_000, 64 << 20
 ROWS = "key int, kind string, n int, blob binary"
 U8, I8, I4, U1 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4"), np.dtype("u1")
-FORMS = {"a": (U8, U8, I8, I8, I4), "g": (U8, U8, I8, I8, I4), "r": (U8, I8, I8, I4), "q": (U8, I8, I8, I4), "f": (I8, I8, I4), "d": (I8, I8, I4), "w": (U8, U8, I8, I8, I4)}
+FORMS = {"a": (U8, U8, I8, I8, I4), "g": (U8, U8, I8, I8, I4), "r": (U8, I8, I8, I4), "q": (U8, I8, I8, I4), "f": (I8, I8, I4), "d": (I8, I8, I4)}
 M64 = (1 << 64) - 1
 
 
@@ -269,6 +270,49 @@ def _ranks(keys: tuple[np.ndarray, ...]) -> np.ndarray:
     return rank
 
 
+def by_core(h: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, key, left, right): contexts dealt by a hash of the bytes that all windows of a segment of alignments hold.
+
+    The windows that start a to b bytes left of the anchor share LENGTH - (b - a) bytes, so those that are alike get
+    one key. left and right are narrowed to the segment: each window is in one of a context's SEGMENT-wide rows.
+    """
+    hs = _hashes(3, text.size)
+    sums = hs.sums(np.ascontiguousarray(text).reshape(-1))
+    base, out = np.arange(len(h)) * CONTEXT + BEFORE, []
+    for a in range(0, BEFORE + 1, SEGMENT):
+        b = min(a + SEGMENT - 1, BEFORE)
+        to, since = np.minimum(left, b), np.minimum(right, LENGTH - a)
+        at = np.flatnonzero((left >= a) & (right >= LENGTH - b) & (to.astype(int) + since >= LENGTH))
+        key = _mix(hs.of(sums, base[at] - a, base[at] + LENGTH - b) ^ _mix(h[at] + np.uint64(a)))
+        out.append((at, key, to[at], since[at]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def deal_contexts(out: _Out, got: list[tuple], buckets: int) -> None:
+    """Rows of (h, doc, tid, pos, left, right, context) by bucket."""
+    h, doc, tid, pos, left, right, m = (np.concatenate(x) for x in zip(*got, strict=True))
+    key = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((h, key))
+    out.deal("x", key[order], *(x[order] for x in (h, doc, tid, pos, left, right, m)))
+
+
+def deal_hot(out: _Out, got: list[tuple], buckets: int) -> None:
+    """The same of contexts of hot K-grams, by core; all texts of a block together, so that a row holds many."""
+    held, size = [], 0
+    for i, g in enumerate(got):
+        held.append(g)
+        size += len(g[0])
+        if size >= CHUNK or i == len(got) - 1:
+            h, doc, tid, pos, left, right, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            parts = []
+            for lo in range(0, len(h), 4096):
+                at, key, to, since = by_core(*(x[lo : lo + 4096] for x in (h, m, left, right)))
+                at += lo
+                parts.append((key, doc[at], tid[at], pos[at], to, since, m[at]))
+            deal_contexts(out, parts, buckets)
+            held, size = [], 0
+
+
 def _group(t: pa.Table) -> Iterator[tuple[str, int, bytes]]:
     for b in t.to_batches():
         yield from zip(b.column("kind").to_pylist(), b.column("n").to_pylist(), (x.as_buffer().to_pybytes() for x in b.column("blob")), strict=True)
@@ -387,38 +431,17 @@ def dedup_substrings(docs: DataFrame, text: str = "text", hot: int = HOT) -> Dat
                 left, right = np.minimum(pos, BEFORE), np.minimum(len(x) - pos, LENGTH)
                 got[kind].append((h, np.full(len(h), d_, I8), np.full(len(h), t_, I8), pos, left.astype(U1), right.astype(U1), b[pos[:, None].astype(np.int64) + np.arange(CONTEXT)[None, :]]))
         if got["r"]:
-            h, doc, tid, pos, left, right, m = (np.concatenate(x) for x in zip(*got["r"], strict=True))
-            key = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((h, key))
-            out.deal("x", key[order], *(x[order] for x in (h, doc, tid, pos, left, right, m)))
-        for h, doc, tid, pos, left, right, m in got["q"]:
-            for o in range(BEFORE + 1):
-                ok = (left >= o) & (right >= LENGTH - o)
-                rows = np.ascontiguousarray(m[ok, BEFORE - o : BEFORE - o + LENGTH]).reshape(-1)
-                n = int(ok.sum())
-                if not n:
-                    continue
-                s = np.arange(n) * LENGTH
-                w = []
-                for seed in (3, 4):
-                    hs = _hashes(seed, len(rows))
-                    w.append(hs.of(hs.sums(rows), s, s + LENGTH))
-                out.deal("w", (w[0] % np.uint64(buckets)).astype(np.int64), w[0], w[1], doc[ok], tid[ok], pos[ok] - np.int32(o))
+            deal_contexts(out, got["r"], buckets)
+        if got["q"]:
+            deal_hot(out, got["q"], buckets)
         return out.table()
 
     def sort_buckets(table_: pa.Table) -> pa.Table:
-        out, parts, wins = _Out(), [], []
+        out, parts = _Out(), []
         for kind, n, blob in _group(table_):
             if kind == "x":
                 *cols, raw = unpack(blob, n, (U8, I8, I8, I4, U1, U1))
                 parts.append([*cols, raw.reshape(n, CONTEXT)])
-            elif kind == "w":
-                wins.append(unpack(blob, n, FORMS["w"])[:5])
-        if wins:
-            w1, w2, doc, tid, pos = _join(wins, FORMS["w"])
-            order, again = _later((w1, w2), doc, tid, pos)
-            late = order[again]
-            out.deal("d", _place(doc[late], tid[late], blocks), doc[late], tid[late], pos[late])
         if parts:
             h, doc, tid, pos, left, right, m = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((pos, tid, doc, h))

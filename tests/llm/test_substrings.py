@@ -64,6 +64,40 @@ def _all_grams(rows):
     return out
 
 
+def contexts(seed, n):
+    """(h, doc, tid, pos, left, right, context) of n one-context texts around three K-grams, many of them alike in part."""
+    import numpy as np
+
+    r, out = random.Random(seed), []
+    grams = [bytes(r.choices(b"ab", k=substrings.K)) for _ in range(3)]
+    sides = [(bytes(r.choices(b"ab", k=80)), bytes(r.choices(b"ab", k=80))) for _ in range(4)]
+    for d in range(n):
+        g, (a, z) = r.randrange(3), r.choice(sides)
+        a, z = a[r.choice([0, 0, 50]) :], z[: r.choice([80, 80, 30])]
+        x = bytearray(a + grams[g] + z)
+        if r.random() < 0.7:
+            x[r.choice([i for i in range(len(x)) if not len(a) <= i < len(a) + substrings.K])] = 99
+        left, right = min(len(a), substrings.BEFORE), len(x) - len(a)
+        m = np.zeros(substrings.CONTEXT, np.uint8)
+        m[substrings.BEFORE - left : substrings.BEFORE + right] = np.frombuffer(bytes(x), np.uint8)
+        out.append((np.array([g], np.uint64), np.array([d]), np.array([7]), np.array([left], np.int32), np.array([left], np.uint8), np.array([right], np.uint8), m[None]))
+    return out
+
+
+def test_contexts_of_hot_grams_are_rows_of_a_block_not_of_a_text():
+    import numpy as np
+
+    got, out = contexts(3, 300), substrings._Out()
+    substrings.deal_hot(out, got, 4)
+    assert len(out.rows) <= 4  # one by one, texts and alignments made thousands
+    seen = []
+    for _, _, n, blob in out.rows:
+        *cols, _ = substrings.unpack(blob, n, (substrings.U8, substrings.I8, substrings.I8, substrings.I4, substrings.U1, substrings.U1))
+        seen += [(int(d), o) for d, left, right in zip(cols[1], cols[4], cols[5], strict=True) for o in range(substrings.LENGTH - int(right), int(left) + 1)]
+    want = [(int(c[1][0]), o) for c in got for o in range(substrings.BEFORE + 1) if c[4][0] >= o and c[5][0] >= np.int64(substrings.LENGTH) - o]
+    assert sorted(seen) == sorted(want)  # each window once
+
+
 def test_long_documents_and_chunks(docs, monkeypatch):
     r = random.Random(1)
     monkeypatch.setattr(substrings, "CHUNK", 3)
