@@ -219,55 +219,82 @@ def _found(piece: tuple) -> tuple[np.ndarray, ...]:
 def suffix_repeats(h: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """(context, BEFORE + 1) flags: the window o bytes left of the anchor occurs in an earlier context.
 
-    Contexts are in order of bucket h, then place; text: (contexts, CONTEXT) bytes.
+    Contexts are in order of bucket h, then place; text: (contexts, CONTEXT) bytes. Windows that are alike hold the
+    same K-gram at the same place, so they are of one bucket without being sorted by it. Contexts that share no core
+    with another (see by_core) have no window in common with it and are not sorted.
     """
-    n = len(h)
-    t = np.zeros((n, STRIDE + 2 * 128), np.uint8)
+    out = np.zeros((len(h), BEFORE + 1), bool)
+    ok = _shared(h, text, left, right)
+    some = np.flatnonzero(ok.any(1))
+    if len(some):
+        out[some] = _sorted_repeats(text[some], ok[some])
+    return out
+
+
+def _shared(h: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(context, BEFORE + 1) flags: whether there is such a window whose core some other context of the bucket has too."""
+    ok = np.zeros((len(h), BEFORE + 1), bool)
+    parts = [by_core(*(x[lo : lo + 4096] for x in (h, text, left, right))) for lo in range(0, len(h), 4096)]
+    if not parts:
+        return ok
+    row = np.concatenate([p[0] + lo for p, lo in zip(parts, range(0, len(h), 4096), strict=True)])
+    key, to, since = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    order = np.argsort(key, kind="stable")
+    again = np.r_[False, key[order][1:] == key[order][:-1]]
+    again |= np.r_[again[1:], False]
+    at = order[again]
+    begin, size = LENGTH - since[at].astype(np.int64), to[at].astype(np.int64) + since[at] - LENGTH + 1
+    nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    ok[np.repeat(row[at], size), np.repeat(begin, size) + nth] = True
+    return ok
+
+
+def _sorted_repeats(text: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """suffix_repeats of the windows that ok flags, by their suffix order."""
+    n = len(text)
+    t = np.zeros((n, STRIDE + 2 * MOD), np.uint8)
     t[:, :CONTEXT] = text
+    eight = lambda p: np.ascontiguousarray(t[:, p : p + 8]).view(">u8").ravel().astype(np.uint64)
     sample = np.array([p for p in range(STRIDE) if p % MOD in COVER])
     # ranks of the sample suffixes: 13 bytes at first, then twice as many in each round
-    key = np.zeros((n, len(sample), 16), np.uint8)
-    key[:, :, :MOD] = t[:, sample[:, None] + np.arange(MOD)[None, :]]
-    big = key.view(">u8").astype(np.uint64)
-    rank = _ranks((big[:, :, 0].ravel(), big[:, :, 1].ravel())).reshape(n, -1)
-    column = {int(p): i for i, p in enumerate(sample)}
+    head, rest = (np.stack([eight(p) for p in at.tolist()], 1) for at in (sample, sample + 8))
+    low = np.uint64(8 * (MOD - 8))
+    rank = _ranks((_ranks(head) << low) | (rest >> (np.uint64(64) - low)))
     for step in (MOD, 2 * MOD, 4 * MOD):
-        after = np.zeros_like(rank)
-        for p, i in column.items():
-            if p + step in column:
-                after[:, i] = rank[:, column[p + step]]
-        rank = _ranks((rank.ravel(), after.ravel())).reshape(n, -1)
-    bucket = np.cumsum(np.r_[0, h[1:] != h[:-1]])
+        half, after, ahead = rank, np.zeros_like(rank), step // MOD * len(COVER)
+        after[:, :-ahead] = rank[:, ahead:]
+        need = int(np.searchsorted(sample, BEFORE + MOD)) if step == 4 * MOD else len(sample)  # windows start in the first bytes
+        rank = _ranks((rank[:, :need] << np.uint64(32)) | after[:, :need])
+    bits = np.uint64(int(rank.max(initial=0)).bit_length())
     out = np.zeros((n, BEFORE + 1), bool)
     for o in range(BEFORE + 1):
         i = BEFORE - o
-        rows = np.flatnonzero((left >= o) & (right >= LENGTH - o))
+        rows = np.flatnonzero(ok[:, o])
         if len(rows) < 2:
             continue
-        delta = next(d for d in range(MOD) if (i + d) % MOD in COVER)
-        prefix = np.zeros((len(rows), 16), np.uint8)
-        prefix[:, :delta] = t[rows, i : i + delta]
-        big = prefix.view(">u8").astype(np.uint64)
-        order = np.lexsort((rank[rows, column[i + delta]], big[:, 1], big[:, 0], bucket[rows]))
+        j = int(np.searchsorted(sample, i))  # the first sample suffix of the window, at most 5 bytes in
+        k = int(np.searchsorted(sample, i + LENGTH - 4 * MOD, "right")) - 1  # the last one whose half rank ends in it, at most 5 bytes from its end
+        delta = np.uint64(8 * (int(sample[j]) - i))
+        prefix = eight(i)[rows] >> (np.uint64(64) - delta) if delta else np.zeros(len(rows), np.uint64)
+        order = np.argsort((prefix << bits) | rank[rows, j], kind="stable") if delta + bits <= 64 else np.lexsort((rank[rows, j], prefix))
         rows = rows[order]
-        near = np.flatnonzero(bucket[rows[1:]] == bucket[rows[:-1]])
         same = np.zeros(len(rows), bool)
-        same[near + 1] = (t[rows[near + 1], i : i + LENGTH] == t[rows[near], i : i + LENGTH]).all(1)
+        same[1:] = True
+        for part in (prefix[order], half[rows, j], half[rows, k], eight(i + LENGTH - 8)[rows]):  # these overlap and hold all bytes of the window
+            same[1:] &= part[1:] == part[:-1]
         run = np.flatnonzero(~same)
         first = np.repeat(np.minimum.reduceat(rows, run), np.diff(np.r_[run, len(rows)]))
         out[rows[rows != first], o] = True
     return out
 
 
-def _ranks(keys: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Dense ranks of rows by keys, the first the most significant."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of keys, in their shape. Copies collapse before they are sorted."""
+    found = pa.array(np.ascontiguousarray(keys).ravel()).dictionary_encode()
+    distinct = found.dictionary.to_numpy()
+    rank = np.empty(len(distinct), np.uint64)
+    rank[np.argsort(distinct)] = np.arange(len(distinct), dtype=np.uint64)
+    return rank[found.indices.to_numpy()].reshape(keys.shape)
 
 
 def by_core(h: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -84,6 +84,21 @@ def contexts(seed, n):
     return out
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_suffix_order_finds_the_windows_that_occur_before(seed):
+    import numpy as np
+
+    h, doc, _, _, left, right, m = (np.concatenate(x) for x in zip(*sorted(contexts(seed, 150), key=lambda c: (int(c[0][0]), int(c[1][0]))), strict=True))
+    seen, want = set(), np.zeros((len(h), substrings.BEFORE + 1), bool)
+    for i in range(len(h)):
+        for o in range(substrings.BEFORE + 1):
+            if left[i] >= o and right[i] >= substrings.LENGTH - o:
+                w = (o, m[i, substrings.BEFORE - o :][: substrings.LENGTH].tobytes())
+                want[i, o] = w in seen
+                seen.add(w)
+    assert want.any() and (substrings.suffix_repeats(h, m, left, right) == want).all()
+
+
 def test_contexts_of_hot_grams_are_rows_of_a_block_not_of_a_text():
     import numpy as np
 
@@ -98,6 +113,19 @@ def test_contexts_of_hot_grams_are_rows_of_a_block_not_of_a_text():
     assert sorted(seen) == sorted(want)  # each window once
 
 
+def test_contexts_without_a_common_core_are_not_sorted(monkeypatch):
+    import numpy as np
+
+    r, n = np.random.default_rng(0), 400  # one K-gram, unlike surroundings but for two contexts
+    m = r.integers(0, 256, (n, substrings.CONTEXT), np.uint8)
+    m[:, substrings.BEFORE : substrings.BEFORE + substrings.K] = 65
+    m[1, 40:] = m[0, 40:]
+    sizes, whole = [], substrings._sorted_repeats
+    monkeypatch.setattr(substrings, "_sorted_repeats", lambda text, ok: sizes.append(len(text)) or whole(text, ok))
+    got = substrings.suffix_repeats(np.zeros(n, np.uint64), m, np.full(n, substrings.BEFORE, np.uint8), np.full(n, substrings.LENGTH, np.uint8))
+    assert sizes == [2] and np.flatnonzero(got.any(1)).tolist() == [1] and np.flatnonzero(got[1]).tolist() == list(range(41))
+
+
 def test_long_documents_and_chunks(docs, monkeypatch):
     r = random.Random(1)
     monkeypatch.setattr(substrings, "CHUNK", 3)
