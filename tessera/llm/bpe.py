@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.runtime import ship, table
+from tessera.runtime import kept, ship, table
 
 #: Distinct pieces and token pairs that a worker remembers before it starts afresh.
 PIECE_CACHE, PAIR_CACHE = 300_000, 500_000
@@ -215,15 +215,12 @@ class _Pieces(dict):
         return ids
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
-
-
 def codec(raw: bytes, pattern: str) -> Codec:
-    """One codec for each vocabulary and Python process."""
-    key = (hash(raw), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(parse_ranks(raw), pattern)
-    return _CODECS[key]
+    """One codec for each vocabulary and Python process, as long as no other operator works there."""
+    key, codecs = (hash(raw), pattern), kept("bpe")
+    if key not in codecs:
+        codecs[key] = Codec(parse_ranks(raw), pattern)
+    return codecs[key]
 
 
 def default_vocabulary() -> tuple[str, str]:

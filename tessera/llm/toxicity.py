@@ -36,7 +36,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.runtime import ship, table
+from tessera.runtime import kept as held
+from tessera.runtime import release, ship, table
 
 WINDOW, STRIDE, HIDDEN, ODDS, BATCH = 48, 24, 8, 4, 256
 LETTERS, EMBED, LETTER_HIDDEN, LETTER_OUT, PIECE = 128, 6, 6, 4, 32
@@ -44,6 +45,8 @@ FEATURES = ODDS + LETTER_OUT
 WORDS = re.compile(r"[^\W_]+").findall
 #: Distinct words that a worker remembers before it starts afresh.
 WORD_CACHE = 200_000
+#: New words whose inputs are worked out at once.
+LEARN = 8192
 
 
 def grams(word: str) -> list[str]:
@@ -315,13 +318,13 @@ class Scorer:
         return i
 
     def _learn(self) -> None:
-        if self.new:
-            odds = self.odds.features(self.new).astype(np.float32)
-            while self.size + len(self.new) > self.terms.shape[1]:
-                self.terms = np.concatenate([self.terms, np.zeros_like(self.terms)], 1)
-            self.terms[:, self.size : self.size + len(self.new)] = self.net.terms(odds, self.new)
-            self.size += len(self.new)
-            self.new = []
+        while self.size + len(self.new) > self.terms.shape[1]:
+            self.terms = np.concatenate([self.terms, np.zeros_like(self.terms)], 1)
+        for lo in range(0, len(self.new), LEARN):  # a batch's new words may be very many, with ten n-grams each
+            part = self.new[lo : lo + LEARN]
+            self.terms[:, self.size : self.size + len(part)] = self.net.terms(self.odds.features(part).astype(np.float32), part)
+            self.size += len(part)
+        self.new = []
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out, held, spans, size = np.zeros(len(texts)), [], [], 0
@@ -457,10 +460,14 @@ def score(docs: DataFrame, model: Scorer | None, text: str = "text", keep: list[
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("toxicity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = pickle.loads(sent.value)
+        own = held("toxicity")
+        own["scorer"] = scorer = pickle.loads(sent.value)
         for b in batches:
             found = scorer.score(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(found, pa.float64())], names=[*kept, "toxicity"])
+        own.clear()  # its words and their inputs
+        del scorer
+        release()
 
     ship(spark)
     return rows.mapInArrow(run, schema)

@@ -40,6 +40,25 @@ def test_gradients():
         assert g[k][at] and np.isclose((up - down) / 2e-2, g[k][at], rtol=0.05, atol=2e-4), k
 
 
+def test_new_words_are_worked_out_in_parts(monkeypatch):
+    rows = corpus()
+    model, sizes, whole = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows])), [], toxicity.LogOdds.features
+    monkeypatch.setattr(toxicity.LogOdds, "features", lambda self, words: sizes.append(len(words)) or whole(self, words))
+    model.score([" ".join(f"w{i}" for i in range(40_000))])
+    assert sum(sizes) > 40_000 and max(sizes) <= 8192
+
+
+def test_a_worker_gives_up_what_other_operators_kept():
+    from tessera.llm import bpe
+    from tessera.runtime import kept
+
+    path, pattern = bpe.default_vocabulary()
+    raw = bpe.read_ranks(path)
+    first = bpe.codec(raw, pattern)
+    assert bpe.codec(raw, pattern) is first and len(kept("bpe")) == 1
+    assert kept("toxicity") == {} and kept("bpe") == {}
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
