@@ -20,10 +20,11 @@ any other. Fewer words than a shingle are one shingle. Rows sharing a doc_id are
 rows of their own with that id; null doc_ids are never a component_id unless a
 component has no other. An empty table gives no rows.
 
-keep_one, the pipeline's stage, is a rule of its own: sets of five-word shingles of a
-Jaccard similarity of 0.8 or more link. Such pairs differ in about 10 of 64 bits, for
-which a covering code would need 2^11 tables, so the candidates come from bands of
-minimum hashes instead, and are then compared exactly.
+keep_one, the pipeline's stage, links sets of five-word shingles of a Jaccard
+similarity of 0.8 or more. Its first candidates are the components of the sets'
+SimHash fingerprints under the covering code. At that similarity fingerprints differ
+in about 10 of 64 bits, for which a code would need 2^11 tables, so bands of minimum
+hashes add the candidates beyond the code's radius. All are then compared exactly.
 """
 
 from __future__ import annotations
@@ -55,7 +56,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     if not w:
         return 0
     parts = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [w]
-    hashes = np.array(list(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(seed))), np.uint64)
+    return majority(np.array(list(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(seed))), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for lo in range(0, len(hashes), 1 << 15):
         part = hashes[lo : lo + (1 << 15)]
@@ -220,12 +225,13 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def marks(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
-    """(doc_id, tid, fp, keys): tid hashes the text, fp its set of shingles; a key for each band of minimum hashes.
+    """(doc_id, tid, fp, code, keys): tid hashes the text, fp its set of shingles, code is the set's SimHash fingerprint.
 
-    Only the first row of a set in a task has keys, so copies do not pile up on them.
+    keys has one for each band of minimum hashes. Only the first row of a set in a task has a code and keys, so copies
+    do not pile up on them.
     """
     sent = docs.select("doc_id", F.xxhash64(F.col(f"`{text}`")).alias("tid"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", sent.schema["doc_id"].dataType), T.StructField("tid", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", sent.schema["doc_id"].dataType), T.StructField("tid", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("code", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -235,7 +241,7 @@ def marks(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
         seen: set[int] = set()
         work = np.empty((BANDS * ROWS, 256), np.uint64)
         for b in batches:
-            fps, keys = np.zeros(b.num_rows, np.uint64), []
+            fps, codes, keys = np.zeros(b.num_rows, np.uint64), [None] * b.num_rows, []
             for r, x in enumerate(b.column(2)):
                 found = shingle_set(x.as_py(), words)
                 fps[r] = fp = xxhash.xxh64_intdigest(found.tobytes())
@@ -243,6 +249,7 @@ def marks(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
                     keys.append(np.zeros(0, np.int64))
                     continue
                 seen.add(fp)
+                codes[r] = _signed(majority(found))
                 least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
                 for lo in range(0, len(found), 256):
                     part = found[lo : lo + 256]
@@ -250,7 +257,7 @@ def marks(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
                     hashed += add[:, None]
                     np.minimum(least, hashed.min(axis=1), out=least)
                 keys.append((least.reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tid", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(codes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tid", "fp", "code", "keys"])
 
     ship(docs.sparkSession)
     return sent.mapInArrow(run, schema)
@@ -295,6 +302,16 @@ def met(marked: DataFrame) -> DataFrame:
     return held.where("fp <> pivot").unionByName(over)
 
 
+def coded(marked: DataFrame, radius: int = 2) -> DataFrame:
+    """(key, fp, pivot): the sets whose fingerprints the covering code links, each with the smallest set of its component."""
+    sets = settle(marked.where("code is not null").select("fp", "code").distinct(), "codes")
+    parts = connected_components(links(sets.select(F.col("code").alias("fp")).distinct(), radius))
+    rooted = sets.join(parts, sets["code"] == parts["node"], "left").select("fp", F.coalesce("component", "code").alias("root"))
+    rooted = settle(rooted, "coded")
+    heads = rooted.groupBy("root").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot <> last").select("root", "pivot")
+    return rooted.join(heads, "root").where("fp <> pivot").select(F.xxhash64(F.lit("code"), "root").alias("key"), "fp", "pivot")
+
+
 def shingle_table(docs: DataFrame, asked: DataFrame, words: int, text: str) -> DataFrame:
     """(fp, grams): the shingle set of each asked row (fp, __d, __t), read from its text."""
     t = F.col(f"`{text}`")
@@ -384,14 +401,15 @@ def unsettled(held: DataFrame, sets: DataFrame, labels: DataFrame, similarity: f
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(doc_id, tid, keep_id, keep_tid): a row for each document, with the row that stands for its group.
 
-    Equal sets collapse first. Sets that share a band of minimum hashes are candidates. Each is compared with the
-    smallest set of its bands, which settles most; bands that hold several components after that are compared in
-    blocks. So a group of any size is spread over tasks, and no link between candidates is lost.
+    Equal sets collapse first. Sets whose SimHash fingerprints the covering code links are candidates, and so are those
+    that share a band of minimum hashes. Each is compared with the smallest set of its component or band, which settles
+    most; those that hold several groups after that are compared in blocks. So a group of any size is spread over
+    tasks, and no link between candidates is lost.
     """
     marked = settle(marks(docs, words, text), "shingles")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid"))
     distinct = settle(marked.groupBy("fp").agg(least.alias("least")), "shingles-distinct")
-    held = settle(met(marked), "candidates")
+    held = settle(coded(marked).unionByName(met(marked)), "candidates")
     pairs = held.select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
     asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
     asked = settle(distinct.join(asked, "fp").select("fp", F.col("least.doc_id").alias("__d"), F.col("least.tid").alias("__t")), "candidate-rows")

@@ -206,3 +206,18 @@ def test_keep_one_tells_rows_of_one_id_apart(docs):
     assert kept([(None, a), (None, b), (None, c), (7, a + " and more words"), (7, b + " of it")]) == sorted([(None, a), (None, b), (None, c), (7, a + " and more words"), (7, b + " of it")], key=str)
     assert kept([(9, c), (9, a), (3, c), (None, c), (None, "")]) == sorted([(3, c), (9, a), (None, "")], key=str)
     assert simhash.keep_one(docs([])).count() == 0
+
+
+def test_keep_one_takes_candidates_from_the_covering_code(docs, rng, monkeypatch):
+    bands = simhash.met
+    monkeypatch.setattr(simhash, "met", lambda marked: bands(marked).where("false"))
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for i in range(12):
+        w = say(400)
+        texts += [" ".join(w), " ".join([*w, *say(1 + i // 4)])]
+    codes = [simhash.majority(simhash.shingle_set(t)) for t in texts]
+    near = [i for i in range(0, 24, 2) if (codes[i] ^ codes[i + 1]).bit_count() <= 2]
+    kept = lambda **o: sorted(r["doc_id"] for r in simhash.keep_one(docs(list(enumerate(texts))), **o).collect())
+    assert len(near) >= 3 and kept() == [i for i in range(24) if i - 1 not in near or i % 2 == 0]
+    assert kept(similarity=0.999) == list(range(24))  # candidates alone link nothing
