@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.runtime import kept, ship, table
+from tessera.runtime import kept, resting, ship, table
 
 #: Distinct pieces and token pairs that a worker remembers before it starts afresh.
-PIECE_CACHE, PAIR_CACHE = 300_000, 500_000
+PIECE_CACHE, PAIR_CACHE = 100_000, 150_000
+#: Hashes by which a worker knows a piece that came before.
+SEEN = 1 << 21
 
 
 def read_ranks(path: str) -> bytes:
@@ -198,18 +200,24 @@ def _splitter(findall, pattern: str):
 
 
 class _Pieces(dict):
-    """The ids of pieces met lately: two generations, so that common pieces stay."""
+    """The ids of pieces met lately: two generations, so that common pieces stay.
+
+    A piece is taken in when its hash comes again, since most pieces come once and would only take up memory.
+    """
 
     def __init__(self, c: Codec):
-        self.encode, self.old = c.encode_piece, {}
+        self.encode, self.old, self.seen = c.encode_piece, {}, bytearray(SEEN)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.encode(piece.encode())
+            ids, at = self.encode(piece.encode()), hash(piece) % SEEN
+            if not self.seen[at]:
+                self.seen[at] = 1
+                return ids
         if len(piece) <= 64:
             if len(self) >= PIECE_CACHE:
-                self.old = dict(self)
+                self.old, self.seen = dict(self), bytearray(SEEN)
                 self.clear()
             self[piece] = ids
         return ids
@@ -260,12 +268,13 @@ def encode_decode(docs: DataFrame, vocab_path: str | None = None, pattern: str |
                     ids_text.append(c.ids_text(ids))
                     decoded.append(c.decode(ids))
                 yield pa.RecordBatch.from_arrays([*(r.slice(lo, rows) for r in rest), pa.array(counts, pa.int64()), pa.array(ids_text, pa.string()), pa.array(decoded, pa.binary())], names=[*names, "n_tokens", "ids", "decoded"])
+            del batch, texts, rest  # else they stay while the next batch is read
 
     ship(spark)
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(resting(run), schema)
 
 
-def _slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes of text, so that outputs stay small."""
     import pyarrow.compute as pc
 

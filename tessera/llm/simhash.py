@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.components import connected_components
-from tessera.runtime import kept, partitions, settle, ship, small, table
+from tessera.runtime import kept, partitions, resting, settle, ship, small, table
 
 BITS, SMALL, GIANT = 64, 48, 32_768
 #: Minimum hashes of similar_groups: at similarity 0.8, all bands miss a pair 7 times in 100,000 (0.672 ^ 24).
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", doc_id: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     ship(docs.sparkSession)
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(resting(run), schema)
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -184,7 +184,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         yield from end()
 
     ship(spark)
-    found = settle(rows.mapInArrow(run, "kind tinyint, a bigint, b bigint"), "simhash-links")
+    found = settle(rows.mapInArrow(resting(run), "kind tinyint, a bigint, b bigint"), "simhash-links")
     met = found.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("fp"))
     root = met.groupBy("hub").agg(F.min("fp").alias("v"))
     more = met.join(root, "hub").where("fp <> v").select(F.col("fp").alias("u"), "v")
@@ -260,7 +260,7 @@ def marks(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(codes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tid", "fp", "code", "keys"])
 
     ship(docs.sparkSession)
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(resting(run), schema)
 
 
 def met(marked: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def met(marked: DataFrame) -> DataFrame:
             yield out([at], [head], [head])
 
     ship(marked.sparkSession)
-    held = settle(rows.mapInArrow(run, "key bigint, fp bigint, pivot bigint"), "bands")
+    held = settle(rows.mapInArrow(resting(run), "key bigint, fp bigint, pivot bigint"), "bands")
     heads = held.where("fp = pivot").groupBy("key").agg(F.min("pivot").alias("head"))  # two rows a range at most
     over = held.where("fp = pivot").join(heads, "key").where("fp <> head").select("key", "fp", F.col("head").alias("pivot"))
     return held.where("fp <> pivot").unionByName(over)
@@ -325,7 +325,7 @@ def shingle_table(docs: DataFrame, asked: DataFrame, words: int, text: str) -> D
                 grams = [shingle_set(x.as_py(), words).view(np.int64) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["fp", "grams"])
 
-    return settle(texts.mapInArrow(run, "fp bigint, grams array<bigint>"), "shingle-sets")
+    return settle(texts.mapInArrow(resting(run), "fp bigint, grams array<bigint>"), "shingle-sets")
 
 
 def similar_roots(sets: list[np.ndarray], similarity: float, label: np.ndarray | None = None, block: np.ndarray | None = None) -> np.ndarray:

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -98,6 +99,21 @@ def release() -> None:
         trim(0)
 
 
+def resting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, whose Python process gives freed memory back after a task's last batch.
+
+    An executor has more Python workers than cores, as a task with two such steps uses two, and they take turns.
+    """
+
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return out
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it was counted to have at most that many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

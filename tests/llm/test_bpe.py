@@ -35,6 +35,25 @@ def test_small_caches_change_nothing(reference, monkeypatch):
     assert c.encode(t) == reference.encode_ordinary(t)
 
 
+def test_pieces_that_come_once_are_not_held(reference):
+    path, pattern = bpe.default_vocabulary()
+    c = bpe.Codec(bpe.parse_ranks(bpe.read_ranks(path)), pattern)
+    once, twice = "".join(f" qzx{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}vw{'uvwxyz'[i // 100]}" for i in range(600)), " jkqzv" * 2
+    assert c.encode(once + twice) == reference.encode_ordinary(once + twice)
+    assert len(c.pieces) < 20 and " jkqzv" in c.pieces
+    assert c.encode(once) == reference.encode_ordinary(once) and len(c.pieces) > 580
+    assert c.encode(once) == reference.encode_ordinary(once)
+
+
+def test_a_process_gives_memory_back_after_its_task(monkeypatch):
+    from tessera import runtime
+
+    done = []
+    monkeypatch.setattr(runtime, "release", lambda: done.append("released"))
+    out = runtime.resting(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert [next(out), next(out), list(done), list(out), done] == [2, 3, [], [], ["released"]]
+
+
 def test_frame(spark, docs, reference):
     d = docs(list(enumerate(TEXTS)) + [(3, TEXTS[3])]).withColumn("ids", F.lit(1))
     out = bpe.encode_decode(d)
