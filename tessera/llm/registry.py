@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontam, knn, langid, lines, pii, simhash, substrings, toxicity
+from tessera.llm import align, bpe, chat, decontam, knn, langid, lines, pii, sharding, simhash, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_chat_format": chat.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_sharding": sharding.op11,
+    "op12_token_alignment": align.op12,
+    "op13_whitening": whitening.op13,
 }
 ORACLE = {
     "op5_line_dedup": lines.SQL,
     "op9_chat_format": chat.SQL,
+    "op11_sharding": sharding.SQL,
 }
