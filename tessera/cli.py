@@ -76,7 +76,7 @@ def build_vectors(index: dict, settings: artifacts.Settings, path: str, batch_si
     done = [clock(f"embed_{kind}", lambda f=frames: settle(dense.embed(chunk.vector_documents(*f), make).where("vector IS NOT NULL"), "embedded")) for kind, frames in parts.items()]
     with dense.VectorStore(spark, path, dim) as store:
         clock("upsert", lambda: store.upsert(done[0].unionByName(done[1]).unionByName(done[2])))
-        return {r["kind"]: r["n"] for r in store.frame().groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        return {r["kind"]: r["n"] for r in store.counts().collect()}  # a row for each kind
 
 
 def retrievers(index: dict, settings: artifacts.Settings, vectors: str | None = None, top_k: int = 8, depth: int = fusion.FUSION_DEPTH, rrf_k: int = fusion.RRF_K, timings: dict | None = None) -> dict[str, Retriever]:

@@ -1,111 +1,19 @@
-"""Vectors: a store as a partitioned table, exact search by cosine, and embedders."""
+"""Vectors: what a store offers, exact search by cosine, and embedders."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Protocol
-from uuid import uuid4
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.misc import point_id
+from tessera.operators.nearest import nearest
+from tessera.operators.store import VectorStore
 from tessera.runtime import ship
-from tessera.sources.schemas import VECTORS
-
-
-#: Queries that are sent to every task; more of them meet the vectors in blocks.
-SENT_QUERIES, BLOCK = 20_000, 4_096
-PAIRS = "query_id {0}, source_id {1}, score double"
-
-
-def _by_length(a: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Length -> (rows, matrix) of the arrays of numbers that are not null, hold no null and are not zero."""
-    out, size = {}, pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
-    for n in np.unique(size[size > 0]).tolist():
-        rows = np.flatnonzero(size == n)
-        x = a.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
-        fit = np.isfinite(x).all(1) & (x != 0).any(1)
-        out[n] = rows[fit], x[fit]
-    return out
-
-
-def _block_top(q: dict, qid: pa.Array, v: pa.Array, vid: pa.Array, top_k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, vector, score) of the top_k of each query among the vectors: one matrix product a length."""
-    found, order = [], None
-    for n, (rows, x) in _by_length(v).items():
-        if n not in q or not len(rows) or not len(q[n][0]):
-            continue
-        if order is None:  # places of the ids in their own order, for ties
-            order = np.empty(len(vid), np.int64)
-            order[pc.sort_indices(vid).to_numpy()] = np.arange(len(vid))
-        who, a = q[n]
-        for lo in range(0, len(who), 1024):
-            part = a[lo : lo + 1024]
-            s = np.round((part @ x.T) / np.sqrt((part * part).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None, :], 9)
-            k = min(top_k, s.shape[1])
-            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            i, j = np.nonzero(s >= edge[:, None])
-            by = np.lexsort((order[rows[j]], -s[i, j], i))
-            i, j = i[by], j[by]
-            at = np.arange(len(i)) - np.searchsorted(i, i)
-            found.append((who[lo + i[at < k]], rows[j[at < k]], s[i[at < k], j[at < k]]))
-    return found
-
-
-def _pairs(found: list, qid: pa.Array, vid: pa.Array) -> pa.RecordBatch:
-    who, row, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return pa.RecordBatch.from_arrays([qid.take(pa.array(who)), vid.take(pa.array(row)), pa.array(score)], names=["query_id", "source_id", "score"])
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = 8, kind: str | None = None) -> DataFrame:
-    """(query_id, rank, source_id, score): exact top_k by cosine, in double precision and rounded to 9 places; ties by source_id.
-
-    Every vector meets every query, as an exact search must, in matrix products of Arrow batches; each batch
-    passes on its top_k alone. Up to SENT_QUERIES queries, by count, are sent to every task. More of them are cut
-    into blocks of BLOCK, as are the vectors, and each pair of blocks is a task. Vectors of other lengths than a
-    query's, null ones and zero ones are not met.
-    """
-    if top_k < 1:
-        raise ValueError("limit must be at least 1")
-    spark = vectors.sparkSession
-    ship(spark)
-    v = (vectors.where(F.col("kind") == kind) if kind else vectors).select("source_id", F.col("vector").alias("v"))
-    q = queries.select("query_id", F.col("vector").alias("v"))
-    types = PAIRS.format(q.schema["query_id"].dataType.simpleString(), v.schema["source_id"].dataType.simpleString())
-    sent = q.limit(SENT_QUERIES + 1).toArrow()
-    if sent.num_rows <= SENT_QUERIES:
-        held = spark.sparkContext.broadcast(sent)
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = held.value.combine_chunks()
-            qid = t["query_id"].combine_chunks() if t.num_rows else pa.array([], t.schema.field("query_id").type)
-            own = _by_length(t["v"].combine_chunks()) if t.num_rows else {}
-            for b in batches:
-                yield _pairs(_block_top(own, qid, b.column(1), b.column(0), top_k), qid, b.column(0))
-
-        scored = v.mapInArrow(meet, types)
-    else:
-        blocks = lambda n: -(-n // BLOCK)
-        nv, nq = max(1, blocks(v.count())), blocks(q.count())
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = v.select("*", F.pmod(F.xxhash64("source_id"), F.lit(nv)).cast("int").alias("a"), every(nq).alias("b"))
-        right = q.select("*", every(nv).alias("a"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("b"))
-
-        def pair(vs: pa.Table, qs: pa.Table) -> pa.Table:
-            if not vs.num_rows or not qs.num_rows:
-                return pa.Table.from_batches([_pairs([], pa.array([], qs.schema.field("query_id").type), pa.array([], vs.schema.field("source_id").type))])
-            qid, vid = qs["query_id"].combine_chunks(), vs["source_id"].combine_chunks()
-            return pa.Table.from_batches([_pairs(_block_top(_by_length(qs["v"].combine_chunks()), qid, vs["v"].combine_chunks(), vid, top_k), qid, vid)])
-
-        scored = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pair, types)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "source_id", "score")
+
+__all__ = ["Embedder", "HashingEmbedder", "SentenceEmbedder", "Store", "VectorStore", "embed", "make_embedder", "nearest", "results", "vector_search"]
 
 
 class Store(Protocol):
@@ -122,93 +30,6 @@ class Store(Protocol):
     def close(self) -> None: ...
 
 
-class VectorStore:
-    """Vectors in Parquet, partitioned by kind, in numbered versions; each change writes the next.
-
-    A change reads the current version, writes a new folder, and then puts a state file with its number in
-    place by one rename, so a failed write leaves the old version whole. The version before the current one
-    stays, as it may be read still; older ones are deleted. A closed store refuses all calls.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, dim: int):
-        if dim < 1:
-            raise ValueError("dim must be at least 1")
-        self.spark, self.path, self.dim, self.open = spark, path.rstrip("/"), dim, True
-        state = self._state()
-        if state and state["dim"] != dim:
-            raise ValueError(f"the collection has vectors of {state['dim']} components, not {dim}")
-        if not state:
-            self._write(spark.createDataFrame([], VECTORS), 0)
-
-    def __enter__(self) -> VectorStore:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.close()
-
-    def close(self) -> None:
-        self.open = False
-
-    def _fs(self):
-        if not self.open:
-            raise ValueError("the store is closed")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        return path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _versions(self) -> list[int]:
-        fs, path = self._fs()
-        found = fs.globStatus(path(f"{self.path}/state-*.json"))
-        return sorted(int(f.getPath().getName()[6:-5]) for f in found or [])
-
-    def _state(self) -> dict | None:
-        if not (versions := self._versions()):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/state-{versions[-1]}.json").collect()))
-
-    def _write(self, df: DataFrame, version: int) -> None:
-        fs, path = self._fs()
-        df.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/v{version}")
-        draft = path(f"{self.path}/.state-{uuid4().hex}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"dim": self.dim, "version": version}).encode()))
-        out.close()
-        if not fs.rename(draft, path(f"{self.path}/state-{version}.json")):
-            raise OSError(f"version {version} of {self.path} was written by another store at the same time")
-        for old in self._versions()[:-2]:
-            fs.delete(path(f"{self.path}/state-{old}.json"), False)
-            fs.delete(path(f"{self.path}/v{old}"), True)
-
-    def frame(self) -> DataFrame:
-        cols = [c.split()[0] for c in VECTORS.split(", ")]
-        return self.spark.read.schema(VECTORS).parquet(f"{self.path}/v{self._state()['version']}").select(*cols)
-
-    def upsert(self, records: DataFrame) -> None:
-        """Rows (kind, source_id, text, vector, metadata[, seq]) replace those of their point; the last of several wins."""
-        if not records.take(1):
-            return
-        wrong = records.where(F.col("vector").isNull() | (F.size("vector") != self.dim)).select(F.size("vector")).first()
-        if wrong is not None:
-            raise ValueError(f"a vector has {wrong[0]} components, the collection {self.dim}")
-        order = F.col("seq") if "seq" in records.columns else F.lit(0)
-        new = records.withColumn("point_id", point_id(F.col("kind"), F.col("source_id"))).withColumn("__rn", F.row_number().over(Window.partitionBy("point_id").orderBy(F.desc(order)))).where("__rn = 1")
-        new = new.select("point_id", "kind", "source_id", "text", F.col("vector").cast("array<float>").alias("vector"), "metadata")
-        self._write(self.frame().join(new.select("point_id"), "point_id", "left_anti").unionByName(new), self._state()["version"] + 1)
-
-    def delete(self, keys: DataFrame) -> None:
-        """Remove the points of the given (kind, source_id)."""
-        self._write(self.frame().join(keys.select("kind", "source_id"), ["kind", "source_id"], "left_anti"), self._state()["version"] + 1)
-
-    def count(self, kind: str | None = None) -> int:
-        f = self.frame()
-        return (f.where(F.col("kind") == kind) if kind else f).count()
-
-    def query(self, queries: DataFrame, limit: int = 8, kind: str | None = None) -> DataFrame:
-        wrong = queries.where(F.size("vector") != self.dim).select(F.size("vector")).first()
-        if wrong is not None:
-            raise ValueError(f"a query has {wrong[0]} components, the collection {self.dim}")
-        return nearest(self.frame(), queries, limit, kind)
-
-
 class Embedder(Protocol):
     dim: int
 

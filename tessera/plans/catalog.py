@@ -423,7 +423,7 @@ def _store(s):
 def vector_upsert(s, d):
     v, p = _store(s), _points(s, d)
     v.upsert(p)
-    v.upsert(p.where("cast(source_id AS int) % 3 = 0").withColumn("text", F.lit("new")).unionByName(p.limit(0)))
+    v.upsert(p.where("cast(source_id AS int) % 3 = 0").withColumn("text", F.lit("new")))
     return v.frame().groupBy("kind", "text").agg(F.count("*").alias("n"))
 
 
@@ -434,6 +434,37 @@ def vector_delete(s, d):
     return v.frame().select("kind", F.col("source_id"))
 
 
+def vector_history(s, d):
+    """Points after many small changes: layers on base files, tombstones over upserts and the other way round, merged and compacted."""
+    v, p = _store(s), _points(s, d)
+    v.upsert(p)
+    part = lambda k: p.where(F.expr(f"cast(source_id AS int) % 50 = {k}"))
+    for k in range(6):
+        v.upsert(part(k).withColumn("text", F.lit(f"change {k}")))
+    v.delete(part(1).unionByName(part(7)))
+    v.upsert(part(7).withColumn("text", F.lit("again")))
+    v.delete(part(2))
+    v.upsert(part(1).withColumn("kind", F.lit("entity")))
+    v.merge()
+    v.compact({0, 1, 2, 3})
+    return v.frame().select("kind", "source_id", "text")
+
+
+def vector_counts(s, d):
+    """Points of each kind, as the store counts them."""
+    v, p = _store(s), _points(s, d)
+    v.upsert(p.withColumn("kind", F.when(F.expr("cast(source_id AS int) % 3 = 0"), "entity").otherwise("text_unit")))
+    v.delete(p.where("cast(source_id AS int) % 5 = 0"))
+    return v.counts()
+
+
+def vector_get(s, d):
+    """Points asked for by their keys, some of which are not there."""
+    v, p = _store(s), _points(s, d)
+    v.upsert(p.where("cast(source_id AS int) % 2 = 0"))
+    return v.get(p.where("cast(source_id AS int) % 9 = 0")).select("kind", "source_id", F.size("vector").cast("bigint").alias("n"))
+
+
 def vector_ids(s, d):
     return table(s, d, "embeddings").select("vec_id", point_id(F.lit("text_unit"), F.col("vec_id").cast("string")).alias("point_id"))
 
@@ -460,7 +491,7 @@ QUERIES = {
         graph_nodes, graph_edges, graph_renormalize, graph_renormalize_nodes, degree_topn, type_counts, relation_counts, connected_components, graph_stats,
         community_members, community_invariants, community_listing, report_sources, community_reports, global_topk, global_context, rank_nodes, rank_edges, rank_reports,
         rank_sources, local_context, route_queries, json_extract, extraction, recall_mrr, missing_sources, trace_ids, entity_hits, community_metrics, report_documents, noise_entities,
-        eval_summary, eval_modes, vector_upsert, vector_delete, vector_ids, vector_documents, windowed_events,
+        eval_summary, eval_modes, vector_upsert, vector_delete, vector_history, vector_counts, vector_get, vector_ids, vector_documents, windowed_events,
     )
 }
 ORACLE = {k: v for k, v in sql.ORACLE.items() if k in QUERIES}

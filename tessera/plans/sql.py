@@ -194,6 +194,11 @@ SELECT query_id, count(DISTINCT name) FILTER (WHERE contains(c, {NORMAL('name')}
   round(median(o_totalprice), 6) AS median_latency_ms, round(avg(o_custkey % 7), 6) AS avg_noise_entities FROM orders GROUP BY 1""",
     "vector_upsert": "SELECT 'text_unit' AS kind, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS text, count(*) AS n FROM embeddings GROUP BY 2",
     "vector_delete": "SELECT 'text_unit' AS kind, CAST(vec_id AS VARCHAR) AS source_id FROM embeddings WHERE vec_id % 4 <> 0",
+    "vector_history": """SELECT CASE WHEN vec_id % 50 = 1 THEN 'entity' ELSE 'text_unit' END AS kind, CAST(vec_id AS VARCHAR) AS source_id,
+CASE vec_id % 50 WHEN 0 THEN 'change 0' WHEN 3 THEN 'change 3' WHEN 4 THEN 'change 4' WHEN 5 THEN 'change 5' WHEN 7 THEN 'again' ELSE 'old' END AS text
+FROM embeddings WHERE vec_id % 50 <> 2""",
+    "vector_counts": "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN vec_id % 3 = 0 THEN 'entity' ELSE 'text_unit' END AS kind, vec_id FROM embeddings) WHERE kind = 'entity' OR vec_id % 5 <> 0 GROUP BY kind",
+    "vector_get": "SELECT 'text_unit' AS kind, CAST(vec_id AS VARCHAR) AS source_id, len(embedding) AS n FROM embeddings WHERE vec_id % 18 = 0",
     "vector_documents": f"""WITH {UNITS}, {GRAPH}, {REGIONS}
 SELECT 'text_unit' AS kind, id AS source_id, md5({STRIP("title || chr(10) || text")}) AS text_md5 FROM units
 UNION ALL SELECT 'entity', name, md5(name || chr(10) || 'Type: ' || type || chr(10) || description) FROM ent

@@ -1,3 +1,5 @@
+from uuid import uuid4
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,8 +77,8 @@ def test_cosine_and_ties(spark):
 def test_nearest_like_brute_force(spark, monkeypatch, sent):
     import numpy as np
 
-    monkeypatch.setattr(dense, "SENT_QUERIES", sent)
-    monkeypatch.setattr(dense, "BLOCK", 16)
+    monkeypatch.setattr("tessera.operators.nearest.SENT_QUERIES", sent)
+    monkeypatch.setattr("tessera.operators.nearest.BLOCK", 16)
     r = np.random.default_rng(2)
     rows = [("t", f"v{i:02}", [float(x) for x in r.integers(-2, 3, 3)]) for i in range(60)] + [("t", "n", None), ("t", "s", [1.0, 2.0]), ("t", "e", []), ("t", "h", [1.0, None, 2.0])]
     v = spark.createDataFrame(rows, "kind string, source_id string, vector array<double>")
@@ -95,23 +97,8 @@ def test_nearest_like_brute_force(spark, monkeypatch, sent):
     assert empty.count() == 0 and dense.nearest(v, spark.createDataFrame([], "query_id string, vector array<double>")).count() == 0
 
 
-def test_store_keeps_two_versions_and_closes(spark):
-    import os
-
-    path = f"{shared_dir(spark)}/versions"
-    cols = "kind string, source_id string, text string, vector array<float>, metadata string"
-    with dense.VectorStore(spark, path, 1) as s:
-        for i in range(4):
-            s.upsert(spark.createDataFrame([("entity", f"e{i}", "x", [1.0], "{}")], cols))
-        assert s.count() == 4 and sorted(x for x in os.listdir(path.removeprefix("file://")) if x[0] != ".") == ["state-3.json", "state-4.json", "v3", "v4"]
-    with pytest.raises(ValueError, match="closed"):
-        s.count()
-    with dense.VectorStore(spark, path, 1) as again:
-        assert again.count("entity") == 4
-
-
 def test_store(spark):
-    path = f"{shared_dir(spark)}/test-store"
+    path = f"{shared_dir(spark)}/test-store-{uuid4().hex}"
     s = dense.VectorStore(spark, path, 3)
     cols = "kind string, source_id string, text string, vector array<float>, metadata string, seq int"
     s.upsert(spark.createDataFrame([("text_unit", "u", "old", [1.0, 0.0, 0.0], "{}", 0), ("text_unit", "u", "new", [0.0, 1.0, 0.0], "{}", 1), ("entity", "e", "x", [0.0, 0.0, 1.0], "{}", 2)], cols))
