@@ -1,57 +1,174 @@
-"""BM25 over text units: an index of postings, and batched search."""
+"""BM25 over text units: blocked postings with their largest contributions, and batched search that skips by them.
+
+Units are dealt to cells of about CELL by a hash, and a term's postings in a cell are one block, with the largest
+contribution that it can make to a score. So a block is small however frequent its term is, and the blocks of
+different terms in a cell cover the same units. Every file of blocks is sorted by term, so that the terms of a few
+questions are pruned at the scan.
+
+A search looks at the metadata of its terms' blocks first. Where these hold few postings (DIRECT), all are added up.
+Beyond that most are never read:
+
+1. Each question's blocks of largest contribution give a few units, which are scored fully; the k-th of these scores
+   is a bound that the result cannot be under.
+2. A question's terms whose largest contributions together stay under the bound are left out of the search for
+   units (a unit with no other terms cannot reach it), and so are cells in which the blocks' largest contributions
+   together stay under it.
+3. The postings of what is left are read and added up. The units that look best then give a higher bound, and those
+   that reach it with all that the left-out terms could add are scored fully, from the blocks of their cells.
+
+Both ways give the result of scoring everything.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bm25_tokens
-from tessera.runtime import settle, small
+from tessera.runtime import partitions, settle, small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Units of a cell; units that a bound is taken from, as a multiple of the results; terms that are told to the scan.
+CELL, FIRST, TOLD = 256, 4, 200
+#: Postings that are read without choosing among their blocks.
+DIRECT = 20_000_000
+#: What rounding and the order of additions may change in a score.
+SLACK = 1e-6
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    postings: DataFrame  # id, seq, term, tf, dl
-    idf: DataFrame  # term, idf
-    units: int
+    units: DataFrame  # no, id, seq, dl
+    blocks: DataFrame  # term, cell, n, most, postings (no, gain)
+    idf: DataFrame  # term, idf, most
+    count: int
+    cells: int
     mean_length: float
 
 
+def _cell(no: str, cells: int) -> Column:
+    return F.pmod(F.xxhash64(no), F.lit(cells)).alias("cell")
+
+
 def build_index(units: DataFrame) -> Bm25Index:
     """Index "{title}, newline, {text}" of each unit; units without a token are left out.
 
-    A unit's length is known from its own tokens, so one aggregation makes the postings. They
-    are written once; three numbers reach the driver.
+    A unit's length is known from its own tokens. One narrow pass writes the tokens, one shuffle of them the blocks;
+    three numbers reach the driver.
     """
+    spark = units.sparkSession
     text = F.concat_ws("\n", F.coalesce("document_title", F.lit("")), F.coalesce("text", F.lit("")))
-    terms = units.select("id", "seq", F.explode(F.array(bm25_tokens(text))).alias("t"))  # bound, so that it is worked out once
-    terms = terms.select("id", "seq", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term"))
-    postings = settle(terms.groupBy("id", "seq", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    stats = postings.select("id", "seq", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
-    n = stats["n"]
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    held = units.select("id", "seq", F.explode(F.array(bm25_tokens(text))).alias("t")).where(F.size("t") > 0)  # bound, so that it is worked out once
+    held = settle(held.select(F.monotonically_increasing_id().alias("no"), "id", "seq", F.size("t").cast("bigint").alias("dl"), "t"), "tokens")
+    stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    n, mean = stats["n"], stats["mean"] or 1.0
+    cells = max(1, -(-n // CELL))
+    # dealt by term and cell: a frequent term is spread over all partitions, and both groupings need no further shuffle
+    rows = held.select("no", "dl", _cell("no", cells), F.explode("t").alias("term")).repartition(partitions(spark), "term", "cell")
+    tf = F.col("tf").cast("double")
+    gain = (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    rows = rows.groupBy("term", "cell", "no", "dl").agg(F.count("*").alias("tf")).select("term", "cell", "no", gain.alias("gain"))
+    grouped = rows.groupBy("term", "cell").agg(F.count("*").alias("n"), F.max("gain").alias("most"), F.collect_list(F.struct("no", "gain")).alias("postings"))
+    blocks = settle(grouped.sortWithinPartitions("term", "cell"), "blocks")
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
     own = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    plain = settle(df.select("term", own.alias("idf")), "idf")
+    plain = settle(df.select("term", own.alias("idf"), "most"), "idf")
     floor = EPSILON * (plain.agg(F.avg("idf")).first()[0] or 0.0)
-    return Bm25Index(postings, plain.select("term", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf")), n, stats["mean"] or 1.0)
+    idf = plain.select("term", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"), "most")
+    return Bm25Index(held.select("no", "id", "seq", "dl"), blocks, idf, n, cells, mean)
+
 
+def _asked(index: Bm25Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, term, weight, most) of the questions' terms, and the metadata (query_id, term, cell, n, weight, most) of their blocks.
 
-def search(index: Bm25Index, queries: DataFrame, top_k: int = 8) -> DataFrame:
-    """(query_id, rank, id, score) of the top_k units of each (query_id, question); scores over zero only."""
+    most: the largest contribution to a score of any unit, and of the block's.
+    """
+    asked = queries.select("query_id", F.explode(bm25_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    weight = F.col("qtf") * F.col("idf")
+    asked = settle(asked.join(index.idf, "term").select("query_id", "term", weight.alias("weight"), F.greatest(weight * F.col("most"), F.lit(0.0)).alias("most")), "asked")
+    blocks = index.blocks.select("term", "cell", "n", F.col("most").alias("gain"))
+    few = [r["term"] for r in asked.select("term").distinct().limit(TOLD + 1).collect()]
+    if len(few) <= TOLD:
+        blocks = blocks.where(F.col("term").isin(few))
+    met = blocks.join(small(asked.select("query_id", "term", "weight")), "term")
+    return asked, settle(met.select("query_id", "term", "cell", "n", "weight", F.greatest(F.col("weight") * F.col("gain"), F.lit(0.0)).alias("most")), "asked-blocks")
+
+
+def _parts(index: Bm25Index, chosen: DataFrame, *more: str) -> DataFrame:
+    """(query_id, no, part, *more): contributions of the chosen blocks (query_id, term, cell, weight, *more), not added up."""
+    rows = index.blocks.select("term", "cell", "postings").join(small(chosen), ["term", "cell"])
+    return rows.select("query_id", "weight", *more, F.explode("postings").alias("p")).select("query_id", *more, F.col("p.no").alias("no"), (F.col("weight") * F.col("p.gain")).alias("part"))
+
+
+def _scores(index: Bm25Index, metadata: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, no, score) of the given (query_id, no), by all terms, from the blocks of their cells."""
+    cells = found.select("query_id", _cell("no", index.cells)).distinct()
+    chosen = metadata.join(small(settle(cells, "cells")), ["query_id", "cell"], "left_semi").select("query_id", "term", "cell", "weight")
+    rows = _parts(index, settle(chosen, "chosen-blocks")).join(small(found), ["query_id", "no"], "left_semi")
+    return rows.groupBy("query_id", "no").agg(F.round(F.sum("part"), 9).alias("score"))
+
+
+def _bounds(scored: DataFrame, top_k: int) -> DataFrame:
+    """(query_id, bound): a score that the k-th of the result cannot be under; questions with fewer scores have none."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    return scored.withColumn("__rn", place).where(F.col("__rn") == top_k).select("query_id", F.greatest(F.col("score"), F.lit(0.0)).alias("bound"))
+
+
+def blocks_left(index: Bm25Index, asked: DataFrame, metadata: DataFrame, top_k: int = 8) -> DataFrame:
+    """(query_id, term, cell, n, weight, bound, spare): the blocks to read, and what the terms left out could add to a score."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("most"), "term", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    # of each question, blocks enough to hold FIRST * top_k postings: a bounded number of rows
+    first = metadata.where("most > 0").withColumn("__before", F.coalesce(F.sum("n").over(best), F.lit(0))).where(F.col("__before") < FIRST * top_k)
+    units = settle(_parts(index, settle(first.select("query_id", "term", "cell", "weight"), "first-blocks")).select("query_id", "no").distinct(), "first-units")
+    bound = settle(_bounds(_scores(index, metadata, units), top_k), "bounds")
+    # the terms of least contribution, as long as they stay under the bound together, are not searched for
+    up = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    terms = asked.join(small(bound), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).withColumn("__sum", F.sum("most").over(up))
+    terms = terms.withColumn("spared", (F.col("__sum") < F.col("bound") - SLACK) | (F.col("most") <= 0))
+    spare = F.coalesce(F.sum(F.when(F.col("spared"), F.col("most"))).over(Window.partitionBy("query_id")), F.lit(0.0))
+    wanted = settle(terms.withColumn("spare", spare).where("NOT spared").select("query_id", "term", "bound", "spare"), "wanted-terms")
+    cells = metadata.groupBy("query_id", "cell").agg(F.sum("most").alias("most")).join(small(bound), "query_id", "left").where(F.col("most") >= F.coalesce("bound", F.lit(0.0)) - SLACK)
+    left = metadata.join(small(wanted), ["query_id", "term"]).join(small(settle(cells.select("query_id", "cell"), "cells")), ["query_id", "cell"], "left_semi")
+    return settle(left.select("query_id", "term", "cell", "n", "weight", "bound", "spare"), "blocks-left")
+
+
+def search(index: Bm25Index, queries: DataFrame, top_k: int = 8, direct: int = DIRECT) -> DataFrame:
+    """(query_id, rank, id, score) of the top_k units of each (query_id, question); scores over zero only.
+
+    direct: up to so many postings of the questions' terms, by count, are all added up.
+    """
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
-    asked = queries.select("query_id", F.explode(bm25_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = small(asked.join(index.idf, "term"))
-    tf = F.col("tf").cast("double")
-    gain = F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
-    scored = index.postings.join(asked, "term").groupBy("query_id", "id", "seq").agg(F.round(F.sum(gain), 9).alias("score"))
+    asked, metadata = _asked(index, queries)
+    if (metadata.agg(F.sum("n")).first()[0] or 0) <= direct:
+        scored = _parts(index, metadata.select("query_id", "term", "cell", "weight")).groupBy("query_id", "no").agg(F.round(F.sum("part"), 9).alias("score"))
+    else:
+        left = blocks_left(index, asked, metadata, top_k)
+        parts = _parts(index, left.drop("n"), "bound", "spare").groupBy("query_id", "no", "bound", "spare").agg(F.sum("part").alias("part"))
+        parts = settle(parts.where(F.col("part") + F.col("spare") >= F.col("bound") - SLACK).drop("bound"), "parts")
+        # the bound once more, from the units that look best now
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part"), "no"))
+        likely = settle(parts.withColumn("__rn", place).where(F.col("__rn") <= FIRST * top_k).select("query_id", "no"), "likely")
+        higher = settle(_bounds(_scores(index, metadata, likely), top_k), "bounds")
+        found = parts.join(small(higher), "query_id", "left").where(F.col("part") + F.col("spare") >= F.coalesce("bound", F.lit(0.0)) - SLACK)
+        scored = _scores(index, metadata, settle(found.select("query_id", "no"), "candidates"))
+    # ties go by seq, which only units that may be among the first are asked for
+    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    near = scored.where("score > 0").withColumn("__place", place).where(F.col("__place") <= top_k).drop("__place")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
-    return top.where("score > 0").select("query_id", "rank", "id", "score")
+    named = near.join(index.units.select("no", "id", "seq"), "no")
+    return named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
+
+
+def postings_read(index: Bm25Index, queries: DataFrame, top_k: int = 8) -> DataFrame:
+    """(query_id, blocks, blocks_read, postings, postings_read): how much of its terms' postings each question reads, where it chooses."""
+    asked, metadata = _asked(index, queries)
+    every = metadata.groupBy("query_id").agg(F.count("*").alias("blocks"), F.sum("n").alias("postings"))
+    read = blocks_left(index, asked, metadata, top_k).groupBy("query_id").agg(F.count("*").alias("blocks_read"), F.sum("n").alias("postings_read"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return every.join(read, "query_id", "left").select("query_id", "blocks", zero("blocks_read"), "postings", zero("postings_read"))
 
 
 def results(hits: DataFrame, units: DataFrame) -> DataFrame:

@@ -88,6 +88,12 @@ def bm25_search(s, d):
     return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
+def bm25_blocks(s, d):
+    """The same search where it always chooses among blocks."""
+    hits = lexical.search(lexical.build_index(units(s, d)), questions(s, d), direct=0)
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
 def local_token_sets(s, d):
     return table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(local_tokens(F.col("text"))), " ").alias("tokens"))
 
@@ -486,7 +492,7 @@ def windowed_events(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, chunk_documents, stable_ids, shorten_text, bm25_terms, bm25_idf, local_token_sets, text_score, cosine_topk,
+        bm25_search, bm25_blocks, chunk_documents, stable_ids, shorten_text, bm25_terms, bm25_idf, local_token_sets, text_score, cosine_topk,
         kind_filter_count, kind_filter_topk, rrf_fusion, hybrid_search, canonical_names, canonical_relations, entity_merge, relation_dedupe,
         graph_nodes, graph_edges, graph_renormalize, graph_renormalize_nodes, degree_topn, type_counts, relation_counts, connected_components, graph_stats,
         community_members, community_invariants, community_listing, report_sources, community_reports, global_topk, global_context, rank_nodes, rank_edges, rank_reports,

@@ -228,3 +228,4 @@ SELECT id AS query_id, mode, CASE WHEN mode <> 'naive' THEN (CAST(contains(next,
 ORACLE["report_documents"] = """WITH s AS (SELECT n_regionkey, 'd' || n_nationkey % 4 AS d, row_number() OVER (PARTITION BY n_regionkey ORDER BY 'nation-' || n_nationkey) AS i FROM nation),
 f AS (SELECT n_regionkey, d, min(i) AS i FROM s GROUP BY 1, 2)
 SELECT CAST(n_regionkey AS VARCHAR) AS query_id, string_agg(d, ',' ORDER BY i) AS documents FROM f GROUP BY n_regionkey"""
+ORACLE["bm25_blocks"] = ORACLE["bm25_search"]
