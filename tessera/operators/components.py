@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     edges = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
     mark, was = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), None
     while True:
-        edges = settle(_small_star(_large_star(edges)), "components")
+        # a round leaves at most the edges and one more for each of their ends
+        edges = settle(_small_star(_large_star(edges)), "components", was and 3 * was["n"])
         now = edges.select(mark.alias("s")).first()["s"]
         if now == was:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

@@ -38,10 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 SETTLED: list[str] = []
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage."""
+#: Rows of a file of a settled table whose size is known before.
+FILE_ROWS = 250_000
+#: Writer's options for a shared folder on a plain disk (other stores do not read them): without checksum files, for
+#: each of which the JVM would start a chmod process.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def settle(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage.
+
+    rows: what df holds at most, if known; few rows are written in few files.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    df.write.options(compression="zstd", **PLAIN).parquet(path)
     SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
