@@ -1,4 +1,4 @@
-"""Communities by greedy modularity, their payloads, and report sources."""
+"""Communities by modularity, their payloads, and report sources."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import components
+from tessera.operators.louvain import louvain
 from tessera.runtime import numbered, settle, ship
 
 
@@ -51,13 +52,22 @@ def greedy_modularity(nodes: list[int], edges: list[tuple[int, int, float]], tot
     return list(members.values())
 
 
-def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def detect(nodes: DataFrame, edges: DataFrame, method: str = "louvain") -> DataFrame:
     """(name, community_id): communities numbered by size, then by their first node.
 
-    Merging never gains across connected components, so each component is one group task,
-    with the whole graph's weight; the merging itself is one sequence of steps by nature,
-    so a component's edges have to fit into its task (about 300 bytes each).
+    louvain: distributed, for graphs of any size. greedy: the merging of one pair after the other, one group task a
+    connected component (about 300 bytes for each of its edges), as the merging is one sequence of steps by nature.
     """
+    if method not in ("louvain", "greedy"):
+        raise ValueError(f"no such method: {method}")
+    all_ = settle((louvain if method == "louvain" else _greedy)(nodes, edges), "communities")
+    groups = all_.groupBy("head").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    ranked = numbered(groups, "community_id", F.desc("n"), "first", "head").select("head", F.col("community_id").cast("int").alias("community_id"))
+    return all_.join(ranked, "head").select("name", "community_id")
+
+
+def _greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, seq, head): merging never gains across connected components, so each is one task, with the whole graph's weight."""
     ship(nodes.sparkSession)
     part = settle(components(nodes, edges).join(nodes.select("name", "seq"), "name"), "component-nodes")
     total = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
@@ -72,10 +82,7 @@ def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["name", "head"])
 
     solved = tagged.groupBy("component").applyInPandas(solve, "name string, head string")
-    all_ = settle(part.join(solved, "name", "left").select("name", "seq", F.coalesce("head", "name").alias("head")), "communities")
-    groups = all_.groupBy("head").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    ranked = numbered(groups, "community_id", F.desc("n"), "first", "head").select("head", F.col("community_id").cast("int").alias("community_id"))
-    return all_.join(ranked, "head").select("name", "community_id")
+    return part.join(solved, "name", "left").select("name", "seq", F.coalesce("head", "name").alias("head"))
 
 
 def attach(nodes: DataFrame, communities: DataFrame) -> DataFrame:

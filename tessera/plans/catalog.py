@@ -211,6 +211,16 @@ def community_members(s, d):
     return community.detect(*graph_tables(s, d))
 
 
+def community_planted(s, d):
+    """Communities of customers around their nations, with weak links from each customer to the next: the first name of each one's community."""
+    c, n = table(s, d, "customer"), table(s, d, "nation")
+    home = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("u"), F.col("n_name").alias("v"), F.lit(1.0).alias("weight"))
+    weak = c.select(F.col("c_name").alias("u"), (F.col("c_custkey") + 1).alias("k")).join(c.select(F.col("c_name").alias("v"), F.col("c_custkey").alias("k")), "k").select("u", "v", F.lit(0.001).alias("weight"))
+    nodes = c.select(F.col("c_name").alias("name"), F.col("c_custkey").cast("bigint").alias("seq")).union(n.select("n_name", -F.col("n_nationkey").cast("bigint")))
+    found = settle(community.detect(nodes, home.union(weak)), "members")
+    return found.join(found.groupBy("community_id").agg(F.min("name").alias("head")), "community_id").select("name", "head")
+
+
 def community_invariants(s, d):
     """One row on the communities of the whole graph: nodes with one, nodes with several, numbers without a gap, and
     whether their modularity is at least that of single nodes."""
@@ -495,7 +505,7 @@ QUERIES = {
         bm25_search, bm25_blocks, chunk_documents, stable_ids, shorten_text, bm25_terms, bm25_idf, local_token_sets, text_score, cosine_topk,
         kind_filter_count, kind_filter_topk, rrf_fusion, hybrid_search, canonical_names, canonical_relations, entity_merge, relation_dedupe,
         graph_nodes, graph_edges, graph_renormalize, graph_renormalize_nodes, degree_topn, type_counts, relation_counts, connected_components, graph_stats,
-        community_members, community_invariants, community_listing, report_sources, community_reports, global_topk, global_context, rank_nodes, rank_edges, rank_reports,
+        community_members, community_planted, community_invariants, community_listing, report_sources, community_reports, global_topk, global_context, rank_nodes, rank_edges, rank_reports,
         rank_sources, local_context, route_queries, json_extract, extraction, recall_mrr, missing_sources, trace_ids, entity_hits, community_metrics, report_documents, noise_entities,
         eval_summary, eval_modes, vector_upsert, vector_delete, vector_history, vector_counts, vector_get, vector_ids, vector_documents, windowed_events,
     )

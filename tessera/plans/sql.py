@@ -229,3 +229,5 @@ ORACLE["report_documents"] = """WITH s AS (SELECT n_regionkey, 'd' || n_nationke
 f AS (SELECT n_regionkey, d, min(i) AS i FROM s GROUP BY 1, 2)
 SELECT CAST(n_regionkey AS VARCHAR) AS query_id, string_agg(d, ',' ORDER BY i) AS documents FROM f GROUP BY n_regionkey"""
 ORACLE["bm25_blocks"] = ORACLE["bm25_search"]
+ORACLE["community_planted"] = """WITH m AS (SELECT c_name AS name, c_nationkey AS k FROM customer UNION ALL SELECT n_name, n_nationkey FROM nation)
+SELECT name, min(name) OVER (PARTITION BY k) AS head FROM m"""

@@ -86,9 +86,46 @@ def test_detect(spark):
     assert got == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 1, "z": 2}
 
 
+def of_labels(edges, label):
+    total = sum(w for *_, w in edges)
+    ends = {}
+    for a, b, w in edges:
+        for x in (a, b):
+            ends[label[x]] = ends.get(label[x], 0) + w
+    return sum(w for a, b, w in edges if label[a] == label[b]) / total - sum(x * x for x in ends.values()) / (4 * total * total)
+
+
+def as_graph(spark, edges, alone=()):
+    names = sorted({x for a, b, _ in edges for x in (a, b)} | set(alone))
+    return spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, seq bigint"), spark.createDataFrame(edges or [("", "", 0.0)], "u string, v string, weight double").where("u <> ''")
+
+
+def test_distributed_communities_are_as_good_as_the_sequence_of_merges(spark):
+    rng = random.Random(7)
+    edges = [(f"{g}-{a:02}", f"{g}-{b:02}", 1.0) for g in range(6) for a in range(15) for b in range(a) if rng.random() < 0.4]
+    edges += [(f"{rng.randrange(6)}-{rng.randrange(15):02}", f"{rng.randrange(6)}-{rng.randrange(15):02}", 1.0) for _ in range(60)]
+    edges = [e for e in edges if e[0] != e[1]]
+    n, e = as_graph(spark, edges)
+    found = {m: {r["name"]: r["community_id"] for r in community.detect(n, e, m).collect()} for m in ("louvain", "greedy")}
+    assert set(found["louvain"]) == {r["name"] for r in n.collect()}
+    assert of_labels(edges, found["louvain"]) >= of_labels(edges, found["greedy"]) - 0.01
+    assert len(set(found["louvain"].values())) == 6
+    with pytest.raises(ValueError):
+        community.detect(n, e, "other")
+
+
+def test_communities_of_a_hub_of_pairs_and_of_none(spark):
+    star = [("hub", f"x{i}", 1.0) for i in range(40)] + [("p", "q", 2.0)]
+    n, e = as_graph(spark, star, alone=["z"])
+    got = {r["name"]: r["community_id"] for r in community.detect(n, e).collect()}
+    assert {got[f"x{i}"] for i in range(40)} | {got["hub"]} == {0} and got["p"] == got["q"] == 1 and got["z"] == 2
+    n, e = as_graph(spark, [], alone=["a", "b"])
+    assert sorted(r["community_id"] for r in community.detect(n, e).collect()) == [0, 1]
+
+
 def test_reports_and_inspection(spark):
     n, e = small_graph(spark)
-    n = community.attach(n, community.detect(n, e))
+    n = community.attach(n, community.detect(n, e, "greedy"))
     p = {r["community_id"]: r for r in community.payloads(n, e).collect()}
     assert [x["name"] for x in json.loads(p[0]["payload"])["entities"]] == ["a", "b", "c"] and p[0]["source_ids"] == ["1", "2"]
     assert json.loads(p[2]["payload"])["relationships"] == []
@@ -164,7 +201,7 @@ def test_index_round_trip(spark, tmp_path):
 
 def test_sweep_over_all_modes(spark, tmp_path):
     n, e = small_graph(spark)
-    n = community.attach(n, community.detect(n, e))
+    n = community.attach(n, community.detect(n, e, "greedy"))
     units = spark.createDataFrame([("1", "d1", "kafka link text", 0, "Kafka", "doc", None, None, 0), *((str(i), f"d{i}", "none of it", 0, "None", "doc", None, None, i) for i in (7, 8, 9))], schemas.TEXT_UNITS)
     reports = spark.createDataFrame([("0", "Kafka", "kafka sums", ["a", "b"], ["1"], 2.0, 0)], schemas.REPORTS)
     entities = spark.createDataFrame([("a", "T", "about a", ["1"], 0)], schemas.ENTITIES)
@@ -214,7 +251,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
 
 def test_regenerated_reports_take_effect(spark, tmp_path):
     n, e = small_graph(spark)
-    n = community.attach(n, community.detect(n, e).where("name <> 'z'"))
+    n = community.attach(n, community.detect(n, e, "greedy").where("name <> 'z'"))
 
     class Rater:
         def complete(self, prompt):
