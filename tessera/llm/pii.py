@@ -12,6 +12,9 @@ Collision checks: a surrogate that is also a real entity of its kind, or already
 surrogate of another one, is drawn anew with the next attempt number, names in the end
 with more letters, until none is left. So distinct entities stay distinct, and every mention of one stays the same.
 
+Secrets and the parts of an e-mail address may have any length (a domain at most 127 labels, the system's own limit);
+bank account and card numbers have those of their standards.
+
 Defined results: null text stays null. Rows that share a doc_id are told apart by a
 hash of the text. Extra columns pass through; columns named like the outputs are
 replaced. The surrogates depend on the key and on the set of entities, not on the
@@ -48,10 +51,10 @@ FORM = "|".join(MALE_FORMS + FEMALE_FORMS)
 IP = rf"(?<![\p{{L}}\p{{N}}.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[\p{{L}}\p{{N}}])"
 WORD = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}" + RIGHT,
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,127}\p{L}{2,}" + RIGHT,
     "name": rf"{LEFT}(?:{FORM})\.? {WORD}(?: {WORD}){{0,2}}{RIGHT}",
     "ip": IP,
-    "secret": rf"{LEFT}(?:[A-Fa-f0-9]{{32,128}}|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|AIza)[A-Za-z0-9_-]{{16,100}}){RIGHT}",
+    "secret": rf"{LEFT}(?:[A-Fa-f0-9]{{32,}}+|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|AIza)[A-Za-z0-9_-]{{16,}}){RIGHT}",
     "iban": rf"{LEFT}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{RIGHT}",
     "card": rf"{LEFT}(?:\d{{13,19}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}){RIGHT}",
     "ssn": rf"{LEFT}\d{{3}}-\d{{2}}-\d{{4}}{RIGHT}",

@@ -97,3 +97,25 @@ def test_ip_after_a_phone_number(docs):
     phone, ip = re.fullmatch(r"(\+1 \(\d{3}\) \d{3}-\d{4}) (\S+)", r[1]["text"]).groups()
     assert r[2]["text"] == f"{ip}, {phone}" and ip != "190.137.2.3" and r[1]["entity_kinds"] == "ip=1,phone=1"
     assert r[3]["entity_kinds"] == "ip=1,phone=2" and r[3]["text"].split()[3] == ip
+
+
+@pytest.mark.parametrize("n", [16, 90, 100, 101, 128, 129, 150, 5000])
+def test_secrets_and_addresses_of_any_length(docs, rng, n):
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789") for _ in range(n))
+    digest = "".join(rng.choice("0123456789abcdef") for _ in range(max(n, 32)))
+    secrets = ["sk-" + word, "ghp_" + word, digest, f"{word}@{word.lower()}.example.com", f"a@{'b.' * min(n, 100)}org"]
+    d = docs([(i, f"before {x}, after {x}. Again ({x})") for i, x in enumerate(secrets)])
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(d, "k").collect()}
+    for i, x in enumerate(secrets):
+        new = got[i].split(" ")[1].rstrip(",")
+        assert x not in got[i] and len(new) == len(x)
+        assert got[i] == f"before {new}, after {new}. Again ({new})"
+
+
+def test_long_runs_that_are_no_entities_take_linear_time(docs):
+    import time
+
+    texts = ["z" * 200_000, "a." * 100_000, "x@" + "a." * 100_000, "sk-" + "_" * 200_000 + "é", "f" * 200_000 + "g", "@" * 200_000, "a@" * 100_000]
+    began = time.time()
+    got = {r["doc_id"]: r["m"] for r in docs(list(enumerate(texts))).selectExpr("doc_id", f"size(regexp_extract_all(text, {pii._q(pii.ANY)}, 0)) AS m").collect()}
+    assert time.time() - began < 60 and got[0] == got[4] == got[5] == 0
