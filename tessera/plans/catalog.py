@@ -141,11 +141,20 @@ def hybrid_search(s, d):
 
 
 def canonical_names(s, d):
-    return s.createDataFrame([(n, k) for n, k, _ in sql.DIRTY], "name string, type string").select("name", "type", canonical_entity(F.col("name"), F.col("type")).alias("canonical"))
+    """Names in need of cleaning, and paths and spaced names made of the parts' own."""
+    k, own = F.col("seq") % 3, F.col("p_name")
+    x = dirty(s, d).join(table(s, d, "part").select(F.col("p_partkey").alias("seq"), "p_name"), "seq")
+    name = F.when(k == 1, F.concat(F.lit("src/"), F.replace(own, F.lit(" "), F.lit("_")), F.lit(".py"))).when(k == 2, F.concat(F.lit("  "), F.replace(own, F.lit(" "), F.lit(" \t ")), F.lit("\n"))).otherwise(F.col("name"))
+    x = x.select("seq", name.alias("name"), F.when(k == 1, "FILE").when(k == 2, "CONCEPT").otherwise(F.col("type")).alias("type"))
+    return x.select("seq", canonical_entity(F.col("name"), F.col("type")).alias("canonical"))
 
 
 def canonical_relations(s, d):
-    return s.createDataFrame([(n,) for n, _ in sql.LABELS], "label string").select("label", canonical_relation(F.col("label")).alias("canonical"))
+    """Labels in need of cleaning, and the orders' priorities as labels."""
+    o = table(s, d, "orders")
+    label = F.element_at(F.array(*(F.lit(n) for n, _ in sql.LABELS)), (F.col("o_orderkey") % len(sql.LABELS)).cast("int") + 1)
+    label = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit(" "), F.col("o_orderpriority"))).otherwise(label)
+    return o.select("o_orderkey", canonical_relation(label).alias("canonical"))
 
 
 def entity_merge(s, d):
@@ -316,8 +325,9 @@ def local_context(s, d):
 
 
 def route_queries(s, d):
-    q = s.createDataFrame([(x,) for x, _ in sql.ROUTES], "question string")
-    return q.select("question", route(F.col("question")).alias("mode"))
+    """The benchmark's passages as questions, every third of which asks for an overview."""
+    asked = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("Give me an OVERVIEW: "), F.col("question"))).otherwise(F.col("question"))
+    return questions(s, d).select("query_id", route(asked).alias("mode"), route(asked, "naive").alias("requested"))
 
 
 def json_extract(s, d):
@@ -419,8 +429,9 @@ def eval_summary(s, d):
 
 
 def eval_modes(s, d):
-    c = s.createDataFrame([(x,) for x, _ in sql.CATEGORIES], "category string")
-    return c.select("category", F.array_join(evaluation.modes_for(F.col("category"), ["global", "local", "naive"]), ",").alias("modes"))
+    """Modes to evaluate for the benchmark's questions, which take the categories in turn."""
+    category = F.element_at(F.array(*(F.lit(x) for x, _ in sql.CATEGORIES)), (F.col("query_id") % len(sql.CATEGORIES)).cast("int") + 1)
+    return questions(s, d).select("query_id", category.alias("category"), F.array_join(evaluation.modes_for(category, ["global", "local", "naive"]), ",").alias("modes"))
 
 
 def _points(s, d):

@@ -136,8 +136,10 @@ a AS (SELECT query_id, document_id AS id, min(rank) AS rank FROM hits JOIN units
 e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 near AS (SELECT q.vec_id AS query_id, 'doc-' || e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 9) AS score FROM e JOIN e q ON q.vec_id IN (SELECT item_id FROM benchmark)),
 b AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near) WHERE rank <= 20){RRF}""",
-    "canonical_names": f"SELECT name, type, canonical FROM {_values(DIRTY, 'name, type, canonical')}",
-    "canonical_relations": f"SELECT label, canonical FROM {_values(LABELS, 'label, canonical')}",
+    "canonical_names": f"""WITH v AS (SELECT *, row_number() OVER () AS i FROM {_values(DIRTY, 'name, type, canonical')})
+SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 1 THEN replace(p_name, ' ', '_') || '.py' WHEN 2 THEN p_name ELSE canonical END AS canonical FROM part JOIN v ON i = p_partkey % {len(DIRTY)} + 1""",
+    "canonical_relations": f"""WITH v AS (SELECT *, row_number() OVER () AS i FROM {_values(LABELS, 'label, canonical')})
+SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN replace(replace(lower(o_orderpriority), '-', '_'), ' ', '_') ELSE canonical END AS canonical FROM orders JOIN v ON i = o_orderkey % {len(LABELS)} + 1""",
     "entity_merge": f"""WITH v AS (SELECT *, row_number() OVER () AS i FROM {_values(DIRTY, 'name, type, canonical')}),
 d AS (SELECT canonical AS name, type, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS description, p_brand, p_partkey AS seq FROM part JOIN v ON i = p_partkey % {len(DIRTY)} + 1)
 SELECT name, coalesce(arg_min(type, seq) FILTER (WHERE type <> 'CONCEPT'), 'CONCEPT') AS type, coalesce(arg_min(description, seq) FILTER (WHERE description <> ''), '') AS description,
@@ -181,11 +183,13 @@ ch AS (SELECT query_id, name FROM seeds UNION SELECT query_id, u FROM re UNION S
 g AS (SELECT query_id, id, sum(s) AS s FROM (SELECT query_id, unnest(ids) AS id, score AS s FROM re JOIN edges USING (u, v) UNION ALL SELECT query_id, source_ids, 0.5 FROM ch JOIN nodes USING (name) WHERE source_ids <> '') GROUP BY 1, 2),
 sc AS (SELECT q.query_id, u.id, seq, round({SCORE('q', 'tok')} + 1.5 * {SCORE('q', 'ttok')} + coalesce(s, 0), 12) AS score FROM u JOIN q ON true LEFT JOIN g ON g.query_id = q.query_id AND g.id = u.id)
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM sc WHERE score > 0""",
-    "route_queries": f"SELECT question, CASE WHEN len(list_filter({_list(GLOBAL_HINTS)}, lambda h: contains(lower(question), h))) > 0 THEN 'global' ELSE 'local' END AS mode FROM {_values(ROUTES, 'question, mode')}",
+    "route_queries": f"""SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 OR len(list_filter({_list(GLOBAL_HINTS)}, lambda h: contains(lower(text), h))) > 0 THEN 'global' ELSE 'local' END AS mode,
+'naive' AS requested FROM benchmark""",
     "json_extract": "SELECT doc_id, 'n' || doc_id AS name FROM documents",
     "extraction": """SELECT n_name AS name, 'NATION' AS type, '' AS target, 'u' || n_nationkey AS source_ids, 0.0 AS weight FROM nation
 UNION ALL SELECT n_name, 'located_in', r_name, 'u' || n_nationkey, 1.0 FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "eval_modes": f"SELECT category, modes FROM {_values(CATEGORIES, 'category, modes')}",
+    "eval_modes": f"""WITH v AS (SELECT *, row_number() OVER () AS i FROM {_values(CATEGORIES, 'category, modes')})
+SELECT item_id AS query_id, category, modes FROM benchmark JOIN v ON i = item_id % {len(CATEGORIES)} + 1""",
     "noise_entities": f"""WITH n AS (SELECT p_name AS name FROM part UNION SELECT n_name FROM nation), t AS (SELECT CAST(r_regionkey AS VARCHAR) AS query_id, {NORMAL("'From Germany_and france to ' || r_name || ', via JAPAN.'")} AS c FROM region)
 SELECT query_id, count(DISTINCT name) FILTER (WHERE contains(c, {NORMAL('name')}) AND length({NORMAL('name')}) >= 3 AND {NORMAL('name')} <> 'france') AS noise_entities FROM t, n GROUP BY query_id""",
     "eval_summary": """SELECT o_orderstatus AS mode, count(*) AS queries,
