@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.misc import point_id
+from tessera.operators import pivots
 from tessera.operators.nearest import nearest
 from tessera.runtime import BROADCAST_ROWS
 from tessera.sources.schemas import VECTORS
@@ -42,6 +43,7 @@ class VectorStore:
         if dim < 1 or buckets < 1:
             raise ValueError("dim and buckets must be at least 1")
         self.spark, self.path, self.dim, self.open = spark, path.rstrip("/"), dim, True
+        self._indexes: dict[tuple, pivots.PivotIndex] = {}
         if not self.versions():
             self._put({"dim": dim, "buckets": buckets, "version": 0, "next": 0, "base": {}, "layers": []})
         held = self.manifest()
@@ -183,11 +185,17 @@ class VectorStore:
         f = self.frame()
         return (f.where(F.col("kind") == kind) if kind else f).count()
 
-    def query(self, queries: DataFrame, limit: int = 8, kind: str | None = None) -> DataFrame:
+    def query(self, queries: DataFrame, limit: int = 8, kind: str | None = None, pruned: bool = False) -> DataFrame:
+        """(query_id, rank, source_id, score) of the nearest points; pruned: by an index of pivots, which serves until the store changes."""
         wrong = queries.where(F.size("vector") != self.dim).select(F.size("vector")).first()
         if wrong is not None:
             raise ValueError(f"a query has {wrong[0]} components, the collection {self.dim}")
-        return nearest(self.frame(), queries, limit, kind)
+        if not pruned:
+            return nearest(self.frame(), queries, limit, kind)
+        key = (self.versions()[-1], kind)
+        if key not in self._indexes:
+            self._indexes = {k: x for k, x in self._indexes.items() if k[0] == key[0]} | {key: pivots.build(self.frame(key[0]), self.dim, kind)}
+        return pivots.search(self._indexes[key], queries, limit).hits
 
     # --- changes --------------------------------------------------------------------------------------
 

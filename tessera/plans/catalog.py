@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.misc import json_object, point_id, route
 from tessera.functions.names import canonical_entity, canonical_relation
 from tessera.functions.text import bm25_tokens, contains_term, local_tokens, normalize, overlap_score, shorten, stable_id, unique
-from tessera.operators import chunk, community, dense, evaluation, fusion, graph, inspection, lexical, local, models, summary
+from tessera.operators import chunk, community, dense, evaluation, fusion, graph, inspection, lexical, local, models, pivots, summary
 from tessera.plans import sql
 from tessera.runtime import settle, small, table
 from tessera.sources.issues import table_documents, table_entities, table_relationships
@@ -110,6 +110,13 @@ def cosine_topk(s, d):
     return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "source_id", F.round("score", 6).alias("score"))
 
 
+def cosine_pruned(s, d):
+    """The same search by an index of pivots."""
+    dim = table(s, d, "embeddings").select(F.max(F.size("embedding"))).first()[0]
+    hits = pivots.search(pivots.build(vectors(s, d), dim), vector_queries(s, d)).hits
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "source_id", F.round("score", 6).alias("score"))
+
+
 def kind_filter_count(s, d):
     return vectors(s, d).withColumn("kind", F.concat(F.lit("kind-"), F.col("label"))).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -513,7 +520,7 @@ def windowed_events(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, bm25_blocks, chunk_documents, stable_ids, shorten_text, bm25_terms, bm25_idf, local_token_sets, text_score, cosine_topk,
+        bm25_search, bm25_blocks, chunk_documents, stable_ids, shorten_text, bm25_terms, bm25_idf, local_token_sets, text_score, cosine_topk, cosine_pruned,
         kind_filter_count, kind_filter_topk, rrf_fusion, hybrid_search, canonical_names, canonical_relations, entity_merge, relation_dedupe,
         graph_nodes, graph_edges, graph_renormalize, graph_renormalize_nodes, degree_topn, type_counts, relation_counts, connected_components, graph_stats,
         community_members, community_planted, community_invariants, community_listing, report_sources, community_reports, global_topk, global_context, rank_nodes, rank_edges, rank_reports,

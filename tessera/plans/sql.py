@@ -235,3 +235,4 @@ SELECT CAST(n_regionkey AS VARCHAR) AS query_id, string_agg(d, ',' ORDER BY i) A
 ORACLE["bm25_blocks"] = ORACLE["bm25_search"]
 ORACLE["community_planted"] = """WITH m AS (SELECT c_name AS name, c_nationkey AS k FROM customer UNION ALL SELECT n_name, n_nationkey FROM nation)
 SELECT name, min(name) OVER (PARTITION BY k) AS head FROM m"""
+ORACLE["cosine_pruned"] = ORACLE["cosine_topk"]

@@ -184,3 +184,14 @@ def test_empty_changes_and_wrong_sizes(spark, path):
     assert texts(s) == {"e1": "later"}
     s.delete(rows(spark, [1]))
     assert s.count() == 0 and s.counts().collect() == []
+
+
+def test_pruned_queries_follow_the_store(spark, path):
+    s = VectorStore(spark, path, 2)
+    s.upsert(rows(spark, range(60)))
+    q = spark.createDataFrame([(0, [7.0, 1.0]), (1, [0.0, 1.0])], "query_id int, vector array<float>")
+    same = lambda: sorted(map(tuple, s.query(q, 3, pruned=True).collect())) == sorted(map(tuple, s.query(q, 3).collect()))
+    assert same()
+    s.delete(rows(spark, [7]))
+    assert same() and "e7" not in {r["source_id"] for r in s.query(q, 3, pruned=True).collect()}
+    assert s.query(q, 3, "text_unit", pruned=True).collect() == []
