@@ -136,6 +136,16 @@ def rrf_fusion(s, d):
     return f.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 9).alias("score"))
 
 
+def rrf_duplicates(s, d):
+    """The same fusion of rankings that hold every id twice: the first place counts."""
+    v = vectors(s, d)
+    twice = lambda df: df.union(df.select("query_id", "id", F.col("rank") + 30))
+    a = dense.nearest(v, vector_queries(s, d), 20).select("query_id", F.col("source_id").alias("id"), "rank")
+    b = dense.nearest(v.where("label % 2 = 0"), vector_queries(s, d), 20).select("query_id", F.col("source_id").alias("id"), "rank")
+    f = fusion.fuse({"all": twice(a), "even": twice(b)})
+    return f.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 9).alias("score"))
+
+
 def hybrid_search(s, d):
     """BM25 over documents' chunks fused with cosine over vectors; the vec_id of a question is its item_id."""
     u = settle(units(s, d), "units")
@@ -185,6 +195,11 @@ def graph_edges(s, d):
     return e.select("u", "v", F.array_join("relations", "|").alias("relations"), F.round("weight", 6).alias("weight"), F.size("source_ids").cast("bigint").alias("n_sources"), F.md5(F.array_join("source_ids", "|")).alias("sources_md5"), F.size("descriptions").cast("bigint").alias("n_descriptions"))
 
 
+def edge_directions(s, d):
+    """The direction in which each pair was first met, and when."""
+    return graph_tables(s, d)[1].select("u", "v", "first_source", "first_target", "seq")
+
+
 def _renormalized(s, d):
     """The supplier graph with its region names spelled in aliases of one name, and merged."""
     n, e = graph_tables(s, d)
@@ -325,6 +340,15 @@ def rank_sources(s, d):
     return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def local_search(s, d):
+    """Everything that a local context shows of a question: nodes, edges, reports and sources above their thresholds."""
+    g, _ = _local(s, d)
+    r = local.search(g, local_questions(s))
+    part = lambda df, name, id_: df.select("query_id", F.lit(name).alias("part"), id_.alias("id"), F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+    nodes, edges = part(r.nodes, "node", F.col("name")), part(r.edges, "edge", F.concat_ws(" -- ", "u", "v"))
+    return nodes.union(edges).union(part(r.reports, "report", F.col("id"))).union(part(r.sources, "source", F.col("id")))
+
+
 def local_context(s, d):
     g, _ = _local(s, d)
     q = local_questions(s)
@@ -421,8 +445,12 @@ def report_documents(s, d):
 
 
 def noise_entities(s, d):
-    n = table(s, d, "part").select(F.col("p_name").alias("name")).union(table(s, d, "nation").select("n_name")).distinct()
-    t = table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("query_id"), F.lit("naive").alias("mode"), F.concat(F.lit("From Germany_and france to "), F.col("r_name"), F.lit(", via JAPAN.")).alias("context"), F.array(F.lit("France")).alias("expected_entities"))
+    """Names in the documents as contexts: two words of each benchmark passage, and the nations; a document's own passage is expected."""
+    name = lambda c: F.concat_ws("_", F.get(F.split(c, " "), 2), F.initcap(F.get(F.split(c, " "), 3)))
+    b = table(s, d, "benchmark")
+    n = b.select(name(F.col("text")).alias("name")).union(table(s, d, "nation").select("n_name")).distinct()
+    docs = table(s, d, "documents").join(b.select(F.col("item_id").alias("doc_id"), name(F.col("text")).alias("own")), "doc_id", "left")
+    t = docs.select(F.col("doc_id").alias("query_id"), F.lit("naive").alias("mode"), F.coalesce("text", F.lit("")).alias("context"), F.array(F.coalesce("own", F.lit("France"))).alias("expected_entities"))
     return evaluation.noise_entities(t, n).select("query_id", F.col("noise_entities").cast("bigint").alias("noise_entities"))
 
 
@@ -521,10 +549,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_search, bm25_blocks, chunk_documents, stable_ids, shorten_text, bm25_terms, bm25_idf, local_token_sets, text_score, cosine_topk, cosine_pruned,
-        kind_filter_count, kind_filter_topk, rrf_fusion, hybrid_search, canonical_names, canonical_relations, entity_merge, relation_dedupe,
-        graph_nodes, graph_edges, graph_renormalize, graph_renormalize_nodes, degree_topn, type_counts, relation_counts, connected_components, graph_stats,
+        kind_filter_count, kind_filter_topk, rrf_fusion, rrf_duplicates, hybrid_search, canonical_names, canonical_relations, entity_merge, relation_dedupe,
+        graph_nodes, graph_edges, edge_directions, graph_renormalize, graph_renormalize_nodes, degree_topn, type_counts, relation_counts, connected_components, graph_stats,
         community_members, community_planted, community_invariants, community_listing, report_sources, community_reports, global_topk, global_context, rank_nodes, rank_edges, rank_reports,
-        rank_sources, local_context, route_queries, json_extract, extraction, recall_mrr, missing_sources, trace_ids, entity_hits, community_metrics, report_documents, noise_entities,
+        rank_sources, local_search, local_context, route_queries, json_extract, extraction, recall_mrr, missing_sources, trace_ids, entity_hits, community_metrics, report_documents, noise_entities,
         eval_summary, eval_modes, vector_upsert, vector_delete, vector_history, vector_counts, vector_get, vector_ids, vector_documents, windowed_events,
     )
 }

@@ -190,8 +190,10 @@ SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY q
 UNION ALL SELECT n_name, 'located_in', r_name, 'u' || n_nationkey, 1.0 FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "eval_modes": f"""WITH v AS (SELECT *, row_number() OVER () AS i FROM {_values(CATEGORIES, 'category, modes')})
 SELECT item_id AS query_id, category, modes FROM benchmark JOIN v ON i = item_id % {len(CATEGORIES)} + 1""",
-    "noise_entities": f"""WITH n AS (SELECT p_name AS name FROM part UNION SELECT n_name FROM nation), t AS (SELECT CAST(r_regionkey AS VARCHAR) AS query_id, {NORMAL("'From Germany_and france to ' || r_name || ', via JAPAN.'")} AS c FROM region)
-SELECT query_id, count(DISTINCT name) FILTER (WHERE contains(c, {NORMAL('name')}) AND length({NORMAL('name')}) >= 3 AND {NORMAL('name')} <> 'france') AS noise_entities FROM t, n GROUP BY query_id""",
+    "noise_entities": f"""WITH own AS (SELECT item_id, string_split(text, ' ')[3] || '_' || string_split(text, ' ')[4] AS name FROM benchmark),
+n AS (SELECT DISTINCT {NORMAL('name')} AS norm FROM (SELECT name FROM own UNION ALL SELECT n_name FROM nation)),
+t AS (SELECT doc_id, {NORMAL("coalesce(text, '')")} AS c, {NORMAL("coalesce(name, 'France')")} AS want FROM documents LEFT JOIN own ON item_id = doc_id)
+SELECT doc_id AS query_id, count(*) FILTER (WHERE contains(c, norm) AND length(norm) >= 3 AND norm <> want) AS noise_entities FROM t, n GROUP BY doc_id""",
     "eval_summary": """SELECT o_orderstatus AS mode, count(*) AS queries,
   round(avg(CASE WHEN o_orderkey % 2 <> 0 THEN (o_orderkey % 11) / 10.0 END), 6) AS entity_recall, round(avg(CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 11) / 10.0 END), 6) AS source_recall_at_k,
   round(avg(CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 11) / 10.0 END), 6) AS source_mrr, CAST(NULL AS DOUBLE) AS community_recall, CAST(NULL AS DOUBLE) AS community_mrr,
@@ -236,3 +238,19 @@ ORACLE["bm25_blocks"] = ORACLE["bm25_search"]
 ORACLE["community_planted"] = """WITH m AS (SELECT c_name AS name, c_nationkey AS k FROM customer UNION ALL SELECT n_name, n_nationkey FROM nation)
 SELECT name, min(name) OVER (PARTITION BY k) AS head FROM m"""
 ORACLE["cosine_pruned"] = ORACLE["cosine_topk"]
+ORACLE["local_search"] = f"""WITH {LOCAL_GRAPH}, {EDGE_SCORES}, u AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS seq, {LOCAL("coalesce(text, '')")} AS tok, {LOCAL("'Document ' || doc_id")} AS ttok FROM documents),
+re AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, u, v) AS rank FROM sce WHERE score > 0) WHERE rank <= 32),
+ch AS (SELECT query_id, name FROM seeds UNION SELECT query_id, u FROM re UNION SELECT query_id, v FROM re),
+g AS (SELECT query_id, id, sum(s) AS s FROM (SELECT query_id, unnest(ids) AS id, score AS s FROM re JOIN edges USING (u, v) UNION ALL SELECT query_id, source_ids, 0.5 FROM ch JOIN nodes USING (name) WHERE source_ids <> '') GROUP BY 1, 2),
+sc AS (SELECT q.query_id, u.id, seq, round({SCORE('q', 'tok')} + 1.5 * {SCORE('q', 'ttok')} + coalesce(s, 0), 12) AS score FROM u JOIN q ON true LEFT JOIN g ON g.query_id = q.query_id AND g.id = u.id),
+rtok AS (SELECT *, {LOCAL("concat_ws(' ', title, array_to_string(names, ' '), summary)")} AS tok FROM reports),
+scr AS (SELECT q.query_id, id, seq, round({SCORE('q', 'tok')} + 0.4 * least(5, (SELECT count(*) FROM ch WHERE ch.query_id = q.query_id AND list_contains(names, ch.name))), 12) AS score FROM rtok JOIN q ON true),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM scr WHERE score > 0),
+rs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM sc WHERE score > 0)
+SELECT query_id, part, id, rank, round(score, 6) AS score FROM (
+  SELECT rn.query_id, 'node' AS part, rn.name AS id, rank, score FROM rn JOIN ch ON ch.query_id = rn.query_id AND ch.name = rn.name WHERE rank <= 24 AND score >= 0.75
+  UNION ALL SELECT query_id, 'edge', u || ' -- ' || v, rank, score FROM re WHERE score >= 1.0
+  UNION ALL SELECT query_id, 'report', id, rank, score FROM rr WHERE rank <= 5 AND score >= greatest(1.5, top * 0.55)
+  UNION ALL SELECT query_id, 'source', id, rank, score FROM rs WHERE rank <= 6 AND score >= greatest(2.0, top * 0.20))"""
+ORACLE["rrf_duplicates"] = ORACLE["rrf_fusion"]
+ORACLE["edge_directions"] = f"WITH {GRAPH} SELECT least(source, target) AS u, greatest(source, target) AS v, arg_min(source, seq) AS first_source, arg_min(target, seq) AS first_target, min(seq) AS seq FROM rel GROUP BY 1, 2"
