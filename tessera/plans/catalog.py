@@ -446,7 +446,7 @@ def report_documents(s, d):
 
 def noise_entities(s, d):
     """Names in the documents as contexts: two words of each benchmark passage, and the nations; a document's own passage is expected."""
-    name = lambda c: F.concat_ws("_", F.get(F.split(c, " "), 2), F.initcap(F.get(F.split(c, " "), 3)))
+    name = lambda c: F.concat_ws("_", F.get(F.split(c, " "), 2), F.get(F.split(c, " "), 3))
     b = table(s, d, "benchmark")
     n = b.select(name(F.col("text")).alias("name")).union(table(s, d, "nation").select("n_name")).distinct()
     docs = table(s, d, "documents").join(b.select(F.col("item_id").alias("doc_id"), name(F.col("text")).alias("own")), "doc_id", "left")
