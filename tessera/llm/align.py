@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bpe import COMMON, _slices
-from tessera.runtime import kept, resting, settle, ship, table
+from tessera.llm.workers import kept, resting
+from tessera.runtime import settle, ship, table
 
 #: Segments, and label spans, that a worker remembers before it starts afresh; the longest span in bytes.
 REMEMBERED, LONGEST = 150_000, 48

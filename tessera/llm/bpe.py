@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.runtime import kept, resting, ship, table
+from tessera.llm.workers import kept, resting
+from tessera.runtime import ship, table
 
 #: Distinct pieces and token pairs that a worker remembers before it starts afresh.
 PIECE_CACHE, PAIR_CACHE = 100_000, 150_000

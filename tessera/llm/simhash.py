@@ -38,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.workers import kept, resting
 from tessera.operators.components import connected_components
-from tessera.runtime import kept, partitions, resting, settle, ship, small, table
+from tessera.runtime import partitions, settle, ship, small, table
 
 BITS, SMALL, GIANT = 64, 48, 32_768
 #: Minimum hashes of similar_groups: at similarity 0.8, all bands miss a pair 7 times in 100,000 (0.672 ^ 24).

@@ -36,8 +36,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.runtime import kept as held
-from tessera.runtime import release, ship, table
+from tessera.llm.workers import kept as held
+from tessera.llm.workers import release
+from tessera.runtime import ship, table
 
 WINDOW, STRIDE, HIDDEN, ODDS, BATCH = 48, 24, 8, 4, 256
 LETTERS, EMBED, LETTER_HIDDEN, LETTER_OUT, PIECE = 128, 6, 6, 4, 32

@@ -50,7 +50,7 @@ def test_new_words_are_worked_out_in_parts(monkeypatch):
 
 def test_a_worker_gives_up_what_other_operators_kept():
     from tessera.llm import bpe
-    from tessera.runtime import kept
+    from tessera.llm.workers import kept
 
     path, pattern = bpe.default_vocabulary()
     raw = bpe.read_ranks(path)
