@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,48 +81,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-_KEPT: dict[str, dict] = {}
-
-
-def kept(name: str) -> dict:
-    """What the operator of that name keeps from task to task in this Python process.
-
-    Workers go from one operator's tasks to the next one's, so what others have kept is given up first.
-    """
-    others = [d for k, d in _KEPT.items() if k != name and d]
-    for d in others:
-        d.clear()
-    if others:
-        release()
-    return _KEPT.setdefault(name, {})
-
-
-def release() -> None:
-    """Give freed memory back to the system: a worker that waits for its next task holds on to it otherwise."""
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim is not None:
-        trim(0)
-
-
-def resting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run for mapInArrow, whose Python process gives freed memory back after a task's last batch.
-
-    An executor has more Python workers than cores, as a task with two such steps uses two, and they take turns.
-    """
-
-    def out(batches: Iterator) -> Iterator:
-        try:
-            yield from run(batches)
-        finally:
-            release()
-
-    return out
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it was counted to have at most that many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -163,3 +163,11 @@ def test_evaluation(spark):
     assert r["community_recall"] == 1.0 and r["community_mrr"] == 0.5 and r["noise_entities"] == 1
     s = evaluation.summarize(spark.createDataFrame([("m", 1.0, None, None, None, None, 3.0, 1), ("m", None, None, None, None, None, 5.0, 2)], "mode string, entity_recall double, source_recall_at_k double, source_mrr double, community_recall double, community_mrr double, latency_ms double, noise_entities int")).first()
     assert (s["queries"], s["entity_recall"], s["source_mrr"], s["median_latency_ms"], s["avg_noise_entities"]) == (2, 1.0, None, 4.0, 1.5)
+
+
+def test_medians_of_large_groups(spark):
+    rows = spark.range(300_001).select(F.when(F.col("id") < 300_000, "big").otherwise("one").alias("mode"), F.when(F.col("id") % 3 > 0, (F.col("id") * 7919 % 300_007).cast("double")).alias("x"))
+    rows = rows.union(spark.createDataFrame([(None, 4.0), (None, 1.0), ("none", None)], "mode string, x double"))
+    got = {r["mode"]: r["median"] for r in evaluation.medians(rows, "mode", "x").collect()}
+    want = {r["mode"]: r["m"] for r in rows.where("x IS NOT NULL").groupBy("mode").agg(F.median("x").alias("m")).collect()}
+    assert got == want and got[None] == 2.5 and "none" not in got
