@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass, fields
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.runtime import PLAIN, shared_dir
 from tessera.sources import schemas
 
 TABLES = {"text_units": schemas.TEXT_UNITS, "entities": schemas.ENTITIES, "relationships": schemas.RELATIONSHIPS, "nodes": schemas.NODES, "edges": schemas.EDGES, "community_reports": schemas.REPORTS}
@@ -51,15 +52,42 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def _write_joined(spark: SparkSession, path: str, pieces: list[str | DataFrame]) -> None:
+    """One file of the pieces in order: texts, and frames of one text column, whose rows are joined by a comma and a line end.
+
+    Tasks write the rows as parts in the shared folder; the parts' bytes are then copied behind each other, a buffer at
+    a time, and the file is put in place when it is whole. No row reaches the driver's Python or is held by the driver.
+    """
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    at, copy, stage = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils.copyLarge, f"{shared_dir(spark)}/export-{uuid4().hex}"
+    shared, target = at(stage).getFileSystem(hadoop), at(path)
+    for i, x in enumerate(pieces):
+        if not isinstance(x, str):
+            x.write.options(lineSep=",\n", **PLAIN).text(f"{stage}/{i}")
+    fs, draft = target.getFileSystem(hadoop), target.suffix(f".{uuid4().hex}")
+    if target.getParent() is not None:
+        fs.mkdirs(target.getParent())
+    out = fs.create(draft, True)
+    for i, x in enumerate(pieces):
+        if isinstance(x, str):
+            out.write(bytearray(x.encode()))
+            continue
+        parts = sorted((f.getPath().getName(), f.getLen()) for f in shared.listStatus(at(f"{stage}/{i}")) if f.getPath().getName().startswith("part-") and f.getLen())
+        for k, (name, size) in enumerate(parts, 1):
+            held = shared.open(at(f"{stage}/{i}/{name}"))
+            copy(held, out, 0, size - 2 * (k == len(parts)))  # without what would follow the last row
+            held.close()
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(draft, target):
+        raise OSError(f"{path} could not be put in place")
+    shared.delete(at(stage), True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """One file with an indented JSON array, for small exports: its rows pass through the driver, one by one."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for i, row in enumerate(df.toJSON().toLocalIterator()):
-            f.write(",\n" if i else "\n")
-            f.write("\n".join("  " + x for x in json.dumps(json.loads(row), ensure_ascii=False, indent=2).splitlines()))
-        f.write("\n]\n")
+    """One file with an indented JSON array, in the frame's order."""
+    row = F.regexp_replace(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"pretty": "true"}), "(?m)^", "  ")
+    _write_joined(df.sparkSession, path, ["[\n", df.select(row.alias("value")), "\n]\n"])
 
 
 def write_index(frames: dict[str, DataFrame], path: str) -> None:
@@ -86,16 +114,11 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Node-link JSON; for exports of a size that one file can hold."""
-    n = nodes.orderBy("seq").select(F.col("name").alias("id"), "type", "description", "source_ids", "community_id").toJSON()
-    e = edges.orderBy("seq").select(F.col("u").alias("source"), F.col("v").alias("target"), "relations", "descriptions", "weight", "source_ids").toJSON()
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        for head, rows in (('{"directed": false, "multigraph": false, "graph": {}, "nodes": [', n), ('], "links": [', e)):
-            f.write(head)
-            for i, row in enumerate(rows.toLocalIterator()):
-                f.write((",\n" if i else "\n") + row)
-        f.write("]}\n")
+    """Node-link JSON in one file, nodes and edges in the order of seq."""
+    row = lambda df, *cols: df.orderBy("seq").select(F.to_json(F.struct(*cols)).alias("value"))
+    n = row(nodes, F.col("name").alias("id"), "type", "description", "source_ids", "community_id")
+    e = row(edges, F.col("u").alias("source"), F.col("v").alias("target"), "relations", "descriptions", "weight", "source_ids")
+    _write_joined(nodes.sparkSession, path, ['{"directed": false, "multigraph": false, "graph": {}, "nodes": [\n', n, '\n], "links": [\n', e, "\n]}\n"])
 
 
 def write_metrics_csv(rows: DataFrame, path: str) -> None:

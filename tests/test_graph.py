@@ -321,3 +321,21 @@ def test_settings(tmp_path):
     s = artifacts.load_settings(str(f), {"LLM_MODEL": "own"})
     assert (s.llm_provider, s.llm_model, s.raw_data_dir) == ("openai", "own", "data/raw")
     assert artifacts.input_path("a.json", s) == "data/raw/a.json" and artifacts.input_path("/a.json", s) == "/a.json"
+
+
+def test_exports_are_whole_and_in_order(spark, tmp_path):
+    path = tmp_path / "deep" / "rows.json"
+    df = spark.range(30_000, numPartitions=7).select(F.col("id").alias("a"), F.concat(F.lit('line\n"é", '), "id").alias("b"), F.when(F.col("id") % 2 == 0, F.array("id")).alias("c"))
+    artifacts.write_json(df, str(path))
+    artifacts.write_json(df, str(path))  # in place of the first
+    got = json.loads(path.read_text(encoding="utf-8"))
+    assert got == [{"a": i, "b": f'line\n"é", {i}'} | ({"c": [i]} if i % 2 == 0 else {}) for i in range(30_000)]
+    assert {x.name for x in path.parent.iterdir() if not x.name.endswith(".crc")} == {"rows.json"}
+    artifacts.write_json(df.limit(0), str(path))
+    assert json.loads(path.read_text()) == []
+    n, e = small_graph(spark)
+    n = n.withColumn("community_id", F.lit(1))
+    artifacts.write_graph(n, e, str(tmp_path / "g.json"))
+    back = artifacts.read_graph(spark, str(tmp_path / "g.json"))
+    assert [r["name"] for r in back[0].orderBy("seq").collect()] == [r["name"] for r in n.orderBy("seq").collect()]
+    assert sorted((r["u"], r["v"], r["weight"]) for r in back[1].collect()) == sorted((r["u"], r["v"], r["weight"]) for r in e.collect())
