@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.workers import kept, resting
+from tessera.llm.workers import kept, resting, uncollected
 from tessera.runtime import ship, table
 
 #: Distinct pieces and token pairs that a worker remembers before it starts afresh.
@@ -272,7 +272,7 @@ def encode_decode(docs: DataFrame, vocab_path: str | None = None, pattern: str |
             del batch, texts, rest  # else they stay while the next batch is read
 
     ship(spark)
-    return sent.mapInArrow(resting(run), schema)
+    return sent.mapInArrow(resting(uncollected(run)), schema)
 
 
 def _slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -46,3 +46,26 @@ def resting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
             release()
 
     return out
+
+
+def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow without the collector of cycles, which would go through the worker's large caches again and again.
+
+    It is called once for each input batch instead, so what it finds stays bounded by a batch.
+    """
+
+    def out(batches: Iterator) -> Iterator:
+        def counted() -> Iterator:
+            for b in batches:
+                yield b
+                gc.collect()
+
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(counted())
+        finally:
+            if on:
+                gc.enable()
+
+    return out

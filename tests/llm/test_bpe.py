@@ -46,11 +46,11 @@ def test_pieces_that_come_once_are_not_held(reference):
 
 
 def test_a_process_gives_memory_back_after_its_task(monkeypatch):
-    from tessera import runtime
+    from tessera.llm import workers
 
     done = []
-    monkeypatch.setattr(runtime, "release", lambda: done.append("released"))
-    out = runtime.resting(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    monkeypatch.setattr(workers, "release", lambda: done.append("released"))
+    out = workers.resting(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
     assert [next(out), next(out), list(done), list(out), done] == [2, 3, [], [], ["released"]]
 
 
@@ -74,3 +74,19 @@ def test_query(spark, reference):
         ids = reference.encode_ordinary(texts[r["doc_id"]])
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["n_tokens"] == len(ids)
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_null_ids_and_a_very_long_text(docs):
+    long = "the quick brown fox, 12345 times; naïve café! " * 4500
+    rows = {(r["doc_id"], r["decoded"].decode()): r["n_tokens"] for r in bpe.encode_decode(docs([(None, "a b"), (None, None), (7, long)])).collect()}
+    assert set(rows) == {(None, "a b"), (None, ""), (7, long)} and len(long) > 200_000 and rows[None, ""] == 0
+
+
+def test_the_collector_is_as_before_after_a_task():
+    import gc
+
+    from tessera.llm.workers import uncollected
+
+    seen = []
+    assert list(uncollected(lambda batches: (seen.append(gc.isenabled()) or b for b in batches))(iter([1, 2]))) == [1, 2]
+    assert seen == [False, False] and gc.isenabled()
