@@ -31,7 +31,7 @@ def test_run_gives_the_ids_of_kept_texts(spark):
 
 
 def test_registry_has_one_query_an_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
 
 
 LONG = "This line is well over forty characters long and stands in many texts"
