@@ -4,7 +4,8 @@ A round of moves adds up each node's weight to the communities around it, and mo
 hash of node and round, to the community of largest gain: were all nodes to move at once, neighbours would change
 places for ever. A round counts only if the modularity of the whole partition has grown; if not, a smaller part of
 the nodes is tried. Where no round helps any more, communities become the nodes of a smaller graph, and so on until
-nothing moves. At last the nodes themselves move once more. All of it is joins and sums over edges, so no task holds a
+nothing moves. At last the nodes themselves move once more, until none of them would gain: one node of very many adds
+less to the modularity than a round is worth otherwise. All of it is joins and sums over edges, so no task holds a
 component or a community, and a node with very many edges is summed up in parts first.
 """
 
@@ -55,23 +56,29 @@ def _moved(both: DataFrame, labels: DataFrame, total: float, chosen: Column, fit
     return best.select("node", "k", F.when(goes & chosen, -F.col("best.less")).otherwise(F.col("own")).alias("label"), F.when(goes, F.col("best.gain") - F.col("before")).otherwise(0.0).alias("gains"))
 
 
-def _moves(edges: DataFrame, labels: DataFrame, total: float, seed: int) -> tuple[DataFrame, bool]:
-    """The partition after rounds of moves, and whether it is better than before by GROWTH at least."""
+def _moves(edges: DataFrame, labels: DataFrame, total: float, seed: int, last: bool = False) -> tuple[DataFrame, bool]:
+    """The partition after rounds of moves, and whether it is better than before by GROWTH at least.
+
+    last: go on below GROWTH, as long as what is left to gain halves from round to round.
+    """
     both = settle(edges.union(edges.select("b", "a", "w")), "both-ways")
     labels = settle(labels.withColumn("gains", F.lit(0.0)), "labels")
     nodes = labels.count()
     fit = _sized(nodes)
     first = value = _value(edges, labels, total, fit)[0]
-    part, idle = 2, 0
+    part, idle, before = 2, 0, float("inf")
     for round_ in range(ROUNDS):
         chosen = F.pmod(F.xxhash64("node", F.lit(seed * ROUNDS + round_)), F.lit(part)) == 0
         new = settle(_moved(both, labels, total, chosen, fit), "labels", nodes)
         now, gains = _value(edges, new, total, fit)
-        if gains < GROWTH:  # of the partition before
+        if gains <= 0 or gains < GROWTH and not last:  # of the partition before
             break
-        idle = 0 if now > value + GROWTH / 10 else idle + 1
+        idle = 0 if now > value + GROWTH / 10 or last and gains <= before / 2 else idle + 1
+        before = min(before, gains)
         if now > value:
             labels, value = new, now
+            if gains < GROWTH:
+                part = 1  # the few that are left
         elif now < value:
             part += 1  # too many at once
         else:
@@ -105,7 +112,7 @@ def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         to = lambda c, name: fit(labels.select(F.col("node").alias(c), F.col("label").alias(name)))  # noqa: B023, E731
         e = e.join(to("a", "x"), "a").join(to("b", "y"), "b").where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
         e = settle(e, "coarse-edges")
-    labels, _ = _moves(first, weights.join(member, "node").select("node", "k", "label"), total, LEVELS)
+    labels, _ = _moves(first, weights.join(member, "node").select("node", "k", "label"), total, LEVELS, last=True)
     heads = labels.groupBy("label").agg(F.min("node").alias("node")).join(ids, "node").select("label", F.col("name").alias("head"))
     found = labels.join(fit(heads), "label").select("node", "head")
     return ids.join(found, "node", "left").select("name", "seq", F.coalesce("head", "name").alias("head"))

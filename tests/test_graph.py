@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import cli
-from tessera.operators import community, evaluation, graph, inspection, local, models, summary
+from tessera.operators import community, evaluation, graph, inspection, local, louvain, models, summary
 from tessera.operators.components import connected_components
 from tessera.sources import artifacts, issues, schemas
 
@@ -114,6 +114,17 @@ def test_distributed_communities_are_as_good_as_the_sequence_of_merges(spark):
         community.detect(n, e, "other")
 
 
+@pytest.mark.parametrize("strays", [1, 4])
+def test_nodes_that_add_little_to_the_whole_move_at_last(spark, strays):
+    """Pairs without number, and a star some of whose leaves start outside: each adds under a tenth of louvain.GROWTH."""
+    pairs = spark.range(110_000).selectExpr("100 + 2 * id AS a", "101 + 2 * id AS b", "1.0D AS w")
+    edges = pairs.union(spark.range(1, 21).selectExpr("0L", "id", "1.0D"))
+    ends = edges.select(F.col("a").alias("node"), "w").union(edges.select("b", "w")).groupBy("node").agg(F.sum("w").alias("k"))
+    label = F.when(F.col("node") < 100, F.when(F.col("node").between(1, strays), F.col("node")).otherwise(0)).otherwise(F.col("node") - F.col("node") % 2)
+    labels, _ = louvain._moves(edges, ends.withColumn("label", label), 110_020.0, 0, last=True)
+    assert labels.where("node < 100 AND label <> 0").count() == 0 and labels.where("node >= 100 AND label <> node - node % 2").count() == 0
+
+
 def test_communities_of_a_hub_of_pairs_and_of_none(spark):
     star = [("hub", f"x{i}", 1.0) for i in range(40)] + [("p", "q", 2.0)]
     n, e = as_graph(spark, star, alone=["z"])
