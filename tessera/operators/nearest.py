@@ -14,6 +14,10 @@ from tessera.runtime import ship
 
 #: Queries that are sent to every task; more of them meet the vectors in blocks.
 SENT_QUERIES, BLOCK = 20_000, 4_096
+#: Queries and vectors of one matrix product: 8 MB of scores, whatever the tables' size.
+TILE = 1_024
+#: Numbers of a block of vectors that meets a block of queries: the larger, the fewer rows leave the pairs of blocks.
+BLOCK_NUMBERS = 4_000_000
 PAIRS = "query_id {0}, source_id {1}, score double"
 
 
@@ -29,7 +33,7 @@ def _by_length(a: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _block_top(q: dict, qid: pa.Array, v: pa.Array, vid: pa.Array, top_k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, vector, score) of the top_k of each query among the vectors: one matrix product a length."""
+    """(query, vector, score) of the top_k of each query among the vectors: matrix products of TILE by TILE, whatever the batch's size."""
     found, order = [], None
     for n, (rows, x) in _by_length(v).items():
         if n not in q or not len(rows) or not len(q[n][0]):
@@ -37,20 +41,39 @@ def _block_top(q: dict, qid: pa.Array, v: pa.Array, vid: pa.Array, top_k: int) -
         if order is None:  # places of the ids in their own order, for ties
             order = np.empty(len(vid), np.int64)
             order[pc.sort_indices(vid).to_numpy()] = np.arange(len(vid))
+        # in the order of ids, so that a tie is the earlier column
+        by = np.argsort(order[rows], kind="stable")
+        rows, x = rows[by], x[by]
+        norm = np.sqrt((x * x).sum(1))
         who, a = q[n]
-        for lo in range(0, len(who), 1024):
-            part = a[lo : lo + 1024]
-            s = np.round((part @ x.T) / np.sqrt((part * part).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None, :], 9)
-            k = min(top_k, s.shape[1])
-            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            i, j = np.nonzero(s >= edge[:, None])
-            by = np.lexsort((order[rows[j]], -s[i, j], i))
-            i, j = i[by], j[by]
-            at = np.arange(len(i)) - np.searchsorted(i, i)
-            found.append((who[lo + i[at < k]], rows[j[at < k]], s[i[at < k], j[at < k]]))
+        for lo in range(0, len(who), TILE):
+            part = a[lo : lo + TILE]
+            own = np.sqrt((part * part).sum(1))[:, None]
+            best = None
+            for at in range(0, len(rows), TILE):
+                s = part @ x[at : at + TILE].T
+                s /= own
+                s /= norm[None, at : at + TILE]
+                best = _better(best, np.round(s, 9, out=s), at, top_k)
+            i, j, s = best
+            found.append((who[lo + i], rows[j], s))
     return found
 
 
+def _better(best: tuple | None, s: np.ndarray, at: int, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, column, score), sorted: the top_k of each query of those before and of the scores of columns from `at` on; ties to earlier columns."""
+    k = min(top_k, s.shape[1])
+    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    i, j = np.nonzero(s >= edge[:, None])
+    score, j = s[i, j], j + at
+    if best is not None:
+        i, j, score = (np.concatenate(c) for c in zip(best, (i, j, score), strict=True))
+    by = np.lexsort((j, -score, i))
+    i, j, score = i[by], j[by], score[by]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < top_k
+    return i[kept], j[kept], score[kept]
+
+
 def _pairs(found: list, qid: pa.Array, vid: pa.Array) -> pa.RecordBatch:
     who, row, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return pa.RecordBatch.from_arrays([qid.take(pa.array(who)), vid.take(pa.array(row)), pa.array(score)], names=["query_id", "source_id", "score"])
@@ -61,7 +84,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = 8, kind: str |
 
     Every vector meets every query, as an exact search must, in matrix products of Arrow batches; each batch
     passes on its top_k alone. Up to SENT_QUERIES queries, by count, are sent to every task. More of them are cut
-    into blocks of BLOCK, as are the vectors, and each pair of blocks is a task. Vectors of other lengths than a
+    into blocks of BLOCK, as are the vectors into larger ones, and each pair of blocks is a task. Vectors of other lengths than a
     query's, null ones and zero ones are not met.
     """
     if top_k < 1:
@@ -85,7 +108,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = 8, kind: str |
         scored = v.mapInArrow(meet, types)
     else:
         blocks = lambda n: -(-n // BLOCK)
-        nv, nq = max(1, blocks(v.count())), blocks(q.count())
+        size = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+        nv = max(1, -(-size["n"] // max(BLOCK, BLOCK_NUMBERS // max(size["dim"] or 1, 1))))
+        nq = blocks(q.count())
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = v.select("*", F.pmod(F.xxhash64("source_id"), F.lit(nv)).cast("int").alias("a"), every(nq).alias("b"))
         right = q.select("*", every(nv).alias("a"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("b"))

@@ -97,6 +97,37 @@ def test_nearest_like_brute_force(spark, monkeypatch, sent):
     assert empty.count() == 0 and dense.nearest(v, spark.createDataFrame([], "query_id string, vector array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("tile", [1, 7, 64, 1024])
+def test_tiles_find_what_the_whole_product_finds(monkeypatch, tile):
+    """Ties across tiles go to the smaller id, and no more than a tile of scores is held at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import nearest
+
+    monkeypatch.setattr(nearest, "TILE", tile)
+    r = np.random.default_rng(4)
+    v, q = r.integers(-1, 2, (90, 3)).astype(float), r.integers(-1, 2, (20, 3)).astype(float)
+    ids = pa.array(r.permutation(90))
+    of = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    pairs = nearest._pairs(nearest._block_top(nearest._by_length(of(q)), pa.array(range(20)), of(v), ids, 5), pa.array(range(20)), ids)
+    got = sorted(zip(*(pairs.column(k).to_pylist() for k in range(3)), strict=True))
+    want = []
+    for i, a in enumerate(q):
+        near = [(-round(float(a @ b) / float(np.sqrt(a @ a) * np.sqrt(b @ b)), 9), n) for b, n in zip(v, ids.to_pylist(), strict=True) if a.any() and b.any()]
+        want += [(i, n, pytest.approx(-s, abs=1e-9)) for s, n in sorted(near)[:5]]
+    assert sorted((a, b) for a, b, _ in got) == sorted((a, b) for a, b, _ in want) and got == sorted(want, key=lambda x: x[:2])
+    if tile == 64:
+        big = nearest._by_length(of(r.normal(size=(1500, 4))))
+        many, numbers = of(r.normal(size=(6000, 4))), pa.array(range(6000))
+        tracemalloc.start()
+        nearest._block_top(big, numbers.slice(0, 1500), many, numbers, 5)
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20  # all scores at once: 72 MB
+        tracemalloc.stop()
+
+
 def test_store(spark):
     path = f"{shared_dir(spark)}/test-store-{uuid4().hex}"
     s = dense.VectorStore(spark, path, 3)
