@@ -23,11 +23,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bm25_tokens
-from tessera.runtime import partitions, settle, small
+from tessera.runtime import partitions, settle, ship, small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Units of a cell; units that a bound is taken from, as a multiple of the results; terms that are told to the scan.
@@ -55,29 +58,67 @@ def _cell(no: str, cells: int) -> Column:
 def build_index(units: DataFrame) -> Bm25Index:
     """Index "{title}, newline, {text}" of each unit; units without a token are left out.
 
-    A unit's length is known from its own tokens. One narrow pass writes the tokens, one shuffle of them the blocks;
-    three numbers reach the driver.
+    A unit's length is known from its own tokens. One narrow pass writes the tokens, one shuffle of whole units the
+    blocks; three numbers reach the driver.
     """
     spark = units.sparkSession
-    text = F.concat_ws("\n", F.coalesce("document_title", F.lit("")), F.coalesce("text", F.lit("")))
-    held = units.select("id", "seq", F.explode(F.array(bm25_tokens(text))).alias("t")).where(F.size("t") > 0)  # bound, so that it is worked out once
+    held = _tokens(units)
     held = settle(held.select(F.monotonically_increasing_id().alias("no"), "id", "seq", F.size("t").cast("bigint").alias("dl"), "t"), "tokens")
     stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
     cells = max(1, -(-n // CELL))
-    # dealt by term and cell: a frequent term is spread over all partitions, and both groupings need no further shuffle
-    rows = held.select("no", "dl", _cell("no", cells), F.explode("t").alias("term")).repartition(partitions(spark), "term", "cell")
-    tf = F.col("tf").cast("double")
-    gain = (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    rows = rows.groupBy("term", "cell", "no", "dl").agg(F.count("*").alias("tf")).select("term", "cell", "no", gain.alias("gain"))
-    grouped = rows.groupBy("term", "cell").agg(F.count("*").alias("n"), F.max("gain").alias("most"), F.collect_list(F.struct("no", "gain")).alias("postings"))
-    blocks = settle(grouped.sortWithinPartitions("term", "cell"), "blocks")
+    # whole units are dealt by cell, a block's postings are all of one cell, and no row a token is ever shuffled
+    dealt = held.select(_cell("no", cells), "no", "dl", "t").repartition(partitions(spark), "cell")
+    ship(spark)
+    blocks = dealt.groupBy("cell").applyInArrow(lambda rows: cell_blocks(rows, mean), "term string, cell bigint, n bigint, most double, postings array<struct<no: bigint, gain: double>>")
+    blocks = settle(blocks.sortWithinPartitions("term", "cell"), "blocks")
     df = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
+    return Bm25Index(held.select("no", "id", "seq", "dl"), blocks, _idf(df, n, "most"), n, cells, mean)
+
+
+def cell_blocks(rows: pa.Table, mean: float) -> pa.Table:
+    """The blocks (term, cell, n, most, postings) of the units (cell, no, dl, t) of one cell."""
+    held = rows["t"].combine_chunks()
+    terms = held.flatten().dictionary_encode()
+    units = np.repeat(np.arange(len(held)), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+    key, tf = np.unique(terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(held) + units, return_counts=True)
+    term, unit = np.divmod(key, len(held))
+    gain = (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * rows["dl"].to_numpy()[unit] / mean))
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    ends = np.append(starts, len(term))
+    postings = pa.StructArray.from_arrays([pa.array(rows["no"].to_numpy()[unit]), pa.array(gain)], names=["no", "gain"])
+    columns = {
+        "term": terms.dictionary.take(pa.array(term[starts])),
+        "cell": pa.array(np.full(len(starts), rows["cell"][0].as_py())),
+        "n": pa.array(np.diff(ends)),
+        "most": pa.array(np.maximum.reduceat(gain, starts)),
+        "postings": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), postings),
+    }
+    return pa.table(columns)
+
+
+def term_idf(units: DataFrame) -> DataFrame:
+    """(term, idf) as in the index of the units, by one pass over them: without postings, and with what a task counts combined before the shuffle."""
+    # distinct by sorting, as array_distinct compares every pair of strings; no token is empty, so the empty one stands for the unit itself
+    once = F.flatten(F.transform(F.array(F.sort_array(F.array_append("t", F.lit("")))), lambda t: F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1)))))
+    counts = _tokens(units).select(F.explode(once).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = settle(counts, "document-frequencies")
+    n = counts.where("term = ''").agg(F.sum("df")).first()[0] or 0
+    return _idf(counts.where("term <> ''"), n)
+
+
+def _tokens(units: DataFrame) -> DataFrame:
+    """(id, seq, t) of the units with a token."""
+    text = F.concat_ws("\n", F.coalesce("document_title", F.lit("")), F.coalesce("text", F.lit("")))
+    return units.select("id", "seq", F.explode(F.array(bm25_tokens(text))).alias("t")).where(F.size("t") > 0)  # bound, so that it is worked out once
+
+
+def _idf(df: DataFrame, n: int, *more: str) -> DataFrame:
+    """(term, idf, *more) from (term, df, *more) over n units; a negative weight becomes a part of the mean one."""
     own = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    plain = settle(df.select("term", own.alias("idf"), "most"), "idf")
+    plain = settle(df.select("term", own.alias("idf"), *more), "idf")
     floor = EPSILON * (plain.agg(F.avg("idf")).first()[0] or 0.0)
-    idf = plain.select("term", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"), "most")
-    return Bm25Index(held.select("no", "id", "seq", "dl"), blocks, idf, n, cells, mean)
+    return plain.select("term", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"), *more)
 
 
 def _asked(index: Bm25Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:

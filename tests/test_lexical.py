@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import runtime
 from tessera.operators import lexical
 
 
@@ -53,6 +54,23 @@ def test_blocks_cover_the_postings_and_bound_them(spark):
     assert all(held[t] == n for t, n in df.items())
 
 
+def test_idf_alone_is_that_of_the_index(spark):
+    units, _ = corpus(spark, 120)
+    index = {r["term"]: r["idf"] for r in lexical.build_index(units).idf.collect()}
+    assert {r["term"]: r["idf"] for r in lexical.term_idf(units).collect()} == pytest.approx(index, abs=1e-9)
+    assert "" not in index and lexical.term_idf(units.limit(0)).count() == 0
+
+
+def test_no_row_a_token_is_shuffled(spark, monkeypatch):
+    """What is dealt to the cells is one row a unit, and each cell is one group."""
+    seen = []
+    monkeypatch.setattr(lexical, "settle", lambda df, label, rows=None: (seen.append((label, df._jdf.queryExecution().executedPlan().toString())), runtime.settle(df, label))[1])
+    units, _ = corpus(spark, 60)
+    lexical.build_index(units)
+    plan = next(p for label, p in seen if label == "blocks")
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "HashAggregate" not in plan
+
+
 def test_terms_of_few_questions_are_told_to_the_scan(spark):
     index = lexical.build_index(corpus(spark, 60)[0])
     _, metadata = lexical._asked(index, ask(spark, "r3 c1"))
