@@ -1,12 +1,12 @@
 """BM25 over text units: blocked postings with their largest contributions, and batched search that skips by them.
 
-Units are dealt to cells of about CELL by a hash, and a term's postings in a cell are one block, with the largest
-contribution that it can make to a score. So a block is small however frequent its term is, and the blocks of
+Units are dealt to cells of CELL in their order, and a term's postings in a cell are one block, with what its largest
+contribution to a score follows from. So a block is small however frequent its term is, and the blocks of
 different terms in a cell cover the same units. Every file of blocks is sorted by term, so that the terms of a few
 questions are pruned at the scan.
 
-A search looks at the metadata of its terms' blocks first. Where these hold few postings (DIRECT), all are added up.
-Beyond that most are never read:
+A search that meets up to DIRECT postings adds all of them up, cell by cell, in one pass over the blocks of its terms.
+Beyond that (or where it is asked to) it looks at the metadata of these blocks first, and most are never read:
 
 1. Each question's blocks of largest contribution give a few units, which are scored fully; the k-th of these scores
    is a bound that the result cannot be under.
@@ -21,6 +21,8 @@ Both ways give the result of scoring everything.
 
 from __future__ import annotations
 
+import itertools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,72 +31,128 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import bm25_tokens
+from tessera.functions.text import SEPARATORS, STOP_COMMON, TOKEN, bm25_tokens
 from tessera.runtime import partitions, settle, ship, small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Units of a cell; units that a bound is taken from, as a multiple of the results; terms that are told to the scan.
-CELL, FIRST, TOLD = 256, 4, 200
-#: Postings that are read without choosing among their blocks.
-DIRECT = 20_000_000
+CELL, FIRST, TOLD = 1024, 4, 200
+#: Postings, counted once for each question, that are added up without choosing among their blocks: one pass, which takes less than the choice does.
+DIRECT = 10_000_000_000
 #: What rounding and the order of additions may change in a score.
 SLACK = 1e-6
+#: Contributions to scores that are added up at once.
+ADDED = 2_000_000
+BLOCKS = "term string, cell bigint, n bigint, tops array<struct<tf: int, dl: int>>, at array<int>, tf array<int>, dl array<int>, ids array<string>, seqs array<bigint>"
+RAW, APART = re.compile(TOKEN), re.compile(SEPARATORS)
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    units: DataFrame  # no, id, seq, dl
-    blocks: DataFrame  # term, cell, n, most, postings (no, gain)
-    idf: DataFrame  # term, idf, most
+    rows: DataFrame  # as in BLOCKS: what is written
+    blocks: DataFrame  # term, cell, n, most, postings (no, gain): the same, with the contributions worked out
+    idf: DataFrame  # term, idf, df
     count: int
-    cells: int
+    cell: int
     mean_length: float
 
+    @property
+    def units(self) -> DataFrame:
+        """(no, id, seq, dl), from the cells' own rows."""
+        own = self.rows.where("term = ''").select("cell", F.explode(F.arrays_zip("at", "ids", "seqs", "dl")).alias("u"))
+        return own.select((F.col("cell") * self.cell + F.col("u.at")).alias("no"), F.col("u.ids").alias("id"), F.col("u.seqs").alias("seq"), F.col("u.dl").cast("bigint").alias("dl"))
 
-def _cell(no: str, cells: int) -> Column:
-    return F.pmod(F.xxhash64(no), F.lit(cells)).alias("cell")
+
+def _gain(tf, dl, mean: float):
+    """What a term that a unit of dl tokens holds tf times adds to a score of weight one; of Columns or of numpy arrays."""
+    return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / mean))
+
+
+def _cell(no: str, size: int) -> Column:
+    return F.floor(F.col(no) / size).alias("cell")
 
 
 def build_index(units: DataFrame) -> Bm25Index:
     """Index "{title}, newline, {text}" of each unit; units without a token are left out.
 
-    A unit's length is known from its own tokens. One narrow pass writes the tokens, one shuffle of whole units the
-    blocks; three numbers reach the driver.
+    One pass: texts are dealt to the cells by whole units, and each cell's tokens are counted into its blocks in one
+    Arrow group. Blocks hold counts and lengths, so that the mean length may be known afterwards; two numbers reach
+    the driver.
     """
-    spark = units.sparkSession
-    held = _tokens(units)
-    held = settle(held.select(F.monotonically_increasing_id().alias("no"), "id", "seq", F.size("t").cast("bigint").alias("dl"), "t"), "tokens")
-    stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
-    n, mean = stats["n"], stats["mean"] or 1.0
-    cells = max(1, -(-n // CELL))
-    # whole units are dealt by cell, a block's postings are all of one cell, and no row a token is ever shuffled
-    dealt = held.select(_cell("no", cells), "no", "dl", "t").repartition(partitions(spark), "cell")
+    spark, size = units.sparkSession, CELL
+    dealt = units.select(F.monotonically_increasing_id().alias("no"), "id", "seq", F.lower(_text(units)).alias("text"))
+    dealt = dealt.select(_cell("no", size), "*").repartition(partitions(spark), "cell")
     ship(spark)
-    blocks = dealt.groupBy("cell").applyInArrow(lambda rows: cell_blocks(rows, mean), "term string, cell bigint, n bigint, most double, postings array<struct<no: bigint, gain: double>>")
-    blocks = settle(blocks.sortWithinPartitions("term", "cell"), "blocks")
-    df = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
-    return Bm25Index(held.select("no", "id", "seq", "dl"), blocks, _idf(df, n, "most"), n, cells, mean)
-
-
-def cell_blocks(rows: pa.Table, mean: float) -> pa.Table:
-    """The blocks (term, cell, n, most, postings) of the units (cell, no, dl, t) of one cell."""
-    held = rows["t"].combine_chunks()
-    terms = held.flatten().dictionary_encode()
-    units = np.repeat(np.arange(len(held)), pc.list_value_length(held).to_numpy(zero_copy_only=False))
-    key, tf = np.unique(terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(held) + units, return_counts=True)
-    term, unit = np.divmod(key, len(held))
-    gain = (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * rows["dl"].to_numpy()[unit] / mean))
-    starts = np.flatnonzero(np.diff(term, prepend=-1))
-    ends = np.append(starts, len(term))
-    postings = pa.StructArray.from_arrays([pa.array(rows["no"].to_numpy()[unit]), pa.array(gain)], names=["no", "gain"])
-    columns = {
-        "term": terms.dictionary.take(pa.array(term[starts])),
-        "cell": pa.array(np.full(len(starts), rows["cell"][0].as_py())),
-        "n": pa.array(np.diff(ends)),
-        "most": pa.array(np.maximum.reduceat(gain, starts)),
-        "postings": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), postings),
-    }
-    return pa.table(columns)
+    rows = dealt.groupBy("cell").applyInArrow(lambda group: cell_blocks(group, size), BLOCKS)
+    rows = settle(rows.sortWithinPartitions("term", "cell"), "blocks")
+    stats = rows.where("term = ''").select(F.explode("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    n, mean = stats["n"], stats["mean"] or 1.0
+    df = rows.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df"))
+    return _index(rows, _idf(df, n, "df"), n, size, mean)
+
+
+def _index(rows: DataFrame, idf: DataFrame, n: int, size: int, mean: float) -> Bm25Index:
+    most = F.array_max(F.transform("tops", lambda x: _gain(x["tf"], x["dl"], mean)))
+    gains = F.transform(F.arrays_zip("at", "tf", "dl"), lambda x: F.struct((F.col("cell") * size + x["at"]).alias("no"), _gain(x["tf"], x["dl"], mean).alias("gain")))
+    blocks = rows.where("term <> ''").select("term", "cell", "n", most.alias("most"), gains.alias("postings"))
+    return Bm25Index(rows, blocks, idf, n, size, mean)
+
+
+def cell_blocks(group: pa.Table, size: int) -> pa.Table:
+    """The blocks of the units (cell, no, id, seq, lower-case text) of one cell, and a row of the term '' for the units themselves.
+
+    tops holds each count that occurs with the least length it occurs with: whatever the mean length, one of them has
+    the largest contribution.
+    """
+    group = group.sort_by("no")
+    cell, units = group["cell"][0].as_py(), len(group)
+    found = [RAW.findall(t) for t in group["text"].to_pylist()]
+    raw = pa.array(itertools.chain.from_iterable(found), pa.string()).dictionary_encode()
+    unit = np.repeat(np.arange(units), np.fromiter(map(len, found), np.int64, units))
+    key, times = np.unique(raw.indices.to_numpy(zero_copy_only=False).astype(np.int64) * units + unit, return_counts=True)
+    # what each distinct token counts for: as bm25_tokens, twice for itself, or once each for itself and its parts
+    words = raw.dictionary
+    apart = pc.match_substring_regex(words, SEPARATORS)
+    plain = np.flatnonzero(pc.and_not(pc.invert(apart), pc.is_in(words, pa.array(STOP_COMMON))).to_numpy(zero_copy_only=False))
+    parts = [(i, t) for i, word in zip(np.flatnonzero(apart), words.filter(apart).to_pylist(), strict=True) for t in (word, *APART.split(word)) if t and t not in STOP_COMMON]
+    of = np.concatenate([plain, np.array([i for i, _ in parts], np.int64)])
+    terms = pa.concat_arrays([words.take(pa.array(plain)), pa.array([t for _, t in parts], pa.string())]).dictionary_encode()
+    term, terms = terms.indices.to_numpy().astype(np.int64), terms.dictionary
+    starts = np.searchsorted(key, np.arange(len(words) + 1) * units)
+    at, each = _ranges(starts[of], starts[of + 1] - starts[of])
+    key, tf = term[each] * units + key[at] % units, times[at] * np.where(each < len(plain), 2, 1)
+    order = np.argsort(key, kind="stable")
+    key, tf = key[order], tf[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, tf = key[first], np.add.reduceat(tf, first) if len(first) else tf
+    term, unit = np.divmod(key, units)
+    lengths = np.bincount(unit, tf, units).astype(np.int64)
+    dl, place = lengths[unit], group["no"].to_numpy() - cell * size
+    ends = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))
+    # least lengths of each (term, count)
+    kind = term * (tf.max(initial=0) + 1) + tf
+    order = np.argsort(kind, kind="stable")
+    first = np.flatnonzero(np.diff(kind[order], prepend=-1))
+    least = np.minimum.reduceat(dl[order], first) if len(first) else dl
+    tops = pa.StructArray.from_arrays([_ints(tf[order][first]), _ints(least)], names=["tf", "dl"])
+    tops = pa.ListArray.from_arrays(_ints(np.searchsorted(term[order][first], np.arange(len(terms) + 1))), tops)
+    lists = [pa.ListArray.from_arrays(_ints(ends), _ints(x)) for x in (place[unit], tf, dl)]
+    none = pa.nulls(len(terms))
+    schema = pa.schema([("term", pa.string()), ("cell", pa.int64()), ("n", pa.int64()), ("tops", tops.type), *((c, pa.list_(pa.int32())) for c in ("at", "tf", "dl")), ("ids", pa.list_(pa.string())), ("seqs", pa.list_(pa.int64()))])
+    blocks = [terms, pa.array(np.full(len(terms), cell)), pa.array(np.diff(ends)), tops, *lists, none.cast(pa.list_(pa.string())), none.cast(pa.list_(pa.int64()))]
+    held = np.flatnonzero(lengths)
+    own = {"term": "", "cell": cell, "n": len(held), "tops": [], "at": place[held], "tf": [], "dl": lengths[held], "ids": group["id"].take(held).to_pylist(), "seqs": group["seq"].take(held).to_pylist()}
+    return pa.concat_tables([pa.Table.from_arrays(blocks, schema=schema), pa.Table.from_pylist([own], schema=schema)])
+
+
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start on, one range after the other, and which range each number is of."""
+    each = np.repeat(np.arange(len(starts)), lengths)
+    return np.arange(len(each)) + (starts - np.cumsum(lengths) + lengths)[each], each
 
 
 def term_idf(units: DataFrame) -> DataFrame:
@@ -107,10 +165,13 @@ def term_idf(units: DataFrame) -> DataFrame:
     return _idf(counts.where("term <> ''"), n)
 
 
+def _text(units: DataFrame) -> Column:
+    return F.concat_ws("\n", F.coalesce("document_title", F.lit("")), F.coalesce("text", F.lit("")))
+
+
 def _tokens(units: DataFrame) -> DataFrame:
     """(id, seq, t) of the units with a token."""
-    text = F.concat_ws("\n", F.coalesce("document_title", F.lit("")), F.coalesce("text", F.lit("")))
-    return units.select("id", "seq", F.explode(F.array(bm25_tokens(text))).alias("t")).where(F.size("t") > 0)  # bound, so that it is worked out once
+    return units.select("id", "seq", F.explode(F.array(bm25_tokens(_text(units)))).alias("t")).where(F.size("t") > 0)  # bound, so that it is worked out once
 
 
 def _idf(df: DataFrame, n: int, *more: str) -> DataFrame:
@@ -121,34 +182,92 @@ def _idf(df: DataFrame, n: int, *more: str) -> DataFrame:
     return plain.select("term", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"), *more)
 
 
+def _weights(index: Bm25Index, queries: DataFrame) -> DataFrame:
+    """(query_id, term, weight, df) of the questions' terms."""
+    asked = queries.select("query_id", F.explode(bm25_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return settle(asked.join(index.idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "df"), "asked")
+
+
 def _asked(index: Bm25Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query_id, term, weight, most) of the questions' terms, and the metadata (query_id, term, cell, n, weight, most) of their blocks.
+    """The questions' terms as _weights has them, and the metadata of their blocks."""
+    asked = _weights(index, queries)
+    return asked, _metadata(index, asked)
 
-    most: the largest contribution to a score of any unit, and of the block's.
-    """
-    asked = queries.select("query_id", F.explode(bm25_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weight = F.col("qtf") * F.col("idf")
-    asked = settle(asked.join(index.idf, "term").select("query_id", "term", weight.alias("weight"), F.greatest(weight * F.col("most"), F.lit(0.0)).alias("most")), "asked")
+
+def _only(index: Bm25Index, asked: DataFrame) -> Bm25Index:
+    """The index with the blocks of the asked terms alone, for a search that reads them several times."""
+    rows = index.rows
+    few = [r["term"] for r in asked.select("term").distinct().limit(TOLD + 1).collect()]
+    if len(few) <= TOLD:
+        rows = rows.where(F.col("term").isin([*few, ""]))
+    else:
+        rows = rows.join(small(asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi").select(rows.columns)
+    return _index(settle(rows, "asked-index"), index.idf, index.count, index.cell, index.mean_length)
+
+
+def _metadata(index: Bm25Index, asked: DataFrame) -> DataFrame:
+    """(query_id, term, cell, n, weight, most) of the blocks of the asked terms; most: the largest contribution to a score of any unit in it."""
     blocks = index.blocks.select("term", "cell", "n", F.col("most").alias("gain"))
     few = [r["term"] for r in asked.select("term").distinct().limit(TOLD + 1).collect()]
     if len(few) <= TOLD:
         blocks = blocks.where(F.col("term").isin(few))
     met = blocks.join(small(asked.select("query_id", "term", "weight")), "term")
-    return asked, settle(met.select("query_id", "term", "cell", "n", "weight", F.greatest(F.col("weight") * F.col("gain"), F.lit(0.0)).alias("most")), "asked-blocks")
+    return settle(met.select("query_id", "term", "cell", "n", "weight", F.greatest(F.col("weight") * F.col("gain"), F.lit(0.0)).alias("most")), "asked-blocks")
 
 
-def _parts(index: Bm25Index, chosen: DataFrame, *more: str) -> DataFrame:
-    """(query_id, no, part, *more): contributions of the chosen blocks (query_id, term, cell, weight, *more), not added up."""
-    rows = index.blocks.select("term", "cell", "postings").join(small(chosen), ["term", "cell"])
-    return rows.select("query_id", "weight", *more, F.explode("postings").alias("p")).select("query_id", *more, F.col("p.no").alias("no"), (F.col("weight") * F.col("p.gain")).alias("part"))
+def _sums(index: Bm25Index, chosen: DataFrame, top_k: int = 0, floor: Column | None = None) -> DataFrame:
+    """(query_id, no, part): contributions of the chosen (query_id, term, weight) added up, in every cell or in a cell that is a fourth column.
 
-
-def _scores(index: Bm25Index, metadata: DataFrame, found: DataFrame) -> DataFrame:
+    Blocks are shuffled once, however many questions they are for, and added up cell by cell. Sums under the floor (a
+    question's own, if given) and, with top_k, those not over zero or surely not among a cell's top_k are left out.
+    """
+    on = ["term", "cell"] if "cell" in chosen.columns else ["term"]
+    asking = F.struct("query_id", "weight", (F.lit(float("-inf")) if floor is None else floor).alias("floor"))
+    who = settle(chosen.groupBy(*on).agg(F.collect_list(asking).alias("who")), "chosen")
+    rows = index.rows.where("term <> ''").select("term", "cell", "at", "tf", "dl").join(small(who), on)
+    size, mean, kind = index.cell, index.mean_length, chosen.schema["query_id"].dataType.simpleString()
+    ship(chosen.sparkSession)
+    return rows.drop("term").groupBy("cell").applyInArrow(lambda group: cell_sums(group, size, mean, top_k), f"query_id {kind}, no bigint, part double")
+
+
+def cell_sums(group: pa.Table, size: int, mean: float, top_k: int = 0) -> pa.Table:
+    """(query_id, no, part) of one cell from its blocks (cell, at, tf, dl, who: query_id, weight, floor), some questions at a time."""
+    at, tf, dl, who = (group[c].combine_chunks() for c in ("at", "tf", "dl", "who"))
+    lengths = pc.list_value_length(at).to_numpy()
+    starts, place = np.cumsum(lengths) - lengths, at.flatten().to_numpy()
+    gain, who_lengths = _gain(tf.flatten().to_numpy(), dl.flatten().to_numpy(), mean), pc.list_value_length(who).to_numpy()
+    who = who.flatten()
+    ids = pc.struct_field(who, "query_id").dictionary_encode()
+    q, weight, block = ids.indices.to_numpy(), pc.struct_field(who, "weight").to_numpy(), np.repeat(np.arange(len(group)), who_lengths)
+    floor = np.empty(len(ids.dictionary))
+    floor[q] = pc.struct_field(who, "floor").to_numpy()
+    order = np.argsort(q, kind="stable")
+    q, weight, block = q[order], weight[order], block[order]
+    work = np.cumsum(np.bincount(q, lengths[block]) + size) // ADDED
+    firsts = np.append(np.flatnonzero(np.diff(work, prepend=-1)), len(work))
+    found = []
+    for low, high in zip(firsts[:-1], firsts[1:], strict=True):
+        e = slice(*np.searchsorted(q, [low, high]))
+        post, each = _ranges(starts[block[e]], lengths[block[e]])
+        key = (q[e][each] - low) * size + place[post]
+        total = np.bincount(key, weight[e][each] * gain[post], (high - low) * size).reshape(-1, size)
+        keep = (np.bincount(key, minlength=total.size) > 0).reshape(-1, size) & (total >= floor[low:high, None])
+        if top_k:
+            keep &= total > 0
+            if top_k < size:
+                keep &= total >= np.partition(total, size - top_k, axis=1)[:, size - top_k, None] - SLACK
+        hit, no = np.nonzero(keep)
+        found.append((hit + low, no, total[hit, no]))
+    hit, no, part = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"query_id": ids.dictionary.take(pa.array(hit)), "no": pa.array(no + group["cell"][0].as_py() * size), "part": pa.array(part)})
+
+
+def _scores(index: Bm25Index, asked: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, no, score) of the given (query_id, no), by all terms, from the blocks of their cells."""
-    cells = found.select("query_id", _cell("no", index.cells)).distinct()
-    chosen = metadata.join(small(settle(cells, "cells")), ["query_id", "cell"], "left_semi").select("query_id", "term", "cell", "weight")
-    rows = _parts(index, settle(chosen, "chosen-blocks")).join(small(found), ["query_id", "no"], "left_semi")
-    return rows.groupBy("query_id", "no").agg(F.round(F.sum("part"), 9).alias("score"))
+    cells = found.select("query_id", _cell("no", index.cell)).distinct()
+    chosen = settle(cells, "cells").join(small(asked), "query_id").select("query_id", "term", "cell", "weight")
+    rows = _sums(index, chosen).join(small(found), ["query_id", "no"], "left_semi")
+    return rows.select("query_id", "no", F.round("part", 9).alias("score"))
 
 
 def _bounds(scored: DataFrame, top_k: int) -> DataFrame:
@@ -160,12 +279,15 @@ def _bounds(scored: DataFrame, top_k: int) -> DataFrame:
 def blocks_left(index: Bm25Index, asked: DataFrame, metadata: DataFrame, top_k: int = 8) -> DataFrame:
     """(query_id, term, cell, n, weight, bound, spare): the blocks to read, and what the terms left out could add to a score."""
     best = Window.partitionBy("query_id").orderBy(F.desc("most"), "term", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    # of each question, blocks enough to hold FIRST * top_k postings: a bounded number of rows
-    first = metadata.where("most > 0").withColumn("__before", F.coalesce(F.sum("n").over(best), F.lit(0))).where(F.col("__before") < FIRST * top_k)
-    units = settle(_parts(index, settle(first.select("query_id", "term", "cell", "weight"), "first-blocks")).select("query_id", "no").distinct(), "first-units")
-    bound = settle(_bounds(_scores(index, metadata, units), top_k), "bounds")
+    # of each question, blocks enough to hold FIRST * top_k postings: no more blocks than that, as each holds one
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term", "cell"))
+    first = metadata.where("most > 0").withColumn("__rn", place).where(F.col("__rn") <= FIRST * top_k)
+    first = first.withColumn("__before", F.coalesce(F.sum("n").over(best), F.lit(0))).where(F.col("__before") < FIRST * top_k)
+    units = settle(_sums(index, first.select("query_id", "term", "cell", "weight")).select("query_id", "no"), "first-units")
+    bound = settle(_bounds(_scores(index, asked, units), top_k), "bounds")
     # the terms of least contribution, as long as they stay under the bound together, are not searched for
     up = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    asked = metadata.groupBy("query_id", "term").agg(F.max("most").alias("most"))
     terms = asked.join(small(bound), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).withColumn("__sum", F.sum("most").over(up))
     terms = terms.withColumn("spared", (F.col("__sum") < F.col("bound") - SLACK) | (F.col("most") <= 0))
     spare = F.coalesce(F.sum(F.when(F.col("spared"), F.col("most"))).over(Window.partitionBy("query_id")), F.lit(0.0))
@@ -182,24 +304,25 @@ def search(index: Bm25Index, queries: DataFrame, top_k: int = 8, direct: int = D
     """
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
-    asked, metadata = _asked(index, queries)
-    if (metadata.agg(F.sum("n")).first()[0] or 0) <= direct:
-        scored = _parts(index, metadata.select("query_id", "term", "cell", "weight")).groupBy("query_id", "no").agg(F.round(F.sum("part"), 9).alias("score"))
+    asked = _weights(index, queries)
+    if (asked.agg(F.sum("df")).first()[0] or 0) <= direct:
+        scored = _sums(index, asked.select("query_id", "term", "weight"), top_k).select("query_id", "no", F.round("part", 9).alias("score"))
     else:
-        left = blocks_left(index, asked, metadata, top_k)
-        parts = _parts(index, left.drop("n"), "bound", "spare").groupBy("query_id", "no", "bound", "spare").agg(F.sum("part").alias("part"))
-        parts = settle(parts.where(F.col("part") + F.col("spare") >= F.col("bound") - SLACK).drop("bound"), "parts")
+        index = _only(index, asked)
+        left = blocks_left(index, asked, _metadata(index, asked), top_k)
+        parts = _sums(index, left.select("query_id", "term", "cell", "weight", "bound", "spare"), floor=F.col("bound") - F.col("spare") - SLACK)
+        parts = settle(parts.join(small(left.select("query_id", "spare").distinct()), "query_id"), "parts")
         # the bound once more, from the units that look best now
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part"), "no"))
         likely = settle(parts.withColumn("__rn", place).where(F.col("__rn") <= FIRST * top_k).select("query_id", "no"), "likely")
-        higher = settle(_bounds(_scores(index, metadata, likely), top_k), "bounds")
+        higher = settle(_bounds(_scores(index, asked, likely), top_k), "bounds")
         found = parts.join(small(higher), "query_id", "left").where(F.col("part") + F.col("spare") >= F.coalesce("bound", F.lit(0.0)) - SLACK)
-        scored = _scores(index, metadata, settle(found.select("query_id", "no"), "candidates"))
+        scored = _scores(index, asked, settle(found.select("query_id", "no"), "candidates"))
     # ties go by seq, which only units that may be among the first are asked for
     place = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    near = scored.where("score > 0").withColumn("__place", place).where(F.col("__place") <= top_k).drop("__place")
+    near = settle(scored.where("score > 0").withColumn("__place", place).where(F.col("__place") <= top_k).drop("__place"), "near")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
-    named = near.join(index.units.select("no", "id", "seq"), "no")
+    named = index.units.join(small(near), "no")
     return named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 
 

@@ -85,3 +85,45 @@ def test_empty_index_and_negative_weights(spark):
     same = spark.createDataFrame([(f"u{i}", "d", "", "word other", i) for i in range(5)], none.schema)
     index = lexical.build_index(same)  # every term is in all units, so no weight is over zero
     assert lexical.search(index, ask(spark, "word")).collect() == lexical.search(index, ask(spark, "word"), direct=0).collect() == []
+
+
+def test_the_index_is_one_pass_that_writes_blocks_alone(spark, monkeypatch):
+    """Neither tokens nor units are written beside the blocks, and the units are known from the cells' own rows."""
+    seen = []
+    monkeypatch.setattr(lexical, "settle", lambda df, label, rows=None: (seen.append(label), runtime.settle(df, label))[1])
+    monkeypatch.setattr(lexical, "CELL", 16)
+    units, texts = corpus(spark, 60)
+    index = lexical.build_index(units)
+    assert seen == ["blocks", "idf"] and index.count == 60
+    own = {r["id"]: (r["seq"], r["dl"], r["no"]) for r in index.units.collect()}
+    assert {i: x[:2] for i, x in own.items()} == {f"u{i}": (i, 2 * (len(x.split()) + 1)) for i, x in enumerate(texts)} and len({x[2] for x in own.values()}) == 60
+
+
+def test_a_cells_tokens_are_those_of_the_questions(spark):
+    texts = ["The graph-rag_v1.2. of a.the.b -x", "İstanbul \u212aelvin ÑANDÚ a1-", "", "... - _", "the of", "x" * 5000 + " x_ _x x..y"]
+    units = spark.createDataFrame([(f"u{i}", "d", None, x, i) for i, x in enumerate(texts)], "id string, document_id string, document_title string, text string, seq bigint")
+    index = lexical.build_index(units)
+    no = {r["no"]: r["id"] for r in index.units.collect()}
+    rows = index.rows.where("term <> ''").collect()
+    held = sorted((no[r["cell"] * index.cell + a], r["term"], n) for r in rows for a, n in zip(r["at"], r["tf"], strict=True))
+    want = lexical._tokens(units).select("id", F.explode("t").alias("term")).groupBy("id", "term").count()
+    assert held == sorted(map(tuple, want.collect())) and len(no) == 3
+
+
+def test_postings_are_added_up_by_cell(spark):
+    """No row a posting is made or shuffled."""
+    index = lexical.build_index(corpus(spark, 60)[0])
+    chosen = lexical._weights(index, ask(spark, "r3 c1", "c2")).select("query_id", "term", "weight")
+    plan = lexical._sums(index, chosen, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Generate" not in plan
+
+
+def test_many_questions_are_added_up_a_few_at_a_time(spark, monkeypatch):
+    units, texts = corpus(spark, 120)
+    index = lexical.build_index(units)
+    group = lexical._only(index, asked := lexical._weights(index, ask(spark, *texts[:20]))).rows.where("term <> '' AND cell = 0").select("term", "cell", "at", "tf", "dl")
+    who = asked.groupBy("term").agg(F.collect_list(F.struct("query_id", "weight", F.lit(0.0).alias("floor"))).alias("who"))
+    group = group.join(who, "term").drop("term").toArrow()
+    once = lexical.cell_sums(group, index.cell, index.mean_length, 8)
+    monkeypatch.setattr(lexical, "ADDED", 2000)
+    assert lexical.cell_sums(group, index.cell, index.mean_length, 8).equals(once) and once.num_rows >= 8
