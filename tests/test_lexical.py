@@ -127,3 +127,12 @@ def test_many_questions_are_added_up_a_few_at_a_time(spark, monkeypatch):
     once = lexical.cell_sums(group, index.cell, index.mean_length, 8)
     monkeypatch.setattr(lexical, "ADDED", 2000)
     assert lexical.cell_sums(group, index.cell, index.mean_length, 8).equals(once) and once.num_rows >= 8
+
+
+def test_a_search_of_a_large_table_takes_one_pass(spark, monkeypatch):
+    """Three billion postings, as 200 questions meet over 6 GB, are still added up without metadata or bounds."""
+    seen, weights = [], lexical._weights
+    monkeypatch.setattr(lexical, "_weights", lambda index, queries: weights(index, queries).withColumn("df", F.lit(1_500_000_000)))
+    index = lexical.build_index(corpus(spark, 60)[0])
+    monkeypatch.setattr(lexical, "settle", lambda df, label, rows=None: (seen.append(label), runtime.settle(df, label))[1])
+    assert lexical.search(index, ask(spark, "r3 c1")).count() > 0 and seen == ["asked", "chosen", "near"]
