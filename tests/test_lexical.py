@@ -136,3 +136,12 @@ def test_a_search_of_a_large_table_takes_one_pass(spark, monkeypatch):
     index = lexical.build_index(corpus(spark, 60)[0])
     monkeypatch.setattr(lexical, "settle", lambda df, label, rows=None: (seen.append(label), runtime.settle(df, label))[1])
     assert lexical.search(index, ask(spark, "r3 c1")).count() > 0 and seen == ["asked", "chosen", "near"]
+
+
+def test_a_cells_first_rows_hold_the_depth_of_fusion(spark):
+    """Fusion asks for more rows than a result has: a cell passes on as many, with ties."""
+    index = lexical.build_index(corpus(spark, 200)[0])
+    chosen = lexical._weights(index, ask(spark, "c1 c2 r3")).select("query_id", "term", "weight")
+    every = sorted((r["part"] for r in lexical._sums(index, chosen).collect() if r["part"] > 0), reverse=True)
+    kept = sorted((r["part"] for r in lexical._sums(index, chosen, 20).collect()), reverse=True)
+    assert kept[:20] == every[:20] and all(p > 0 for p in kept)
