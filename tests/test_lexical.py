@@ -145,3 +145,13 @@ def test_a_cells_first_rows_hold_the_depth_of_fusion(spark):
     every = sorted((r["part"] for r in lexical._sums(index, chosen).collect() if r["part"] > 0), reverse=True)
     kept = sorted((r["part"] for r in lexical._sums(index, chosen, 20).collect()), reverse=True)
     assert kept[:20] == every[:20] and all(p > 0 for p in kept)
+
+
+def test_equal_scores_of_different_cells_go_by_seq(spark, monkeypatch):
+    """What a cell passes on holds its ties; the reciprocal ranks of an evaluation hang on their order."""
+    monkeypatch.setattr(lexical, "CELL", 4)
+    rows = [(f"u{i}", "d", "", "alike passage" if i % 2 else f"other{i} thing", 100 - i) for i in range(20)]
+    index = lexical.build_index(spark.createDataFrame(rows, "id string, document_id string, document_title string, text string, seq bigint").union(corpus(spark, 60)[0].where("text NOT LIKE '%passage%'")))
+    assert index.cell == 4 and index.rows.select("cell").distinct().count() > 5
+    for direct in (lexical.DIRECT, 0):
+        assert [r["id"] for r in lexical.search(index, ask(spark, "alike"), 3, direct=direct).orderBy("rank").collect()] == ["u19", "u17", "u15"]
