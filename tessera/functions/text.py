@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,10 +41,15 @@ def words_array(words) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at the ends; looks at the ends alone."""
+    """Without white space at the ends."""
     return F.btrim(_text(c), F.lit(WHITE))
 
 
+def strip_ends(c: Column) -> Column:
+    """As strip, of a column or an array's element: btrim walks through the whole text, so only texts with white space at an end get to it."""
+    return F.when(reduce(or_, (f(c, F.lit(w)) for w in WHITE for f in (F.startswith, F.endswith))), strip(c)).otherwise(_text(c))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space become one space, none at the ends."""
     return F.btrim(F.regexp_replace(_text(c), f"{SPACE}+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strip
+from tessera.functions.text import strip, strip_ends
 
 
 def chunk_array(text, max_chars: int = 2500, overlap: int = 250):
@@ -16,10 +16,10 @@ def chunk_array(text, max_chars: int = 2500, overlap: int = 250):
 
     def cut(t):
         last = F.greatest(F.lit(1), F.ceil((F.char_length(t) - overlap) / step).cast("int")) - 1
-        return F.transform(F.sequence(F.lit(0), last), lambda i: strip(t.substr(i * step + 1, F.lit(max_chars))))
+        return F.transform(F.transform(F.sequence(F.lit(0), last), lambda i: t.substr(i * step + 1, F.lit(max_chars))), strip_ends)
 
     # an array of one element binds the stripped text, so that it is worked out once a document, not once a chunk
-    return F.filter(F.flatten(F.transform(F.array(strip(text)), cut)), lambda p: p != "")
+    return F.filter(F.flatten(F.transform(F.transform(F.array(text), strip_ends), cut)), lambda p: p != "")
 
 
 def text_units(documents: DataFrame, max_chars: int = 2500, overlap: int = 250) -> DataFrame:
@@ -28,9 +28,10 @@ def text_units(documents: DataFrame, max_chars: int = 2500, overlap: int = 250)
     A text of 2 GB, the largest that a string holds, has fewer than the million chunks that seq leaves room for.
     """
     own = documents.columns
-    d = documents.withColumn("__parts", chunk_array(F.col("text"), max_chars, overlap))
     rest = [c for c in ("source_type", "url", "metadata") if c in own]
-    u = d.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), *rest, F.col("seq").alias("__doc"), F.posexplode("__parts").alias("order", "text"))
+    # not by a column of its own: Spark would ask for its size before, and cut each document twice
+    parts = F.posexplode(chunk_array(F.col("text"), max_chars, overlap)).alias("order", "text")
+    u = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), *rest, F.col("seq").alias("__doc"), parts)
     name = F.md5(F.concat_ws("::", F.col("document_id"), F.col("order").cast("string"), F.substring("text", 1, 80)))
     return u.select(name.alias("id"), "document_id", "text", "order", "document_title", *rest, (F.col("__doc") * 1_000_000 + F.col("order")).alias("seq"))
 

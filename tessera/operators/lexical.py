@@ -17,12 +17,15 @@ Beyond that (or where it is asked to) it looks at the metadata of these blocks f
    that reach it with all that the left-out terms could add are scored fully, from the blocks of their cells.
 
 Both ways give the result of scoring everything.
+
+Where nothing but the answers is wanted, the texts' counts are taken with the questions known (naive_search): postings are
+kept of the questions' terms alone, and neither texts nor postings are shuffled.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SEPARATORS, STOP_COMMON, TOKEN, bm25_tokens
+from tessera.functions.runs import byte_set, runs
+from tessera.functions.text import SEPARATORS, STOP_COMMON, bm25_tokens
 from tessera.runtime import partitions, settle, ship, small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -44,7 +48,11 @@ SLACK = 1e-6
 #: Contributions to scores that are added up at once.
 ADDED = 2_000_000
 BLOCKS = "term string, cell bigint, n bigint, tops array<struct<tf: int, dl: int>>, at array<int>, tf array<int>, dl array<int>, ids array<string>, seqs array<bigint>"
-RAW, APART = re.compile(TOKEN), re.compile(SEPARATORS)
+#: What tokens are made of; what separates their parts does not begin one.
+HELD, APART = byte_set("abcdefghijklmnopqrstuvwxyz0123456789_-."), re.compile(SEPARATORS)
+#: Units whose counts are taken at once; pairs of a question and its term up to which naive_search tells them to the tasks.
+COUNTED, KNOWN = 4096, 50_000
+COUNTS = "term string, n bigint, known boolean, no bigint, place array<int>, ids array<string>, documents array<string>, seqs array<bigint>, dl array<int>, code array<int>, at array<int>, tf array<int>"
 
 
 @dataclass(frozen=True)
@@ -106,27 +114,7 @@ def cell_blocks(group: pa.Table, size: int) -> pa.Table:
     """
     group = group.sort_by("no")
     cell, units = group["cell"][0].as_py(), len(group)
-    found = [RAW.findall(t) for t in group["text"].to_pylist()]
-    raw = pa.array(itertools.chain.from_iterable(found), pa.string()).dictionary_encode()
-    unit = np.repeat(np.arange(units), np.fromiter(map(len, found), np.int64, units))
-    key, times = np.unique(raw.indices.to_numpy(zero_copy_only=False).astype(np.int64) * units + unit, return_counts=True)
-    # what each distinct token counts for: as bm25_tokens, twice for itself, or once each for itself and its parts
-    words = raw.dictionary
-    apart = pc.match_substring_regex(words, SEPARATORS)
-    plain = np.flatnonzero(pc.and_not(pc.invert(apart), pc.is_in(words, pa.array(STOP_COMMON))).to_numpy(zero_copy_only=False))
-    parts = [(i, t) for i, word in zip(np.flatnonzero(apart), words.filter(apart).to_pylist(), strict=True) for t in (word, *APART.split(word)) if t and t not in STOP_COMMON]
-    of = np.concatenate([plain, np.array([i for i, _ in parts], np.int64)])
-    terms = pa.concat_arrays([words.take(pa.array(plain)), pa.array([t for _, t in parts], pa.string())]).dictionary_encode()
-    term, terms = terms.indices.to_numpy().astype(np.int64), terms.dictionary
-    starts = np.searchsorted(key, np.arange(len(words) + 1) * units)
-    at, each = _ranges(starts[of], starts[of + 1] - starts[of])
-    key, tf = term[each] * units + key[at] % units, times[at] * np.where(each < len(plain), 2, 1)
-    order = np.argsort(key, kind="stable")
-    key, tf = key[order], tf[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    key, tf = key[first], np.add.reduceat(tf, first) if len(first) else tf
-    term, unit = np.divmod(key, units)
-    lengths = np.bincount(unit, tf, units).astype(np.int64)
+    terms, term, unit, tf, lengths = _counts(group["text"].combine_chunks())
     dl, place = lengths[unit], group["no"].to_numpy() - cell * size
     ends = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))
     # least lengths of each (term, count)
@@ -145,6 +133,30 @@ def cell_blocks(group: pa.Table, size: int) -> pa.Table:
     return pa.concat_tables([pa.Table.from_arrays(blocks, schema=schema), pa.Table.from_pylist([own], schema=schema)])
 
 
+def _counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-case texts: the terms; each posting's term, text and count, by term and text; each text's length."""
+    units = len(texts)
+    raw, unit = runs(texts, HELD)
+    key, times = np.unique(raw.indices.to_numpy().astype(np.int64) * units + unit, return_counts=True)
+    # what each distinct token counts for: as bm25_tokens, twice for itself, or once each for itself and its parts
+    words = pc.ascii_ltrim(raw.dictionary, "_-.")
+    apart = pc.match_substring_regex(words, SEPARATORS)
+    plain = np.flatnonzero(pc.invert(pc.or_(apart, pc.is_in(words, pa.array([*STOP_COMMON, ""])))).to_numpy(zero_copy_only=False))
+    parts = [(i, t) for i, word in zip(np.flatnonzero(apart), words.filter(apart).to_pylist(), strict=True) for t in (word, *APART.split(word)) if t and t not in STOP_COMMON]
+    of = np.concatenate([plain, np.array([i for i, _ in parts], np.int64)])
+    terms = pa.concat_arrays([words.take(pa.array(plain)), pa.array([t for _, t in parts], pa.string())]).dictionary_encode()
+    term, terms = terms.indices.to_numpy().astype(np.int64), terms.dictionary
+    starts = np.searchsorted(key, np.arange(len(words) + 1) * units)
+    at, each = _ranges(starts[of], starts[of + 1] - starts[of])
+    key, tf = term[each] * units + key[at] % max(units, 1), times[at] * np.where(each < len(plain), 2, 1)
+    order = np.argsort(key)
+    key, tf = key[order], tf[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, tf = key[first], np.add.reduceat(tf, first) if len(first) else tf
+    term, unit = np.divmod(key, max(units, 1))
+    return terms, term, unit, tf, np.bincount(unit, tf, units).astype(np.int64)
+
+
 def _ints(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int32))
 
@@ -176,10 +188,16 @@ def _tokens(units: DataFrame) -> DataFrame:
 
 def _idf(df: DataFrame, n: int, *more: str) -> DataFrame:
     """(term, idf, *more) from (term, df, *more) over n units; a negative weight becomes a part of the mean one."""
-    own = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    plain = settle(df.select("term", own.alias("idf"), *more), "idf")
-    floor = EPSILON * (plain.agg(F.avg("idf")).first()[0] or 0.0)
-    return plain.select("term", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"), *more)
+    plain = settle(df.select("term", _plain(n).alias("idf"), *more), "idf")
+    return _floored(plain, plain.agg(F.avg("idf")).first()[0], *more)
+
+
+def _plain(n: int) -> Column:
+    return F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def _floored(plain: DataFrame, mean: float | None, *more: str) -> DataFrame:
+    return plain.select("term", F.when(F.col("idf") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("idf")).alias("idf"), *more)
 
 
 def _weights(index: Bm25Index, queries: DataFrame) -> DataFrame:
@@ -241,9 +259,15 @@ def cell_sums(group: pa.Table, size: int, mean: float, top_k: int = 0) -> pa.Tab
     q, weight, block = ids.indices.to_numpy(), pc.struct_field(who, "weight").to_numpy(), np.repeat(np.arange(len(group)), who_lengths)
     floor = np.empty(len(ids.dictionary))
     floor[q] = pc.struct_field(who, "floor").to_numpy()
+    hit, no, part = _added(q, weight, block, starts, lengths, place, gain, floor, size, top_k)
+    return pa.table({"query_id": ids.dictionary.take(pa.array(hit)), "no": pa.array(no + group["cell"][0].as_py() * size), "part": pa.array(part)})
+
+
+def _added(q, weight, block, starts, lengths, place, gain, floor, size: int, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, unit, sum) of questions' weighted blocks (ranges of postings: place, gain) over `size` units, some questions at a time."""
     order = np.argsort(q, kind="stable")
     q, weight, block = q[order], weight[order], block[order]
-    work = np.cumsum(np.bincount(q, lengths[block]) + size) // ADDED
+    work = np.cumsum(np.bincount(q, lengths[block], len(floor)) + size) // ADDED
     firsts = np.append(np.flatnonzero(np.diff(work, prepend=-1)), len(work))
     found = []
     for low, high in zip(firsts[:-1], firsts[1:], strict=True):
@@ -258,8 +282,7 @@ def cell_sums(group: pa.Table, size: int, mean: float, top_k: int = 0) -> pa.Tab
                 keep &= total >= np.partition(total, size - top_k, axis=1)[:, size - top_k, None] - SLACK
         hit, no = np.nonzero(keep)
         found.append((hit + low, no, total[hit, no]))
-    hit, no, part = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.table({"query_id": ids.dictionary.take(pa.array(hit)), "no": pa.array(no + group["cell"][0].as_py() * size), "part": pa.array(part)})
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _scores(index: Bm25Index, asked: DataFrame, found: DataFrame) -> DataFrame:
@@ -344,6 +367,70 @@ def results(hits: DataFrame, units: DataFrame) -> DataFrame:
     return hits.join(u, "id").select("query_id", "rank", "id", "score", text.alias("text"), meta.alias("metadata"))
 
 
-def naive_search(units: DataFrame, queries: DataFrame, top_k: int = 8) -> DataFrame:
-    """Index and search in one."""
-    return search(build_index(units), queries, top_k)
+def naive_search(units: DataFrame, queries: DataFrame, top_k: int = 8, known: int = KNOWN, direct: int = DIRECT) -> DataFrame:
+    """(query_id, rank, id, document_id, score): index and search in one, with the same result.
+
+    The questions' terms are told to the pass over the texts, which keeps their postings alone. Where they have more than
+    `known` pairs of a question and its term, or meet more than `direct` postings, a whole index is built and searched.
+    """
+    if top_k < 1:
+        raise ValueError("top_k must be at least 1")
+    spark = units.sparkSession
+    whole = lambda: search(build_index(units), queries, top_k, direct).join(units.select("id", "document_id").distinct(), "id").select("query_id", "rank", "id", "document_id", "score")
+    asked = settle(queries.select("query_id", F.explode(bm25_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked")
+    if asked.limit(known + 1).count() > known:
+        return whole()
+    terms = sorted({r["term"] for r in asked.select("term").collect()})
+    ship(spark)
+    texts = units.select(F.monotonically_increasing_id().alias("no"), "id", "document_id", "seq", F.lower(_text(units)).alias("text"))
+    size = COUNTED
+    rows = settle(texts.mapInArrow(lambda batches: counts(batches, pa.array(terms, pa.string()), size), COUNTS), "counts")
+    own = rows.where("term = ''")
+    stats = own.select(F.explode("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    n, mean = stats["n"], stats["mean"] or 1.0
+    df = rows.where("known").groupBy("term").agg(F.sum("n").alias("df"))
+    every = rows.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df")).agg(F.avg(_plain(n))).first()[0]
+    asked = asked.join(_floored(df.select("term", _plain(n).alias("idf"), "df"), every, "df"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "df").toArrow()
+    if (pc.sum(asked["df"]).as_py() or 0) > direct:
+        return whole()
+    ids = asked["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    q, code, weight = ids.indices.to_numpy(), pc.index_in(asked["term"], pa.array(terms, pa.string())).to_numpy(), asked["weight"].to_numpy()
+    kind = queries.schema["query_id"].dataType.simpleString()
+    found = own.select("no", "place", "seqs", "dl", "code", "at", "tf").mapInArrow(lambda batches: count_sums(batches, ids.dictionary, q, code, weight, mean, top_k), f"query_id {kind}, no bigint, seq bigint, part double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
+    found = found.select("query_id", "no", "seq", F.round("part", 9).alias("score")).where("score > 0")
+    near = settle(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).drop("seq"), "near")
+    named = own.select("no", F.explode(F.arrays_zip("place", "ids", "documents")).alias("u")).select((F.col("no") + F.col("u.place")).alias("no"), F.col("u.ids").alias("id"), F.col("u.documents").alias("document_id"))
+    return named.join(small(near), "no").select("query_id", "rank", "id", "document_id", "score")
+
+
+def counts(batches: Iterable[pa.RecordBatch], known: pa.Array, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of COUNTS from units (no, id, document_id, seq, lower-case text), `size` at most at a time.
+
+    A row for each term, with the number of units that hold it, and one of the term '' for the units themselves, with the
+    postings of the known terms.
+    """
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("known", pa.bool_()), ("no", pa.int64()), ("place", pa.list_(pa.int32())), ("ids", pa.list_(pa.string())), ("documents", pa.list_(pa.string())), ("seqs", pa.list_(pa.int64())), *((c, pa.list_(pa.int32())) for c in ("dl", "code", "at", "tf"))])
+    for part in (b.slice(low, size) for b in batches for low in range(0, b.num_rows, size)):
+        terms, term, unit, tf, lengths = _counts(part["text"])
+        code = pc.index_in(terms, known)
+        own = np.flatnonzero(lengths)
+        yield pa.record_batch([terms, pa.array(np.bincount(term, minlength=len(terms))), code.is_valid(), *(pa.nulls(len(terms), f.type) for f in list(schema)[3:])], schema=schema)
+        code = code.fill_null(-1).to_numpy()[term]
+        hit = np.flatnonzero(code >= 0)
+        hit = hit[np.argsort(code[hit], kind="stable")]
+        one = {"place": _ints(own), "ids": part["id"].take(pa.array(own)), "documents": part["document_id"].take(pa.array(own)), "seqs": part["seq"].take(pa.array(own)), "dl": _ints(lengths[own]), "code": _ints(code[hit]), "at": _ints((np.cumsum(lengths > 0) - 1)[unit[hit]]), "tf": _ints(tf[hit])}
+        lists = [pa.ListArray.from_arrays(_ints(np.array([0, len(x)])), x.cast(schema.field(c).type.value_type)) for c, x in one.items()]
+        yield pa.record_batch([pa.array([""]), pa.array([len(own)]), pa.array([False]), part["no"].slice(0, 1), *lists], schema=schema)
+
+
+def count_sums(batches: Iterable[pa.RecordBatch], ids: pa.Array, q: np.ndarray, code: np.ndarray, weight: np.ndarray, mean: float, top_k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, no, seq, part) from the units' own rows of COUNTS: the sums that may be among a question's top_k."""
+    floor = np.full(len(ids), float("-inf"))
+    for batch in batches:
+        for i in range(batch.num_rows):
+            place, seqs, dl, held, at, tf = (batch[c][i].values.to_numpy() for c in ("place", "seqs", "dl", "code", "at", "tf"))
+            if len(held) and len(q):
+                starts = np.searchsorted(held, np.arange(code.max() + 2))
+                hit, unit, part = _added(q, weight, code, starts[:-1], np.diff(starts), at, _gain(tf, dl[at], mean), floor, len(dl), top_k)
+                yield pa.record_batch({"query_id": ids.take(pa.array(hit)), "no": pa.array(batch["no"][i].as_py() + place[unit].astype(np.int64)), "seq": pa.array(seqs[unit]), "part": pa.array(part)})

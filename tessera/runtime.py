@@ -109,3 +109,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where it comes in fewer parts than the cluster has cores."""
+    spark = df.sparkSession
+    return df.repartition(partitions(spark)) if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else df

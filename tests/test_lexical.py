@@ -1,10 +1,13 @@
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import runtime
-from tessera.operators import lexical
+from tessera.functions.runs import runs
+from tessera.operators import chunk, lexical
 
 
 def corpus(spark, n=900, seed=5):
@@ -155,3 +158,39 @@ def test_equal_scores_of_different_cells_go_by_seq(spark, monkeypatch):
     assert index.cell == 4 and index.rows.select("cell").distinct().count() > 5
     for direct in (lexical.DIRECT, 0):
         assert [r["id"] for r in lexical.search(index, ask(spark, "alike"), 3, direct=direct).orderBy("rank").collect()] == ["u19", "u17", "u15"]
+
+
+@pytest.mark.parametrize("top_k", [1, 8, 2000])
+def test_a_search_without_an_index_gives_what_the_index_gives(spark, monkeypatch, top_k):
+    monkeypatch.setattr(lexical, "COUNTED", 64)
+    units, texts = corpus(spark)
+    asked = ask(spark, "r3 r4 c1 c2 c3", "c0", "r10 r11 r12 c5 passage", texts[40], texts[7] + " c1 c1", "nothing here", "", "t5")
+    want = [tuple(r) for r in lexical.search(lexical.build_index(units), asked, top_k).orderBy("query_id", "rank").collect()]
+    for limits in ({}, {"known": 3}, {"direct": 3}):
+        got = lexical.naive_search(units, asked, top_k, **limits).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["rank"], r["id"], r["score"]) for r in got] == want and all(r["document_id"] == "d" + r["id"][1:] for r in got)
+    assert lexical.naive_search(units.limit(0), asked).count() == lexical.naive_search(units, asked.limit(0)).count() == 0
+
+
+def test_a_search_without_an_index_shuffles_and_keeps_no_texts(spark, monkeypatch):
+    """The texts are passed once, and only the counts of the terms and the questions' postings are written."""
+    seen = {}
+    monkeypatch.setattr(lexical, "settle", lambda df, label, rows=None: (seen.update({label: df._jdf.queryExecution().executedPlan().toString()}), runtime.settle(df, label))[1])
+    assert lexical.naive_search(corpus(spark, 60)[0], ask(spark, "r3 c1")).count() == 8
+    assert list(seen) == ["asked", "counts", "near"] and "MapInArrow" in seen["counts"] and "Exchange" not in seen["counts"]
+
+
+def test_documents_are_cut_once(spark):
+    """A filter on the number of pieces would have each document cut twice."""
+    docs = spark.createDataFrame([("d0", "t", "a b c " * 9, 0), ("d1", "t", None, 1), ("d2", "t", " \u3000\n", 2)], "id string, title string, text string, seq bigint")
+    units = chunk.text_units(docs, 20, 5)
+    assert not re.search(r"Filter .*size\(", units._jdf.queryExecution().optimizedPlan().toString()) and units.select("document_id").distinct().count() == 1
+
+
+def test_runs_are_those_of_the_pattern():
+    rng = random.Random(3)
+    for _ in range(200):
+        texts = ["".join(rng.choices("ab1 -_.\né漢", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 6))]
+        whole = pa.array(["zz", *texts, None])
+        found, text = runs(whole[1:], lexical.HELD)
+        assert list(zip(text.tolist(), found.to_pylist(), strict=True)) == [(i, x) for i, t in enumerate(texts) for x in re.findall(r"[a-z0-9_\-.]+", t)]

@@ -1,3 +1,4 @@
+import re
 from uuid import uuid4
 
 import pytest
@@ -202,3 +203,15 @@ def test_medians_of_large_groups(spark):
     got = {r["mode"]: r["median"] for r in evaluation.medians(rows, "mode", "x").collect()}
     want = {r["mode"]: r["m"] for r in rows.where("x IS NOT NULL").groupBy("mode").agg(F.median("x").alias("m")).collect()}
     assert got == want and got[None] == 2.5 and "none" not in got
+
+
+def test_documents_that_hold_a_passage(spark):
+    """Short passages, and last words that go on, as SQL's contains has it; in several passes, the same."""
+    texts = ["One two THREE four five six", "two three", "zwei-drei. two", "onetwo three", "three fourth", None, "", "two\nthree four fives", "x" * 50 + " two three"]
+    asked = ["two three", "three four", "tw", "two three four five", "one two three four five six", "...", "two", "five six seven", "x"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    passages = spark.createDataFrame(list(enumerate(asked)), "query_id bigint, text string")
+    norm = lambda t: " ".join(re.findall("[a-z0-9]+", (t or "").lower()))
+    want = sorted((i, f"d{j}") for i, p in enumerate(asked) for j, t in enumerate(texts) if norm(p) and " " + norm(p) in " " + norm(t))
+    assert sorted(map(tuple, evaluation.holding(docs, passages).collect())) == want
+    assert sorted(map(tuple, evaluation.holding(docs, passages, at_once=3).collect())) == want
