@@ -209,3 +209,14 @@ def test_fusion_takes_the_documents_from_the_search(spark, monkeypatch, tmp_path
     rows = catalog.hybrid_search(spark, str(tmp_path)).orderBy("rank").collect()
     assert [(r["rank"], r["id"]) for r in rows][0] == (1, "doc-1") and len(rows) == 3
     assert "counts" in seen and not {"units", "blocks"} & set(seen)
+
+
+def test_recall_of_short_passages(spark, tmp_path):
+    """Passages of few words, and one whose last word goes on in the document, are expected as in SQL."""
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    texts = ["red fox", "A blue-whale song", "one two three four five sixty", "blue whale"] + ["filler"] * 9
+    put("documents", [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    put("benchmark", [(0, "Red fox"), (1, "blue whale"), (2, "one two three four five six"), (3, "nowhere to be found")], "item_id bigint, text string")
+    rows = {r["query_id"]: (r["recall"], r["mrr"]) for r in catalog.recall_mrr(spark, str(tmp_path)).collect()}
+    assert rows == {0: (1.0, 1.0), 1: (1.0, 1.0), 2: (1.0, 1.0)}
+    assert {tuple(r) for r in catalog.missing_sources(spark, str(tmp_path)).collect()} == set()
