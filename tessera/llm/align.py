@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.bpe import COMMON, _slices
-from tessera.llm.workers import kept, resting
+from tessera.llm.bpe import COMMON
+from tessera.llm.workers import kept, resting, slices
 from tessera.runtime import settle, ship, table
 
 #: Segments, and label spans, that a worker remembers before it starts afresh; the longest span in bytes.
@@ -299,7 +299,7 @@ def tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
             at = batch.schema.get_field_index("__text")
             texts = batch.column(at)
             rest = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            for lo, hi in _slices(texts, STEP):
+            for lo, hi in slices(texts, STEP):
                 found = aligned.columns(texts.slice(lo, hi - lo).to_pylist(), digest)
                 yield pa.RecordBatch.from_arrays([*(r.slice(lo, hi - lo) for r in rest), *found], names=schema.names)
             del batch, texts, rest

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.workers import kept, resting, uncollected
+from tessera.llm.workers import kept, resting, slices, uncollected
 from tessera.runtime import ship, table
 
 #: Distinct pieces and token pairs that a worker remembers before it starts afresh.
@@ -261,7 +261,7 @@ def encode_decode(docs: DataFrame, vocab_path: str | None = None, pattern: str |
             texts = batch.column(at)
             rest = [batch.column(i) for i in range(batch.num_columns) if i != at]
             names = [n for n in batch.schema.names if n != "__text"]
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 rows, counts, ids_text, decoded = hi - lo, [], [], []
                 for x in texts.slice(lo, rows):
                     ids = c.encode(x.as_py())
@@ -275,20 +275,6 @@ def encode_decode(docs: DataFrame, vocab_path: str | None = None, pattern: str |
     return sent.mapInArrow(resting(uncollected(run)), schema)
 
 
-def _slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about limit bytes of text, so that outputs stay small."""
-    import pyarrow.compute as pc
-
-    lo, size = 0, 0
-    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-        size += n
-        if size >= limit:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.workers import kept as held
-from tessera.llm.workers import release
+from tessera.llm.workers import release, slices
 from tessera.runtime import ship, table
 
 WINDOW, STRIDE, HIDDEN, ODDS, BATCH = 48, 24, 8, 4, 256
@@ -48,6 +48,8 @@ WORDS = re.compile(r"[^\W_]+").findall
 WORD_CACHE = 200_000
 #: New words whose inputs are worked out at once.
 LEARN = 8192
+#: Words of texts that are scored at once. A worker starts afresh after them, so it may have as many words more.
+ROOM = 200_000
 
 
 def grams(word: str) -> list[str]:
@@ -307,9 +309,12 @@ class Scorer:
         self.__init__(*state)
 
     def _fresh(self) -> None:
-        """Forget all words: known has a word's row in terms, new those without terms so far."""
+        """Forget all words: known has a word's row in terms, new those without terms so far.
+
+        Room for all words is taken at once, since its pages take no memory before they are written; growing would copy it.
+        """
         self.known: dict[str, int] = {"": 0}
-        self.new, self.terms, self.size = [""], np.zeros((2, 1024, 3 * HIDDEN), np.float32), 0
+        self.new, self.terms, self.size = [""], np.empty((2, WORD_CACHE + ROOM, 3 * HIDDEN), np.float32), 0
 
     def _row(self, word: str) -> int:
         i = self.known.get(word)
@@ -320,7 +325,7 @@ class Scorer:
 
     def _learn(self) -> None:
         while self.size + len(self.new) > self.terms.shape[1]:
-            self.terms = np.concatenate([self.terms, np.zeros_like(self.terms)], 1)
+            self.terms = np.concatenate([self.terms, np.empty_like(self.terms)], 1)
         for lo in range(0, len(self.new), LEARN):  # a batch's new words may be very many, with ten n-grams each
             part = self.new[lo : lo + LEARN]
             self.terms[:, self.size : self.size + len(part)] = self.net.terms(self.odds.features(part).astype(np.float32), part)
@@ -351,7 +356,7 @@ class Scorer:
             spans += [(i, size + a, size + b) for a, b in windows(len(ids))]
             held.append(ids)
             size += len(ids)
-            if size > 200_000:
+            if size > ROOM:
                 flush()
         flush()
         return out
@@ -464,8 +469,11 @@ def score(docs: DataFrame, model: Scorer | None, text: str = "text", keep: list[
         own = held("toxicity")
         own["scorer"] = scorer = pickle.loads(sent.value)
         for b in batches:
-            found = scorer.score(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(found, pa.float64())], names=[*kept, "toxicity"])
+            for lo, hi in slices(b.column(b.num_columns - 1)):
+                part = b.slice(lo, hi - lo)
+                found = scorer.score(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(found, pa.float64())], names=[*kept, "toxicity"])
+            del b, part  # else they stay while the next batch is read
         own.clear()  # its words and their inputs
         del scorer
         release()

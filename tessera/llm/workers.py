@@ -6,6 +6,9 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _KEPT: dict[str, dict] = {}
 
 
@@ -24,8 +27,6 @@ def kept(name: str) -> dict:
 
 def release() -> None:
     """Give freed memory back to the system: a worker that waits for its next task holds on to it otherwise."""
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
@@ -69,3 +70,15 @@ def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Ite
                 gc.enable()
 
     return out
+
+
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of about limit bytes of text, so that outputs stay small."""
+    lo, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
+        if size >= limit:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)

@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import toxicity
+from tessera.llm.workers import slices
 
 
 def corpus(n=240):
@@ -153,3 +155,19 @@ def test_null_ids_and_very_long_texts(spark, docs):
     d = docs([(None, "lorem"), (None, long + "nastyword nastyones nastyword"), (5, long), (5, "n" * 200_000)])
     out = [(r["doc_id"], r["toxicity"], r["h"]) for r in toxicity.score(d, m).select("doc_id", "toxicity", toxicity.held_out(F.col("doc_id")).alias("h")).collect()]
     assert len(out) == 4 and [h for i, _, h in out if i is None] == [False, False] and max(t for i, t, _ in out if i is None) > 0.5
+
+
+def test_new_words_do_not_copy_what_is_known_of_others():
+    model = toxicity.fit(["bad word here", "fine word there"] * 20, np.array([1, 0] * 20), rounds=1, steps=1)
+    taken = model.terms
+    scores = model.score([" ".join(f"w{i}x{j}" for j in range(500)) for i in range(10)])
+    assert model.terms is taken and model.size > 5000  # growing held the old and the new table at once
+    again = toxicity.Scorer(model.odds, model.net)
+    parts = [again.score([" ".join(f"w{i}x{j}" for j in range(500))])[0] for i in range(10)]
+    assert np.allclose(scores, parts, atol=1e-5)
+
+
+def test_texts_are_scored_in_slices_of_bounded_bytes():
+    texts = pa.array([None, "x" * 700, "", "y" * 700, "z" * 3000, None])
+    cuts = list(slices(texts, 1000))
+    assert cuts == [(0, 4), (4, 5), (5, 6)]
