@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import components
 from tessera.operators.louvain import louvain
-from tessera.runtime import numbered, settle, ship
+from tessera.runtime import numbered, settle, ship, sized
 
 
 def greedy_modularity(nodes: list[int], edges: list[tuple[int, int, float]], total: float) -> list[list[int]]:
@@ -63,7 +63,7 @@ def detect(nodes: DataFrame, edges: DataFrame, method: str = "louvain") -> DataF
     all_ = settle((louvain if method == "louvain" else _greedy)(nodes, edges), "communities")
     groups = all_.groupBy("head").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     ranked = numbered(groups, "community_id", F.desc("n"), "first", "head").select("head", F.col("community_id").cast("int").alias("community_id"))
-    return all_.join(ranked, "head").select("name", "community_id")
+    return all_.join(sized(ranked.count())(ranked), "head").select("name", "community_id")
 
 
 def _greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import BROADCAST_ROWS, numbered, settle
+from tessera.runtime import numbered, settle, sized
 
 #: Growth of modularity that is worth a further round, or level; rounds without any after which a level ends.
 GROWTH, IDLE = 1e-4, 4
@@ -24,27 +24,25 @@ GROWTH, IDLE = 1e-4, 4
 ROUNDS, LEVELS = 40, 20
 
 
-def _sized(nodes: int) -> Callable[[DataFrame], DataFrame]:
-    """A broadcast hint for frames of at most so many rows, if they are few enough."""
-    return F.broadcast if nodes <= BROADCAST_ROWS else lambda df: df
-
-
-def _value(edges: DataFrame, labels: DataFrame, total: float, fit: Callable) -> tuple[float, float]:
-    """The modularity of a partition, and what the moves of single nodes would add to it, one by one.
+def _value(edges: DataFrame, labels: DataFrame, total: float, fit: Callable) -> tuple[float, float, int]:
+    """The modularity of a partition, what the moves of single nodes would add to it, one by one, and its communities' number.
 
     For a coarse graph the weight inside of its nodes is left out, which is the same for all partitions of it.
     """
     of = lambda c, name: fit(labels.select(F.col("node").alias(c), F.col("label").alias(name)))
-    inside = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x = y").agg(F.sum("w").alias("v"), F.lit(0.0).alias("n"))
-    own = labels.groupBy("label").agg(F.sum("k").alias("t"), F.sum("gains").alias("g")).agg((-F.sum(F.col("t") * F.col("t")) / (4 * total)).alias("v"), F.sum("g").alias("n"))
-    found = inside.union(own).agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
-    return (found["v"] or 0.0) / total, (found["n"] or 0.0) / total
+    inside = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x = y").agg(F.sum("w").alias("v"), F.lit(0.0).alias("n"), F.lit(0).alias("c"))
+    own = labels.groupBy("label").agg(F.sum("k").alias("t"), F.sum("gains").alias("g")).agg((-F.sum(F.col("t") * F.col("t")) / (4 * total)).alias("v"), F.sum("g").alias("n"), F.count("*").alias("c"))
+    found = inside.union(own).agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("c").alias("c")).first()
+    return (found["v"] or 0.0) / total, (found["n"] or 0.0) / total, found["c"]
 
 
-def _moved(both: DataFrame, labels: DataFrame, total: float, chosen: Column, fit: Callable) -> DataFrame:
-    """labels after those of the nodes that gain most elsewhere, and are chosen, have gone there; gains: what each would gain."""
+def _moved(both: DataFrame, labels: DataFrame, total: float, chosen: Column, fit: Callable, few: Callable) -> DataFrame:
+    """labels after those of the nodes that gain most elsewhere, and are chosen, have gone there; gains: what each would gain.
+
+    fit, few: hints for a row a node, and a row a community.
+    """
     near = both.join(fit(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
-    sums = fit(labels.groupBy("label").agg(F.sum("k").alias("t")))
+    sums = few(labels.groupBy("label").agg(F.sum("k").alias("t")))
     own = fit(labels.select("node", "k", F.col("label").alias("own")))
     # a node's own community, without the node, stands beside those around it
     stay = labels.select("node", "label", F.lit(0.0).alias("w"))
@@ -64,19 +62,20 @@ def _moves(edges: DataFrame, labels: DataFrame, total: float, seed: int, last: b
     both = settle(edges.union(edges.select("b", "a", "w")), "both-ways")
     labels = settle(labels.withColumn("gains", F.lit(0.0)), "labels")
     nodes = labels.count()
-    fit = _sized(nodes)
-    first = value = _value(edges, labels, total, fit)[0]
+    fit = sized(nodes)
+    value, _, groups = _value(edges, labels, total, fit)
+    first = value
     part, idle, before = 2, 0, float("inf")
     for round_ in range(ROUNDS):
         chosen = F.pmod(F.xxhash64("node", F.lit(seed * ROUNDS + round_)), F.lit(part)) == 0
-        new = settle(_moved(both, labels, total, chosen, fit), "labels", nodes)
-        now, gains = _value(edges, new, total, fit)
+        new = settle(_moved(both, labels, total, chosen, fit, sized(groups)), "labels", nodes)
+        now, gains, now_groups = _value(edges, new, total, fit)
         if gains <= 0 or gains < GROWTH and not last:  # of the partition before
             break
         idle = 0 if now > value + GROWTH / 10 or last and gains <= before / 2 else idle + 1
         before = min(before, gains)
         if now > value:
-            labels, value = new, now
+            labels, value, groups = new, now, now_groups
             if gains < GROWTH:
                 part = 1  # the few that are left
         elif now < value:
@@ -92,7 +91,7 @@ def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, seq, head): each node's community, told by its first node in the order of seq and name."""
     ids = settle(numbered(nodes.select("name", "seq"), "node", "seq", "name").select("name", "seq", F.col("node").cast("bigint").alias("node")), "numbered")
     count = ids.count()
-    fit = _sized(count)
+    fit = sized(count)
     of = lambda c, name: fit(ids.select(F.col("name").alias(c), F.col("node").alias(name)))
     e = edges.join(of("u", "x"), "u").join(of("v", "y"), "v").where("x <> y")
     e = e.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
@@ -107,12 +106,15 @@ def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels, changed = _moves(e, k.withColumn("label", F.col("node")), total, level)
         if not changed:
             break
-        member = settle(member.join(fit(labels.select(F.col("node").alias("old"), F.col("label").alias("new"))), F.col("label") == F.col("old")).select("node", F.col("new").alias("label")), "members", count)
+        fit_level = sized(labels.count())
+        member = settle(member.join(fit_level(labels.select(F.col("node").alias("old"), F.col("label").alias("new"))), F.col("label") == F.col("old")).select("node", F.col("new").alias("label")), "members", count)
         k = settle(labels.groupBy(F.col("label").alias("node")).agg(F.sum("k").alias("k")), "degrees", count)
-        to = lambda c, name: fit(labels.select(F.col("node").alias(c), F.col("label").alias(name)))  # noqa: B023, E731
+        to = lambda c, name: fit_level(labels.select(F.col("node").alias(c), F.col("label").alias(name)))  # noqa: B023, E731
         e = e.join(to("a", "x"), "a").join(to("b", "y"), "b").where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
         e = settle(e, "coarse-edges")
-    labels, _ = _moves(first, weights.join(member, "node").select("node", "k", "label"), total, LEVELS, last=True)
-    heads = labels.groupBy("label").agg(F.min("node").alias("node")).join(ids, "node").select("label", F.col("name").alias("head"))
-    found = labels.join(fit(heads), "label").select("node", "head")
-    return ids.join(found, "node", "left").select("name", "seq", F.coalesce("head", "name").alias("head"))
+    labels, _ = _moves(first, weights.join(fit(member), "node").select("node", "k", "label"), total, LEVELS, last=True)
+    least = settle(labels.groupBy("label").agg(F.min("node").alias("node")), "heads", count)
+    few = sized(least.count())
+    heads = few(least).join(ids, "node").select("label", F.col("name").alias("head"))
+    found = labels.join(few(heads), "label").select("node", "head")
+    return ids.join(fit(found), "node", "left").select("name", "seq", F.coalesce("head", "name").alias("head"))

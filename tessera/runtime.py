@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -86,6 +87,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sized(rows: int) -> Callable[[DataFrame], DataFrame]:
+    """The hint for a side of a join that has at most so many rows: broadcast if they are few enough, else merge.
+
+    Without the latter Spark goes by the size of files, and broadcasts a settled table of millions of numbers, which
+    zstd makes a few MB, through the driver.
+    """
+    return F.broadcast if rows <= BROADCAST_ROWS else lambda df: df.hint("merge")
+
+
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """df with rows counted from 0 in the given order, without a window over all rows in one task.
 

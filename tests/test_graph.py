@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import cli
+from tessera import cli, runtime
 from tessera.operators import community, evaluation, graph, inspection, local, louvain, models, summary
 from tessera.operators.components import connected_components
+from tessera.plans import catalog
 from tessera.sources import artifacts, issues, schemas
 
 
@@ -146,6 +147,25 @@ def test_communities_of_a_hub_of_pairs_and_of_none(spark):
     assert sorted(r["community_id"] for r in community.detect(n, e).collect()) == [0, 1]
 
 
+def test_sides_of_more_rows_than_may_be_broadcast_are_merged_whatever_their_files_size(spark, monkeypatch, tmp_path):
+    """zstd makes millions of numbers a file under Spark's threshold, which as a broadcast fill the driver's memory."""
+    spark.range(30).selectExpr("id AS c_custkey", "format_string('c%02d', id) AS c_name", "id % 2 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2).selectExpr("id AS n_nationkey", "concat('n', id) AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    plans = {}
+
+    def seen(df, label, rows=None):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return runtime.settle(df, label, rows)
+
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 10)
+    for module in (louvain, community, catalog):
+        monkeypatch.setattr(module, "settle", seen)
+    out = catalog.community_planted(spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {(f"c{i:02}", f"c{i % 2:02}") for i in range(30)} | {("n0", "c00"), ("n1", "c01")}
+    assert "SortMergeJoin" in plans["labels"][1] and "BroadcastHashJoin" not in plans["labels"][1]  # in the first round each node is a community
+    assert plans["numbered-edges"][0].count("BroadcastHashJoin") == 1  # the two nations
+
+
 def test_reports_and_inspection(spark):
     n, e = small_graph(spark)
     n = community.attach(n, community.detect(n, e, "greedy"))
