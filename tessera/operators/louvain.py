@@ -39,17 +39,16 @@ def _value(edges: DataFrame, labels: DataFrame, total: float, fit: Callable) ->
 def _moved(both: DataFrame, labels: DataFrame, total: float, chosen: Column, fit: Callable, few: Callable) -> DataFrame:
     """labels after those of the nodes that gain most elsewhere, and are chosen, have gone there; gains: what each would gain.
 
-    fit, few: hints for a row a node, and a row a community.
+    both: edges with the weight k of node a; fit, few: hints for a row a node, and a row a community.
     """
-    near = both.join(fit(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
+    near = both.join(fit(labels.select(F.col("node").alias("b"), "label")), "b").select(F.col("a").alias("node"), "k", "label", "w", F.lit(False).alias("is_own"))
     sums = few(labels.groupBy("label").agg(F.sum("k").alias("t")))
-    own = fit(labels.select("node", "k", F.col("label").alias("own")))
     # a node's own community, without the node, stands beside those around it
-    stay = labels.select("node", "label", F.lit(0.0).alias("w"))
-    options = near.unionByName(stay).groupBy("node", "label").agg(F.sum("w").alias("w")).join(own, "node").join(sums, "label")
-    is_own = F.col("label") == F.col("own")
+    stay = labels.select("node", "k", "label", F.lit(0.0).alias("w"), F.lit(True).alias("is_own"))
+    options = near.unionByName(stay).groupBy("node", "label").agg(F.max("k").alias("k"), F.sum("w").alias("w"), F.max("is_own").alias("is_own")).join(sums, "label")
+    is_own = F.col("is_own")
     gain = F.col("w") - F.col("k") * (F.col("t") - F.when(is_own, F.col("k")).otherwise(0.0)) / (2 * total)
-    best = options.groupBy("node", "k", "own").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), is_own.alias("is_own"), (-F.col("label")).alias("less"))).alias("best"), F.max(F.when(is_own, gain)).alias("before"))
+    best = options.groupBy("node").agg(F.max("k").alias("k"), F.max(F.when(is_own, F.col("label"))).alias("own"), F.max(F.struct(F.round(gain, 9).alias("gain"), is_own.alias("is_own"), (-F.col("label")).alias("less"))).alias("best"), F.max(F.when(is_own, gain)).alias("before"))
     goes = ~F.col("best.is_own")
     return best.select("node", "k", F.when(goes & chosen, -F.col("best.less")).otherwise(F.col("own")).alias("label"), F.when(goes, F.col("best.gain") - F.col("before")).otherwise(0.0).alias("gains"))
 
@@ -59,10 +58,10 @@ def _moves(edges: DataFrame, labels: DataFrame, total: float, seed: int, last: b
 
     last: go on below GROWTH, as long as what is left to gain halves from round to round.
     """
-    both = settle(edges.union(edges.select("b", "a", "w")), "both-ways")
     labels = settle(labels.withColumn("gains", F.lit(0.0)), "labels")
     nodes = labels.count()
     fit = sized(nodes)
+    both = settle(edges.union(edges.select("b", "a", "w")).join(fit(labels.select(F.col("node").alias("a"), "k")), "a"), "both-ways")
     value, _, groups = _value(edges, labels, total, fit)
     first = value
     part, idle, before = 2, 0, float("inf")
